@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from loam.llm.decontaminate import OP7_SQL, op7_decontaminate
 from loam.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {"op4_exact_dedup": op4_exact_dedup, "op7_decontaminate": op7_decontaminate}
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op7_decontaminate": OP7_SQL}
