@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from loam.llm.bpe import op9_bpe
 from loam.llm.decontaminate import OP7_SQL, op7_decontaminate
 from loam.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": op4_exact_dedup, "op7_decontaminate": op7_decontaminate}
+    return {"op4_exact_dedup": op4_exact_dedup, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict:
