@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from loam.llm.bpe import op9_bpe
+from loam.llm.chat import OP6_SQL, op6_chat
 from loam.llm.decontaminate import OP7_SQL, op7_decontaminate
 from loam.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from loam.llm.secrets import op3_secrets
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": op4_exact_dedup, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
+    return {"op3_secrets": op3_secrets, "op4_exact_dedup": op4_exact_dedup, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": OP4_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_chat": OP6_SQL, "op7_decontaminate": OP7_SQL}
