@@ -246,7 +246,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def encode_texts(data: np.ndarray, offsets: np.ndarray, r: Ranks) -> tuple[np.ndarray, np.ndarray]:
     """(ids, n + 1 offsets) of several texts: distinct pre-tokens are merged once and dealt back to their places."""
     starts, lens, keys = [], [], []
-    for i, j in pieces(offsets):  # bounds the memory of the character work
+    for i, j in pieces(offsets, 1 << 20):  # bounds the memory of the character work
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         s = pretokens(part, own)
         e = np.append(s[1:], len(part)).astype(np.int64)
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         r = ranks(content.value)
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            for i, j in pieces(offsets, 10 << 20):
+            for i, j in pieces(offsets, 5 << 20):
                 ids, bounds = encode_texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], r)
                 column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), column], names=["doc_id", "ids"])
