@@ -17,6 +17,8 @@ WIDTH, ANCHOR = 50, 24
 MOST_WINDOWS = 64
 #: Bytes of text whose suffixes are sorted at once; all fragments of one anchor are always sorted together.
 SORT_BYTES = 3 << 20
+#: Bytes of a name that are asked for, beside the bucket, which holds the rest of its division.
+NAME_BYTES = 5
 
 
 class Runs:
@@ -71,7 +73,7 @@ def ask(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int
         for b in np.flatnonzero(np.diff(cut)).tolist():
             k, r = key[cut[b] : cut[b + 1]], row[cut[b] : cut[b + 1]]
             new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            packed = np.ascontiguousarray(k // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :6]
+            packed = np.ascontiguousarray(k // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
             for into, x in zip(rows, (b, packed.tobytes(), np.packbits(many[cut[b] : cut[b + 1]]).tobytes(), r[new].tobytes(), np.diff(np.append(new, len(r))).astype(np.int32).tobytes())):
                 into.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "keys", "many", "rows", "counts"])
@@ -88,14 +90,14 @@ def least_row(key: np.ndarray, row: np.ndarray, many: np.ndarray) -> tuple[np.nd
     return key[first], row[first], (row[first] != row[last]) | np.logical_or.reduceat(many, first)
 
 
-def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def answer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Of the keys asked for, those that more than one row has: back to the asking rows."""
     parts = []
     for batch in batches:
         for bucket, keys, many, rows, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            n = len(keys) // 6
+            n = len(keys) // NAME_BYTES
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+            wide[:, :NAME_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, NAME_BYTES)
             flags = np.unpackbits(np.frombuffer(many, np.uint8))[:n].astype(bool)
             parts.append((np.full(n, bucket, np.int32), wide.view(np.uint64).ravel(), flags, np.repeat(np.frombuffer(rows, np.int64), np.frombuffer(counts, np.int32))))
     if not parts:
@@ -110,67 +112,70 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, key, row = bucket[many], key[many], row[many]
     order = np.argsort(row, kind="stable")
     bucket, key, row = bucket[order], key[order], row[order]
-    pair = np.empty((len(row), 2), np.uint64)
-    pair[:, 0], pair[:, 1] = bucket, key
+    told = key * np.uint64(buckets) + bucket.astype(np.uint64)
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    bounds = np.append(first, len(row)) * 16
+    bounds = np.append(first, len(row)) * 8
     for i in range(0, len(first), 20000):
         cut = bounds[i : i + 20001]
-        blob = pair.reshape(-1).view(np.uint8)[cut[0] : cut[-1]]
+        blob = told.view(np.uint8)[cut[0] : cut[-1]]
         column = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut - cut[0]).astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
         yield pa.RecordBatch.from_arrays([pa.array(row[first[i : i + 20000]], pa.int64()), column], names=["rid", "keys"])
 
 
-def shared_runs(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int):
-    """(ids, rids, data, runs, hash of each run's bytes) of the runs whose key more than one row has.
+def names(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each fragment."""
+    total, down = prefix_hash(data), powers(max(len(data), 1))[1]
+    return mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+
+
+def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Distinct fragments of each share whose key several rows have: least document, least row, and whether it has several documents.
 
     Rows of a share arrive in the order of rid, so the row that asked for a key, the least one, brings the answer
     before the share's other rows with that key.
     """
     known: dict[int, set[int]] = {}
+    held: dict[int, dict[int, list]] = {}
     for batch in batches:
         rid, share, ids = (np.asarray(batch.column(k)) for k in (0, 1, 2))
         data, offsets = flat(batch.column(3))
         told = batch.column(4)
         for i, j in pieces(offsets, 2 << 20):
-            part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            runs = Runs(part, own, width, anchor)
+            part = data[offsets[i] : offsets[j]]
+            runs = Runs(part, offsets[i : j + 1] - offsets[i], width, anchor)
             of = share[i:j]
-            ok = np.zeros(len(runs.key), bool)
             for s in np.unique(of).tolist():
-                seen = known.setdefault(s, set())
+                seen, mine = known.setdefault(s, set()), held.setdefault(s, {})
                 for r in np.flatnonzero(of == s).tolist():
                     for blob in told[i + r].as_py() or ():
-                        pair = np.frombuffer(blob, np.uint64).reshape(-1, 2)
-                        seen.update((pair[:, 1] * np.uint64(buckets) + pair[:, 0]).tolist())
-                mine = np.flatnonzero(of[runs.doc] == s)
+                        seen.update(np.frombuffer(blob, np.uint64).tolist())
+                own = np.flatnonzero(of[runs.doc] == s)
                 # keys come back without their uppermost bits; what that lets through falls to the suffix sort
-                short = (runs.key[mine] // np.uint64(buckets) & np.uint64((1 << 48) - 1)) * np.uint64(buckets) + runs.key[mine] % np.uint64(buckets)
-                ok[mine] = np.fromiter(map(seen.__contains__, short.tolist()), bool, len(mine))
-            start, count, doc = runs.start[ok], runs.count[ok], runs.doc[ok]
-            total, down = prefix_hash(part), powers(max(len(part), 1))[1]
-            size = count + width - 1
-            name = mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
-            yield ids[i:j][doc], rid[i:j][doc], part, own[doc], start, count, runs.key[ok], name
-
-
-def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Distinct fragments of the task with their least document: a fragment is sent again only for a lesser one."""
-    least: dict[int, int] = {}
-    for ids, _, data, _, start, count, key, name in shared_runs(batches, buckets, width, anchor):
-        order = np.lexsort((ids, name))
-        first = order[np.r_[True, name[order][1:] != name[order][:-1]]] if len(order) else order
-        new = [k for k, n, d in zip(first.tolist(), name[first].tolist(), ids[first].tolist()) if d < least.get(n, d + 1)]
-        least.update(zip(name[new].tolist(), ids[new].tolist()))
-        size = count[new] + width - 1
-        at = np.r_[0, np.cumsum(size)].astype(np.int32)
-        column = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[ragged(start[new], size)].tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(name[new].view(np.int64)), pa.array(ids[new], pa.int64()), column], names=["key", "name", "doc_id", "bytes"])
-
-
-def occurrences(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    for ids, rid, _, base, start, _, key, name in shared_runs(batches, buckets, width, anchor):
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name.view(np.int64)), pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), pa.array(start - base, pa.int32())], names=["key", "name", "rid", "doc_id", "start"])
+                short = (runs.key[own] // np.uint64(buckets) & np.uint64((1 << 8 * NAME_BYTES) - 1)) * np.uint64(buckets) + runs.key[own] % np.uint64(buckets)
+                own = own[np.fromiter(map(seen.__contains__, short.tolist()), bool, len(own))]
+                start, size, row = runs.start[own], runs.count[own] + width - 1, runs.doc[own]
+                name, doc = names(part, start, size), ids[i:j][row]
+                order = np.lexsort((doc, name))
+                first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]]) if len(order) else order
+                last = np.append(first[1:], len(order)) - 1
+                many = doc[order[first]] != doc[order[last]]
+                least_rid = np.minimum.reduceat(rid[i:j][row][order], first) if len(order) else first
+                at = order[first]
+                for n, d, r, m, a, z, k in zip(name[at].tolist(), doc[at].tolist(), least_rid.tolist(), many.tolist(), start[at].tolist(), size[at].tolist(), runs.key[own][at].view(np.int64).tolist()):
+                    have = mine.get(n)
+                    if have is None:
+                        mine[n] = [k, d, r, m, part[a : a + z].tobytes()]
+                    else:
+                        have[3] |= m or have[1] != d
+                        have[1], have[2] = min(have[1], d), min(have[2], r)
+    for mine in held.values():
+        found = list(mine.items())
+        for i in range(0, len(found), 20000):
+            some = found[i : i + 20000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v[0] for _, v in some], pa.int64()), pa.array(np.array([n for n, _ in some], np.uint64).view(np.int64)), pa.array([v[1] for _, v in some], pa.int64()), pa.array([v[2] for _, v in some], pa.int64()), pa.array([v[3] for _, v in some], pa.bool_()), pa.array([v[4] for _, v in some], pa.binary())],
+                names=["key", "name", "doc_id", "rid", "many", "bytes"],
+            )
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray, width: int) -> np.ndarray:
@@ -240,15 +245,23 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarr
     return out
 
 
-SEGMENTS = "key long, name long, parts array<struct<first:int,last:int,doc_id:long>>"
-_segment = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("doc_id", pa.int64())]))
+#: A part: first and last window of a fragment, and the least document that has them.
+PART = np.dtype([("first", np.int32), ("last", np.int32), ("doc", np.int64)])
 
 
-def least_documents(key: np.ndarray, name: np.ndarray, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> pa.RecordBatch:
-    """For each distinct fragment, the least document that has each of its windows, in parts of equal answers."""
-    order = np.lexsort((ids, name, key))
-    k, n = key[order], name[order]
-    order = order[np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]]
+def least_documents(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """For each asking share and fragment, the least document that has each of its windows, in parts of equal answers.
+
+    A fragment of one document whose windows no lesser document has can't change anything and gets no answer.
+    """
+    key, name, ids, rid = (np.asarray(rows.column(k)) for k in range(4))
+    many = np.asarray(rows.column(4).cast(pa.uint8())).astype(bool)
+    data, offsets = flat(rows.column(5))
+    asking = np.lexsort((ids, name, key))
+    k, n = key[asking], name[asking]
+    head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
+    askers = np.diff(np.append(head, len(asking)))
+    order = asking[head]
     size = np.diff(offsets)[order]
     text = np.concatenate((data[ragged(offsets[order], size)], np.zeros(width, np.uint8)))
     at = np.r_[0, np.cumsum(size)]
@@ -260,16 +273,24 @@ def least_documents(key: np.ndarray, name: np.ndarray, ids: np.ndarray, data: np
     place = np.zeros(len(text), np.int64)
     place[wanted] = np.arange(len(wanted))
     window = place[suffixes]
-    head = np.flatnonzero(prefix < width)
-    least = np.minimum.reduceat(ids[order][owner[window]], head)
+    group = np.flatnonzero(prefix < width)
+    least = np.minimum.reduceat(ids[order][owner[window]], group)
     answer = np.empty(len(wanted), np.int64)
-    answer[window] = np.repeat(least, np.diff(np.append(head, len(window))))
+    answer[window] = np.repeat(least, np.diff(np.append(group, len(window))))
     new = np.flatnonzero(np.r_[True, (answer[1:] != answer[:-1]) | (owner[1:] != owner[:-1])])
     begin = np.r_[0, np.cumsum(per)][:-1][owner[new]]
-    last = np.append(new[1:], len(wanted)) - 1
-    parts = pa.StructArray.from_arrays([pa.array(new - begin, pa.int32()), pa.array(last - begin, pa.int32()), pa.array(answer[new], pa.int64())], fields=list(_segment.value_type))
-    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[new], np.arange(len(order) + 1)), pa.int32()), parts)
-    return pa.RecordBatch.from_arrays([pa.array(key[order], pa.int64()), pa.array(name[order], pa.int64()), lists], names=["key", "name", "parts"])
+    parts = np.empty(len(new), PART)
+    parts["first"], parts["last"], parts["doc"] = new - begin, np.append(new[1:], len(wanted)) - 1 - begin, answer[new]
+    cut = np.searchsorted(owner[new], np.arange(len(order) + 1))
+    lesser = np.logical_or.reduceat(answer < ids[order][owner], np.r_[0, np.cumsum(per)][:-1])
+    several = (askers > 1) | np.logical_or.reduceat(many[asking], head)
+    useful = np.repeat(lesser | several, askers)
+    fragment = np.repeat(np.arange(len(order)), askers)[useful]
+    asking = asking[useful]
+    count = np.diff(cut)[fragment]
+    blob = parts[ragged(cut[fragment], count)]
+    column = pa.BinaryArray.from_buffers(pa.binary(), len(asking), [None, pa.py_buffer((np.r_[0, np.cumsum(count)] * PART.itemsize).astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(rid[asking], pa.int64()), pa.array(name[asking], pa.int64()), column], names=["rid", "name", "parts"])
 
 
 def sort_fragments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -277,48 +298,56 @@ def sort_fragments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
     held: list[pa.RecordBatch] = []
     size = 0
 
-    def done(rows: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = flat(rows.column(3))
-        return least_documents(*(np.asarray(rows.column(k)) for k in range(3)), data, offsets, width)
-
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.asarray(batch.column(0))
-        _, offsets = flat(batch.column(3))
+        _, offsets = flat(batch.column(5))
         change = np.flatnonzero(key[1:] != key[:-1]) + 1
         at = 0
         if held and key[0] != held[-1].column(0)[-1].as_py() and size >= SORT_BYTES:
-            yield done(pa.concat_batches(held))
+            yield least_documents(pa.concat_batches(held), width)
             held, size = [], 0
         for c in change.tolist():
             if size + offsets[c] - offsets[at] >= SORT_BYTES:
-                yield done(pa.concat_batches([*held, batch.slice(at, c - at)]))
+                yield least_documents(pa.concat_batches([*held, batch.slice(at, c - at)]), width)
                 held, size, at = [], 0, c
         held.append(batch.slice(at))
         size += int(offsets[-1] - offsets[at])
     if held:
-        yield done(pa.concat_batches(held))
+        yield least_documents(pa.concat_batches(held), width)
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
 _span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def cut_out(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Texts less the windows of their fragments that a lesser document has; answers arrive as in fragments()."""
+    known: dict[int, dict[int, bytes]] = {}
     for batch in batches:
-        data, offsets = flat(batch.column(1))
-        covered = batch.column(2)
-        for i, j in pieces(offsets):
+        share, ids = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+        data, offsets = flat(batch.column(3))
+        told = batch.column(4)
+        for i, j in pieces(offsets, 2 << 20):
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            runs = Runs(part, own, width, anchor)
+            name, of = names(part, runs.start, runs.count + width - 1), share[i:j]
             marks = np.zeros(len(part) + 1, np.int64)
-            some = covered.slice(i, j - i)
-            flatted = some.flatten()
-            if len(flatted):
-                sizes = np.asarray(some.value_lengths().fill_null(0)).astype(np.int64)
-                base = np.repeat(own[:-1], sizes)
-                np.add.at(marks, base + np.asarray(flatted.field("a")), 1)
-                np.add.at(marks, base + np.asarray(flatted.field("b")), -1)
+            for s in np.unique(of).tolist():
+                answers = known.setdefault(s, {})
+                for r in np.flatnonzero(of == s).tolist():
+                    for x in told[i + r].as_py() or ():
+                        answers[x["name"]] = x["parts"]
+                mine = np.flatnonzero(of[runs.doc] == s)
+                found = list(map(answers.get, name[mine].view(np.int64).tolist()))
+                blobs = [x or b"" for x in found]
+                parts = np.frombuffer(b"".join(blobs), PART)
+                run = mine[np.repeat(np.arange(len(mine)), [len(x) // PART.itemsize for x in blobs])] if len(mine) else mine
+                lesser = parts["doc"] < ids[i:j][runs.doc[run]]
+                run, parts = run[lesser], parts[lesser]
+                np.add.at(marks, runs.start[run] + parts["first"], 1)
+                np.add.at(marks, runs.start[run] + parts["last"] + width, -1)
             gone = np.cumsum(marks[:-1]) > 0
             edge = np.zeros(len(part) + 1, bool)
             edge[own] = True
@@ -329,7 +358,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             spans = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base, pa.int32()), pa.array(ends - base, pa.int32())], fields=list(_span)))
             at = (own - np.r_[0, np.cumsum(gone)][own]).astype(np.int32)
             kept = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(part[~gone].tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(own), pa.int64()), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), pa.array(np.diff(own), pa.int64()), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 #: Stands for a null id in comparisons: such a row is the least document.
@@ -344,8 +373,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
        elsewhere have it too (names travel as packed blocks; a name in a third of all rows is asked once a share).
     2. The bytes of runs with shared names, distinct within a task, are dealt by name. There their suffixes are
        sorted in two stages, and adjacent common prefixes of `width` give the least document of every window.
-    3. Every place of a fragment looks its fragment up; windows with a lesser document are cut out of the texts.
-       A hot fragment is one row on one side of that join, so the join splits.
+    3. Every share gets the answers to its own fragments, and cuts windows that a lesser document has out of its
+       texts. A fragment in a third of all rows is asked and answered once a share.
 
     Every fragment that repeats reaches the suffix sort; names only decide what can't repeat, and no row, name or
     group is capped. Returns doc_id, n_bytes, spans (maximal removed runs, bytes), kept (bytes). Matches never cross
@@ -357,14 +386,12 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text")).repartition(n, "rid")
     share = F.pmod(F.hash("rid"), F.lit(n)).alias("share")
     asked = rows.select("rid", share, "text").mapInArrow(lambda b: ask(b, n, width, anchor), "bucket int, keys binary, many binary, rows binary, counts binary")
-    told = asked.repartition(n, "bucket").mapInArrow(answer, "rid long, keys binary").groupBy("rid").agg(F.collect_list("keys").alias("told"))
+    told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n), "rid long, keys binary").groupBy("rid").agg(F.collect_list("keys").alias("told"))
     known = rows.join(told.hint("merge"), "rid", "left").select("rid", share, "doc_id", "text", "told")
-    parts = known.mapInArrow(lambda b: fragments(b, n, width, anchor), "key long, name long, doc_id long, bytes binary")
-    answers = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: sort_fragments(b, width), SEGMENTS)
-    places = known.mapInArrow(lambda b: occurrences(b, n, width, anchor), "key long, name long, rid long, doc_id long, start int")
-    hits = places.join(answers.hint("merge"), ["key", "name"]).select("rid", "start", F.explode(F.filter("parts", lambda p: p["doc_id"] < F.col("doc_id"))).alias("p"))
-    spans = hits.groupBy("rid").agg(F.collect_list(F.struct((F.col("start") + F.col("p.first")).alias("a"), (F.col("start") + F.col("p.last") + width).alias("b"))).alias("covered"))
-    whole = rows.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "covered").mapInArrow(lambda b: cut_out(b, width), KEPT)
+    parts = known.mapInArrow(lambda b: fragments(b, n, width, anchor), "key long, name long, doc_id long, rid long, many boolean, bytes binary")
+    answers = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: sort_fragments(b, width), "rid long, name long, parts binary")
+    told = answers.groupBy("rid").agg(F.collect_list(F.struct("name", "parts")).alias("told"))
+    whole = rows.join(told.hint("merge"), "rid", "left").select("rid", share, "doc_id", "text", "told").mapInArrow(lambda b: cut_out(b, width, anchor), KEPT)
     return whole.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
