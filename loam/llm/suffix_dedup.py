@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import flat, mix, partitions, pieces, powers, prefix_hash, ragged, table, texts
+from loam.llm.shares import ASKED, answer, ask, short
 
 #: Bytes of a repeated string, and of the anchor whose least hash names a window of that many bytes.
 WIDTH, ANCHOR = 50, 24
@@ -51,77 +52,6 @@ class Runs:
         self.count = np.diff(np.append(first, len(window)))
 
 
-def ask(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """For each bucket of keys, the distinct keys of each share of the documents, with the first row that has it."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        rid, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        data, offsets = flat(batch.column(2))
-        for i, j in pieces(offsets, 2 << 20):
-            runs = Runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, anchor)
-            row, of = rid[i:j][runs.doc], share[i:j][runs.doc]
-            for s in np.unique(share[i:j]).tolist():
-                own = of == s
-                held.setdefault(s, []).append(least_row(runs.key[own], row[own], np.zeros(int(own.sum()), bool)))
-    for parts in held.values():
-        key, row, many = least_row(*(np.concatenate(x) for x in zip(*parts)))
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((row, bucket))
-        key, row, many, bucket = key[order], row[order], many[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [[], [], [], [], []]
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            k, r = key[cut[b] : cut[b + 1]], row[cut[b] : cut[b + 1]]
-            new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            packed = np.ascontiguousarray(k // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
-            for into, x in zip(rows, (b, packed.tobytes(), np.packbits(many[cut[b] : cut[b + 1]]).tobytes(), r[new].tobytes(), np.diff(np.append(new, len(r))).astype(np.int32).tobytes())):
-                into.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "keys", "many", "rows", "counts"])
-
-
-def least_row(key: np.ndarray, row: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the least row of each, and whether it has several rows or was said to."""
-    if not len(key):
-        return key, row, many
-    order = np.lexsort((row, key))
-    key, row, many = key[order], row[order], many[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    last = np.append(first[1:], len(key)) - 1
-    return key[first], row[first], (row[first] != row[last]) | np.logical_or.reduceat(many, first)
-
-
-def answer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Of the keys asked for, those that more than one row has: back to the asking rows."""
-    parts = []
-    for batch in batches:
-        for bucket, keys, many, rows, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            n = len(keys) // NAME_BYTES
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :NAME_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, NAME_BYTES)
-            flags = np.unpackbits(np.frombuffer(many, np.uint8))[:n].astype(bool)
-            parts.append((np.full(n, bucket, np.int32), wide.view(np.uint64).ravel(), flags, np.repeat(np.frombuffer(rows, np.int64), np.frombuffer(counts, np.int32))))
-    if not parts:
-        return
-    bucket, key, many, row = (np.concatenate(x) for x in zip(*parts))
-    parts.clear()
-    order = np.lexsort((key, bucket))
-    bucket, key, many, row = bucket[order], key[order], many[order], row[order]
-    same = (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])
-    many[1:] |= same
-    many[:-1] |= same
-    bucket, key, row = bucket[many], key[many], row[many]
-    order = np.argsort(row, kind="stable")
-    bucket, key, row = bucket[order], key[order], row[order]
-    told = key * np.uint64(buckets) + bucket.astype(np.uint64)
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    bounds = np.append(first, len(row)) * 8
-    for i in range(0, len(first), 20000):
-        cut = bounds[i : i + 20001]
-        blob = told.view(np.uint8)[cut[0] : cut[-1]]
-        column = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut - cut[0]).astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(row[first[i : i + 20000]], pa.int64()), column], names=["rid", "keys"])
-
-
 def names(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each fragment."""
     total, down = prefix_hash(data), powers(max(len(data), 1))[1]
@@ -151,8 +81,7 @@ def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, ancho
                         seen.update(np.frombuffer(blob, np.uint64).tolist())
                 own = np.flatnonzero(of[runs.doc] == s)
                 # keys come back without their uppermost bits; what that lets through falls to the suffix sort
-                short = (runs.key[own] // np.uint64(buckets) & np.uint64((1 << 8 * NAME_BYTES) - 1)) * np.uint64(buckets) + runs.key[own] % np.uint64(buckets)
-                own = own[np.fromiter(map(seen.__contains__, short.tolist()), bool, len(own))]
+                own = own[np.fromiter(map(seen.__contains__, short(runs.key[own], buckets, NAME_BYTES).tolist()), bool, len(own))]
                 start, size, row = runs.start[own], runs.count[own] + width - 1, runs.doc[own]
                 name, doc = names(part, start, size), ids[i:j][row]
                 order = np.lexsort((doc, name))
@@ -385,8 +314,14 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text")).repartition(n, "rid")
     share = F.pmod(F.hash("rid"), F.lit(n)).alias("share")
-    asked = rows.select("rid", share, "text").mapInArrow(lambda b: ask(b, n, width, anchor), "bucket int, keys binary, many binary, rows binary, counts binary")
-    told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n), "rid long, keys binary").groupBy("rid").agg(F.collect_list("keys").alias("told"))
+
+    def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        runs = Runs(data, offsets, width, anchor)
+        return runs.key, runs.doc
+
+    asked = rows.select("rid", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, NAME_BYTES), ASKED)
+    told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, NAME_BYTES), "number long, keys binary")
+    told = told.groupBy(F.col("number").alias("rid")).agg(F.collect_list("keys").alias("told"))
     known = rows.join(told.hint("merge"), "rid", "left").select("rid", share, "doc_id", "text", "told")
     parts = known.mapInArrow(lambda b: fragments(b, n, width, anchor), "key long, name long, doc_id long, rid long, many boolean, bytes binary")
     answers = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: sort_fragments(b, width), "rid long, name long, parts binary")
