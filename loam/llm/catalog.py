@@ -7,13 +7,15 @@ from loam.llm.chat import OP6_SQL, op6_chat
 from loam.llm.decontaminate import OP7_SQL, op7_decontaminate
 from loam.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from loam.llm.jaccard import op8_jaccard
+from loam.llm.language_id import op10_language_id
+from loam.llm.lm_score import op5_lm_score
 from loam.llm.secrets import op3_secrets
 from loam.llm.substring_dedup import op2_substring_dedup
 from loam.llm.suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_exact_dedup": op4_exact_dedup, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_exact_dedup": op4_exact_dedup, "op5_lm_score": op5_lm_score, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict:
