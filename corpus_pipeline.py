@@ -1,2 +1,69 @@
-"""Stages that turn raw documents into training tokens."""
-STAGES = []
+"""From raw documents to training tokens: language ID, exact and near dedup, benchmark decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.llm.bpe import default_ranks, encode
+from loam.llm.common import table, written
+from loam.llm.decontaminate import decontaminate
+from loam.llm.exact_dedup import exact_dedup
+from loam.llm.jaccard import jaccard_join
+from loam.llm.language_id import identify, learn
+
+#: A text goes if no language has this share of its n-grams; the shares of prose are above a half.
+LEAST_SCORE = 0.15
+
+
+def without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
+    return docs.join(dropped, on, "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters (null and empty ones too) go, and those in which no learnt language is found."""
+    columns = tuple(docs.columns)
+    found = identify(docs, learn(docs), carry=columns)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col(f"carried_{k}").alias(c) for k, c in enumerate(columns)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id stays; of rows equal in id and text, one."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    dropped = exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return without(docs.withColumn("digest", digest), dropped, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).drop("digest")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by similarity 0.8 or more, the one with the least id stays."""
+    return without(docs, jaccard_join(docs).where("class_id <> doc_id").select("doc_id"), ["doc_id"])
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where(F.size("hits") > 0).select("doc_id"), ["doc_id"])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token ids of what is left."""
+    return encode(docs, default_ranks()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("decontaminate", clean), ("tokens", tokens)]
+
+#: The stages are not expressible in SQL; tests/llm holds run() against a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; every stage is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loam.llm.bpe import op9_bpe
 from loam.llm.chat import OP6_SQL, op6_chat
 from loam.llm.decontaminate import OP7_SQL, op7_decontaminate
@@ -15,7 +16,7 @@ from loam.llm.suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_exact_dedup": op4_exact_dedup, "op5_lm_score": op5_lm_score, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_language_id": op10_language_id}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_exact_dedup": op4_exact_dedup, "op5_lm_score": op5_lm_score, "op6_chat": op6_chat, "op7_decontaminate": op7_decontaminate, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_language_id": op10_language_id, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import LETTER, classes, code_points
-from loam.llm.common import flat, mix, pieces, table, texts
+from loam.llm.common import flat, mix, pieces, table
 
 #: Characters of an n-gram; a gap between letters counts as one blank, and a text begins and ends with two.
 GRAM = 4
@@ -145,8 +145,8 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text",
 IDENTIFIED = "doc_id long, lang_pred string, score double, margin double"
 
 
-def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Language of every whole text: (doc_id, lang_pred, score, margin).
+def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Language of every whole text: (doc_id, lang_pred, score, margin), then the columns of `carry` as they are, named carried_0 and so on.
 
     For each language, the share of the text's n-grams that its filter holds is corrected for the filter's false
     positives; the largest decides (ties: the first by name). score is that share, from 0 to 1, margin its lead
@@ -179,9 +179,12 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
                 rest[np.arange(j - i), best] = 0
                 told = has & (size > 0)
                 best = np.where(told, best, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(told, top, 0.0)), pa.array(np.where(told, top - rest.max(axis=1), 0.0))], names=["doc_id", "lang_pred", "score", "margin"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(told, top, 0.0)), pa.array(np.where(told, top - rest.max(axis=1), 0.0)), *(c.slice(i, j - i) for c in batch.columns[2:])], names=names_out)
 
-    return texts(docs, id_col, text_col).mapInArrow(task, IDENTIFIED)
+    kinds = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    names_out = ["doc_id", "lang_pred", "score", "margin", *(f"carried_{k}" for k in range(len(carry)))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    return rows.mapInArrow(task, IDENTIFIED + kinds)
 
 
 def held_out(id_col: str = "doc_id"):
