@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming counterparts of the append-only tables."""
