@@ -1,13 +1,14 @@
 """Shares of the documents ask, once a key, whether other rows have it; the answers return to the share.
 
-Rows are dealt to shares by a hash of their row number. A share asks for each of its distinct keys in the name of
-the least row that has it, in blocks packed by bucket of keys, and the answer is dealt to that row, hence to the same
-share, where it arrives (rows sorted by number) before any other row with that key. So a key that a third of all
-rows hold costs one question and one answer a share, and no table of keys goes through the driver.
+Rows are dealt to shares by a hash of their row number. A share asks for each of its distinct keys once, in blocks
+packed by bucket of keys, and the answers go to its first row, hence to the same share, where they arrive (rows
+sorted by number) before its other rows. So a key that a third of all rows hold costs one question and one answer a
+share, and no table of keys goes through the driver.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 from loam.llm.common import flat, pieces
 
-ASKED = "bucket int, keys binary, many binary, rows binary, counts binary"
+ASKED = "bucket int, number long, keys binary, many binary, rows binary, counts binary"
 
 
 def least_row(key: np.ndarray, row: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,9 +30,22 @@ def least_row(key: np.ndarray, row: np.ndarray, many: np.ndarray) -> tuple[np.nd
     return key[first], row[first], (row[first] != row[last]) | np.logical_or.reduceat(many, first)
 
 
-def ask(batches: Iterator[pa.RecordBatch], buckets: int, keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], name_bytes: int = 8) -> Iterator[pa.RecordBatch]:
-    """Batches of (row number, share, text) -> ASKED. keys_of(data, offsets) gives keys (uint64) and their text numbers."""
+def ascending(values: np.ndarray) -> bytes:
+    """Packed ascending int64 values."""
+    return zlib.compress(np.diff(values, prepend=np.int64(0)).tobytes(), 1)
+
+
+def restored(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.int64))
+
+
+def ask(batches: Iterator[pa.RecordBatch], buckets: int, keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], name_bytes: int = 8, least: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of (row number, share, text) -> ASKED. keys_of(data, offsets) gives keys (uint64) and their text numbers.
+
+    number is the share's first row; rows and counts, where `least` asks for them, the first row of each key.
+    """
     held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    lowest: dict[int, int] = {}
     for batch in batches:
         number, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         data, offsets = flat(batch.column(2))
@@ -41,20 +55,23 @@ def ask(batches: Iterator[pa.RecordBatch], buckets: int, keys_of: Callable[[np.n
             for s in np.unique(share[i:j]).tolist():
                 own = of == s
                 held.setdefault(s, []).append(least_row(keys[own], row[own], np.zeros(int(own.sum()), bool)))
-    for parts in held.values():
+                first = int(number[i:j][share[i:j] == s].min())
+                lowest[s] = min(lowest.get(s, first), first)
+    for s, parts in held.items():
         key, row, many = least_row(*(np.concatenate(x) for x in zip(*parts)))
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((row, bucket))
         key, row, many, bucket = key[order], row[order], many[order], bucket[order]
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[] for _ in range(6)]
         for b in np.flatnonzero(np.diff(cut)).tolist():
             k, r = key[cut[b] : cut[b + 1]], row[cut[b] : cut[b + 1]]
-            new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             packed = np.ascontiguousarray(k // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :name_bytes]
-            for into, x in zip(rows, (b, packed.tobytes(), np.packbits(many[cut[b] : cut[b + 1]]).tobytes(), r[new].tobytes(), np.diff(np.append(new, len(r))).astype(np.int32).tobytes())):
+            new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if least else np.zeros(0, np.int64)
+            counts = np.diff(np.append(new, len(r))).astype(np.int32) if least else new.astype(np.int32)
+            for into, x in zip(rows, (b, lowest[s], packed.tobytes(), np.packbits(many[cut[b] : cut[b + 1]]).tobytes(), ascending(r[new]), zlib.compress(counts.tobytes(), 1))):
                 into.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "keys", "many", "rows", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[2:])], names=["bucket", "number", "keys", "many", "rows", "counts"])
 
 
 def short(key: np.ndarray, buckets: int, name_bytes: int = 8) -> np.ndarray:
@@ -65,33 +82,31 @@ def short(key: np.ndarray, buckets: int, name_bytes: int = 8) -> np.ndarray:
 
 
 def answer(batches: Iterator[pa.RecordBatch], buckets: int, name_bytes: int = 8, least: bool = False) -> Iterator[pa.RecordBatch]:
-    """Of the keys asked for, those that more than one row has: (row number, packed keys[, packed least rows])."""
+    """Of the keys asked for, those that more than one row has: (number of the share's first row, packed keys[, packed least rows])."""
     parts = []
     for batch in batches:
-        for bucket, keys, many, rows, counts in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, number, keys, many, rows, counts in zip(*(c.to_pylist() for c in batch.columns)):
             n = len(keys) // name_bytes
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :name_bytes] = np.frombuffer(keys, np.uint8).reshape(-1, name_bytes)
             flags = np.unpackbits(np.frombuffer(many, np.uint8))[:n].astype(bool)
-            parts.append((wide.view(np.uint64).ravel() * np.uint64(buckets) + np.uint64(bucket), flags, np.repeat(np.frombuffer(rows, np.int64), np.frombuffer(counts, np.int32))))
+            row = np.repeat(restored(rows), np.frombuffer(zlib.decompress(counts), np.int32)) if least else np.zeros(n, np.int64)
+            parts.append((wide.view(np.uint64).ravel() * np.uint64(buckets) + np.uint64(bucket), flags, row, np.full(n, number, np.int64)))
     if not parts:
         return
-    key, many, row = (np.concatenate(x) for x in zip(*parts))
+    key, many, row, asker = (np.concatenate(x) for x in zip(*parts))
     parts.clear()
-    order = np.lexsort((row, key))
-    key, many, row = key[order], many[order], row[order]
+    order = np.lexsort((row, key)) if least else np.argsort(key, kind="stable")
+    key, many, row, asker = key[order], many[order], row[order], asker[order]
     same = key[1:] == key[:-1]
     first = np.flatnonzero(np.r_[True, ~same]) if len(key) else np.zeros(0, np.int64)
     lowest = np.repeat(row[first], np.diff(np.append(first, len(row)))) if len(key) else row
     many[1:] |= same
     many[:-1] |= same
-    key, row, lowest = key[many], row[many], lowest[many]
-    order = np.argsort(row, kind="stable")
-    key, row, lowest = key[order], row[order], lowest[order]
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    bounds = np.append(first, len(row)) * 8
-    for i in range(0, len(first), 20000):
-        cut = bounds[i : i + 20001]
-        at = pa.py_buffer((cut - cut[0]).astype(np.int32).tobytes())
-        blobs = [pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, at, pa.py_buffer(x.view(np.uint8)[cut[0] : cut[-1]].tobytes())]) for x in ((key, lowest) if least else (key,))]
-        yield pa.RecordBatch.from_arrays([pa.array(row[first[i : i + 20000]], pa.int64()), *blobs], names=["number", "keys", "least"][: 1 + len(blobs)])
+    key, asker, lowest = key[many], asker[many], lowest[many]
+    order = np.argsort(asker, kind="stable")
+    key, asker, lowest = key[order], asker[order], lowest[order]
+    first = np.flatnonzero(np.r_[True, asker[1:] != asker[:-1]]) if len(asker) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(asker)).tolist()):
+        values = (key, lowest) if least else (key,)
+        yield pa.RecordBatch.from_arrays([pa.array(asker[a : a + 1], pa.int64()), *(pa.array([x[a:b].tobytes()], pa.binary()) for x in values)], names=["number", "keys", "least"][: 1 + len(values)])

@@ -129,7 +129,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = partitions(docs.sparkSession)
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").repartition(n, "doc_id")
     share = F.pmod(F.hash("doc_id"), F.lit(n)).alias("share")
-    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, keys_of), ASKED)
+    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, least=True), ASKED)
     told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, least=True), "number long, keys binary, least binary")
     told = told.groupBy(F.col("number").alias("doc_id")).agg(F.collect_list(F.struct("keys", "least")).alias("told"))
     whole = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told").mapInArrow(cut_out, KEPT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import flat, mix, partitions, pieces, powers, prefix_hash, ragged, table, texts
-from loam.llm.shares import ASKED, answer, ask, short
+from loam.llm.shares import ASKED, answer, ascending, ask, restored, short
 
 #: Bytes of a repeated string, and of the anchor whose least hash names a window of that many bytes.
 WIDTH, ANCHOR = 50, 24
@@ -58,53 +59,68 @@ def names(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
 
 
+FRAGMENTS = "bucket int, number long, keys binary, docs binary, counts binary, many binary, sizes binary, bytes binary"
+
+
 def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Distinct fragments of each share whose key several rows have: least document, least row, and whether it has several documents.
+    """Distinct fragments of each share whose key several rows have, with their least document and whether they have several.
 
-    Rows of a share arrive in the order of rid, so the row that asked for a key, the least one, brings the answer
-    before the share's other rows with that key.
+    They leave in packed blocks, one for each share and bucket of keys. Rows of a share arrive in the order of
+    doc_id, and the first brings all answers to what the share asked.
     """
     known: dict[int, set[int]] = {}
     held: dict[int, dict[int, list]] = {}
+    lowest: dict[int, int] = {}
     for batch in batches:
-        rid, share, ids = (np.asarray(batch.column(k)) for k in (0, 1, 2))
-        data, offsets = flat(batch.column(3))
-        told = batch.column(4)
+        ids, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, offsets = flat(batch.column(2))
+        told = batch.column(3)
         for i, j in pieces(offsets, 2 << 20):
             part = data[offsets[i] : offsets[j]]
             runs = Runs(part, offsets[i : j + 1] - offsets[i], width, anchor)
             of = share[i:j]
             for s in np.unique(of).tolist():
                 seen, mine = known.setdefault(s, set()), held.setdefault(s, {})
+                lowest.setdefault(s, int(ids[i:j][of == s].min()))
                 for r in np.flatnonzero(of == s).tolist():
                     for blob in told[i + r].as_py() or ():
                         seen.update(np.frombuffer(blob, np.uint64).tolist())
                 own = np.flatnonzero(of[runs.doc] == s)
                 # keys come back without their uppermost bits; what that lets through falls to the suffix sort
                 own = own[np.fromiter(map(seen.__contains__, short(runs.key[own], buckets, NAME_BYTES).tolist()), bool, len(own))]
-                start, size, row = runs.start[own], runs.count[own] + width - 1, runs.doc[own]
-                name, doc = names(part, start, size), ids[i:j][row]
+                start, size, doc = runs.start[own], runs.count[own] + width - 1, ids[i:j][runs.doc[own]]
+                name = names(part, start, size)
                 order = np.lexsort((doc, name))
                 first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]]) if len(order) else order
                 last = np.append(first[1:], len(order)) - 1
                 many = doc[order[first]] != doc[order[last]]
-                least_rid = np.minimum.reduceat(rid[i:j][row][order], first) if len(order) else first
                 at = order[first]
-                for n, d, r, m, a, z, k in zip(name[at].tolist(), doc[at].tolist(), least_rid.tolist(), many.tolist(), start[at].tolist(), size[at].tolist(), runs.key[own][at].view(np.int64).tolist()):
+                for n, d, m, a, z, k in zip(name[at].tolist(), doc[at].tolist(), many.tolist(), start[at].tolist(), size[at].tolist(), runs.key[own][at].tolist()):
                     have = mine.get(n)
                     if have is None:
-                        mine[n] = [k, d, r, m, part[a : a + z].tobytes()]
+                        mine[n] = [k, d, m, part[a : a + z].tobytes()]
                     else:
-                        have[3] |= m or have[1] != d
-                        have[1], have[2] = min(have[1], d), min(have[2], r)
-    for mine in held.values():
-        found = list(mine.items())
-        for i in range(0, len(found), 20000):
-            some = found[i : i + 20000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v[0] for _, v in some], pa.int64()), pa.array(np.array([n for n, _ in some], np.uint64).view(np.int64)), pa.array([v[1] for _, v in some], pa.int64()), pa.array([v[2] for _, v in some], pa.int64()), pa.array([v[3] for _, v in some], pa.bool_()), pa.array([v[4] for _, v in some], pa.binary())],
-                names=["key", "name", "doc_id", "rid", "many", "bytes"],
+                        have[1], have[2] = min(have[1], d), have[2] or m or have[1] != d
+    known.clear()
+    for s, mine in held.items():
+        found = list(mine.values())
+        mine.clear()
+        if not found:
+            continue
+        key, doc = np.array([v[0] for v in found], np.uint64), np.array([v[1] for v in found], np.int64)
+        many = np.array([v[2] for v in found], bool)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            at = order[cut[b] : cut[b + 1]]
+            own = [found[k][3] for k in at.tolist()]
+            new = np.flatnonzero(np.r_[True, doc[at][1:] != doc[at][:-1]])
+            values = (
+                b, lowest[s], (key[at] // np.uint64(buckets)).astype(np.uint32).tobytes(), ascending(doc[at][new]), zlib.compress(np.diff(np.append(new, len(at))).astype(np.int32).tobytes(), 1),
+                np.packbits(many[at]).tobytes(), zlib.compress(np.array([len(x) for x in own], np.uint16).tobytes(), 1), zlib.compress(b"".join(own), 1),
             )
+            yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int32()), pa.array([values[1]], pa.int64()), *(pa.array([x], pa.binary()) for x in values[2:])], names=[x.split()[0] for x in FRAGMENTS.split(", ")])
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray, width: int) -> np.ndarray:
@@ -178,14 +194,12 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarr
 PART = np.dtype([("first", np.int32), ("last", np.int32), ("doc", np.int64)])
 
 
-def least_documents(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
+def least_documents(key: np.ndarray, ids: np.ndarray, many: np.ndarray, asker: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     """For each asking share and fragment, the least document that has each of its windows, in parts of equal answers.
 
     A fragment of one document whose windows no lesser document has can't change anything and gets no answer.
     """
-    key, name, ids, rid = (np.asarray(rows.column(k)) for k in range(4))
-    many = np.asarray(rows.column(4).cast(pa.uint8())).astype(bool)
-    data, offsets = flat(rows.column(5))
+    name = names(data, offsets[:-1], np.diff(offsets))
     asking = np.lexsort((ids, name, key))
     k, n = key[asking], name[asking]
     head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
@@ -216,35 +230,40 @@ def least_documents(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
     useful = np.repeat(lesser | several, askers)
     fragment = np.repeat(np.arange(len(order)), askers)[useful]
     asking = asking[useful]
-    count = np.diff(cut)[fragment]
-    blob = parts[ragged(cut[fragment], count)]
-    column = pa.BinaryArray.from_buffers(pa.binary(), len(asking), [None, pa.py_buffer((np.r_[0, np.cumsum(count)] * PART.itemsize).astype(np.int32).tobytes()), pa.py_buffer(blob.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(rid[asking], pa.int64()), pa.array(name[asking], pa.int64()), column], names=["rid", "name", "parts"])
+    by_share = np.argsort(asker[asking], kind="stable")
+    asking, fragment = asking[by_share], fragment[by_share]
+    to = asker[asking]
+    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(to)).tolist()):
+        own = fragment[a:b]
+        count = np.diff(cut)[own]
+        blob = parts[ragged(cut[own], count)]
+        yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 1], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (name[asking[a:b]], count.astype(np.int32), blob))], names=["number", "names", "counts", "parts"])
 
 
 def sort_fragments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Fragments arrive by key; they are sorted some MB at a time, never between two fragments of one key."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
+    """Unpacks the blocks of a task's buckets and sorts them some MB at a time, never between two fragments of one key."""
+    parts = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.asarray(batch.column(0))
-        _, offsets = flat(batch.column(5))
-        change = np.flatnonzero(key[1:] != key[:-1]) + 1
-        at = 0
-        if held and key[0] != held[-1].column(0)[-1].as_py() and size >= SORT_BYTES:
-            yield least_documents(pa.concat_batches(held), width)
-            held, size = [], 0
-        for c in change.tolist():
-            if size + offsets[c] - offsets[at] >= SORT_BYTES:
-                yield least_documents(pa.concat_batches([*held, batch.slice(at, c - at)]), width)
-                held, size, at = [], 0, c
-        held.append(batch.slice(at))
-        size += int(offsets[-1] - offsets[at])
-    if held:
-        yield least_documents(pa.concat_batches(held), width)
+        for bucket, number, keys, docs, counts, many, sizes, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            key = np.frombuffer(keys, np.uint32).astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
+            doc = np.repeat(restored(docs), np.frombuffer(zlib.decompress(counts), np.int32))
+            parts.append((key, doc, np.unpackbits(np.frombuffer(many, np.uint8))[: len(key)].astype(bool), np.full(len(key), number, np.int64), np.frombuffer(zlib.decompress(sizes), np.uint16).astype(np.int64), np.frombuffer(zlib.decompress(packed), np.uint8)))
+    if not parts:
+        return
+    key, doc, many, asker, size, data = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    start = np.r_[0, np.cumsum(size)][:-1]
+    order = np.argsort(key, kind="stable")
+    ends = np.flatnonzero(np.r_[key[order][1:] != key[order][:-1], True]) + 1  # cuts between keys
+    total = np.cumsum(size[order])[ends - 1]
+    i, done = 0, 0
+    while i < len(order):
+        c = min(int(np.searchsorted(total, done + SORT_BYTES)), len(ends) - 1)
+        j = int(ends[c])
+        at = order[i:j]
+        yield from least_documents(key[at], doc[at], many[at], asker[at], data[ragged(start[at], size[at])], np.r_[0, np.cumsum(size[at])], width)
+        i, done = j, int(total[c])
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
@@ -255,9 +274,9 @@ def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
     """Texts less the windows of their fragments that a lesser document has; answers arrive as in fragments()."""
     known: dict[int, dict[int, bytes]] = {}
     for batch in batches:
-        share, ids = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-        data, offsets = flat(batch.column(3))
-        told = batch.column(4)
+        ids, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, offsets = flat(batch.column(2))
+        told = batch.column(3)
         for i, j in pieces(offsets, 2 << 20):
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             runs = Runs(part, own, width, anchor)
@@ -267,7 +286,8 @@ def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
                 answers = known.setdefault(s, {})
                 for r in np.flatnonzero(of == s).tolist():
                     for x in told[i + r].as_py() or ():
-                        answers[x["name"]] = x["parts"]
+                        ends = (np.cumsum(np.frombuffer(x["counts"], np.int32), dtype=np.int64) * PART.itemsize).tolist()
+                        answers.update(zip(np.frombuffer(x["names"], np.int64).tolist(), (x["parts"][a:b] for a, b in zip([0, *ends], ends))))
                 mine = np.flatnonzero(of[runs.doc] == s)
                 found = list(map(answers.get, name[mine].view(np.int64).tolist()))
                 blobs = [x or b"" for x in found]
@@ -287,7 +307,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
             spans = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base, pa.int32()), pa.array(ends - base, pa.int32())], fields=list(_span)))
             at = (own - np.r_[0, np.cumsum(gone)][own]).astype(np.int32)
             kept = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(part[~gone].tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), pa.array(np.diff(own), pa.int64()), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(own), pa.int64()), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 #: Stands for a null id in comparisons: such a row is the least document.
@@ -312,21 +332,21 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
     """
     n = partitions(docs.sparkSession)
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    rows = rows.withColumn("rid", F.xxhash64("doc_id", "text")).repartition(n, "rid")
-    share = F.pmod(F.hash("rid"), F.lit(n)).alias("share")
+    rows = rows.repartition(n, "doc_id")
+    share = F.pmod(F.hash("doc_id"), F.lit(n)).alias("share")
 
     def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         runs = Runs(data, offsets, width, anchor)
         return runs.key, runs.doc
 
-    asked = rows.select("rid", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, NAME_BYTES), ASKED)
+    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, NAME_BYTES), ASKED)
     told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, NAME_BYTES), "number long, keys binary")
-    told = told.groupBy(F.col("number").alias("rid")).agg(F.collect_list("keys").alias("told"))
-    known = rows.join(told.hint("merge"), "rid", "left").select("rid", share, "doc_id", "text", "told")
-    parts = known.mapInArrow(lambda b: fragments(b, n, width, anchor), "key long, name long, doc_id long, rid long, many boolean, bytes binary")
-    answers = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: sort_fragments(b, width), "rid long, name long, parts binary")
-    told = answers.groupBy("rid").agg(F.collect_list(F.struct("name", "parts")).alias("told"))
-    whole = rows.join(told.hint("merge"), "rid", "left").select("rid", share, "doc_id", "text", "told").mapInArrow(lambda b: cut_out(b, width, anchor), KEPT)
+    told = told.groupBy(F.col("number").alias("doc_id")).agg(F.collect_list("keys").alias("told"))
+    known = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told")
+    parts = known.mapInArrow(lambda b: fragments(b, n, width, anchor), FRAGMENTS)
+    answers = parts.repartition(n, "bucket").mapInArrow(lambda b: sort_fragments(b, width), "number long, names binary, counts binary, parts binary")
+    told = answers.groupBy(F.col("number").alias("doc_id")).agg(F.collect_list(F.struct("names", "counts", "parts")).alias("told"))
+    whole = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told").mapInArrow(lambda b: cut_out(b, width, anchor), KEPT)
     return whole.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
