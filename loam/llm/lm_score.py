@@ -88,8 +88,8 @@ def train(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     """
     named = target.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
     size = F.octet_length("text")
-    marked = docs.join(named, "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
-    sums = docs.select("doc_id", size.alias("size")).join(named, "doc_id", "left").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("target"), F.col("size"))).alias("target")).first()
+    marked = docs.join(named.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    sums = docs.select("doc_id", size.alias("size")).join(named.hint("merge"), "doc_id", "left").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("target"), F.col("size"))).alias("target")).first()
     rate = (sums["target"] or 0) / (sums["all"] or 1)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(rate * (1 << 30))
     used = marked.select("target", F.coalesce(drawn, F.lit(False)).alias("background"), "text").where("target or background")
