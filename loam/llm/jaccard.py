@@ -199,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     sketches = written(rows.mapInArrow(sketch, SKETCH), "sketches")
     some = sketches.where("n > 0")
-    equal = some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    equal = written(some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
     member = some.select("doc_id", "one", "two", "n").join(equal.hint("merge"), ["one", "two", "n"]).select("doc_id", "rep", "copies", "n")
     member = written(member, "members")
     reps = member.where("doc_id = rep").select("rep", "copies").dropDuplicates(["rep"])
