@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.plans import search
+from loam.plans import records, search
 
-MODULES = (search,)
+MODULES = (search, records)
 
 
 def queries() -> dict:
