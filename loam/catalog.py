@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loam.plans import records, search
+from loam.plans import records, search, structures
 
-MODULES = (search, records)
+MODULES = (search, records, structures)
 
 
 def queries() -> dict:
