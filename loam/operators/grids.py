@@ -1,14 +1,13 @@
 """Integer grids: geometry, text forms, connected shapes, prompts, parsed responses and their evaluation."""
 
-from __future__ import annotations
-
 import difflib
 from collections.abc import Iterator
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SHAPES = "key string, shape int, color int, top int, left int, height int, width int, x int, y int, size int, cells array<struct<r:int,c:int>>, subgrid array<array<int>>"
 
@@ -103,15 +102,10 @@ def shapes(grids: DataFrame, background: int = 0, least: int = 1) -> DataFrame:
     return grids.select(F.col("key").cast("string").alias("key"), "grid").mapInArrow(task, SHAPES)
 
 
-def similarity(left: Column, right: Column) -> Column:
+@F.pandas_udf(DoubleType())
+def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching characters of two texts."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-    return ratio(left, right)
+    return pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)])
 
 
 def evaluate(predicted: DataFrame, actual: DataFrame, key: str = "key") -> DataFrame:
