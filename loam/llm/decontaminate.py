@@ -1,7 +1,9 @@
-"""Benchmark decontamination over a document-partitioned positional inverted index."""
+"""Benchmark decontamination over a stored positional inverted index, partitioned by document."""
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import Words, flat, pieces, ragged, table, texts
+from loam.llm.common import Words, flat, pieces, ragged, table, texts, written
 
 #: Words of a window, and how far a term may lie from its place in a proximity match.
 WIDTH, SLOP = 10, 3
 #: Bytes of test text that one broadcast holds; a larger benchmark is taken in blocks, each over all rows.
 BLOCK_BYTES = 16 << 20
 
-SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>, near_items array<string>"
+#: A segment of the index: its documents (ids, numbers of words), and the postings of all their words. terms: distinct
+#: word hashes, ascending; counts: postings of each; places: the positions, term by term, as packed differences.
+POSTINGS = "segment string, ids array<long>, words array<int>, terms binary, counts binary, places binary"
+SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>, near_items array<string>, segment string, row int"
 
 
 def windows(ids: list[str], words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -31,25 +36,53 @@ def windows(ids: list[str], words: list[str], width: int) -> tuple[np.ndarray, n
     return rows, np.minimum(n, width)[item], [ids[i] for i in item]
 
 
-class Index:
-    """Postings (term -> positions) of the test terms in one piece of the documents.
-
-    Positions number the words of the piece; words of different documents are kept apart by `doc`.
+def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of the index of some documents; positions number the words of a segment."""
+    for batch in batches:
+        data, offsets = flat(batch.column(1))
+        for i, j in pieces(offsets):
+            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            place = np.argsort(words.hash, kind="stable").astype(np.int32)
+            term = words.hash[place]
+            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(term))).astype(np.int32)
+            packed = (term[first].tobytes(), counts.tobytes(), zlib.compress(np.diff(place, prepend=np.int32(0)).tobytes(), 1))
+            ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
+            sizes = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), pa.array(np.diff(words.first), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), ids, sizes, *(pa.array([x], pa.binary()) for x in packed)], names=["segment", "ids", "words", "terms", "counts", "places"])
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional inverted index of whole texts as a table in the shared folder (POSTINGS).
+
+    Segments hold about 4 MB of text each and are made where the texts are read: nothing is shuffled, and a word or
+    passage that a third of all documents hold adds to a segment no more than its own postings. The table serves
+    any number of searches; no text is read again.
     """
+    return written(texts(docs, id_col, text_col).mapInArrow(postings, POSTINGS), "postings")
+
 
-    def __init__(self, words: Words, terms: np.ndarray):
-        self.doc = words.doc
-        self.head, self.tail = words.first[:-1], words.first[1:] - 1
-        at = np.searchsorted(terms, words.hash)
-        at[at == len(terms)] = 0
-        known = np.flatnonzero(terms[at] == words.hash) if len(terms) else np.zeros(0, np.int64)
-        order = np.argsort(at[known], kind="stable")
-        self.places = known[order]
-        term = at[known][order]
-        self.first = np.searchsorted(term, np.arange(len(terms) + 1))
+class Index:
+    """Postings (test term -> positions) of one segment; the words of different documents are kept apart by `doc`."""
+
+    def __init__(self, words: np.ndarray, terms: bytes, counts: bytes, places: bytes, wanted: np.ndarray):
+        self.words = np.r_[0, np.cumsum(words)].astype(np.int64)
+        self.head, self.tail = self.words[:-1], self.words[1:] - 1
+        have, size = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.int32).astype(np.int64)
+        at = np.searchsorted(have, wanted)
+        at[at == len(have)] = 0
+        found = have[at] == wanted if len(have) else np.zeros(len(wanted), bool)
+        count = np.where(found, size[at] if len(have) else 0, 0)
+        every = np.cumsum(np.frombuffer(zlib.decompress(places), np.int32), dtype=np.int64)
+        begin = np.r_[0, np.cumsum(size)][at]
+        self.places = every[ragged(begin, count)]
+        self.first = np.r_[0, np.cumsum(count)]
         #: One ascending list of all (term, position) postings, for membership tests.
-        self.keys = term * np.int64(len(words.hash) + 1) + self.places
-        self.span = np.int64(len(words.hash) + 1)
+        self.span = np.int64(self.words[-1] + 1)
+        self.keys = np.repeat(np.arange(len(wanted)), count) * self.span + self.places
+
+    def doc(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.words, place, side="right") - 1
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -73,14 +106,14 @@ def intersect(index: Index, terms: np.ndarray, lens: np.ndarray, slop: int) -> t
     counts = index.counts()
     width = terms.shape[1]
     freq = np.where(np.arange(width)[None, :] < lens[:, None], counts[terms], np.iinfo(np.int64).max)
-    order = np.argsort(freq, axis=1, kind="stable")
-    live = np.flatnonzero(freq.min(axis=1) > 0) if len(terms) else np.zeros(0, np.int64)
-    live = live[freq[live, order[live, 0]] > 0]
+    live = np.flatnonzero(freq.min(axis=1) > 0)
+    order = np.zeros(terms.shape, np.int64)
+    order[live] = np.argsort(freq[live], axis=1, kind="stable")
     offset = order[live, 0]
     anchor = terms[live, offset]
     window = np.repeat(live, counts[anchor])
     place = index.places[ragged(index.first[anchor], counts[anchor])]
-    start, doc = place - np.repeat(offset, counts[anchor]), index.doc[place]
+    start, doc = place - np.repeat(offset, counts[anchor]), index.doc(place)
     near_w, near_s, near_d = window, start, doc
     within = (start >= index.head[doc]) & (start + lens[window] - 1 <= index.tail[doc])
     window, start = window[within], start[within]
@@ -96,77 +129,77 @@ def intersect(index: Index, terms: np.ndarray, lens: np.ndarray, slop: int) -> t
     return window, start, near_w, near_d
 
 
-def search(docs: DataFrame, items: list[tuple[str, str]], width: int, slop: int) -> DataFrame:
-    """One block of test items (broadcast with the task) against every document."""
+def search(index: DataFrame, items: list[tuple[str, str]], width: int, slop: int) -> DataFrame:
+    """One block of test items (broadcast with the task) against every segment of the index."""
     rows, lens, owner = windows([i for i, _ in items], [t for _, t in items], width)
     vocabulary = np.unique(rows[np.arange(width)[None, :] < lens[:, None]]) if len(rows) else np.zeros(0, np.uint64)
     terms = np.minimum(np.searchsorted(vocabulary, rows), max(len(vocabulary) - 1, 0)).astype(np.int64)
     names = sorted(set(owner))
     place = {x: k for k, x in enumerate(names)}
     number = np.array([place[x] for x in owner], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, terms, lens, names, number))
+    shared = index.sparkSession.sparkContext.broadcast((vocabulary, terms, lens, names, number))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, terms, lens, names, number = shared.value
         for batch in batches:
-            ids = batch.column(0)
-            data, offsets = flat(batch.column(1))
-            for i, j in pieces(offsets):
-                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                index = Index(words, vocabulary)
-                if len(terms) and len(words.hash):
-                    w, s, nw, nd = intersect(index, terms, lens, slop)
+            for k in range(batch.num_rows):
+                segment, ids, words, *packed = (c[k] for c in batch.columns)
+                n = len(ids.values)
+                at = Index(np.asarray(words.values), *(x.as_py() for x in packed), vocabulary)
+                if len(terms):
+                    w, s, nw, nd = intersect(at, terms, lens, slop)
                 else:
                     w = s = nw = nd = np.zeros(0, np.int64)
-                marks = np.zeros(len(words.hash) + 1, np.int64)
+                marks = np.zeros(at.words[-1] + 1, np.int64)
                 np.add.at(marks, s, 1)
                 np.add.at(marks, s + lens[w], -1)
                 hit = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-                out = [[], []]
-                for found, inside, into in ((w, index.doc[s], out[0]), (nw, nd, out[1])):
+                out = []
+                for found, inside in ((w, at.doc(s)), (nw, nd)):
                     pairs = np.unique(inside * len(names) + number[found])
-                    bounds = np.searchsorted(pairs, np.arange(j - i + 1) * max(len(names), 1))
-                    into += [[names[x % len(names)] for x in pairs[a:b]] for a, b in zip(bounds, bounds[1:])]
-                bounds = np.searchsorted(hit, words.first)
-                hits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - np.repeat(words.first[:-1], np.diff(bounds)), pa.int32()))
+                    bounds = np.searchsorted(pairs, np.arange(n + 1) * max(len(names), 1))
+                    out.append(pa.array([[names[x % len(names)] for x in pairs[a:b]] for a, b in zip(bounds, bounds[1:])], pa.list_(pa.string())))
+                bounds = np.searchsorted(hit, at.words)
+                hits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - np.repeat(at.head, np.diff(bounds)), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(np.diff(words.first), pa.int64()), hits, pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hits", "items", "near_items"],
+                    [ids.values, pa.array(np.diff(at.words), pa.int64()), hits, *out, pa.array([segment.as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int32())],
+                    names=["doc_id", "n_words", "hits", "items", "near_items", "segment", "row"],
                 )
 
-    return docs.mapInArrow(task, SCHEMA)
+    return index.mapInArrow(task, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Where the words of test items occur in the documents: exact phrases of `width` words, and proximity matches.
 
-    The index is partitioned by document: every task builds the postings of the test terms in its documents and
-    intersects them there, from the rarest term on, so no posting is shuffled and a passage that a third of all
-    documents hold costs no task more than its own rows. The test items go to the tasks in blocks of at most
-    `block_bytes`; each block is searched in all rows and the blocks' findings are merged by document.
+    The positional inverted index of all words is written to the shared folder, partitioned by document (see
+    build_index). Every task takes the postings of the test terms from its segments and intersects them there, moved
+    by their offsets, from the rarest term on; a passage that a third of all documents hold costs no task more than
+    its own rows. The test items go to the tasks in blocks of at most `block_bytes`; each block is searched in all
+    segments and the blocks' findings are merged by row.
 
     Returns doc_id, n_words, hits (numbers of the words inside an occurrence of a window), items (ids as strings,
     sorted, of the items with an occurring window), near_items. An item of fewer words is one window; one
     without words, or null, has none. A null or empty document has no words. Rows that repeat an id are searched
-    one by one while the benchmark is one block; an empty table gives no rows, an empty benchmark no hits.
+    one by one; an empty table gives no rows, an empty benchmark no hits.
     """
-    rows = texts(docs, id_col, text_col)
+    index = build_index(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
     found, block, size = [], [], 0
     for r in items.toLocalIterator():  # a block at a time
         if block and size + len(r["text"]) * 2 > block_bytes:
-            found.append(search(rows, block, width, slop))
+            found.append(search(index, block, width, slop))
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
         size += len(r["text"]) * 2
-    found.append(search(rows, block, width, slop))
-    if len(found) == 1:
-        return found[0]
+    found.append(search(index, block, width, slop))
     union = found[0]
     for x in found[1:]:
         union = union.unionByName(x)
-    lists = {c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "near_items")}
-    return union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *lists.values())  # a row a block
+    if len(found) > 1:  # a row a block
+        lists = {c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "near_items")}
+        union = union.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists.values())
+    return union.select("doc_id", "n_words", "hits", "items", "near_items")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
