@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The token classes of the language, in the order in which they are tried.
@@ -177,6 +177,16 @@ def validity(programs: DataFrame) -> DataFrame:
     return over(programs, "program_id bigint, valid boolean", lambda t: [(valid(t),)])
 
 
+def statistics(programs: DataFrame) -> DataFrame:
+    """(total, valid, invalid) programs."""
+    return validity(programs).agg(F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
+def serialized_prompt(text: Column) -> Column:
+    """Whether a text is a graph in plain lines, and not a JSON object."""
+    return F.coalesce(text.rlike("KG►|KGNODE►") & ~F.regexp_replace(text, r"^\s+", "").startswith("{"), F.lit(False))
+
+
 def apply_commands(nodes: DataFrame, trees: DataFrame) -> DataFrame:
     """nodes (uid, type, props) after the top-level create, update and delete commands on nodes, last command of a uid last.
 

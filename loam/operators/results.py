@@ -76,7 +76,7 @@ def bulk_search(docs: DataFrame, terms: Iterable[Term], context: int = 16, **how
 
 
 def merge(parts: DataFrame) -> DataFrame:
-    """Partial results (uri, item, seq, term, n, score, content) by uri and item: counts summed, the first score, the last content."""
+    """Partial results (uri, item, seq, term, n, score, content) by uri and item: counts summed, the first score, the last content; of equal seq, the least score and the greatest content."""
     counts = parts.groupBy("uri", "item", "term").agg(F.sum("n").alias("n"), F.min(F.struct("seq", "score")).alias("first"), F.max(F.struct("seq", "content")).alias("last"))
     return counts.groupBy("uri", "item").agg(
         F.sum("n").alias("n"), F.min("first")["score"].alias("score"), F.max("last")["content"].alias("content"),

@@ -227,7 +227,7 @@ ORACLES = {
         bs AS (SELECT b, k, CAST(k AS DOUBLE) / (SELECT max(stop) FROM ix WHERE block_id = b) AS share, list_reduce(list_transform(ps, lambda x: {{'c': 1, 's': x}}), lambda a, x: CASE WHEN x.s - a.s > 50 THEN {{'c': a.c + 1, 's': x.s}} ELSE a END).c AS bc FROM bm)
         SELECT * FROM (SELECT doc_id.b AS block_id, doc_id.i AS item, n, round(w * sqrt(u) * (1 + share) * (1 + 1 / CAST(bc AS DOUBLE)) * (1 + least(1.0, share)), 6) AS score FROM s JOIN bs ON b = doc_id.b) WHERE score >= 1""",
     "merge_results": """WITH k AS (SELECT CAST(l_suppkey AS VARCHAR) AS uri, l_partkey AS item, l_returnflag AS term, count(*) AS n FROM lineitem GROUP BY ALL),
-        z AS (SELECT CAST(l_suppkey AS VARCHAR) AS uri, l_partkey AS item, count(*) AS n, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS score, arg_max(l_linestatus, l_orderkey * 10 + l_linenumber) AS content FROM lineitem GROUP BY ALL)
+        z AS (SELECT CAST(l_suppkey AS VARCHAR) AS uri, l_partkey AS item, count(*) AS n, arg_min(l_quantity, {'s': l_orderkey * 10 + l_linenumber, 'v': l_quantity}) AS score, arg_max(l_linestatus, {'s': l_orderkey * 10 + l_linenumber, 'v': l_linestatus}) AS content FROM lineitem GROUP BY ALL)
         SELECT z.*, (SELECT string_agg(term || ':' || k.n, ',' ORDER BY term) FROM k WHERE k.uri = z.uri AND k.item = z.item) AS counts FROM z""",
     "block_count": "SELECT p_partkey, greatest(1, p_partkey * 1048576 // (67108864 // 4)) * 4 - 1 AS blocks FROM part",
     "header_valid": "SELECT c_custkey, regexp_full_match(c_mktsegment, '[A-Za-z]{0,255}') AND (c_nationkey % 2 <> 0 OR regexp_full_match(c_name, '[A-Za-z]{0,255}')) AS ok FROM customer",

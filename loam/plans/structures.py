@@ -71,6 +71,12 @@ def programs(spark, sf):
     return c.select(F.col("c_custkey").alias("program_id"), text.alias("text"))
 
 
+def prompt_check(spark, sf):
+    n = table(spark, sf, "nation")
+    lead = F.element_at(F.array(F.lit("KG► graph\n"), F.lit('  {"KG►": 1} '), F.lit("no graph ")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return n.select("n_nationkey", L.serialized_prompt(F.concat(lead, "n_name")).alias("ok"))
+
+
 def dsl_apply(spark, sf):
     base = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("uid"), F.lit("nation").alias("type"), F.create_map(F.lit("name"), F.col("n_name")).alias("props"))
     out = L.apply_commands(base, L.syntax_trees(programs(spark, sf)))
@@ -92,7 +98,7 @@ QUERIES = {
     "node_sizes": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(D.node_size(F.col("n_nationkey")), 9).alias("size"), D.label_size(F.col("n_nationkey")).cast("long").alias("font")),
     "dsl_tokens": lambda s, d: L.tokens_of(programs(s, d)).select("program_id", "seq", "type", "value"),
     "dsl_commands": lambda s, d: L.syntax_trees(programs(s, d)).where("kind <> 'error'").select("program_id", "node_id", "parent_id", "branch", "seq", "kind", "uid", "instruction"),
-    "dsl_valid": lambda s, d: L.validity(programs(s, d)), "dsl_apply": dsl_apply,
+    "dsl_valid": lambda s, d: L.validity(programs(s, d)), "dsl_apply": dsl_apply, "dsl_statistics": lambda s, d: L.statistics(programs(s, d)), "prompt_check": prompt_check,
 }
 
 GRID = """g AS (SELECT p_partkey AS key, sha256(p_name || ':' || p_partkey) AS h FROM part),
@@ -130,5 +136,7 @@ ORACLES = {
         SELECT program_id, seq, value, CASE WHEN value = '◄' THEN 'CLOSE' WHEN ends_with(value, '►') THEN 'KEYWORD' WHEN starts_with(value, '"') THEN 'STRING' WHEN regexp_full_match(value, '[0-9]+') THEN 'NUMBER' ELSE 'IDENT' END AS type FROM u""",
     "dsl_commands": f"""WITH {PROGRAMS} SELECT program_id, x.* FROM p, (VALUES (0, -1, 'top', 0, 'create'), (1, -1, 'top', 1, 'if'), (2, 1, 'if_condition', 0, 'evaluate'), (3, 1, 'if', 0, 'navigate'), (4, 1, 'else', 0, 'delete'), (5, -1, 'top', 2, 'update')) x(node_id, parent_id, branch, seq, kind) WHERE ok""".replace("x.*", """x.*, CASE kind WHEN 'evaluate' THEN 'l1' WHEN 'delete' THEN 'zz' WHEN 'create' THEN uid WHEN 'update' THEN uid END AS uid, CASE kind WHEN 'create' THEN 'make ' || c_name WHEN 'evaluate' THEN 'ok?' WHEN 'navigate' THEN 'go' WHEN 'delete' THEN 'no' WHEN 'update' THEN 'set' END AS instruction"""),
     "dsl_valid": f"WITH {PROGRAMS} SELECT program_id, ok AS valid FROM p",
+    "dsl_statistics": f"WITH {PROGRAMS} SELECT count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM p",
+    "prompt_check": "SELECT n_nationkey, n_nationkey % 3 = 0 AS ok FROM nation",
     "dsl_apply": f"""WITH {PROGRAMS}, u AS (SELECT DISTINCT uid FROM p WHERE ok) SELECT uid, 'node' AS type, 'instruction=set' AS props FROM u UNION ALL SELECT 'n' || n_nationkey, 'nation', 'name=' || n_name FROM nation WHERE 'n' || n_nationkey NOT IN (SELECT uid FROM u)""",
 }
