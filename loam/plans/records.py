@@ -246,6 +246,8 @@ ORACLES = {
     "degrees": f"{DEGREES} SELECT *, in_degree + out_degree AS degree FROM dg",
     "degree_centrality": f"{DEGREES}, t AS (SELECT count(*) - 1 AS t FROM nd) SELECT uid, round(in_degree / t, 9) AS in_centrality, round(out_degree / t, 9) AS out_centrality, round((in_degree + out_degree) / t, 9) AS centrality FROM dg, t",
     "most_dependent_top10": f"{DEGREES} SELECT uid, in_degree FROM dg ORDER BY in_degree DESC, uid LIMIT 10", "most_dependencies_top10": f"{DEGREES} SELECT uid, out_degree FROM dg ORDER BY out_degree DESC, uid LIMIT 10",
+    "node_link_json": f"""WITH {NODES}, {EDGES}, j AS (SELECT 'node' AS kind, uid AS key, '{{"id":"' || uid || '","type":"' || type AS head, props FROM nd UNION ALL SELECT 'link', source || '>' || target, '{{"source":"' || source || '","target":"' || target || '","type":"' || type, props FROM ed)
+        SELECT kind, key, head || '","props":{{' || array_to_string(list_transform(string_split(props, ';'), lambda p: '"' || string_split(p, '=')[1] || '":"' || string_split(p, '=')[2] || '"'), ',') || '}}}}' AS json FROM j""",
     "graph_reload": f"WITH {NODES} SELECT * FROM nd",
     "graph_prompt": f"""WITH {NODES} SELECT uid, 'KGNODE► ' || uid || ' : ' || array_to_string(list_transform(string_split(props, ';'), lambda p: string_split(p, '=')[1] || '="' || string_split(p, '=')[2] || '"'), ', ') AS line FROM nd""",
     "version_history": f"{HISTORY} SELECT user_id, idx, event_id FROM h", "rollback_node": f"{HISTORY} SELECT user_id, event_id, event_type FROM h WHERE idx = 2",

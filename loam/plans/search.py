@@ -15,6 +15,7 @@ from loam.operators import terms as Q
 #: No proper prefix of these terms is a suffix, so SQL finds their places by splitting.
 TERMS = (Q.Term("the", 0), Q.Term("ion", 1), Q.Term("and", 0), Q.Term("sch", 2))
 WORDS = ("Bulgraia energy", "the", "Schön", "ENERGY", "nation", "distribution")
+FUZZY = ("Ontion", "theat")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -91,7 +92,7 @@ def bulk_search(spark, sf):
 
 def fuzzy_search(spark, sf):
     """Terms expanded by case variants and n-grams."""
-    rows = R.search(corpus(spark, sf), Q.prepare(["Ontion", "theat"], exact=False), min_score=2.0)
+    rows = R.search(corpus(spark, sf), Q.prepare(FUZZY, exact=False), min_score=2.0)
     return rows.select(F.col("uri").cast("long").alias("doc_id"), "n", F.round("score", 6).alias("score"))
 
 
@@ -183,13 +184,18 @@ QUERIES = {
 }
 
 
-def text_cte(terms=TERMS, source="SELECT doc_id, coalesce(text, '') AS text FROM documents") -> str:
-    """CTE m(doc_id, len, term, ord, pos): the places of each term, by splitting."""
-    values = ", ".join(f"('{t.text}', {t.order})" for t in terms)
-    return f"""d AS ({source}), t(term, ord) AS (VALUES {values}),
-sp AS (SELECT doc_id, length(text) AS len, term, ord, string_split(text, term) AS ps FROM d, t WHERE contains(text, term)),
-un AS (SELECT doc_id, len, term, ord, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS k FROM sp),
-m AS (SELECT doc_id, len, term, ord, pos FROM (SELECT *, CAST(sum(length(p)) OVER (PARTITION BY doc_id, term ORDER BY i) + (i - 1) * length(term) AS BIGINT) AS pos FROM un) WHERE i < k)"""
+def stem(term: str) -> str:
+    """The longest prefix that can't overlap itself; splitting at it finds every place of the term, overlapping ones too."""
+    return next(p for p in (term[:n] for n in range(len(term), 0, -1)) if not any(p[:k] == p[-k:] for k in range(1, len(p))))
+
+
+def text_cte(terms=TERMS, source="SELECT doc_id, coalesce(text, '') AS text FROM documents", listed: str | None = None) -> str:
+    """CTE m(doc_id, len, term, ord, pos): the places of each term (or of those that `listed` selects), by splitting."""
+    listed = listed or "VALUES " + ", ".join(f"('{t.text}', {t.order}, '{stem(t.text)}')" for t in terms)
+    return f"""d AS ({source}), t(term, ord, stem) AS ({listed}),
+sp AS (SELECT doc_id, length(text) AS len, term, ord, stem, string_split(text, stem) AS ps FROM d, t WHERE contains(text, term)),
+un AS (SELECT doc_id, len, term, ord, stem, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS k FROM sp),
+m AS (SELECT doc_id, len, term, ord, pos FROM (SELECT *, CAST(sum(length(p)) OVER w + (i - 1) * length(stem) AS BIGINT) AS pos, stem || lead(p) OVER w || CASE WHEN i + 1 < k THEN stem ELSE '' END AS ahead FROM un WINDOW w AS (PARTITION BY doc_id, term ORDER BY i)) WHERE i < k AND starts_with(ahead, term))"""
 
 
 #: CTE s(doc_id, len, n, u, w, wb, c): what the scores are made of, from m.
@@ -215,6 +221,12 @@ TOP_CTE = f"""top AS (SELECT doc_id, {ADVANCED} AS sc FROM s WHERE {ADVANCED} >=
 tw AS (SELECT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(d.text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM top JOIN d USING (doc_id)) WHERE length(word) >= 5 AND lower(word) NOT IN ({STOP})),
 tf AS (SELECT word, count(*) AS n FROM tw GROUP BY word ORDER BY n DESC, word LIMIT 50)"""
 
+CLUSTERS = scored_sql("SELECT 1 AS x").replace(" SELECT 1 AS x", f""", {TOP_CTE}, r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS i FROM tf),
+        k2 AS (SELECT [a.word, b.word] AS ws, a.n + b.n AS t, b.i AS i FROM r a JOIN r b ON b.i > a.i), k3 AS (SELECT list_append(ws, r.word) AS ws, t + r.n AS t, r.i AS i FROM k2 JOIN r ON r.i > k2.i),
+        k4 AS (SELECT list_append(ws, r.word) AS ws, t + r.n AS t, r.i AS i FROM k3 JOIN r ON r.i > k3.i)
+        SELECT array_to_string(ws, ' ') AS cluster, round(sc, 6) AS score FROM (SELECT ws, t / 2 AS sc FROM k2 UNION ALL SELECT ws, t / 3 FROM k3 UNION ALL SELECT ws, t / 4 FROM k4) ORDER BY sc DESC, ws DESC LIMIT 10""")
+TITLE = r"regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10))[1:5], lambda x: regexp_replace(x, '\r$', '')), chr(10)), '^\s+|\s+$', '', 'g')"
+
 ORACLES = {
     "match_positions": f"WITH {text_cte()} SELECT doc_id, term, pos FROM m",
     "match_positions_split": f"WITH {text_cte()} SELECT doc_id, term, pos FROM m",
@@ -238,7 +250,21 @@ ORACLES = {
         li AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d WHERE doc_id IN (SELECT doc_id FROM x))),
         y AS (SELECT x.doc_id, run, string_agg('|' || i || '|    ' || regexp_replace(line, '\\r$', ''), chr(10) ORDER BY i) AS t FROM x JOIN li ON li.doc_id = x.doc_id AND i BETWEEN a AND b GROUP BY x.doc_id, run)
         SELECT doc_id, (SELECT count(*) FROM a WHERE a.doc_id = y.doc_id) AS n, string_agg(t, chr(10) || '--' || chr(10) ORDER BY run) AS contexts FROM y GROUP BY doc_id""".replace("\\\\r", "\\r"),
-    "doc_title": r"SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10))[1:5], lambda x: regexp_replace(x, '\r$', '')), chr(10)), '^\s+|\s+$', '', 'g') AS title FROM documents",
+    "doc_title": f"SELECT doc_id, {TITLE} AS title FROM documents",
+    "bulk_search": scored_sql(f"""SELECT * FROM (SELECT CAST(s.doc_id AS VARCHAR) AS uri, round({ADVANCED}, 6) AS score, counts, n AS n_lines, {TITLE} AS title, n_contexts FROM s JOIN d USING (doc_id) JOIN jc USING (doc_id) JOIN rc USING (doc_id) WHERE {ADVANCED} >= 4)""").replace(" SELECT * FROM (", """,
+        jc AS (SELECT doc_id, '{' || string_agg('"' || term || '":' || k, ',' ORDER BY term) || '}' AS counts FROM (SELECT doc_id, term, count(*) AS k FROM m GROUP BY 1, 2) GROUP BY doc_id),
+        li AS (SELECT DISTINCT doc_id, 1 + pos - length(replace(substr(d.text, 1, CAST(pos AS INTEGER)), chr(10), '')) AS line FROM m JOIN d USING (doc_id)),
+        rc AS (SELECT doc_id, count(*) FILTER (before IS NULL OR line - before > 4) AS n_contexts FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM li) GROUP BY doc_id)
+        SELECT * FROM (""", 1),
+    "fuzzy_search": search_sql(f"WHERE {ADVANCED} >= 2", Q.last_wins(Q.prepare(FUZZY, exact=False))),
+    "derivative_search": f"""WITH {text_cte(listed=f"SELECT word, 0, word FROM (SELECT unnest(string_split(cluster, ' ')) AS word FROM (SELECT cluster FROM ({CLUSTERS}) ORDER BY score DESC, cluster DESC LIMIT 1))")}, {SCORE_CTE}
+        SELECT doc_id, n, round({ADVANCED}, 6) AS score FROM s WHERE {ADVANCED} >= 1""",
+    "term_variants": f"""WITH q(word) AS (VALUES {", ".join(f"('{w}')" for w in WORDS)}),
+        v AS (SELECT word, list_filter([lower(word), upper(word), array_to_string(list_transform(string_split(word, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')], lambda x: x <> word) AS vs FROM q),
+        e AS (SELECT word, [{{'o': 0, 't': word}}] || flatten(list_transform(vs, lambda x: [{{'o': 1, 't': x}}] || CASE WHEN length(x) < 5 THEN [{{'o': 2, 't': x}}]
+              ELSE list_transform(range(1, length(x) + 2 - CASE WHEN length(x) >= 9 THEN 5 WHEN length(x) >= 7 THEN 4 ELSE 3 END), lambda i: {{'o': 2, 't': x[i : i - 1 + CASE WHEN length(x) >= 9 THEN 5 WHEN length(x) >= 7 THEN 4 ELSE 3 END]}}) END)) AS es FROM v),
+        u AS (SELECT word, unnest(es) AS x, generate_subscripts(es, 1) - 1 AS seq FROM e)
+        SELECT word, CAST(seq AS INTEGER) AS seq, CAST(x.o AS INTEGER) AS "order", x.t AS text FROM u""",
     "html_as_code_search": scored_sql(f"SELECT doc_id, n, round({ADVANCED}, 6) AS score FROM s", TERMS, "SELECT page_id AS doc_id, coalesce(html, '') AS text FROM pages"),
     "benchmark_search": scored_sql(f"SELECT doc_id, n, round({ADVANCED}, 6) AS score FROM s", TERMS, "SELECT item_id AS doc_id, coalesce(text, '') AS text FROM benchmark"),
     "conversation_search": scored_sql(f"SELECT doc_id.c AS conv_id, doc_id.t AS turn, n, round({ADVANCED}, 6) AS score FROM s", TERMS, "SELECT {'c': conv_id, 't': turn} AS doc_id, coalesce(text, '') AS text FROM conversations"),
@@ -253,10 +279,7 @@ ORACLES = {
         c AS (SELECT q.word, f.word AS known, row_number() OVER (PARTITION BY q.word ORDER BY levenshtein(q.word, f.word), n DESC, f.word) AS rn FROM q JOIN f ON abs(length(f.word) - length(q.word)) <= 2 AND levenshtein(q.word, f.word) <= 2)
         SELECT q.word, coalesce(known, q.word) AS correction FROM q LEFT JOIN (SELECT * FROM c WHERE rn = 1) c USING (word)""",
     "word_frequency": scored_sql("SELECT word, n FROM tf").replace(" SELECT word, n FROM tf", f", {TOP_CTE} SELECT word, n FROM tf"),
-    "word_clusters_topk": scored_sql("SELECT 1 AS x").replace(" SELECT 1 AS x", f""", {TOP_CTE}, r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS i FROM tf),
-        k2 AS (SELECT [a.word, b.word] AS ws, a.n + b.n AS t, b.i AS i FROM r a JOIN r b ON b.i > a.i), k3 AS (SELECT list_append(ws, r.word) AS ws, t + r.n AS t, r.i AS i FROM k2 JOIN r ON r.i > k2.i),
-        k4 AS (SELECT list_append(ws, r.word) AS ws, t + r.n AS t, r.i AS i FROM k3 JOIN r ON r.i > k3.i)
-        SELECT array_to_string(ws, ' ') AS cluster, round(sc, 6) AS score FROM (SELECT ws, t / 2 AS sc FROM k2 UNION ALL SELECT ws, t / 3 FROM k3 UNION ALL SELECT ws, t / 4 FROM k4) ORDER BY sc DESC, ws DESC LIMIT 10"""),
+    "word_clusters_topk": CLUSTERS,
     "set_union": "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels", "set_intersect": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
     "set_except": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }

@@ -107,8 +107,20 @@ SHAPE = f"""{GRID}, nz AS (SELECT * FROM cell WHERE v <> 0),
 reach(key, r, c, v, l) AS (SELECT key, r, c, v, r * 8 + c FROM nz UNION SELECT n.key, n.r, n.c, n.v, reach.l FROM reach JOIN nz n ON n.key = reach.key AND n.v = reach.v AND abs(n.r - reach.r) <= 1 AND abs(n.c - reach.c) <= 1),
 lab AS (SELECT key, r, c, v, min(l) AS l FROM reach GROUP BY 1, 2, 3, 4),
 sh AS (SELECT key, v AS color, min(r) AS box_top, min(c) AS box_left, max(r) - min(r) + 1 AS height, max(c) - min(c) + 1 AS width, min(c) AS x, 7 - min(r) AS y, count(*) AS size FROM lab GROUP BY key, v, l)"""
+#: Shapes numbered from 1 within their grid, by colour and first cell.
+NUMBERED = f"""{SHAPE}, sn AS (SELECT key, min(r) AS t, max(r) AS b, min(c) AS a, max(c) AS z, count(*) AS size, row_number() OVER (PARTITION BY key ORDER BY v, l) AS k FROM lab GROUP BY key, v, l)"""
 ROWS = "SELECT key, r, string_agg(v, '' ORDER BY c) AS t FROM cell"
 FILES = "f AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages)"
+#: Imports with the mapped file, the first path that exists, and the first file of a like name.
+RESOLVED = f"""{FILES}, ps AS (SELECT path, string_split(replace(regexp_replace(path, '([^/])\\.[^./]*$', '\\1'), '/', '.'), '.') AS ps FROM f),
+mp AS (SELECT module, min(path) AS mapped FROM (SELECT path, array_to_string(ps[1:i], '.') AS module FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM ps)) WHERE module <> '' GROUP BY module),
+nm AS (SELECT path, lower(string_split(path, '/')[-1]) AS name, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM f),
+im AS (SELECT path, dir, replace(path, '/', '.') || CASE WHEN length(path) % 2 = 0 THEN '' ELSE 'q' END AS module FROM nm),
+ca AS (SELECT path, generate_subscripts(cs, 1) AS rank, unnest(cs) AS candidate FROM (SELECT path, [x || '.py', x || '/__init__.py', y || '.py', y || '/__init__.py'] AS cs FROM (SELECT path, x, CASE WHEN dir = '' THEN x ELSE dir || '/' || x END AS y FROM (SELECT path, dir, replace(module, '.', '/') AS x FROM im)))),
+bp AS (SELECT ca.path, arg_min(candidate, rank) AS by_path FROM ca JOIN f ON f.path = candidate GROUP BY ca.path),
+al AS (SELECT im.path, min(o.path) AS alike FROM im JOIN nm o ON o.path <> im.path AND (o.name = 'none.py' OR lower(string_split(o.dir, '/')[-1]) = 'none' OR (replace(o.name, '.py', '') <> '' AND ends_with(lower(module), replace(o.name, '.py', '')))) GROUP BY im.path),
+rs AS (SELECT im.path, module, coalesce(mapped, by_path, alike) AS target FROM im LEFT JOIN mp USING (module) LEFT JOIN bp ON bp.path = im.path LEFT JOIN al ON al.path = im.path),
+de AS (SELECT DISTINCT path AS source, target FROM rs WHERE target <> path)"""
 PROGRAMS = """p AS (SELECT c_custkey AS program_id, 'n' || c_custkey % 50 AS uid, c_name, c_custkey % 3 <> 0 AS ok FROM customer)"""
 TEXT = """'C► NODE ' || uid || ' "make ' || c_name || '" ◄' || chr(10) || 'IF► E► LINK l1 "ok?" ◄ N► 5 "go" ◄ ELSE► D► NODE zz "no" ◄ ◄ U► NODE ' || uid || ' "set" ' || CASE WHEN ok THEN '◄' ELSE '' END"""
 
@@ -123,6 +135,13 @@ ORACLES = {
         a AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {{'x': x, 'y': y}})) AS ps FROM sh GROUP BY key), b AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {{'x': x, 'y': y}})) AS ps FROM pr GROUP BY key),
         e AS (SELECT key, coalesce(b.n, 0) AS n_predicted, coalesce(a.n, 0) AS n_actual, CASE WHEN coalesce(a.n, 0) <> coalesce(b.n, 0) THEN 'count' WHEN a.ps <> b.ps THEN 'position' WHEN len(a.ps) <> a.n THEN 'duplicate' ELSE '' END AS reason FROM a FULL JOIN b USING (key))
         SELECT key, n_predicted, n_actual, reason = '' AS success, reason FROM e""",
+    "grid_prompts": f"""WITH RECURSIVE {NUMBERED}, ro AS (SELECT sn.key, k, cell.r, string_agg(lpad(CAST(cell.v AS VARCHAR), 2, ' '), ' ' ORDER BY cell.c) AS padded, string_agg(cell.v, '' ORDER BY cell.c) AS plain FROM sn JOIN cell ON cell.key = sn.key AND cell.r BETWEEN t AND b AND cell.c BETWEEN a AND z GROUP BY sn.key, k, cell.r),
+        gr AS (SELECT key, k, string_agg(padded, chr(10) ORDER BY r) AS grid, string_agg(plain, chr(10) ORDER BY r) AS asked FROM ro GROUP BY key, k)
+        SELECT CAST(key AS VARCHAR) AS key, 'INPUT SHAPES:' || chr(10) || string_agg('SHAPE ' || k || chr(10) || 'POS: ' || a || ',' || (7 - t) || chr(10) || grid || chr(10) || 'DESCRIPTION: ' || CASE asked WHEN '1' THEN 'one cell' WHEN '2' THEN 'one cell of two' ELSE 'Shape description unavailable' END, chr(10) || chr(10) ORDER BY k) AS prompt
+        FROM sn JOIN gr USING (key, k) GROUP BY key""",
+    "grid_responses": f"WITH RECURSIVE {NUMBERED} SELECT key, k AS shape, a AS x, 7 - t AS y, 'Description: of size ' || size AS description FROM sn",
+    "import_resolution": f"WITH {RESOLVED} SELECT path, module, target FROM rs", "dependency_edges": f"WITH {RESOLVED} SELECT source, target FROM de",
+    "dependency_report": f"WITH {RESOLVED} SELECT path AS uid, i AS in_degree, o AS out_degree, i + o AS degree FROM (SELECT path, (SELECT count(*) FROM de WHERE target = path) AS i, (SELECT count(*) FROM de WHERE source = path) AS o FROM f)",
     "module_mapping": f"WITH {FILES}, s AS (SELECT path, string_split(replace(regexp_replace(path, '([^/])\\.[^./]*$', '\\1'), '/', '.'), '.') AS ps FROM f), m AS (SELECT path, array_to_string(ps[1:i], '.') AS module FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM s)) SELECT module, min(path) AS path FROM m WHERE module <> '' GROUP BY module",
     "import_extraction": """WITH n AS (SELECT regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') AS n FROM nation WHERE n_nationkey % 5 <> 4)
         SELECT 'pkg/sub/' || n || '.py' AS path, 'a' AS base, 'import' AS kind, 'a.' || n AS module FROM n UNION ALL SELECT 'pkg/sub/' || n || '.py', 'b', 'from_absolute', 'b.' || n FROM n UNION ALL SELECT 'pkg/sub/' || n || '.py', 'c', 'from_relative', 'pkg.c' FROM n""",
