@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import Words, flat, mix, partitions, pieces, shingles, table, texts, written
@@ -19,8 +19,10 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 #: MinHash values that are compared between two looks at the posterior, and the probability below which a pair goes.
 STEP, TOLERANCE = 16, 1e-9
-#: Sets that one side of a block holds; a larger component becomes pairs of blocks.
+#: Sets that one side of a block holds; a larger component becomes pairs of blocks of like set sizes.
 BLOCK = 256
+#: Blocks of one size level have the numbers level * LEVEL, level * LEVEL + 1 and so on.
+LEVEL = 1 << 32
 NO_ID = -(1 << 63)
 
 _n = BANDS * ROWS
@@ -80,11 +82,11 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets (packed, ascending) in place of the texts of the last column."""
     for batch in batches:
-        data, offsets = flat(batch.column(5))
+        data, offsets = flat(batch.column(batch.num_columns - 1))
         for i, j in pieces(offsets, 2 << 20):
             sets, bounds = shingles(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), WIDTH)
             column = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds * 8).astype(np.int32).tobytes()), pa.py_buffer(sets.tobytes())])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(5)), column], names=["group", "block", "blocks", "rep", "copies", "set"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), column], names=[*batch.schema.names[:-1], "set"])
 
 
 def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +120,25 @@ def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
     return left[ok], right[ok]
 
 
+def width_of_level(threshold: float) -> float:
+    """Logarithm of the ratio of set sizes within a level: sets at the threshold are at most one level apart."""
+    return max(-math.log(threshold), 0.01) * (1 + 1e-9)
+
+
+def blocks_of(level: Column, count: Column) -> Column:
+    """Numbers of the `count` blocks of a level."""
+    return F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda k: level.cast("long") * LEVEL + k)
+
+
 LINKS = "rep long, links long, root long"
 
 
 def join_group(reps: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], crossed: bool, threshold: float, fewest: dict[int, int]) -> pa.RecordBatch:
     """Links of the sets of one block, or between two blocks: documents linked to each set, and the least set reached."""
     values = minhashes(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
-    if crossed:
+    if crossed and block.min() == block.max():  # the other block is empty
+        left = right = np.zeros(0, np.int64)
+    elif crossed:
         first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         left, right = np.repeat(first, len(second)), np.tile(second, len(first))
     else:
@@ -185,7 +199,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     2. Classes that share a band of MinHash values are candidates. Only the least member of a bucket is linked to
        its others, and connected candidates form a group, so no bucket emits its pairs.
     3. Groups are cut in blocks; each pair of blocks is one small unit of work, so a group of any size spreads over
-       all tasks. There MinHash values are compared some at a time, pairs whose posterior probability of reaching
+       all tasks. The blocks of a large group hold sets of one size level, and only blocks of equal or neighbouring
+       levels meet: sets further apart in size can't reach the threshold. There MinHash values are compared some at a time, pairs whose posterior probability of reaching
        the threshold is below `tolerance` go, and the rest are verified on the whole sets.
     4. Blocks return link counts and least members; connected links give the classes of the result.
 
@@ -202,17 +217,23 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     equal = written(some.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
     member = some.select("doc_id", "one", "two", "n").join(equal.hint("merge"), ["one", "two", "n"]).select("doc_id", "rep", "copies", "n")
     member = written(member, "members")
-    reps = member.where("doc_id = rep").select("rep", "copies").dropDuplicates(["rep"])
+    reps = member.where("doc_id = rep").select("rep", "copies", "n").dropDuplicates(["rep"])
     bands = some.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     first = bands.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("band", "least")
     near = components(bands.join(first.hint("merge"), "band").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     grouped = near.select(F.col("root").alias("group"), F.col("node").alias("rep")).unionByName(near.select(F.col("root").alias("group"), F.col("root").alias("rep")).distinct())
-    sizes = near.groupBy(F.col("root").alias("group")).agg((F.count("*") + 1).alias("size"))
-    placed = grouped.join(sizes, "group").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    placed = placed.select("group", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks", "rep").join(reps, "rep")
-    text = placed.join(rows.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("group", "block", "blocks", "rep", "copies", "text")
-    sets = text.mapInArrow(sets_of, "group long, block int, blocks int, rep long, copies long, set binary")
-    dealt = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    level = F.floor(F.log("n") / width_of_level(threshold)).cast("int").alias("level")
+    grouped = written(grouped.join(reps, "rep").select("group", "rep", "copies", level), "grouped")
+    counts = grouped.groupBy("group", "level").agg(F.count("*").alias("size"))
+    groups = counts.groupBy("group").agg(F.sum("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("size") / block).cast("int")))).alias("blocks"))
+    small, at = F.col("size") <= block, lambda k: F.coalesce(F.try_element_at("blocks", F.col("level") + k), F.lit(0))
+    placed = grouped.join(groups, "group").select(
+        "group", F.when(small, 0).otherwise(F.col("level")).alias("level"), *(F.when(small, alone).otherwise(at(k)).alias(name) for name, k, alone in (("below", -1, 0), ("here", 0, 1), ("above", 1, 0))), "rep", "copies",
+    )
+    text = placed.join(rows.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("group", "level", "below", "here", "above", "rep", "copies", "text")
+    sets = text.mapInArrow(sets_of, "group long, level int, below int, here int, above int, rep long, copies long, set binary")
+    dealt = sets.withColumn("block", F.col("level").cast("long") * LEVEL + F.pmod(F.xxhash64("rep"), F.col("here")))
+    dealt = dealt.withColumn("k", F.explode(F.concat(*(blocks_of(F.col("level") + k, F.col(name)) for name, k in (("below", -1), ("here", 0), ("above", 1))))))
     dealt = dealt.select("group", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "rep", "copies", "set")
     work = dealt.repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j")
     links = written(work.mapInArrow(lambda b: join_blocks(b, threshold, tolerance), LINKS), "links")
