@@ -183,16 +183,6 @@ def test_jaccard_many_links(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_shingles"]) for r in got} == expected
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
-def test_jaccard_sizes(spark, threshold):
-    """Prefixes of one text, a group of many set sizes: links end where the sizes are too far apart."""
-    rng = random.Random(3)
-    base = [f"w{rng.randint(0, 10**6)}" for _ in range(124)]
-    rows = [(i, " ".join(base[: 5 + i])) for i in range(120)] + [(200 + i, " ".join(base[: 5 + i * 7])) for i in range(17)]
-    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, block=16).collect()
-    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_shingles"]) for r in got} == plain_jaccard(rows, threshold)
-
-
 def test_posterior_bound():
     fewest = jaccard.least_matches(0.8, 1e-9)
     assert fewest[128] < 0.8 * 128 and all(fewest[a] <= fewest[b] for a, b in zip(sorted(fewest), sorted(fewest)[1:]))
