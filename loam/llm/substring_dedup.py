@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,15 @@ class Spans:
 
     A sentence ends at a line end or at a mark that white space follows; commas, colons and semicolons count, so a
     long sentence is several. The span of a sentence is the shortest run of sentences from it on that has
-    SENTENCES sentences and WORDS words; near a text's end there is none. Spans are equal if their words are, in
-    lower case.
+    SENTENCES sentences and WORDS words; near a text's end there is none. With `every`, the shortest such run up to
+    the end of each sentence is a span too: a longer run is the union of spans of both kinds within it, so all runs
+    are looked up. Spans are equal if their words are, in lower case.
 
     first: number of each text's first sentence (n + 1 values); begin: byte at which each sentence begins;
     start, stop: first sentence of a span and the one after its last; key: its hash; doc: its text.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, every: bool = False):
         words = Words(data, offsets)
         n = len(words.begin)
         mark = (data == 10) | (STOP[data] & np.r_[BLANK[data[1:]], True]) if len(data) else np.zeros(0, bool)
@@ -55,6 +57,11 @@ class Spans:
         last = self.first[1:][doc] if count else at
         ok = stop <= last
         self.start, self.stop, self.doc = at[ok], stop[ok], doc[ok]
+        if every:
+            start = np.searchsorted(edges, np.minimum(edges[1:] - WORDS, edges[np.maximum(at + 1 - SENTENCES, 0)]), side="right") - 1
+            ok = start >= self.first[:-1][doc]
+            ok[ok] = stop[start[ok]] != at[ok] + 1  # the others are spans of their first sentence
+            self.start, self.stop, self.doc = np.r_[self.start, start[ok]], np.r_[self.stop, at[ok] + 1], np.r_[self.doc, doc[ok]]
         up, down = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(words.hash * up[:n], out=total[1:])
@@ -62,8 +69,8 @@ class Spans:
         self.key = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)) if len(a) else np.zeros(0, np.uint64)
 
 
-def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    spans = Spans(data, offsets)
+def keys_of(data: np.ndarray, offsets: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    spans = Spans(data, offsets, every)
     return spans.key, spans.doc
 
 
@@ -71,7 +78,7 @@ KEPT = "doc_id long, n_sentences long, removed array<struct<first:int,last:int>>
 _run = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
 
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut_out(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
     """Texts less the sentences of their non-first spans; rows of a share arrive in the order of doc_id."""
     known: dict[int, dict[int, int]] = {}
     for batch in batches:
@@ -80,7 +87,7 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = batch.column(3)
         for i, j in pieces(offsets, 2 << 20):
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            spans, of = Spans(part, own), share[i:j]
+            spans, of = Spans(part, own, every), share[i:j]
             least = ids[i:j][spans.doc]
             for s in np.unique(of).tolist():
                 answers = known.setdefault(s, {})
@@ -116,8 +123,8 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(spans.first), pa.int64()), runs, kept], names=["doc_id", "n_sentences", "removed", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts less every sentence that a non-first repeated span covers (see Spans).
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+    """Texts less every sentence that a non-first repeated span covers (see Spans, for `every` too).
 
     Every span of the corpus is hashed and looked up over all shares (see shares): a span is non-first if a
     document with a smaller id has it too, or its own text has it before. Sentences are judged on the input.
@@ -129,14 +136,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = partitions(docs.sparkSession)
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").repartition(n, "doc_id")
     share = F.pmod(F.hash("doc_id"), F.lit(n)).alias("share")
-    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, least=True), ASKED)
+    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, partial(keys_of, every=every), least=True), ASKED)
     told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, least=True), "number long, keys binary, least binary")
     told = told.groupBy(F.col("number").alias("doc_id")).agg(F.collect_list(F.struct("keys", "least")).alias("told"))
-    whole = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told").mapInArrow(cut_out, KEPT)
+    whole = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told").mapInArrow(partial(cut_out, every=every), KEPT)
     return whole.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    found = substring_dedup(table(spark, sf_dir, "documents"))
+    found = substring_dedup(table(spark, sf_dir, "documents"), every=True)
     count = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
     return found.select("doc_id", "n_sentences", count.alias("n_removed"), F.size("removed").cast("long").alias("n_runs"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.length("kept").cast("long").alias("kept_chars"))

@@ -109,6 +109,42 @@ def test_substring_dedup(frame, awkward, nothing):
     assert substring_dedup.substring_dedup(nothing).count() == 0
 
 
+def plain_every_run(rows, split=plain_sentences):
+    """Rows in the order of their ids: sentences, and those that a non-first run covers, all runs enumerated."""
+    first, out = {}, {}
+    for d, t in rows:
+        units = [[m[0].lower() for m in u] for u in split(t)[1]]
+        gone, seen = set(), set()
+        for i in range(len(units)):
+            words = []
+            for e in range(i + 1, len(units) + 1):
+                words += units[e - 1]
+                if len(words) >= substring_dedup.WORDS and e - i >= substring_dedup.SENTENCES:
+                    k = tuple(words)
+                    if first.setdefault(k, d) < d or k in seen:
+                        gone |= set(range(i, e))
+                    seen.add(k)
+        out[d] = (len(units), gone)
+    return out
+
+
+def removed_sentences(rows):
+    return {r["doc_id"]: (r["n_sentences"], {i for x in r["removed"] for i in range(x["first"], x["last"] + 1)}) for r in rows}
+
+
+def test_substring_dedup_every_run(spark):
+    """Pieces of 10, 10 and 3 words: the last is in no shortest run from a start, but in a run."""
+    rng = random.Random(5)
+    prose = lambda sizes: " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "." for n in sizes)
+    tail = prose([10, 10, 3])
+    passage = prose([4, 9, 2, 7, 1, 8, 1])
+    rows = [(1, tail), (2, tail), (3, f"{prose([5])} {passage} {prose([6, 2])}"), (4, f"{prose([3, 9])} {passage} {prose([4])} {passage}"), (5, prose([1, 1, 20, 1])), (6, passage)]
+    rows += [(10 + i, f"{prose(rng.choices(range(1, 12), k=3))} {passage[: rng.randrange(150, 260)].rsplit('.', 1)[0]}. {prose([2])}") for i in range(20)]
+    got = removed_sentences(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect())
+    assert got == plain_every_run(rows)
+    assert got[2] == (3, {0, 1, 2})
+
+
 def test_exact_dedup(frame, awkward, nothing, spark):
     groups = defaultdict(list)
     for d, t in awkward:
