@@ -121,13 +121,20 @@ IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 
 class Words:
-    """Words of several texts: begin and end (bytes), doc (text number), hash of the lower-cased word, first (word number of each text's first word, n + 1 values)."""
+    """Words of several texts: begin and end (bytes), doc (text number), hash of the lower-cased word, first (word number of each text's first word, n + 1 values).
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    Places of bytes that are in no word, and at which words are cut, may be given.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, outside: np.ndarray | None = None, cuts: np.ndarray | None = None):
         low = LOWER[data]
         inside = IN_WORD[low]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
+        if outside is not None:
+            inside[outside] = False
+        if cuts is not None:
+            edge[cuts] = True
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]
         before &= ~edge[:-1]

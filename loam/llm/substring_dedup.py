@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import Words, flat, mix, partitions, pieces, powers, table, texts
+from loam.llm.bpe import code_points
+from loam.llm.common import Words, flat, mix, partitions, pieces, powers, ragged, table, texts
 from loam.llm.shares import ASKED, answer, ask
 
 #: A span has at least so many sentences and words.
 SENTENCES, WORDS = 2, 16
+#: Of so many words in a row, one at least begins a piece of a long sentence.
+WINDOW = 8
 NO_ID = -(1 << 63)
 
 STOP = np.zeros(256, bool)
@@ -22,27 +25,82 @@ STOP[[*b".!?,;:"]] = True
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
+#: Characters outside ASCII that end a sentence, that are white space, and that are words of their own, as their scripts have no blanks.
+END, SPACE, ALONE = 1, 2, 3
+UNSPACED = "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tibetan Tai_Le New_Tai_Lue Tai_Tham Tai_Viet Javanese Balinese".split()
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    if not _kinds:
+        import regex
+
+        out = np.zeros(0x110000, np.uint8)
+        everything = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+        unspaced = "[" + "".join(rf"\p{{Script={x}}}" for x in UNSPACED) + "\u30fc\uff70]"
+        for kind, pattern in ((ALONE, unspaced), (SPACE, r"\s"), (END, "[\\p{Terminal_Punctuation}\u2026\u0085\u2028\u2029]")):
+            out[[ord(c) for c in regex.findall(pattern, everything)]] = kind
+        _kinds.append(out)
+    return _kinds[0]
+
+
+def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words, cut at white space and sentence marks outside ASCII and about each character of an unspaced script; places of those marks."""
+    at = np.flatnonzero(data >= 128)
+    points, place = code_points(data[at])
+    size, kind, at = np.diff(np.append(place, len(at))), kinds()[points], at[place]
+    out, alone = (kind == END) | (kind == SPACE), kind == ALONE
+    return Words(data, offsets, ragged(at[out], size[out]), np.r_[at[alone], at[alone] + size[alone]]), at[kind == END]
+
+
+def cut_long(words: Words, new: np.ndarray) -> np.ndarray:
+    """Which words begin a sentence or a piece of one, given which begin one.
+
+    A sentence of WORDS words or more is cut at the word of least hash (the last of equal ones) of every WINDOW words
+    in it but for its first. So no piece is longer than WINDOW, and the cuts depend on the WINDOW - 1 words before and
+    after them alone: a repeated passage is cut alike away from its ends.
+    """
+    n = len(new)
+    number = np.cumsum(new) - 1
+    long = np.diff(np.append(np.flatnonzero(new), n)) >= WORDS
+    start = np.arange(max(n - WINDOW + 1, 0))
+    start = start[long[number[start]] & ~new[start] & (number[start] == number[start + WINDOW - 1])]
+    best, at = words.hash[start], start.copy()
+    for k in range(1, WINDOW):
+        h = words.hash[start + k]
+        less = h <= best
+        best[less], at[less] = h[less], start[less] + k
+    out = new.copy()
+    out[at] = True
+    return out
+
 
 class Spans:
     """Sentences of several texts and the spans that begin at each.
 
     A sentence ends at a line end or at a mark that white space follows; commas, colons and semicolons count, so a
-    long sentence is several. The span of a sentence is the shortest run of sentences from it on that has
-    SENTENCES sentences and WORDS words; near a text's end there is none. With `every`, the shortest such run up to
-    the end of each sentence is a span too: a longer run is the union of spans of both kinds within it, so all runs
-    are looked up. Spans are equal if their words are, in lower case.
+    long sentence is several. With `every`, marks and blanks of other scripts count, and a sentence of WORDS words or
+    more is cut (see parted and cut_long): a text of WORDS words or more always has a span.
+
+    The span of a sentence is the shortest run of sentences from it on that has SENTENCES sentences and WORDS words;
+    near a text's end there is none. With `every`, the shortest such run up to the end of each sentence is a span
+    too: a longer run is the union of spans of both kinds within it, so all runs are looked up. Spans are equal if
+    their words are, in lower case.
 
     first: number of each text's first sentence (n + 1 values); begin: byte at which each sentence begins;
     start, stop: first sentence of a span and the one after its last; key: its hash; doc: its text.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, every: bool = False):
-        words = Words(data, offsets)
+        words, more = parted(data, offsets) if every else (Words(data, offsets), [])
         n = len(words.begin)
         mark = (data == 10) | (STOP[data] & np.r_[BLANK[data[1:]], True]) if len(data) else np.zeros(0, bool)
+        mark[more] = True
         marks = np.r_[0, np.cumsum(mark)]
         new = np.ones(n, bool)
         new[1:] = (marks[words.begin[1:]] > marks[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
+        if every:
+            new = cut_long(words, new)
         head = np.flatnonzero(new)  # first word of each sentence
         doc = words.doc[head]
         self.first = np.searchsorted(doc, np.arange(len(offsets)))

@@ -138,13 +138,34 @@ def test_substring_dedup_every_run(spark):
     prose = lambda sizes: " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + "." for n in sizes)
     tail = prose([10, 10, 3])
     passage = prose([4, 9, 2, 7, 1, 8, 1])
-    rows = [(1, tail), (2, tail), (3, f"{prose([5])} {passage} {prose([6, 2])}"), (4, f"{prose([3, 9])} {passage} {prose([4])} {passage}"), (5, prose([1, 1, 20, 1])), (6, passage)]
+    rows = [(1, tail), (2, tail), (3, f"{prose([5])} {passage} {prose([6, 2])}"), (4, f"{prose([3, 9])} {passage} {prose([4])} {passage}"), (5, prose([1, 1, 15, 1])), (6, passage)]
     rows += [(10 + i, f"{prose(rng.choices(range(1, 12), k=3))} {passage[: rng.randrange(150, 260)].rsplit('.', 1)[0]}. {prose([2])}") for i in range(20)]
     got = removed_sentences(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect())
     assert got == plain_every_run(rows)
     assert got[2] == (3, {0, 1, 2})
 
 
+def test_substring_dedup_long_sentences(spark):
+    """Repeats without marks, a long sentence between others, and scripts without blanks or ASCII marks."""
+    rng = random.Random(7)
+    w = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    chars = lambda a, n, mark: "".join(chr(a + rng.randrange(60)) + (mark if i % 9 == 8 else "") for i in range(n))
+    copies = [w(160), w(384), w(16), chars(0x4E00, 60, "。"), chars(0x4E00, 40, ""), chars(0xE01, 50, ""), "، ".join(f"كلمة{i} نص{i}" for i in range(12)), "। ".join(f"शब्द{i} पाठ{i}" for i in range(12)), "\u3000".join(f"é{i}" for i in range(30))]
+    passages = [w(52) for _ in range(30)]
+    sentence = w(17)
+    rows = [(i * 1000 + k, t) for k, t in enumerate(copies) for i in (1, 2)]
+    rows += [(i * 1000 + 100 + k, f"{w(rng.randrange(1, 40))} {p} {w(rng.randrange(1, 40))}") for k, p in enumerate(passages) for i in (1, 2)]
+    rows += [(i * 1000 + 200, f"{w(6)}. {sentence}. {w(7)}.") for i in (1, 2)]
+    got = {r["doc_id"]: r["kept"] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), every=True).collect()}
+    texts = dict(rows)
+    assert all(got[d] == t for d, t in rows if d < 2000)
+    assert [got[2000 + k] for k in range(len(copies))] == [""] * len(copies)
+    assert not set(sentence.split()) & set(re.findall(r"\w+", got[2200])) and len(got[2200].split()) == 13
+    for k, p in enumerate(passages):
+        gone = set(texts[2100 + k].split()) - set(got[2100 + k].split())
+        assert len(gone) >= 16 and gone <= set(p.split()), k
+
+
 def test_exact_dedup(frame, awkward, nothing, spark):
     groups = defaultdict(list)
     for d, t in awkward:
