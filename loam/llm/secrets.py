@@ -22,6 +22,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 #: Runs of these characters of at least LEAST characters are candidates of the method.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Parts of a run: '=' is padding at its end alone. Parts that no alphabet holds have separators of two, and are read by each.
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
+FINER = (re.compile(r"[A-Za-z0-9+/]+(?:=+\Z)?"), re.compile(r"[A-Za-z0-9_-]+(?:=+\Z)?"))
 LEAST = 20
 IN_TOKEN = np.zeros(256, bool)
 IN_TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -105,12 +108,20 @@ def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, encoding, token) of runs that one alphabet holds and that are not letters of one case alone."""
+    """(start, end, encoding, token) of parts of runs that one alphabet holds and that are not letters of one case alone.
+
+    A part that no alphabet holds is cut at '-' and '_', and again at '+' and '/'; such finer parts may overlap.
+    """
     out = []
     for m in TOKEN.finditer(text):
-        t = m[0]
-        if not (t.isalpha() and (t[1:].islower() or t.isupper())) and (k := encoding(t)) is not None:
-            out.append((m.start(), m.end(), k, t))
+        parts = set()
+        for part in PART.finditer(m[0]):
+            a, t = m.start() + part.start(), part[0]
+            if len(t) >= LEAST:
+                parts |= {(a, t)} if encoding(t) is not None else {(a + x.start(), x[0]) for p in FINER for x in p.finditer(t) if len(x[0]) >= LEAST}
+        for a, t in sorted(parts):
+            if not (t.isalpha() and (t[1:].islower() or t.isupper())):
+                out.append((a, a + len(t), encoding(t), t))
     return out
 
 
@@ -182,7 +193,7 @@ def scan_secrets(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", te
 
     Base spans come from the fixed patterns and always stay. Kind `random` adds runs of token characters whose
     inferred encoding looks random to three tests (see randomness) at the cut of their length class (see
-    thresholds), where no base span overlaps them. Two passes over the documents, no shuffle of texts.
+    thresholds), where no base span and no longer such run overlaps them. Two passes over the documents, no shuffle of texts.
     Null text is empty and has no spans; repeated rows are scanned each; an empty table gives no rows.
     """
     rows = texts(docs, id_col, text_col)
@@ -200,7 +211,9 @@ def scan_secrets(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", te
                 text = raw.decode()
                 spans = base_spans(text, raw)
                 if i in runs:
-                    spans += [("random", a, b) for a, b, kind, t in candidates(text) if not any(a < e and s < b for _, s, e in spans) and randomness(t, kind) >= cuts.get(length_class(b - a), 2)]
+                    for a, b, kind, t in sorted(candidates(text), key=lambda x: x[0] - x[1]):
+                        if not any(a < e and s < b for _, s, e in spans) and randomness(t, kind) >= cuts.get(length_class(b - a), 2):
+                            spans.append(("random", a, b))
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "spans"])
 

@@ -128,6 +128,23 @@ def test_secrets(spark, frame, awkward, nothing):
     assert secrets.scan_secrets(nothing).count() == 0
 
 
+def test_secrets_beside_separators(spark):
+    """Keys set off by '=' inside a run, and by separators of another alphabet."""
+    rng = random.Random(16)
+    key = lambda more: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(40))
+    made = []
+    for _ in range(60):
+        for before, k, after in (("AWS_SECRET_ACCESS_KEY=", key("+/"), ""), ("https://host/path?sig=", key("-_"), "&x=1"), ("a/signed_key/", key("-_"), "/b"), ("my_key-", key("+/"), " "), ("k=", key("+/")[:-1] + "=", "")):
+            made.append(("word " * 30 + before, k, after + " text" * 30))
+    assert [c[3] for c in secrets.candidates("AWS_SECRET_ACCESS_KEY=abc some_long_name=other_long_name")] == ["AWS_SECRET_ACCESS_KEY"]
+    docs = spark.createDataFrame([(i, "".join(m)) for i, m in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan_secrets(docs).collect()}
+    for form in range(5):
+        own = range(form, len(made), 5)
+        assert sum(any(s <= len(made[i][0]) + 8 and e >= len(made[i][0]) + 32 for s, e in got[i]) for i in own) >= (20 if form in (2, 3) else 50), form
+    assert all(e <= f for x in got.values() for (_, e), (f, _) in zip(x, x[1:]))
+
+
 def test_chat_layouts(spark):
     records = [
         (1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"[INST] <s> \\\\ x"}]}'), (2, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'),
