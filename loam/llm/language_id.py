@@ -15,7 +15,7 @@ from loam.llm.common import flat, mix, pieces, table
 
 #: Characters of an n-gram; a gap between letters counts as one blank, and a text begins and ends with two.
 GRAM = 4
-#: Labelled rows that the filters are learnt from, at most in expectation: rows are drawn by a hash of the id.
+#: Labelled rows of each language that the filters are learnt from, at most in expectation: rows are drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
 #: Slots of the filter and probes of an n-gram: 2 ** 21 slots of 8 bytes (16 MB) for each 63 languages.
 SLOTS, PROBES = 1 << 21, 4
@@ -103,9 +103,19 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["language", "gram", "n"])
 
 
+def sample(known: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
+    """Rows of known (doc_id, text, lang) with `number`, the place of their language by name: all of a language that has `rows` or fewer, else that many in expectation."""
+    languages = sorted(counts)
+    number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+    below = F.array(*(F.lit(int(min(1.0, rows / counts[x]) * (1 << 30))) for x in languages))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) < F.element_at(below, F.col("number") + 1)
+    return known.withColumn("number", number).where(drawn)
+
+
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Filters:
-    """Filters from a bounded sample of labelled rows (text and lang not null), drawn by a hash of their ids.
+    """Filters from a bounded sample of each language's labelled rows (text and lang not null), drawn by a hash of their ids.
 
+    A language of at most `rows` rows is learnt whole however large the others are; `rows` for each language bound all.
     An n-gram belongs to every language that has it LEAST_COUNT times and at LEAST_SHARE of the best language's
     rate or more. Of the sums, one mask for each used slot of the filter comes to the driver, 2 ** 21 at most.
     """
@@ -115,10 +125,8 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text",
     languages = sorted(counts)
     if not languages:
         return Filters([], np.zeros((1, SLOTS), np.int64))
-    rate = min(1.0, rows / sum(counts.values()))
-    drawn = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    number = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col)).cast("int") - 1
-    seen = drawn.select(number.alias("language"), F.col(text_col).alias("text")).mapInArrow(gram_counts, "language int, gram long, n long")
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    seen = sample(known, counts, rows).select(F.col("number").alias("language"), "text").mapInArrow(gram_counts, "language int, gram long, n long")
     seen = seen.groupBy("gram", "language").agg(F.sum("n").alias("n"))
     totals = {r[0]: r[1] for r in seen.groupBy("language").agg(F.sum("n")).collect()}
     share = F.col("n") / F.element_at(F.array(*(F.lit(float(totals.get(k, 1))) for k in range(len(languages)))), F.col("language") + 1)

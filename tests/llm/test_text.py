@@ -216,6 +216,19 @@ def test_language_id(spark, frame, awkward, nothing):
     assert kept.select(*(f"carried_{k}" for k in range(len(docs.columns)))).exceptAll(docs).count() == 0
 
 
+def test_rare_language_is_learnt(spark):
+    """30 rows in a script of their own beside 6,000 of one language, of which 200 are drawn."""
+    rng = random.Random(12)
+    text = lambda a: " ".join("".join(chr(a + rng.randrange(8)) for _ in range(3)) for _ in range(30))
+    rows = [(i, text(0x61), "aa") for i in range(6000)] + [(10000 + i, text(0x431), "zz") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = {r["lang"]: r["count"] for r in language_id.sample(docs, {"aa": 6000, "zz": 30}, 200).groupBy("lang").count().collect()}
+    assert drawn["zz"] == 30 and 120 <= drawn["aa"] <= 280
+    fresh = spark.createDataFrame([(i, text(0x431)) for i in range(40)], "doc_id long, text string")
+    found = language_id.identify(fresh, language_id.learn(docs, rows=200)).collect()
+    assert all(r["lang_pred"] == "zz" and r["score"] >= 0.15 for r in found)
+
+
 def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     grams = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
