@@ -35,9 +35,14 @@ def index(items: DataFrame, brk: str = BREAK) -> DataFrame:
     return items.select("file_id", "block_id", F.row_number().over(order).cast("long").alias("item"), (end - size).alias("start"), end.alias("end"), "content")
 
 
-def split_block(block: DataFrame, brk: str = BREAK) -> DataFrame:
-    """The same for blocks held as whole texts (file_id, block_id, text)."""
-    parts = block.select("file_id", "block_id", F.posexplode(F.split("text", "\\Q" + brk + "\\E", -1)).alias("seq", "content"))
+def split_block(block: DataFrame, brk: str = BREAK, begin: str | None = None) -> DataFrame:
+    """The same for blocks held as whole texts (file_id, block_id, text).
+
+    begin: pattern of an item's start, for items whose text holds raw breaks. An item then ends only at a break that
+    a valid start or the block's end follows; a block begins with an item whatever its text.
+    """
+    valid = "" if begin is None else f"(?={begin}|\\z)"
+    parts = block.select("file_id", "block_id", F.posexplode(F.split("text", "\\Q" + brk + "\\E" + valid, -1)).alias("seq", "content"))
     return index(parts.where("content <> ''"), brk)
 
 

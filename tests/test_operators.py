@@ -85,6 +85,17 @@ def test_items(spark):
     assert sorted((r["pos"], r["item"]) for r in both) == [(0, 1), (3, 1), (4, 1), (4, 2), (8, 2), (11, 3), (12, 3)]
 
 
+def test_items_with_raw_breaks(spark):
+    """Breaks that no valid start follows belong to the item; numbers, offsets and lookups after it stay right."""
+    texts = ["r1,u7,fine\r\n\r\nr2 is no start", "r22,u8,x\r\n", "r3,u9,last\r\ntext"]
+    block = spark.createDataFrame([("f", 0, "\r\n".join(texts) + "\r\n"), ("f", 1, texts[1] + "\r\n" + texts[0])], "file_id string, block_id long, text string")
+    ix = items.split_block(block, begin=r"r\d+,u\d+,")
+    got = {b: [(r["item"], r["start"], r["end"], r["content"]) for r in ix.where(f"block_id = {b}").orderBy("item").collect()] for b in (0, 1)}
+    assert got == {0: [(1, 0, 30, texts[0]), (2, 30, 42, texts[1]), (3, 42, 60, texts[2])], 1: [(1, 0, 12, texts[1]), (2, 12, 42, texts[0])]}
+    at = spark.createDataFrame([("f", 0, p) for p in (14, 29, 30, 59)], "file_id string, block_id long, pos long")
+    assert sorted((r["pos"], r["item"]) for r in items.positions_to_items(at, ix).collect()) == [(14, 1), (29, 1), (30, 2), (59, 3)]
+
+
 def test_graph(spark):
     nodes = spark.createDataFrame([("A", "x", {"p": "1"}), ("B", "y", {})], graph.NODES)
     edges = spark.createDataFrame([("A", "B", "e", {})], graph.EDGES)
