@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from loam.llm.common import partitions, table
 
 #: Declarative mappings. paths: the nested field paths of a layout ([] steps into a list). turns: (role, path) pairs, where a
-#: role that begins with $ names the path of the role; each: the list whose items hold role and text.
+#: role that begins with $ names the path of the role; each: the list whose items hold role and text; aliases: other
+#: names of roles in that layout (a role that isn't among them stays as it is).
 LAYOUTS = (
     {"paths": ["role", "text"], "turns": [("$role", "text")]},
     {"paths": ["content", "role"], "turns": [("$role", "content")]},
     {"paths": ["messages[].content", "messages[].role"], "each": "messages", "turns": [("$role", "content")]},
-    {"paths": ["conversations[].from", "conversations[].value"], "each": "conversations", "turns": [("$from", "value")]},
+    {"paths": ["conversations[].from", "conversations[].value"], "each": "conversations", "turns": [("$from", "value")], "aliases": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}},
     {"paths": ["system", "messages[].content", "messages[].role"], "first": [("system", "system")], "each": "messages", "turns": [("$role", "content")]},
     {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
     {"paths": ["completion", "prompt"], "turns": [("user", "prompt"), ("assistant", "completion")]},
@@ -27,8 +28,6 @@ LAYOUTS = (
     {"paths": ["instruction", "output"], "turns": [("user", "instruction"), ("assistant", "output")]},
     {"paths": ["instruction", "input", "output"], "turns": [("user", "instruction+input"), ("assistant", "output")]},
 )
-#: Other names of roles; a role that isn't here stays as it is.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def paths(value, at: str = "") -> set[str]:
@@ -68,7 +67,8 @@ def canonical(record: str | None) -> tuple[str, list[tuple[str, str]] | None]:
     turns = [(r, pick(value, p)) for r, p in layout.get("first", [])]
     for item in value[layout["each"]] if "each" in layout else [value]:
         turns += [(pick(item, r[1:]) if r[0] == "$" else r, pick(item, p)) for r, p in layout["turns"]]
-    return mark, [(ROLES.get(r, r), t) for r, t in turns]
+    aliases = layout.get("aliases", {})
+    return mark, [(aliases.get(r, r), t) for r, t in turns]
 
 
 # The control strings of the template. No turn's text holds one once it is escaped.
@@ -149,6 +149,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     Rows of a conversation stream through one task in (turn, part) order; it keeps two running digests and three
     counts, not the rows. A digest of a sequence has to be taken in sequence, so a conversation is not split.
+    Rows without an id are one conversation, of id null. A null turn comes first; rows of one turn come in the order
+    of their text, repeated rows each. Rows without a known layout aren't read; an empty table gives no rows.
     """
     rows = formatted.where(F.col("segment").isNotNull()).select("conv_id", "turn", "part", "segment", "mask_start", "mask_end")
     dealt = rows.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "part", "segment")
@@ -188,8 +190,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def op6_chat(spark, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     probe = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    records = said.unionByName(probe).select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
-    return read_back(format_chats(records))
+    one = lambda text: F.struct("role", F.col("text").alias(text))
+    kind = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))  # three layouts that keep roles as they are
+    record = F.when(kind == 0, F.to_json(one("text"))).when(kind == 1, F.to_json(one("content"))).otherwise(F.to_json(F.struct(F.array(one("content")).alias("messages"))))
+    return read_back(format_chats(said.unionByName(probe).select("conv_id", "turn", record.alias("record"))))
 
 
 OP6_SQL = r"""
