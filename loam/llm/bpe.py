@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loam.llm.common import flat, mix, pieces, prefix_hash, powers, ragged, table, texts
+from loam.llm.common import flat, hashes, pieces, ragged, table, texts
 
 NONE = np.int32(-1)
 
@@ -35,6 +35,7 @@ class Ranks:
                 a, b = self.token.get(t[:k]), self.token.get(t[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = r
+        self.one = pairs
         self.pair = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[int(p)] for p in self.pair], np.int32)
         digits = [b"%d " % i for i in range(size)]
@@ -61,16 +62,33 @@ def ranks(content: bytes) -> Ranks:
 
 
 def one_word(word: bytes, r: Ranks) -> list[int]:
-    """The merges of one word, lowest rank first, then leftmost; for the rare words that replay() hands back."""
+    """The merges of one word, lowest rank first, then leftmost; for the rare words that replay() hands back.
+
+    A heap of (rank, place) over linked neighbours: n log n for a word of n bytes.
+    """
     ids = [int(r.byte[b]) for b in word]
-    while len(ids) > 1:
-        found = r.merge(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-        found = np.where(found < 0, np.iinfo(np.int32).max, found)
-        k = int(found.argmin())
-        if found[k] == np.iinfo(np.int32).max:
-            break
-        ids[k : k + 2] = [int(found[k])]
-    return ids
+    n = len(ids)
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    rank = r.merge(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist() if n > 1 else []
+    heap = [(k, i) for i, k in enumerate(rank) if k >= 0]
+    heapq.heapify(heap)
+
+    def pair(i: int) -> int:
+        return r.one.get(ids[i] << 32 | ids[after[i]], -1) if i >= 0 and after[i] >= 0 else -1
+
+    while heap:
+        k, i = heapq.heappop(heap)
+        if ids[i] < 0 or pair(i) != k:
+            continue
+        j = after[i]
+        ids[i], ids[j] = k, -1
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for p in (before[i], i):
+            if (new := pair(p)) >= 0:
+                heapq.heappush(heap, (new, p))
+    return [x for x in ids if x >= 0]
 
 
 def replay(data: np.ndarray, first: np.ndarray, r: Ranks) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +261,26 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return place[begins]
 
 
+def distinct(data: np.ndarray, start: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one occurrence of each distinct word, word number of each occurrence).
+
+    The hash only groups: every occurrence is compared with the word that stands for it, and where that differs, all
+    are grouped by their bytes. Occurrences lie one after the other in data.
+    """
+    _, sample, which = np.unique(key, return_index=True, return_inverse=True)
+    words, first = data[ragged(start[sample], length[sample])], np.r_[0, np.cumsum(length[sample])]
+    for i in range(0, len(start), 1 << 18):
+        w, n = which[i : i + (1 << 18)], length[i : i + (1 << 18)]
+        if not np.array_equal(length[sample][w], n) or not np.array_equal(words[ragged(first[w], n)], data[start[i] : start[i] + n.sum()]):
+            break
+    else:
+        return sample, which
+    number: dict[bytes, int] = {}
+    raw = data.tobytes()
+    which = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(start.tolist(), length.tolist())], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
 def encode_texts(data: np.ndarray, offsets: np.ndarray, r: Ranks) -> tuple[np.ndarray, np.ndarray]:
     """(ids, n + 1 offsets) of several texts: distinct pre-tokens are merged once and dealt back to their places."""
     starts, lens, keys = [], [], []
@@ -250,22 +288,16 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, r: Ranks) -> tuple[np.nd
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         s = pretokens(part, own)
         e = np.append(s[1:], len(part)).astype(np.int64)
-        total, down = prefix_hash(part), powers(max(len(part), 1))[1]
         if len(s):
-            keys.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+            keys.append(hashes(part, s, e - s))
             starts.append(s + offsets[i])
             lens.append(e - s)
     if not starts:
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     start, length, key = np.concatenate(starts), np.concatenate(lens), np.concatenate(keys)
-    _, sample, which = np.unique(key, return_index=True, return_inverse=True)
+    sample, which = distinct(data, start, length, key)
     words = data[ragged(start[sample], length[sample])]
     first = np.r_[0, np.cumsum(length[sample])]
-    # the hash only groups: every occurrence is compared with the word that stands for it
-    for i in range(0, len(start), 1 << 18):
-        w, n = which[i : i + (1 << 18)], length[i : i + (1 << 18)]
-        if not np.array_equal(length[sample][w], n) or not np.array_equal(words[ragged(first[w], n)], data[start[i] : start[i] + n.sum()]):
-            raise ValueError("two pre-tokens share a hash")
     ids, bounds = replay(words, first, r)
     count = np.diff(bounds)[which]
     out = ids[ragged(bounds[which], count)]

@@ -22,20 +22,41 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one, and any other is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: state between stages needs a folder that all executors share")
         at = tempfile.mkdtemp(prefix="loam-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _files(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: the files survive lost executors and cut the lineage."""
+    """df, written to the shared folder and read again: the files survive lost executors and cut the lineage.
+
+    The files go when the driver ends, or with discard() where nothing reads them any more.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    fs, path = _files(spark, at)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that no later action reads."""
+    for t in tables:
+        fs, path = _files(t.sparkSession, t.written_at)
+        fs.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -113,6 +134,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte string data[start : start + size].
+
+    Its chunks of eight bytes, each mixed with its number, are summed and mixed with the size. Unlike a polynomial
+    modulo 2 ** 64, for which long words of two alternating letters collide whatever the base, equal hashes of
+    different strings are chance alone.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(data) + 8,), "<u8", buffer=padded, strides=(1,))
+    start, size = start.astype(np.int64), size.astype(np.int64)
+
+    def chunk(at: np.ndarray, left: np.ndarray, number: np.ndarray) -> np.ndarray:
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.clip(left, 1, 8)).astype(np.uint64))
+        return mix((eight[at] & keep) ^ mix((number + 1 + seed * 0x10001).astype(np.uint64) * np.uint64(ODD)))
+
+    out = chunk(start, size, np.zeros(1, np.int64))
+    out[size == 0] = 0
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        number = np.arange(int(more.sum()), dtype=np.int64) - np.repeat(np.cumsum(more) - more, more) + 1
+        owner = np.repeat(long, more)
+        rest = chunk(start[owner] + 8 * number, size[owner] - 8 * number, number)
+        out[long] += np.add.reduceat(rest, np.cumsum(more) - more)
+    return mix(out + size.astype(np.uint64) * np.uint64(ODD))
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of a word: digits, letters, and every byte of a character outside ASCII.
@@ -121,7 +171,7 @@ IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 
 class Words:
-    """Words of several texts: begin and end (bytes), doc (text number), hash of the lower-cased word, first (word number of each text's first word, n + 1 values).
+    """Words of several texts: begin and end (bytes), doc (text number), low (lower-cased bytes), hash of the lower-cased word, first (word number of each text's first word, n + 1 values).
 
     Places of bytes that are in no word, and at which words are cut, may be given.
     """
@@ -145,8 +195,8 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.begin, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        total, down = prefix_hash(low), powers(len(data))[1]
-        self.hash = mix((total[self.end] - total[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64)) if len(self.begin) else np.zeros(0, np.uint64)
+        self.low = low
+        self.hash = hashes(low, self.begin, self.end - self.begin)
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -8,48 +8,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import Words, flat, pieces, ragged, table, texts, written
+from loam.llm.common import Words, flat, hashes, pieces, ragged, table, texts, written
 
 #: Words of a window, and how far a term may lie from its place in a proximity match.
 WIDTH, SLOP = 10, 3
 #: Bytes of test text that one broadcast holds; a larger benchmark is taken in blocks, each over all rows.
 BLOCK_BYTES = 16 << 20
 
-#: A segment of the index: its documents (ids, numbers of words), and the postings of all their words. terms: distinct
-#: word hashes, ascending; counts: postings of each; places: the positions, term by term, as packed differences.
-POSTINGS = "segment string, ids array<long>, words array<int>, terms binary, counts binary, places binary"
-SCHEMA = "doc_id long, n_words long, hits array<int>, items array<string>, near_items array<string>, segment string, row int"
+#: A segment of the index: its documents (ids, hashes of the texts, numbers of words), and the postings of all their words. terms and sizes:
+#: the distinct words themselves and their bytes, in the order of their hashes; counts: postings of each; places: the
+#: positions, term by term, as packed differences.
+POSTINGS = "segment string, ids array<long>, keys array<long>, words array<int>, terms binary, sizes binary, counts binary, places binary"
+SCHEMA = "doc_id long, text_key long, n_words long, hits array<int>, items array<string>, near_items array<string>, segment string, row int"
 
 
-def windows(ids: list[str], words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of all items: word hashes (one row of `width` each, padded), true lengths, and item id of each."""
-    column = pa.array(words, pa.string())
-    w = Words(*flat(column))
+def windows(ids: list[str], words: list[str], width: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[str]]:
+    """Windows of all items: the distinct words, word numbers (one row of `width` each, padded), true lengths, and item id of each."""
+    w = Words(*flat(pa.array(words, pa.string())))
+    raw, number = w.low.tobytes(), {}
+    term = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(w.begin.tolist(), w.end.tolist())], np.int64)
     n = np.diff(w.first)
     per = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     start, item = ragged(w.first[:-1], per), np.repeat(np.arange(len(n)), per)
-    padded = np.r_[w.hash, np.zeros(width, np.uint64)]
-    rows = padded[start[:, None] + np.arange(width)[None, :]] if len(start) else np.zeros((0, width), np.uint64)
-    return rows, np.minimum(n, width)[item], [ids[i] for i in item]
+    padded = np.r_[term, np.zeros(width, np.int64)]
+    rows = padded[start[:, None] + np.arange(width)[None, :]] if len(start) else np.zeros((0, width), np.int64)
+    return list(number), rows, np.minimum(n, width)[item], [ids[i] for i in item]
 
 
 def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of the index of some documents; positions number the words of a segment."""
     for batch in batches:
-        data, offsets = flat(batch.column(1))
+        data, offsets = flat(batch.column(2))
         for i, j in pieces(offsets):
             words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            size = words.end - words.begin
+            other = hashes(words.low, words.begin, size, seed=1)  # words are the same if both hashes are
             place = np.argsort(words.hash, kind="stable").astype(np.int32)
-            term = words.hash[place]
-            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(first, len(term))).astype(np.int32)
-            packed = (term[first].tobytes(), counts.tobytes(), zlib.compress(np.diff(place, prepend=np.int32(0)).tobytes(), 1))
-            ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
+            same = words.hash[place[1:]] == words.hash[place[:-1]]
+            if (same & (other[place[1:]] != other[place[:-1]])).any():
+                place = np.lexsort((other, words.hash)).astype(np.int32)
+                same = words.hash[place[1:]] == words.hash[place[:-1]]
+            first = np.flatnonzero(np.r_[True, ~(same & (other[place[1:]] == other[place[:-1]]))]) if len(place) else np.zeros(0, np.int64)
+            counts, at = np.diff(np.append(first, len(place))).astype(np.int32), place[first]
+            packed = (words.low[ragged(words.begin[at], size[at])], size[at].astype(np.int32), counts, np.diff(place, prepend=np.int32(0)))
+            ids = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(k).slice(i, j - i)) for k in (0, 1)]
             sizes = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), pa.array(np.diff(words.first), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), ids, sizes, *(pa.array([x], pa.binary()) for x in packed)], names=["segment", "ids", "words", "terms", "counts", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *ids, sizes, *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in packed)], names=["segment", "ids", "keys", "words", "terms", "sizes", "counts", "places"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,27 +67,51 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     passage that a third of all documents hold adds to a segment no more than its own postings. The table serves
     any number of searches; no text is read again.
     """
-    return written(texts(docs, id_col, text_col).mapInArrow(postings, POSTINGS), "postings")
+    return written(texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(postings, POSTINGS), "postings")
+
+
+class Terms:
+    """Words, their bytes one after the other, and their hashes."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray):
+        self.data, self.size = data, size.astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.hash = hashes(data, self.first, self.size)
+
+    def equal(self, own: np.ndarray, other: Terms, its: np.ndarray) -> np.ndarray:
+        """Whether the words of the given numbers have the same bytes."""
+        ok = self.size[own] == other.size[its]
+        at = np.flatnonzero(ok)
+        if len(at):
+            n = self.size[own[at]]
+            ok[at] = np.logical_and.reduceat(self.data[ragged(self.first[own[at]], n)] == other.data[ragged(other.first[its[at]], n)], np.cumsum(n) - n)
+        return ok
 
 
 class Index:
     """Postings (test term -> positions) of one segment; the words of different documents are kept apart by `doc`."""
 
-    def __init__(self, words: np.ndarray, terms: bytes, counts: bytes, places: bytes, wanted: np.ndarray):
+    def __init__(self, words: np.ndarray, terms: bytes, sizes: bytes, counts: bytes, places: bytes, wanted: Terms):
         self.words = np.r_[0, np.cumsum(words)].astype(np.int64)
         self.head, self.tail = self.words[:-1], self.words[1:] - 1
-        have, size = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.int32).astype(np.int64)
-        at = np.searchsorted(have, wanted)
-        at[at == len(have)] = 0
-        found = have[at] == wanted if len(have) else np.zeros(len(wanted), bool)
-        count = np.where(found, size[at] if len(have) else 0, 0)
+        have = Terms(np.frombuffer(zlib.decompress(terms), np.uint8), np.frombuffer(zlib.decompress(sizes), np.int32))
+        size = np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
+        count, at = np.zeros(len(wanted.hash), np.int64), np.zeros(len(wanted.hash), np.int64)
+        place, todo = np.searchsorted(have.hash, wanted.hash), np.arange(len(wanted.hash))
+        while len(todo):  # a second round only where another word has the same hash
+            todo = todo[place[todo] < len(have.hash)]
+            todo = todo[have.hash[place[todo]] == wanted.hash[todo]]
+            same = have.equal(place[todo], wanted, todo)
+            at[todo[same]], count[todo[same]] = place[todo[same]], size[place[todo[same]]]
+            todo = todo[~same]
+            place[todo] += 1
         every = np.cumsum(np.frombuffer(zlib.decompress(places), np.int32), dtype=np.int64)
         begin = np.r_[0, np.cumsum(size)][at]
         self.places = every[ragged(begin, count)]
         self.first = np.r_[0, np.cumsum(count)]
         #: One ascending list of all (term, position) postings, for membership tests.
         self.span = np.int64(self.words[-1] + 1)
-        self.keys = np.repeat(np.arange(len(wanted)), count) * self.span + self.places
+        self.keys = np.repeat(np.arange(len(count)), count) * self.span + self.places
 
     def doc(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.words, place, side="right") - 1
@@ -129,23 +161,22 @@ def intersect(index: Index, terms: np.ndarray, lens: np.ndarray, slop: int) -> t
     return window, start, near_w, near_d
 
 
-def search(index: DataFrame, items: list[tuple[str, str]], width: int, slop: int) -> DataFrame:
-    """One block of test items (broadcast with the task) against every segment of the index."""
-    rows, lens, owner = windows([i for i, _ in items], [t for _, t in items], width)
-    vocabulary = np.unique(rows[np.arange(width)[None, :] < lens[:, None]]) if len(rows) else np.zeros(0, np.uint64)
-    terms = np.minimum(np.searchsorted(vocabulary, rows), max(len(vocabulary) - 1, 0)).astype(np.int64)
+def search(index: DataFrame, items: list[tuple[str, str]], width: int, slop: int) -> tuple[DataFrame, Broadcast]:
+    """One block of test items against every segment of the index, and the broadcast that the block travels in."""
+    vocabulary, terms, lens, owner = windows([i for i, _ in items], [t for _, t in items], width)
     names = sorted(set(owner))
     place = {x: k for k, x in enumerate(names)}
     number = np.array([place[x] for x in owner], np.int64)
-    shared = index.sparkSession.sparkContext.broadcast((vocabulary, terms, lens, names, number))
+    shared = index.sparkSession.sparkContext.broadcast((vocabulary, terms, lens, names, number))  # of one block, at most a few times block_bytes
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, terms, lens, names, number = shared.value
+        wanted = Terms(np.frombuffer(b"".join(vocabulary), np.uint8), np.array([len(x) for x in vocabulary], np.int64))
         for batch in batches:
             for k in range(batch.num_rows):
-                segment, ids, words, *packed = (c[k] for c in batch.columns)
+                segment, ids, keys, words, *packed = (c[k] for c in batch.columns)
                 n = len(ids.values)
-                at = Index(np.asarray(words.values), *(x.as_py() for x in packed), vocabulary)
+                at = Index(np.asarray(words.values), *(x.as_py() for x in packed), wanted)
                 if len(terms):
                     w, s, nw, nd = intersect(at, terms, lens, slop)
                 else:
@@ -162,11 +193,11 @@ def search(index: DataFrame, items: list[tuple[str, str]], width: int, slop: int
                 bounds = np.searchsorted(hit, at.words)
                 hits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - np.repeat(at.head, np.diff(bounds)), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array(np.diff(at.words), pa.int64()), hits, *out, pa.array([segment.as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int32())],
-                    names=["doc_id", "n_words", "hits", "items", "near_items", "segment", "row"],
+                    [ids.values, keys.values, pa.array(np.diff(at.words), pa.int64()), hits, *out, pa.array([segment.as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int32())],
+                    names=["doc_id", "text_key", "n_words", "hits", "items", "near_items", "segment", "row"],
                 )
 
-    return index.mapInArrow(task, SCHEMA)
+    return index.mapInArrow(task, SCHEMA), shared
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -175,31 +206,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slo
     The positional inverted index of all words is written to the shared folder, partitioned by document (see
     build_index). Every task takes the postings of the test terms from its segments and intersects them there, moved
     by their offsets, from the rarest term on; a passage that a third of all documents hold costs no task more than
-    its own rows. The test items go to the tasks in blocks of at most `block_bytes`; each block is searched in all
-    segments and the blocks' findings are merged by row.
+    its own rows. Words are told apart by their bytes. The test items go to the tasks in blocks of at most `block_bytes`;
+    each block is searched in all segments, its findings are kept as a table, and they are merged by row.
 
-    Returns doc_id, n_words, hits (numbers of the words inside an occurrence of a window), items (ids as strings,
+    Returns doc_id, text_key (xxhash64 of the text, which tells rows of one id apart), n_words, hits (numbers of the words inside an occurrence of a window), items (ids as strings,
     sorted, of the items with an occurring window), near_items. An item of fewer words is one window; one
-    without words, or null, has none. A null or empty document has no words. Rows that repeat an id are searched
-    one by one; an empty table gives no rows, an empty benchmark no hits.
+    without words, or null, has none; items without an id are left out. A null or empty document has no words. Rows
+    that repeat an id or have none are searched one by one and give a row each; an empty table gives no rows, an
+    empty benchmark no hits; other columns of either table are ignored.
     """
     index = build_index(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
     found, block, size = [], [], 0
-    for r in items.toLocalIterator():  # a block at a time
+
+    def done() -> DataFrame:
+        rows, shared = search(index, block, width, slop)
+        if last and not found:  # the only block
+            return rows
+        rows = written(rows, "hits")
+        shared.destroy()
+        return rows
+
+    last = False
+    for r in items.toLocalIterator():  # the stated query set, a block at a time
         if block and size + len(r["text"]) * 2 > block_bytes:
-            found.append(search(index, block, width, slop))
+            found.append(done())
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
         size += len(r["text"]) * 2
-    found.append(search(index, block, width, slop))
+    last = True
+    found.append(done())
     union = found[0]
     for x in found[1:]:
         union = union.unionByName(x)
     if len(found) > 1:  # a row a block
         lists = {c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "near_items")}
-        union = union.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists.values())
-    return union.select("doc_id", "n_words", "hits", "items", "near_items")
+        union = union.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.max("n_words").alias("n_words"), *lists.values())
+    return union.select("doc_id", "text_key", "n_words", "hits", "items", "near_items")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import code_points
-from loam.llm.common import Words, flat, mix, partitions, pieces, powers, ragged, table, texts
+from loam.llm.common import ODD, Words, flat, mix, partitions, pieces, ragged, table, texts
 from loam.llm.shares import ASKED, answer, ask
 
 #: A span has at least so many sentences and words.
@@ -120,11 +120,13 @@ class Spans:
             ok = start >= self.first[:-1][doc]
             ok[ok] = stop[start[ok]] != at[ok] + 1  # the others are spans of their first sentence
             self.start, self.stop, self.doc = np.r_[self.start, start[ok]], np.r_[self.stop, at[ok] + 1], np.r_[self.doc, doc[ok]]
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(words.hash * up[:n], out=total[1:])
-        a, b = edges[self.start], edges[self.stop]
-        self.key = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)) if len(a) else np.zeros(0, np.uint64)
+        a, size = edges[self.start], edges[self.stop] - edges[self.start]
+        if len(a):
+            begin = np.cumsum(size) - size
+            number = np.arange(int(size.sum())) - np.repeat(begin, size)
+            self.key = mix(np.add.reduceat(mix(words.hash[np.repeat(a, size) + number] ^ mix((number + 1).astype(np.uint64) * np.uint64(ODD))), begin) + size.astype(np.uint64))
+        else:
+            self.key = np.zeros(0, np.uint64)
 
 
 def keys_of(data: np.ndarray, offsets: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import flat, mix, partitions, pieces, powers, prefix_hash, ragged, table, texts
+from loam.llm.common import flat, hashes, mix, partitions, pieces, powers, prefix_hash, ragged, table, texts
 from loam.llm.shares import ASKED, answer, ascending, ask, restored, short
 
 #: Bytes of a repeated string, and of the anchor whose least hash names a window of that many bytes.
@@ -55,8 +55,7 @@ class Runs:
 
 def names(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each fragment."""
-    total, down = prefix_hash(data), powers(max(len(data), 1))[1]
-    return mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+    return hashes(data, start, size)
 
 
 FRAGMENTS = "bucket int, number long, keys binary, docs binary, counts binary, many binary, sizes binary, bytes binary"

@@ -182,16 +182,32 @@ def test_exact_dedup(frame, awkward, nothing, spark):
 
 def test_directory_doubles(spark):
     """A small capacity makes buckets split; every slot points to the bucket of its prefix, and none is overfull."""
-    entries = spark.range(500).select(F.xxhash64("id").alias("h"))
-    slots, bits = exact_dedup.directory(entries, capacity=40)
+    keys = spark.range(500).select(F.xxhash64("id").alias("h"))
+    slots, bits = exact_dedup.directory(keys, capacity=40)
     rows = slots.collect()
     assert bits > 4 and sorted(r["slot"] for r in rows) == list(range(1 << bits))
     for r in rows:
         assert r["slot"] >> (bits - r["local_bits"]) << (bits - r["local_bits"]) == r["bucket"]
-    held = entries.withColumn("slot", exact_dedup.prefix(F.col("h"), bits)).join(slots, "slot").groupBy("bucket").count().collect()
+    held = exact_dedup.located(keys, slots, bits).groupBy("bucket").count().collect()
     assert max(r["count"] for r in held) <= 40 and sum(r["count"] for r in held) == 500
-    small = exact_dedup.exact_dedup(spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")), capacity=16)
-    assert small.where("kept").count() == 300
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    sent, joined = (exact_dedup.exact_dedup(docs, capacity=16, sent_bits=b).select("doc_id", "kept", "bucket", "chain").collect() for b in (16, 1))
+    assert sorted(sent) == sorted(joined) and all(r["kept"] for r in sent) and len({r["bucket"] for r in sent}) > 16
+
+
+def test_chains_of_one_key(spark):
+    """Five keys for all texts: every bucket's chain holds many texts, each a group of its own; without the directory nothing is found."""
+    docs = spark.createDataFrame([(i, f"text {i % 37}") for i in range(111)], "doc_id long, text string")
+    key = lambda t: F.xxhash64(F.pmod(F.xxhash64(t), F.lit(5)))
+    got = exact_dedup.exact_dedup(docs, capacity=2, key=key).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(i, 74 + i % 37, 3, i >= 74) for i in range(111)]
+    assert len({(r["keep_id"], r["bucket"], r["chain"]) for r in got}) == 37 and max(r["chain"] for r in got) > 3
+    whole = exact_dedup.directory
+    try:
+        exact_dedup.directory = lambda keys, capacity: (whole(keys, capacity)[0].where("false"), 0)
+        assert exact_dedup.exact_dedup(docs, key=key).count() == 0
+    finally:
+        exact_dedup.directory = whole
 
 
 def plain_jaccard(rows, t=0.8):
@@ -203,6 +219,8 @@ def plain_jaccard(rows, t=0.8):
             where[x].append(d)
     links = defaultdict(set)
     for d, s in sets.items():
+        if not s:
+            continue
         for e, k in Counter(e for x in s for e in where[x] if e != d).items():
             if k >= t * (len(s) + len(sets[e]) - k) - 1e-9:
                 links[d].add(e)
@@ -225,6 +243,52 @@ def test_jaccard(frame, awkward, nothing, block):
         assert jaccard.jaccard_join(nothing).count() == 0
 
 
+def test_jaccard_recall(spark):
+    """Pairs of texts at the threshold and above it: every link is found."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(300):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice((12, 40, 120, 300)))]
+        n = len(w) - 4
+        most = int(n * (1 - 0.8) / (1 + 0.8))  # shingles that may differ on each side
+        changed = list(w)
+        for i in range(rng.randint(0, max(0, most // 5))):
+            changed[5 * i + 2] = f"x{rng.randint(0, 10**6)}"
+        tail = changed + [f"t{k}_{i}" for i in range(rng.randint(0, 2))]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(tail))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_shingles"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = plain_jaccard(rows)
+    assert got == expected and sum(e[1] for e in expected.values()) > 400
+
+
+def test_jaccard_chain(spark):
+    """Texts of a chain, each linked to its neighbours alone: far fewer pairs are compared than the group has."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[7 * i : 7 * i + 100])) for i in range(200)]
+    expected = plain_jaccard(rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_shingles"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected and {c for c, _, _ in got.values()} == {0}
+    sketches = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("doc_id").alias("d"), F.lit(0).cast("long"), "text").mapInArrow(jaccard.sketch, jaccard.SKETCH)
+    sizes = jaccard.buckets(sketches.withColumnRenamed("row", "rep")).select("key", "size").distinct().collect()
+    assert sum(r["size"] * (r["size"] - 1) // 2 for r in sizes) < 200 * 199 // 2 // 2
+
+
+def test_jaccard_ids(spark):
+    """Null and repeated ids: every row is judged by its own text."""
+    rng = random.Random(30)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (2, a + " more"), (1, b), (3, b + " more"), (None, c), (None, c + " more"), (4, d), (None, d), (5, None), (None, ""), (6, text()), (6, text()), (7, a), (7, a)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = {r["text_key"]: r["t"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("text_key")).collect()}
+    told = sorted(((r["doc_id"], key[r["text_key"]], r["class_id"], r["n_links"]) for r in got), key=repr)
+    want = [(1, a, 1, 3), (2, a + " more", 1, 3), (7, a, 1, 3), (7, a, 1, 3), (1, b, 1, 1), (3, b + " more", 1, 1), (None, c, None, 1), (None, c + " more", None, 1), (4, d, 4, 1), (None, d, 4, 1), (5, "", 5, 0), (None, "", None, 0), (6, rows[10][1], 6, 0), (6, rows[11][1], 6, 0)]
+    assert told == sorted(want, key=repr)
+    kept = sorted(((r["doc_id"], key[r["text_key"]]) for r in got if r["kept"]), key=repr)
+    assert [x for x in kept if x[1] not in (c, c + " more")] == sorted([(1, a), (1, b), (4, d), (5, ""), (None, ""), (6, rows[10][1]), (6, rows[11][1])], key=repr)
+    assert sum(x[1] in (c, c + " more") for x in kept) == 1
+
+
 def test_jaccard_many_links(spark):
     """A large group of near copies over several blocks, whose pairs go through the product of sets."""
     rng = random.Random(2)
@@ -242,7 +306,7 @@ def test_jaccard_many_links(spark):
 
 def test_posterior_bound():
     fewest = jaccard.least_matches(0.8, 1e-9)
-    assert fewest[128] < 0.8 * 128 and all(fewest[a] <= fewest[b] for a, b in zip(sorted(fewest), sorted(fewest)[1:]))
+    assert max(fewest) == jaccard._n and fewest[jaccard._n] < 0.8 * jaccard._n and all(fewest[a] <= fewest[b] for a, b in zip(sorted(fewest), sorted(fewest)[1:]))
 
 
 def test_components(spark):
