@@ -1,12 +1,13 @@
 """From raw documents to training tokens: language ID, exact and near dedup, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the
-columns of documents.
+columns of documents. A row is known by its id and its text, null-safe: a null id is an id like any other, and of rows
+that repeat an id each is judged by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import default_ranks, encode
@@ -20,8 +21,20 @@ from loam.llm.language_id import identify, learn
 LEAST_SCORE = 0.15
 
 
-def without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
-    return docs.join(dropped, on, "left_anti")
+def whole(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """docs less the rows that are equal in id and key to one of dropped (dropped_id, dropped_key)."""
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["dropped_id"]) & (key == dropped["dropped_key"]), "left_anti")
+
+
+def one_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs with one of the rows that repeat id and text, given the keys of all its rows; where none repeats, nothing moves."""
+    if kept.groupBy(*kept.columns).agg(F.count("*").alias("times")).where("times > 1").isEmpty():
+        return docs
+    return docs.withColumn("repeated_text", whole(docs)).dropDuplicates(["doc_id", "repeated_text"]).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +46,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays; of rows equal in id and text, one."""
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    dropped = exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("digest"))
-    return without(docs.withColumn("digest", digest), dropped, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).drop("digest")
+    """Of equal texts, the row with the largest id stays (one without an id if none has one); of rows equal in id and text, one."""
+    found = exact_dedup(docs)
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_key"))
+    return one_each(without(docs, dropped, F.sha2(whole(docs).cast("binary"), 256)), found.where("kept").select("doc_id", "text_sha256"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similarity 0.8 or more, the one with the least id stays."""
-    return without(docs, jaccard_join(docs).where("class_id <> doc_id").select("doc_id"), ["doc_id"])
+    """Of documents connected by similarity 0.8 or more, the one with the least id stays (null ids come last); of rows equal in id and text, one."""
+    found = written(jaccard_join(docs).select("doc_id", "text_key", "kept"), "near_keys")
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key"))
+    return one_each(without(docs, dropped, F.xxhash64(whole(docs))), found.where("kept").select("doc_id", "text_key"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(F.size("hits") > 0).select("doc_id"), ["doc_id"])
+    dropped = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key"))
+    return without(docs, dropped, F.xxhash64(whole(docs)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
