@@ -7,14 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.operators.results import search
+from loam.operators.results import search, with_contexts
 from loam.operators.terms import Term
 
-# Common English words that say nothing of a text.
+# The English stop words of the usual public list that have five characters or more and no apostrophe.
 STOP_WORDS = (
-    "about", "above", "after", "again", "against", "because", "before", "being", "below", "between", "cannot", "could", "doing", "during",
-    "further", "having", "herself", "himself", "itself", "myself", "other", "ought", "ourselves", "should", "their", "theirs", "themselves",
-    "there", "these", "those", "through", "under", "until", "where", "which", "while", "whose", "would", "yourself", "yourselves",
+    "about", "above", "after", "again", "against", "because", "before", "being", "below", "between", "couldn", "doesn", "doing", "during",
+    "further", "haven", "having", "herself", "himself", "itself", "mightn", "mustn", "myself", "needn", "other", "ourselves", "should", "shouldn",
+    "their", "theirs", "themselves", "there", "these", "those", "through", "under", "until", "weren", "where", "which", "while", "wouldn",
+    "yours", "yourself", "yourselves",
 )
 #: Results that are mined, words that are combined, words of a cluster, clusters returned.
 RESULTS, MOST_WORDS, SIZES, TOP = 4, 50, (2, 3, 4), 10
@@ -25,20 +26,21 @@ def top_results(results: DataFrame, n: int = RESULTS) -> DataFrame:
     return results.orderBy(F.desc(F.round("score", 9)), "uri").limit(n)
 
 
-def word_frequency(results: DataFrame, text_col: str, least: int = 5) -> DataFrame:
-    """(word, n) of words of letters and digits with `least` characters, in lower case, stop words apart."""
-    words = results.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("word")).where(F.length("word") >= least)
+def word_frequency(results: DataFrame, text_cols: Iterable[str] = ("title", "matches_with_context"), least: int = 5) -> DataFrame:
+    """(word, n) of words of letters and digits with `least` characters, in lower case, stop words apart, over the given text (or list of texts) columns."""
+    told = [F.col(c) if results.schema[c].dataType.typeName() == "array" else F.array(c) for c in text_cols]
+    words = results.select(F.explode(F.concat(*told)).alias("text")).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("word")).where(F.length("word") >= least)
     return words.select(F.lower("word").alias("word")).where(~F.col("word").isin(*STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def word_clusters(results: DataFrame, text_col: str = "text", least: int = 5) -> DataFrame:
+def word_clusters(results: DataFrame, text_cols: Iterable[str] = ("title", "matches_with_context"), least: int = 5) -> DataFrame:
     """(cluster, score): the best combinations of two to four of the most frequent words by mean frequency.
 
-    At most MOST_WORDS words are combined, whatever the input, so the joins below have a fixed size.
+    At most MOST_WORDS words, whatever the input, come to the driver, and are combined from there: the search is
+    planned and run once, and the joins below have a fixed size.
     """
-    ranked = word_frequency(results, text_col, least).orderBy(F.desc("n"), "word").limit(MOST_WORDS)
-    listed = ranked.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))).alias("all"))
-    words = listed.select(F.posexplode("all").alias("i", "w")).select("i", F.col("w.word").alias("word"), (-F.col("w.m")).alias("n"))
+    ranked = word_frequency(results, text_cols, least).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    words = results.sparkSession.createDataFrame([(i, r["word"], r["n"]) for i, r in enumerate(ranked)], "i int, word string, n long").coalesce(1)
     combos = words.select(F.array("word").alias("words"), F.col("n").alias("total"), F.col("i").alias("last"))
     out = None
     for size in SIZES:
@@ -48,8 +50,7 @@ def word_clusters(results: DataFrame, text_col: str = "text", least: int = 5) ->
     return out.orderBy(F.desc("score"), F.desc("words")).limit(TOP).select(F.array_join("words", " ").alias("cluster"), F.round("score", 6).alias("score"))
 
 
-def derivative_search(docs: DataFrame, terms: Iterable[Term], min_score: float = 1.0) -> DataFrame:
+def derivative_search(docs: DataFrame, terms: Iterable[Term], min_score: float = 1.0, columns: Iterable[str] = ("n", "score")) -> DataFrame:
     """A second search: the words of the first search's best cluster."""
-    first = search(docs, terms, min_score=min_score).select("uri", "text", "score")
-    best = word_clusters(top_results(first)).first()
-    return search(docs, [Term(w) for w in best["cluster"].split()] if best else [], min_score=min_score)
+    best = word_clusters(top_results(with_contexts(docs, terms, min_score=min_score))).first()
+    return search(docs, [Term(w) for w in best["cluster"].split()] if best else [], min_score=min_score, columns=columns)

@@ -2,78 +2,174 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.arrow import flat, pieces
 from loam.operators.terms import Term, last_wins
 
 MATCHES = "array<struct<pos:int,term:string,order:int,line:int>>"
-LINE_END = re.compile("\n")
 _kind = pa.list_(pa.struct([("pos", pa.int32()), ("term", pa.string()), ("order", pa.int32()), ("line", pa.int32())]))
 
 
-def automaton(terms: Iterable[Term]):
-    """find(text) -> [(pos, Term)] in the order of the matches' ends; an automaton where the library is there, else one expression a term."""
-    terms = last_wins(terms)
-    try:
-        import ahocorasick
-    except ImportError:
-        looks = [(re.compile(f"(?={re.escape(t.text)})"), t) for t in terms]
-        return lambda text: sorted(((m.start(), t) for p, t in looks for m in p.finditer(text)), key=lambda x: (x[0] + len(x[1].text), x[0]))
-    if not terms:
-        return lambda text: []
-    made = ahocorasick.Automaton()
-    for t in terms:
-        made.add_word(t.text, t)
-    made.make_automaton()
-    return lambda text: [(end - len(t.text) + 1, t) for end, t in made.iter(text)]
+class Found(NamedTuple):
+    """Matches of several texts, in the order of text and end (of equal ends, the longer term first): text number, term
+    number, code point in the text, 1-based line; and the code points of each text."""
+
+    doc: np.ndarray
+    term: np.ndarray
+    pos: np.ndarray
+    line: np.ndarray
+    length: np.ndarray
+
+
+#: Bytes a core at which a scan is left as it is.
+SPREAD_BYTES = 64 << 20
+
+
+def where(mask: np.ndarray) -> np.ndarray:
+    """Places at which a mask of a multiple of eight values is set; those of a thin mask by its words first."""
+    words = np.flatnonzero(mask.view(np.uint64))
+    if 16 * len(words) > len(mask):
+        return np.flatnonzero(mask)
+    found = np.flatnonzero(mask.reshape(-1, 8)[words].ravel())
+    return (words[found >> 3] << 3) + (found & 7)
+
+
+#: Distinct beginnings (two bytes) that are looked for one by one; more are marked in one table.
+FEW_HEADS = 64
+
+
+class Finder:
+    """Finds terms in the bytes of many texts at once.
+
+    Whole batches are compared with the two bytes at which terms begin; the terms' other bytes are compared at those
+    places alone.
+    """
+
+    def __init__(self, terms: Iterable[Term]):
+        self.terms = last_wins(terms)
+        self.words = [np.frombuffer(t.text.encode(), np.uint8) for t in self.terms]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.order = np.array([t.order for t in self.terms], np.int32)
+        self.texts = pa.array([t.text for t in self.terms], pa.string())
+        #: Term numbers by their first two bytes; a term of one byte has that alone.
+        self.heads: dict[tuple[int, ...], list[int]] = {}
+        for k, w in enumerate(self.words):
+            self.heads.setdefault(tuple(w[:2].tolist()), []).append(k)
+
+    def places(self, data: np.ndarray, then: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+        """(terms, places) at which their first two bytes stand; then: the bytes that follow those of data."""
+        pairs = [h for h in self.heads if len(h) == 2]
+        for h in self.heads.keys() - pairs:
+            yield self.heads[h], where(data == h[0])
+        if len(pairs) <= FEW_HEADS:
+            first = {b: data == b for b in {h[0] for h in pairs}}
+            second = {b: then == b for b in {h[1] for h in pairs}}
+            any_ = np.zeros(len(data), bool)
+            for a, b in pairs:
+                any_ |= first[a] & second[b]
+            place = where(any_)
+        else:
+            marked = np.zeros(1 << 16, bool)
+            marked[[a << 8 | b for a, b in pairs]] = True
+            place = where(marked[data.astype(np.uint16) << np.uint16(8) | then])
+        own = data[place].astype(np.uint16) << np.uint16(8) | then[place]
+        if len(pairs) <= 8:
+            for h in pairs:
+                yield self.heads[h], place[own == (h[0] << 8 | h[1])]
+            return
+        order = np.argsort(own, kind="stable")
+        own, place = own[order], place[order]
+        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            yield self.heads[int(own[a]) >> 8, int(own[a]) & 255], place[a:b]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, lines: bool = True) -> Found:
+        """Matches in the texts data[offsets[i] : offsets[i + 1]]; their lines are left at 0 where none are asked."""
+        starts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        most, n = int(self.size.max(initial=1)), -(-len(data) // 8) * 8
+        padded = np.concatenate((data, np.zeros(n - len(data) + most + 1, np.uint8)))
+        if self.terms and n:
+            for terms, place in self.places(padded[:n], padded[1 : n + 1]):
+                for k in terms:
+                    at = place
+                    for i in range(2, len(self.words[k])):
+                        at = at[padded[at + i] == self.words[k][i]]
+                    starts.append(at)
+                    numbers.append(np.full(len(at), k, np.int32))
+        start, term = np.concatenate(starts), np.concatenate(numbers)
+        end = start + self.size[term] if len(term) else start
+        order = np.argsort(end * (most + 1) + most - (end - start), kind="stable")  # ends ascend with the texts
+        start, end, term = start[order], end[order], term[order]
+        doc = np.searchsorted(offsets, start, side="right") - 1
+        inside = end <= offsets[doc + 1] if len(start) else np.zeros(0, bool)
+        start, term, doc = start[inside], term[inside], doc[inside]
+        pos, length = start - offsets[doc], np.diff(offsets)
+        if len(data) and data.max() >= 128:  # bytes that continue a character are no code points
+            more = where(padded[:n].view(np.int8) < -64)
+            before = np.searchsorted(more, offsets)
+            pos, length = pos - np.searchsorted(more, start) + before[doc], length - np.diff(before)
+        line = np.zeros(len(start), np.int64)
+        if lines:
+            breaks = where(padded[:n] == 10)
+            line = np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets)[doc] + 1
+        return Found(doc, term, pos, line, length)
+
+    def column(self, found: Found) -> pa.Array:
+        """The matches of each text as a list column."""
+        bounds = np.searchsorted(found.doc, np.arange(len(found.length) + 1))
+        struct = pa.StructArray.from_arrays([pa.array(found.pos, pa.int32()), self.texts.take(pa.array(found.term)), pa.array(self.order[found.term]), pa.array(found.line, pa.int32())], fields=list(_kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows over all cores where a scan has fewer files than cores and little to read (a file of one row group is one task); else as they are, unmoved."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    small = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * SPREAD_BYTES
+    return rows.repartition(cores, key) if small and len(rows.inputFiles()) < cores else rows
 
 
 def match(docs: DataFrame, terms: Iterable[Term], text_col: str = "text") -> DataFrame:
     """docs with a column `matches` (pos, term, order, 1-based line), in the order of the matches' ends.
 
     One pass over each text whatever the number of terms; nothing is shuffled. The other columns ride along in
-    Arrow batches, so select what is needed first.
+    Arrow batches, so select what is needed first. A null text has no matches.
     """
     terms = last_wins(terms)
     at = docs.columns.index(text_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"matches {MATCHES}"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = automaton(terms)
+        find = Finder(terms)
         for batch in batches:
-            for k in range(0, max(batch.num_rows, 1), 1000):
-                part = batch.slice(k, 1000)
-                pos, term, order, line, bounds = [], [], [], [], [0]
-                for text in part.column(at).to_pylist():
-                    found = find(text) if text else []
-                    ends = [m.start() for m in LINE_END.finditer(text)] if found else []
-                    for p, t in found:
-                        pos.append(p)
-                        term.append(t.text)
-                        order.append(t.order)
-                        line.append(bisect_left(ends, p) + 1)
-                    bounds.append(len(pos))
-                struct = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(term, pa.string()), pa.array(order, pa.int32()), pa.array(line, pa.int32())], fields=list(_kind.value_type))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), struct)], names=[*part.schema.names, "matches"])
+            data, offsets = flat(pc.fill_null(batch.column(at), ""))
+            for i, j in pieces(offsets):
+                found = find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, find.column(found)], names=[*batch.schema.names, "matches"])
 
     return docs.mapInArrow(task, schema)
 
 
-def positions(text: Column, term: str) -> Column:
-    """Places of one term as a JVM expression, linear in the text; exact for terms of which no proper prefix is a suffix."""
-    pieces = F.split(text, "\\Q" + term + "\\E", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ps"))
-    return F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1), start,
-        lambda a, p: F.struct((a["at"] + F.length(p) + len(term)).alias("at"), F.array_append(a["ps"], a["at"] + F.length(p)).alias("ps")),
-        lambda a: a["ps"],
-    )
+def positions(docs: DataFrame, terms: Iterable[Term], key: str, text_col: str = "text") -> DataFrame:
+    """(key, term, pos) in the JVM alone, by splitting each text at each term; exact for terms of which no proper prefix is a suffix.
+
+    The pieces of a text are rows, and a running sum of their lengths gives the places: linear in the text. key is unique.
+    """
+    each = F.explode(F.array(*(F.lit(t.text) for t in last_wins(terms))))
+    pieces_ = docs.select(key, text_col, each.alias("term")).where(F.contains(text_col, F.col("term")))
+    pieces_ = pieces_.select(key, "term", F.posexplode(F.split(text_col, F.concat(F.lit("\\Q"), "term", F.lit("\\E")), -1)).alias("i", "piece"))
+    sized = pieces_.select(key, "term", "i", F.length("piece").cast("long").alias("n"), F.length("term").alias("m"))
+    order = Window.partitionBy(key, "term").orderBy("i")
+    ends = sized.select(key, "term", (F.sum(F.col("n") + F.col("m")).over(order) - F.col("m")).alias("pos"), F.lead("i").over(order).alias("next"))
+    return ends.where("next IS NOT NULL").drop("next")
 
 
 def exploded(matched: DataFrame, *keys: str) -> DataFrame:

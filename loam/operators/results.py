@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import title
+from loam.functions.arrow import flat, pieces
 from loam.operators import score
-from loam.operators.match import match, term_counts
+from loam.operators.match import MATCHES, Finder, Found, spread
 from loam.operators.terms import Term, last_wins
+from loam.session import written
 
 
 def line_clusters(numbers: DataFrame, keys: list[str], context: int, line_col: str = "line") -> DataFrame:
@@ -38,41 +41,98 @@ def snippet(rows: list[str], first: int, last: int, context: int) -> str:
     return "\n".join(f"|{i}|    {rows[i - 1]}" for i in range(max(1, first - context), min(len(rows), last + context) + 1))
 
 
-def search(docs: DataFrame, terms: Iterable[Term], min_score: float = 1.0, all_terms: bool = False, noise: Iterable[str] = (), uri_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uri, text, matches, n, score) of documents that match any term (or all of them) at `min_score` or more.
+#: What a search can return of a document, beside its keys.
+COLUMNS = {
+    "text": "string", "matches": MATCHES, "n": "long", "score": "double", "search_term_match_counts": "map<string,bigint>", "line_numbers": "array<int>",
+    "title": "string", "matches_with_context": "array<string>",
+}
+_blank = " \t\n\x0b\f\r"
 
-    Scores are filtered before anything is built from the text; no shuffle.
-    """
-    terms = last_wins(terms)
-    rows = docs.select(F.col(uri_col).cast("string").alias("uri"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found = match(rows, terms).where(F.size("matches") > 0)
-    found = found.withColumn("score", score.advanced(F.col("matches"), F.length("text"), noise=noise)).where(F.col("score") >= min_score)
-    if all_terms:
-        found = found.where(score.unique_terms(F.col("matches")) >= len(terms))
-    return found.select("uri", "text", "matches", F.size("matches").cast("long").alias("n"), "score")
 
+def scan(rows: DataFrame, terms: Iterable[Term], columns: Iterable[str], text_col: str = "text", min_score: float = 1.0, all_terms: bool = False, noise: Iterable[str] = (), context: int = 16) -> DataFrame:
+    """The other columns of rows and the asked COLUMNS, of the texts that match any term (or all) at `min_score` or more.
 
-def with_contexts(found: DataFrame, context: int = 16) -> DataFrame:
-    """Document results: (uri, score, search_term_match_counts, line_numbers, title, matches_with_context)."""
-    rows = found.select("uri", "score", term_counts(F.col("matches")).alias("search_term_match_counts"), F.array_sort(F.transform("matches", lambda m: m["line"])).alias("line_numbers"), title(F.col("text")).alias("title"), "text")
-    schema = "uri string, score double, search_term_match_counts map<string,bigint>, line_numbers array<int>, title string, matches_with_context array<string>"
+    One task of vector work a batch finds, scores and filters; only what is asked leaves it, and counts, lines and
+    contexts are built for what is left alone. Nothing is shuffled.
+    """
+    terms, columns, noise = last_wins(terms), list(columns), list(noise)
+    keys = [c for c in rows.columns if c != text_col]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} {COLUMNS[c]}" for c in columns)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, lines = Finder(terms), bool({"matches", "line_numbers", "matches_with_context"} & set(columns))
         for batch in batches:
-            for k in range(0, max(batch.num_rows, 1), 500):
-                part = batch.slice(k, 500)
-                made = []
-                for numbers, text in zip(part.column(3).to_pylist(), part.column(5).to_pylist()):
-                    whole = [x.removesuffix("\r") for x in text.split("\n")]
-                    made.append([snippet(whole, a, b, context) for a, b in gather(numbers, context)])
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(made, pa.list_(pa.string()))], names=[*part.schema.names[:5], "matches_with_context"])
+            data, offsets = flat(pc.fill_null(batch.column(len(keys)), ""))
+            for i, j in pieces(offsets):
+                found = find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lines)
+                distinct, points = score.of_texts(find, found, noise)
+                count = np.bincount(found.doc, minlength=j - i)
+                kept = np.flatnonzero((count > 0) & (points >= min_score) & (distinct >= (len(terms) if all_terms else 0)))
+                part = batch.slice(i, j - i).take(pa.array(kept))
+                bounds = np.searchsorted(found.doc, np.arange(j - i + 1))
+                texts = part.column(len(keys)).to_pylist() if {"title", "matches_with_context"} & set(columns) else []
+                numbers = [np.sort(found.line[bounds[k] : bounds[k + 1]]) for k in kept.tolist()] if {"line_numbers", "matches_with_context"} & set(columns) else []
+                out = []
+                for c in columns:
+                    if c == "text":
+                        out.append(part.column(len(keys)))
+                    elif c == "matches":
+                        out.append(find.column(found).take(pa.array(kept)))
+                    elif c == "n":
+                        out.append(pa.array(count[kept], pa.int64()))
+                    elif c == "score":
+                        out.append(pa.array(points[kept], pa.float64()))
+                    elif c == "search_term_match_counts":
+                        out.append(counts(find, found, kept))
+                    elif c == "line_numbers":
+                        out.append(pa.array(numbers, pa.list_(pa.int32())))
+                    elif c == "title":
+                        out.append(pa.array(["\n".join(x.removesuffix("\r") for x in t.split("\n", 5)[:5]).strip(_blank) for t in texts], pa.string()))
+                    else:
+                        out.append(pa.array([contexts(t, gather(n.tolist(), context), context) for t, n in zip(texts, numbers)], pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *out], names=[*keys, *columns])
+
+    return rows.select(*keys, text_col).mapInArrow(task, schema)
+
+
+def counts(find: Finder, found: Found, kept: np.ndarray) -> pa.Array:
+    """Map from term to its number of matches, terms in order, of the kept texts."""
+    names = np.argsort(np.array([t.text for t in find.terms], object), kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[names] = np.arange(len(names))
+    pair, n = np.unique(found.doc * np.int64(len(names) + 1) + place[found.term], return_counts=True)
+    doc, term = pair // (len(names) + 1), names[pair % (len(names) + 1)]
+    low, high = np.searchsorted(doc, kept), np.searchsorted(doc, kept, side="right")
+    at = np.concatenate([np.arange(a, b) for a, b in zip(low, high)]) if len(kept) else np.zeros(0, np.int64)
+    return pa.MapArray.from_arrays(pa.array(np.r_[0, np.cumsum(high - low)], pa.int32()), find.texts.take(pa.array(term[at])), pa.array(n[at], pa.int64()))
+
+
+def contexts(text: str, clusters: list[tuple[int, int]], context: int) -> list[str]:
+    whole = [x.removesuffix("\r") for x in text.split("\n")]
+    return [snippet(whole, a, b, context) for a, b in clusters]
+
+
+def search(docs: DataFrame, terms: Iterable[Term], min_score: float = 1.0, all_terms: bool = False, noise: Iterable[str] = (), uri_col: str = "doc_id", text_col: str = "text", columns: Iterable[str] = ("text", "matches", "n", "score"), context: int = 16) -> DataFrame:
+    """(uri, asked columns) of documents that match any term (or all of them) at `min_score` or more.
+
+    A scan of fewer tasks than cores is spread over them by uri; else nothing moves.
+    """
+    rows = spread(docs.select(F.col(uri_col).cast("string").alias("uri"), F.coalesce(text_col, F.lit("")).alias("text")), "uri")
+    return scan(rows, terms, columns, "text", min_score, all_terms, noise, context)
 
-    return rows.mapInArrow(task, schema)
+
+def with_contexts(docs: DataFrame, terms: Iterable[Term], context: int = 16, **how) -> DataFrame:
+    """Document results: (uri, score, search_term_match_counts, line_numbers, title, matches_with_context)."""
+    return search(docs, terms, columns=("score", "search_term_match_counts", "line_numbers", "title", "matches_with_context"), context=context, **how)
 
 
 def bulk_search(docs: DataFrame, terms: Iterable[Term], context: int = 16, **how) -> DataFrame:
-    """All document results, best first; equal scores by uri."""
-    return with_contexts(search(docs, terms, **how), context).orderBy(F.desc("score"), "uri")
+    """All document results, best first; equal scores by uri.
+
+    The results are kept as a table before they are put in order, as the order samples its input: the texts are
+    searched once.
+    """
+    return written(with_contexts(docs, terms, context, **how), "results").orderBy(F.desc("score"), "uri")
 
 
 def merge(parts: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Relevance scores as column expressions over a column of matches (pos, term, order) and a text length."""
+"""Relevance scores over matches (pos, term, order) and a text length: as column expressions, and of whole batches inside a task."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loam.operators.match import Finder, Found
+
 #: Weight of a match that may be partial, and characters from the first match of a cluster to its last.
 PENALTY, WINDOW = 0.9, 50
 
@@ -61,3 +64,42 @@ def without_noise(matches: Column, markers: Iterable[str]) -> Column:
 def advanced(matches: Column, length: Column, penalty: float = PENALTY, window: int = WINDOW, noise: Iterable[str] = ()) -> Column:
     """The score used by searches: improved(), after noise is filtered; 0 if nothing is left."""
     return improved(without_noise(matches, noise), length, penalty, window)
+
+
+def cluster_counts(doc: np.ndarray, pos: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
+    """clusters() of n texts: from each cluster's first place, one step to the first place beyond its window."""
+    key = np.sort(doc * np.int64(1 << 33) + pos)
+    beyond = np.searchsorted(key, key + window, side="right").tolist()
+    bounds = np.searchsorted(key, np.arange(n + 1) * np.int64(1 << 33)).tolist()
+    out = np.zeros(n, np.int64)
+    for d in range(n):
+        at, end, count = bounds[d], bounds[d + 1], 0
+        while at < end:
+            at, count = beyond[at], count + 1
+        out[d] = count
+    return out
+
+
+def of_texts(find: Finder, found: Found, noise: Iterable[str] = (), penalty: float = PENALTY, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct terms, advanced score) of each text of a batch: what the column expressions give, from the matches in place."""
+    n = len(found.length)
+    noise = list(noise)
+    clean = np.array([not any(x in t.text.lower() for x in noise) for t in find.terms], bool) if noise else np.ones(len(find.terms), bool)
+    keep = clean[found.term] if len(found.term) else np.zeros(0, bool)
+    doc, term, pos = found.doc[keep], found.term[keep], found.pos[keep]
+
+    def distinct(doc: np.ndarray, term: np.ndarray) -> np.ndarray:
+        if n * len(find.terms) <= 1 << 24:
+            return np.count_nonzero(np.bincount(doc * len(find.terms) + term, minlength=n * len(find.terms)).reshape(n, -1), axis=1)
+        return np.bincount(np.unique(doc * np.int64(len(find.terms)) + term) // len(find.terms), minlength=n)
+
+    count = np.bincount(doc, minlength=n).astype(float)
+    weights = np.zeros(n)
+    orders = find.order[term]
+    for o in np.unique(orders).tolist():
+        weights += penalty / (o + 1.0) * np.bincount(doc[orders == o], minlength=n)
+    share = np.divide(count, found.length, out=np.zeros(n), where=found.length > 0)
+    some = count > 0
+    close = 1 + 1 / np.maximum(cluster_counts(doc, pos, n, window), 1)
+    score = np.where(some, weights * np.sqrt(distinct(doc, term) if find.terms else 0) * (1 + share) * close * (1 + np.minimum(1.0, share)), 0.0)
+    return (distinct(found.doc, found.term) if find.terms else np.zeros(n, np.int64)), score

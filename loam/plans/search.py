@@ -27,7 +27,7 @@ def corpus(spark: SparkSession, sf: str, name: str = "documents", key: str = "do
 
 
 def matched(spark, sf, terms=TERMS, name="documents", key="doc_id", text="text"):
-    rows = M.match(corpus(spark, sf, name, key, text), terms)
+    rows = M.match(M.spread(corpus(spark, sf, name, key, text), "doc_id"), terms)
     return rows.select("doc_id", F.length("text").alias("len"), "matches").where(F.size("matches") > 0)
 
 
@@ -37,12 +37,7 @@ def match_positions(spark, sf):
 
 def match_positions_split(spark, sf):
     """The same in the JVM alone, by splitting at each term."""
-    rows = corpus(spark, sf)
-    parts = [rows.select("doc_id", F.lit(t.text).alias("term"), F.explode(M.positions(F.col("text"), t.text)).alias("pos")) for t in TERMS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("pos", F.col("pos").cast("long"))
+    return M.positions(M.spread(corpus(spark, sf), "doc_id"), TERMS, "doc_id")
 
 
 def match_counts(spark, sf):
@@ -55,7 +50,7 @@ def scored(spark, sf, how, **more):
 
 
 def found(spark, sf, **how):
-    rows = R.search(corpus(spark, sf), TERMS, **how)
+    rows = R.search(corpus(spark, sf), TERMS, columns=("n", "score"), **how)
     return rows.select(F.col("uri").cast("long").alias("doc_id"), "n", F.round("score", 6).alias("score"))
 
 
@@ -77,7 +72,7 @@ def line_clusters(spark, sf):
 
 
 def context_snippets(spark, sf):
-    results = R.with_contexts(R.search(corpus(spark, sf), [Q.Term("sch")], min_score=0.0), 1)
+    results = R.with_contexts(corpus(spark, sf), [Q.Term("sch")], 1, min_score=0.0)
     return results.select(F.col("uri").cast("long").alias("doc_id"), F.size("line_numbers").cast("long").alias("n"), F.array_join("matches_with_context", "\n--\n").alias("contexts"))
 
 
@@ -92,7 +87,7 @@ def bulk_search(spark, sf):
 
 def fuzzy_search(spark, sf):
     """Terms expanded by case variants and n-grams."""
-    rows = R.search(corpus(spark, sf), Q.prepare(FUZZY, exact=False), min_score=2.0)
+    rows = R.search(corpus(spark, sf), Q.prepare(FUZZY, exact=False), min_score=2.0, columns=("n", "score"))
     return rows.select(F.col("uri").cast("long").alias("doc_id"), "n", F.round("score", 6).alias("score"))
 
 
@@ -132,7 +127,7 @@ def term_dedup(spark, sf):
 
 
 def frequency_dict(spark, sf):
-    words = corpus(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("word"))
+    words = M.spread(corpus(spark, sf), "doc_id").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -141,16 +136,16 @@ def spell_correct(spark, sf):
     return Q.corrections(words, frequency_dict(spark, sf))
 
 
-def word_frequency(spark, sf):
-    return C.word_frequency(C.top_results(found_texts(spark, sf)), "text").orderBy(F.desc("n"), "word").limit(50)
+def best_results(spark, sf):
+    return C.top_results(R.with_contexts(corpus(spark, sf), TERMS, min_score=1.0))
 
 
-def found_texts(spark, sf):
-    return R.search(corpus(spark, sf), TERMS, min_score=1.0).select(F.col("uri").cast("long").alias("uri"), "text", "score")
+def word_frequency(spark, sf):
+    return C.word_frequency(best_results(spark, sf)).orderBy(F.desc("n"), "word").limit(50)
 
 
 def word_clusters_topk(spark, sf):
-    return C.word_clusters(C.top_results(found_texts(spark, sf)), "text")
+    return C.word_clusters(best_results(spark, sf))
 
 
 def derivative_search(spark, sf):
@@ -217,8 +212,12 @@ def search_sql(where: str = "", terms=TERMS) -> str:
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)
 FREQUENCY = r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS word FROM documents) GROUP BY word"
-TOP_CTE = f"""top AS (SELECT doc_id, {ADVANCED} AS sc FROM s WHERE {ADVANCED} >= 1 ORDER BY round({ADVANCED}, 9) DESC, doc_id LIMIT 4),
-tw AS (SELECT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(d.text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM top JOIN d USING (doc_id)) WHERE length(word) >= 5 AND lower(word) NOT IN ({STOP})),
+#: Words of the title and the contexts (16 lines about each match) of the four best results.
+TOP_CTE = f"""top AS (SELECT doc_id, {ADVANCED} AS sc FROM s WHERE {ADVANCED} >= 1 ORDER BY round({ADVANCED}, 9) DESC, CAST(doc_id AS VARCHAR) LIMIT 4),
+tl AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT d.doc_id, string_split(d.text, chr(10)) AS ls FROM top JOIN d USING (doc_id))),
+ml AS (SELECT DISTINCT m.doc_id, 1 + pos - length(replace(substr(d.text, 1, CAST(pos AS INTEGER)), chr(10), '')) AS l FROM m JOIN top USING (doc_id) JOIN d USING (doc_id)),
+tt AS (SELECT line FROM tl WHERE i <= 5 UNION ALL SELECT line FROM tl WHERE EXISTS (SELECT 1 FROM ml WHERE ml.doc_id = tl.doc_id AND ml.l BETWEEN tl.i - 16 AND tl.i + 16)),
+tw AS (SELECT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}]+')) AS word FROM tt) WHERE length(word) >= 5 AND lower(word) NOT IN ({STOP})),
 tf AS (SELECT word, count(*) AS n FROM tw GROUP BY word ORDER BY n DESC, word LIMIT 50)"""
 
 CLUSTERS = scored_sql("SELECT 1 AS x").replace(" SELECT 1 AS x", f""", {TOP_CTE}, r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS i FROM tf),
