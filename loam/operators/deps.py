@@ -6,9 +6,16 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.operators.components import components
+
+# Built-in modules, whose imports are no dependencies.
+BUILTIN_MODULES = (
+    "os", "re", "sys", "typing", "collections", "abc", "asyncio", "dataclasses", "datetime", "enum", "functools", "io", "itertools", "logging", "math",
+    "pathlib", "random", "statistics", "string", "time", "warnings", "contextlib", "json", "pickle", "traceback", "urllib", "http", "socket",
+)
 IMPORTS = "path string, base string, kind string, module string"
 
 
@@ -54,7 +61,7 @@ def found_imports(path: str, source: str | None, builtin: frozenset[str]) -> lis
     return [x for x in out if x[0] not in builtin]
 
 
-def imports(sources: DataFrame, builtin=frozenset()) -> DataFrame:
+def imports(sources: DataFrame, builtin=BUILTIN_MODULES) -> DataFrame:
     """Imports of (path, text) rows; each file is parsed where its row is."""
     builtin = frozenset(builtin)
 
@@ -73,7 +80,7 @@ def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
     The last step joins on equal keys (file name, directory name, end of the module), not on a condition over all
     pairs, and takes the first file by path other than the importing one.
     """
-    rows = found.withColumn("id", F.xxhash64("path", "base", "kind", "module")).dropDuplicates(["id"])
+    rows = found.distinct().withColumn("id", F.struct("path", "base", "kind", "module"))
     mapped = rows.join(module_mapping(files).select("module", F.col("path").alias("mapped")), "module", "left")
     left = mapped.where("mapped IS NULL")
     inner, here = F.regexp_replace("module", r"\.", "/"), directory(F.col("path"))
@@ -110,29 +117,58 @@ def path_similarity(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), common / short + near + alike)
 
 
-def similar_pairs(files: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b, similarity) of files a < b that share their first component, without which it is at most 0.2.
+def similar_pairs(files: DataFrame, least: float = 0.7) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of files at `least` or more, which is above 0.2.
 
-    Joined on that component, so unlike files never meet; pairs by name alone are left to resolve().
+    Pairs of one directory meet there. Others have at most 0.2 beside the share of the shorter path that they have in
+    common, so they meet under the prefix that `least` - 0.2 of the shorter path needs: a path asks with its own
+    length, and answers for each length up to its own. No two files meet that can't be alike for lack of that prefix.
     """
-    rows = files.select("path", F.element_at(F.split("path", "/"), 1).alias("root"))
-    a, b = rows.select("root", F.col("path").alias("a")), rows.select("root", F.col("path").alias("b"))
-    return a.join(b, "root").where("a < b").select("a", "b", F.round(path_similarity(F.col("a"), F.col("b")), 9).alias("similarity")).where(F.col("similarity") >= least)
-
-
-def blended(similarity: Column, adjacent: Column, total: Column, weight: float = 0.5) -> Column:
+    if not 0.2 < least <= 1:
+        raise ValueError("least must be above 0.2, which any two files may have, and at most 1")
+    rows = files.select("path", directory(F.col("path")).alias("dir"), F.split("path", "/").alias("parts")).withColumn("n", F.size("parts"))
+    near = rows.select("dir", F.col("path").alias("a")).join(rows.select("dir", F.col("path").alias("b")), "dir").where("a < b").select("a", "b")
+    prefix = lambda n: F.array_join(F.slice("parts", F.lit(1), F.greatest(F.lit(1), F.ceil((F.lit(least) - 0.2) * n - 1e-9).cast("int"))), "/")
+    asks = rows.select(F.col("path").alias("short"), F.col("dir").alias("dir_a"), F.col("n").alias("size"), prefix(F.col("n")).alias("prefix"))
+    answers = rows.select(F.col("path").alias("long"), F.col("dir").alias("dir_b"), "n", "parts", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("size")).withColumn("prefix", prefix(F.col("size")))
+    far = asks.join(answers, ["size", "prefix"]).where("dir_a <> dir_b AND (size < n OR short < long)").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
+    return near.unionByName(far).withColumn("similarity", F.round(path_similarity(F.col("a"), F.col("b")), 9)).where(F.col("similarity") >= least)
+
+
+def blended(similarity: Column, adjacent: Column, total: Column, weight: float = 0.3) -> Column:
     """Distance: 1 less the weighted mean of path similarity and adjacency over its sum."""
     return 1 - ((1 - weight) * similarity + weight * F.coalesce(F.try_divide(adjacent, total), F.lit(0.0)))
 
 
+def blended_clusters(files: DataFrame, edges_: DataFrame, most: float = 0.4, weight: float = 0.3, least: float = 0.7) -> DataFrame:
+    """(path, cluster): files connected by blended distances of at most `most`; a cluster is named by its first path.
+
+    The graph is sparse: pairs at path similarity `least` or more, and adjacent ones. So clusters are those of single
+    linkage cut at `most`; no matrix of all pairs is made.
+    """
+    total = edges_.agg(F.count("*").alias("total"))  # one row
+    adjacent = edges_.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("adjacent"))
+    pairs = similar_pairs(files, least).select("a", "b").unionByName(adjacent.select("a", "b")).distinct().join(adjacent, ["a", "b"], "left").crossJoin(F.broadcast(total))
+    distance = blended(path_similarity(F.col("a"), F.col("b")), F.coalesce("adjacent", F.lit(0)), F.col("total"), weight)
+    linked = components(pairs.where(F.round(distance, 9) <= most).select("a", "b")).select(F.col("node").alias("path"), "root")
+    return files.select("path").join(linked, "path", "left").select("path", F.coalesce("root", "path").alias("cluster"))
+
+
+#: Directories that come to the driver to be merged, at most (about 100 bytes each); a tree with more is an error, not a guess.
+MOST_DIRECTORIES = 1_000_000
+
+
 def directory_clusters(files: DataFrame, most: int) -> DataFrame:
-    """(path, cluster): directories, the two smallest merged until there are `most`.
+    """(path, cluster): directories, the two smallest merged until there are `most`; equal sizes by first directory.
 
-    Directories, not files, come to the driver, where the merging is one small loop.
+    Directories, not files, come to the driver, MOST_DIRECTORIES at most: each merge depends on all before it, and
+    the loop takes a heap's step for each.
     """
     import heapq
 
-    sizes = files.groupBy(directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n")).collect()
+    sizes = files.groupBy(directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n")).limit(MOST_DIRECTORIES + 1).collect()
+    if len(sizes) > MOST_DIRECTORIES:
+        raise ValueError(f"more than {MOST_DIRECTORIES} directories")
     heap = [(r["n"], r["dir"], [r["dir"]]) for r in sizes]
     heapq.heapify(heap)
     while len(heap) > max(most, 1):

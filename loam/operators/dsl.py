@@ -187,24 +187,21 @@ def serialized_prompt(text: Column) -> Column:
     return F.coalesce(text.rlike("KG►|KGNODE►") & ~F.regexp_replace(text, r"^\s+", "").startswith("{"), F.lit(False))
 
 
-def apply_commands(nodes: DataFrame, trees: DataFrame) -> DataFrame:
-    """nodes (uid, type, props) after the top-level create, update and delete commands on nodes, last command of a uid last.
+def apply_commands(rows: DataFrame, trees: DataFrame, entity: str = "NODE") -> DataFrame:
+    """rows (uid, type, props) of nodes, or of links, after the top-level create, update and delete commands on them, last command of a uid last.
 
-    Commands fold per uid: after the last delete, creates and updates in order; an update of what does not exist
-    changes nothing. The instruction becomes property `instruction`.
+    Commands fold per uid: after the last create or delete, the last update counts; an update of what does not exist
+    changes nothing. So the last of each kind decides, and commands combine in each task before they are dealt. The
+    instruction becomes property `instruction`.
     """
-    told = trees.where("parent_id = -1 AND entity = 'NODE' AND kind IN ('create', 'update', 'delete')").select("uid", F.struct("program_id", "node_id", "kind", "instruction").alias("c"))
-    listed = told.groupBy("uid").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    both = nodes.join(listed, "uid", "full")
-    start = F.struct(F.col("type").isNotNull().alias("there"), F.lit(None).cast("string").alias("said"), F.lit(False).alias("fresh"))
-
-    def step(a, c):
-        made = F.struct(F.lit(True).alias("there"), c["instruction"].alias("said"), F.lit(True).alias("fresh"))
-        changed = F.struct(a["there"].alias("there"), F.when(a["there"], c["instruction"]).otherwise(a["said"]).alias("said"), a["fresh"].alias("fresh"))
-        dropped = F.struct(F.lit(False).alias("there"), F.lit(None).cast("string").alias("said"), F.lit(False).alias("fresh"))
-        return F.when(c["kind"] == "create", made).when(c["kind"] == "update", changed).otherwise(dropped)
-
-    end = both.withColumn("end", F.when(F.col("cs").isNull(), start).otherwise(F.aggregate("cs", start, step))).where("end.there")
-    said = F.create_map(F.lit("instruction"), F.col("end.said"))
-    props = F.when(F.col("end.fresh"), said).when(F.col("end.said").isNotNull(), F.map_concat(F.map_filter("props", lambda k, v: k != "instruction"), said)).otherwise(F.col("props"))
-    return end.select("uid", F.when(F.col("end.fresh"), F.lit("node")).otherwise(F.col("type")).alias("type"), props.alias("props"))
+    told = trees.where((F.col("parent_id") == -1) & (F.col("entity") == entity) & F.col("kind").isin("create", "update", "delete")).select("uid", "kind", "instruction", F.struct("program_id", "node_id").alias("at"))
+    made, changed = F.when(F.col("kind") != "update", F.col("at")), F.when(F.col("kind") == "update", F.col("at"))
+    last = told.groupBy("uid").agg(
+        F.max(made).alias("made_at"), F.max_by("kind", made).alias("made"), F.max_by("instruction", made).alias("made_said"), F.max(changed).alias("changed_at"), F.max_by("instruction", changed).alias("changed_said"),
+    )
+    both = rows.join(last, "uid", "full").where(F.coalesce(F.col("made") == "create", F.col("type").isNotNull()))
+    fresh = F.coalesce(F.col("made") == "create", F.lit(False))
+    later = F.col("changed_at").isNotNull() & (F.col("made_at").isNull() | (F.col("changed_at") > F.col("made_at")))
+    said = F.create_map(F.lit("instruction"), F.when(later, F.col("changed_said")).otherwise(F.col("made_said")))
+    props = F.when(fresh, said).when(later, F.map_concat(F.map_filter("props", lambda k, v: k != "instruction"), said)).otherwise(F.col("props"))
+    return both.select("uid", F.when(fresh, F.lit(entity.lower())).otherwise(F.col("type")).alias("type"), props.alias("props"))

@@ -1,8 +1,9 @@
 """Integer grids: geometry, text forms, connected shapes, prompts, parsed responses and their evaluation."""
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,45 +62,103 @@ def parse_text(text: Column) -> Column:
     return F.transform(rows, lambda x: F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: c.cast("int")))
 
 
-def labels(grid: list[list[int]], background: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(colour, cells) of the 8-connected components of each colour but the background: by colour, then first cell."""
-    left = {(r, c): v for r, row in enumerate(grid) for c, v in enumerate(row) if v != background}
-    out = []
-    for start in sorted(left, key=lambda p: (left[p], p)):
-        if start not in left:
-            continue
-        color, found, todo = left.pop(start), [start], [start]
-        while todo:
-            r, c = todo.pop()
-            for near in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                if left.get(near) == color:
-                    del left[near]
-                    found.append(near)
-                    todo.append(near)
-        out.append((color, sorted(found)))
-    return out
-
-
-def shapes(grids: DataFrame, background: int = 0, least: int = 1) -> DataFrame:
-    """Shapes of (key, grid): a row each, numbered from 0 within the grid; sub-grids hold whatever is in the box.
-
-    A grid is small and whole in its row, so components are found per row; nothing is shuffled.
+def labels(grids: np.ndarray, background: int = 0) -> np.ndarray:
+    """Of each cell of equally large grids (n, height, width), the number of its 8-connected component's first cell; -1 for the background.
+
+    Each round every cell takes the least number beside it and then the number of that cell, so that rounds grow with
+    the logarithm of a component's extent.
+    """
+    n, height, width = grids.shape
+    none = height * width
+    label = np.where(grids == background, none, np.arange(none).reshape(height, width))
+    while True:
+        new = label.copy()
+        for r, c in ((0, 1), (1, -1), (1, 0), (1, 1)):
+            here = (slice(None), slice(0, height - r), slice(max(0, -c), width - max(0, c)))
+            there = (slice(None), slice(r, height), slice(max(0, c), width + min(0, c)))
+            low = np.where(grids[here] == grids[there], np.minimum(new[here], new[there]), none)
+            np.minimum(new[here], low, out=new[here])
+            np.minimum(new[there], low, out=new[there])
+        flat = np.concatenate((new.reshape(n, -1), np.full((n, 1), none)), axis=1)
+        new = np.take_along_axis(flat, flat, axis=1)[:, :none].reshape(label.shape)
+        if np.array_equal(new, label):
+            return np.where(label == none, -1, label)
+        label = new
+
+
+def steps(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[k], start[k] + 1, ... size[k] of them for each k."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def shapes_of(grids: np.ndarray, background: int, least: int, columns: Collection[str]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(grid number, columns) of the shapes of equally large grids: by colour, then first cell."""
+    n, height, width = grids.shape
+    area = height * width
+    label, value = labels(grids, background).reshape(-1), grids.reshape(-1)
+    cell = np.flatnonzero(label >= 0)
+    grid, root, color = cell // area, label[cell], value[cell]
+    order = np.lexsort((cell, root, color, grid))
+    cell, grid, root, color = cell[order], grid[order], root[order], color[order]
+    first = np.flatnonzero(np.r_[True, (grid[1:] != grid[:-1]) | (root[1:] != root[:-1])]) if len(cell) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(cell)))
+    row, col = cell % area // width, cell % width
+    if len(first):
+        top, left = row[first], np.minimum.reduceat(col, first)
+        high, wide = np.maximum.reduceat(row, first) - top + 1, np.maximum.reduceat(col, first) - left + 1
+    else:
+        top = left = high = wide = first
+    kept = np.flatnonzero(size >= least)
+    first, size, top, left, high, wide = first[kept], size[kept], top[kept], left[kept], high[kept], wide[kept]
+    grid_of = grid[first]
+    begin = np.flatnonzero(np.r_[True, grid_of[1:] != grid_of[:-1]]) if len(first) else first
+    number = np.arange(len(first)) - np.repeat(begin, np.diff(np.append(begin, len(first))))
+    out = {k: pa.array(v, pa.int32()) for k, v in (("shape", number), ("color", color[first]), ("top", top), ("left", left), ("height", high), ("width", wide), ("x", left), ("y", height - 1 - top), ("size", size))}
+    if "cells" in columns:
+        at = steps(first, size)
+        out["cells"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.StructArray.from_arrays([pa.array(row[at], pa.int32()), pa.array(col[at], pa.int32())], names=["r", "c"]))
+    if "subgrid" in columns:
+        rows = np.repeat(np.arange(len(first)), high)
+        begins = grid_of[rows] * area + steps(top, high) * width + left[rows]
+        values = pa.array(value[steps(begins, wide[rows])], pa.int32())
+        lines = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(wide[rows])], pa.int32()), values)
+        out["subgrid"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(high)], pa.int32()), lines)
+    return grid_of, out
+
+
+def shapes(grids: DataFrame, background: int = 0, least: int = 1, columns: Iterable[str] = ("cells", "subgrid")) -> DataFrame:
+    """Shapes of (key, grid): a row each, numbered from 0 within the grid; cells and sub-grids (whatever is in the box) where asked.
+
+    Grids are small and whole in their rows, so a batch's grids of one size are labelled at once, where they are;
+    nothing is shuffled. Grids are rectangular; the rows of one that is not are filled with background on the right. A
+    null or empty grid has no shapes.
     """
-    kinds = [pa.string(), *[pa.int32()] * 9, pa.list_(pa.struct([("r", pa.int32()), ("c", pa.int32())])), pa.list_(pa.list_(pa.int32()))]
+    columns = set(columns)
+    wanted = [x.strip() for x in SHAPES.split(", ")]
+    wanted = [x for x in wanted if x.split()[0] not in {"cells", "subgrid"} - columns]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in wanted]
         for batch in batches:
-            rows = []
-            for key, grid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kept = [(v, found) for v, found in labels(grid or [], background) if len(found) >= least]
-                for k, (v, found) in enumerate(kept):
-                    top, left = found[0][0], min(c for _, c in found)
-                    height, width = found[-1][0] - top + 1, max(c for _, c in found) - left + 1
-                    rows.append((key, k, v, top, left, height, width, left, len(grid) - 1 - top, len(found), [{"r": r, "c": c} for r, c in found], [row[left : left + width] for row in grid[top : top + height]]))
-            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.strip().split(" ")[0] for x in ("key", "shape", "color", "top", "left", "height", "width", "x", "y", "size", "cells", "subgrid")])
-
-    return grids.select(F.col("key").cast("string").alias("key"), "grid").mapInArrow(task, SHAPES)
+            column = batch.column(1)
+            lines = column.values
+            outer, inner = np.asarray(column.offsets).astype(np.int64), np.asarray(lines.offsets).astype(np.int64)
+            values = np.asarray(lines.values.fill_null(background)).astype(np.int32)
+            high = np.diff(outer) * np.asarray(column.is_valid()).astype(np.int64)
+            wide = np.diff(inner)
+            widest = np.array([wide[a : a + h].max(initial=0) for a, h in zip(outer, high)], np.int64)
+            for h, w in np.unique(np.stack((high, widest), axis=1), axis=0).tolist():
+                if not h or not w:
+                    continue
+                own = np.flatnonzero((high == h) & (widest == w))
+                row = steps(outer[own], np.full(len(own), h))
+                made = np.full((len(row), w), background, np.int32)
+                made[np.repeat(np.arange(len(row)), wide[row]), steps(np.zeros(len(row), np.int64), wide[row])] = values[steps(inner[row], wide[row])]
+                grid, found = shapes_of(made.reshape(len(own), h, w), background, least, columns)
+                found["key"] = batch.column(0).take(pa.array(own[grid]))
+                yield pa.RecordBatch.from_arrays([found[c] for c in names], names=names)
+
+    return grids.select(F.col("key").cast("string").alias("key"), "grid").mapInArrow(task, ", ".join(wanted))
 
 
 @F.pandas_udf(DoubleType())
@@ -109,9 +168,11 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def evaluate(predicted: DataFrame, actual: DataFrame, key: str = "key") -> DataFrame:
-    """(key, n_predicted, n_actual, success, reason, match_rate) of shapes (key, x, y).
+    """(key, n_predicted, n_actual, success, reason, match_rate[, least, mean, most]) of shapes (key, x, y[, description]).
 
     Success: as many shapes, and the same positions; shapes of one position make it fail, as fewer positions match.
+    Where both sides have descriptions, least, mean and most are the similarities of those of one position (of several
+    there, the last by its text), 0 where numbers or positions differ.
     """
     positions = lambda df, name: df.groupBy(key).agg(F.count("*").alias(f"n_{name}"), F.array_sort(F.collect_set(F.struct("x", "y"))).alias(name))
     both = positions(predicted, "predicted").join(positions(actual, "actual"), key, "full").fillna(0, ["n_predicted", "n_actual"])
@@ -119,7 +180,28 @@ def evaluate(predicted: DataFrame, actual: DataFrame, key: str = "key") -> DataF
     p, a = F.coalesce("predicted", none), F.coalesce("actual", none)
     reason = F.when(F.col("n_predicted") != F.col("n_actual"), "count").when(p != a, "position").when(F.size(a) != F.col("n_actual"), "duplicate").otherwise("")
     rate = F.when(reason.isin("count", "position"), 0.0).otherwise(F.round(F.size(a) / F.col("n_actual"), 9))
-    return both.select(key, "n_predicted", "n_actual", (reason == "").alias("success"), reason.alias("reason"), rate.alias("match_rate"))
+    out = both.select(key, "n_predicted", "n_actual", (reason == "").alias("success"), reason.alias("reason"), rate.alias("match_rate"))
+    if "description" not in predicted.columns or "description" not in actual.columns:
+        return out
+    last = lambda df, name: df.groupBy(key, "x", "y").agg(F.max("description").alias(name))
+    pairs = last(predicted, "told").join(last(actual, "description"), [key, "x", "y"])
+    alike = pairs.select(key, similarity("description", "told").alias("s")).groupBy(key).agg(*(f(F.col("s")).alias(c) for f, c in ((F.min, "least"), (F.avg, "mean"), (F.max, "most"))))
+    compared = F.col("reason").isin("", "duplicate")
+    out = out.join(alike, key, "left")
+    return out.select(key, "n_predicted", "n_actual", "success", "reason", "match_rate", *(F.when(compared, F.coalesce(F.round(c, 9), F.lit(0.0))).otherwise(0.0).alias(c) for c in ("least", "mean", "most")))
+
+
+def evaluate_tasks(tasks: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Evaluation of predictions (task_id, pair, x, y, description) of the test outputs of tasks (task_id, split, pair, role, grid[, description]).
+
+    (task_id, pair, n_predicted, n_actual, success, reason, match_rate): shapes of the test outputs are found and
+    compared in one plan. A pair without a prediction is one that predicts nothing; one without a task is left out.
+    """
+    key = F.concat_ws("\x1f", "task_id", F.col("pair").cast("string")).alias("key")
+    actual = shapes(tasks.where("split = 'test' AND role = 'output'").select(key, "grid"), columns=()).select("key", "x", "y")
+    known = tasks.where("split = 'test' AND role = 'output'").select(key, "task_id", "pair")
+    found = evaluate(predictions.select(key, "x", "y"), actual)
+    return known.join(found, "key").drop("key")
 
 
 def described(shape_rows: DataFrame, cache: DataFrame) -> DataFrame:

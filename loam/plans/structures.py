@@ -8,6 +8,7 @@ from loam.operators import deps as D
 from loam.operators import dsl as L
 from loam.operators import graph as N
 from loam.operators import grids as G
+from loam.operators import tabular as U
 from loam.plans.search import table
 
 
@@ -19,19 +20,44 @@ def grids(spark, sf):
 
 
 def grid_shapes(spark, sf):
-    s = G.shapes(grids(spark, sf))
+    s = G.shapes(grids(spark, sf), columns=())
     return s.select(F.col("key").cast("long"), "color", F.col("top").alias("box_top"), F.col("left").alias("box_left"), "height", "width", "x", "y", "size")
 
 
-def predicted(spark, sf):
+def predicted(found):
     """Shapes with those of colour 2 and one cell moved up, and none for every seventh part."""
-    s = G.shapes(grids(spark, sf)).where("key % 7 <> 0")
-    return s.select("key", "x", F.when((F.col("color") == 2) & (F.col("size") == 1) & (F.col("key") % 2 == 0), F.col("y") + 1).otherwise(F.col("y")).alias("y"))
+    return found.where("key % 7 <> 0").select("key", "x", F.when((F.col("color") == 2) & (F.col("size") == 1) & (F.col("key") % 2 == 0), F.col("y") + 1).otherwise(F.col("y")).alias("y"))
 
 
 def grid_evaluate(spark, sf):
-    found = G.evaluate(predicted(spark, sf), G.shapes(grids(spark, sf)).select("key", "x", "y"))
-    return found.select(F.col("key").cast("long"), "n_predicted", "n_actual", "success", "reason")
+    """The shapes are found once; both sides are folded to a row a grid in one pass over them."""
+    found = G.shapes(grids(spark, sf), columns=())
+    return G.evaluate(predicted(found), found.select("key", "x", "y")).select(F.col("key").cast("long"), "n_predicted", "n_actual", "success", "reason")
+
+
+def task_rows(spark, sf):
+    """Parts four to a task, as tests with an output grid."""
+    k = F.col("key").cast("long")
+    return grids(spark, sf).select(F.concat(F.lit("t"), F.floor(k / 4).cast("string")).alias("task_id"), F.lit("test").alias("split"), F.pmod(k, F.lit(4)).cast("int").alias("pair"), F.lit("output").alias("role"), "grid", "key")
+
+
+def task_evaluate(spark, sf):
+    told = predicted(G.shapes(grids(spark, sf), columns=())).withColumn("k", F.col("key").cast("long"))
+    told = told.select(F.concat(F.lit("t"), F.floor(F.col("k") / 4).cast("string")).alias("task_id"), F.pmod("k", F.lit(4)).cast("int").alias("pair"), "x", "y")
+    return G.evaluate_tasks(task_rows(spark, sf).drop("key"), told).drop("match_rate")
+
+
+def task_summary(spark, sf):
+    return U.success_rate(task_evaluate(spark, sf), F.col("success"))
+
+
+def grid_similarity(spark, sf):
+    """Descriptions of shapes by their size, against predictions that tell one size in four wrongly."""
+    found = G.shapes(grids(spark, sf), columns=()).where("key % 5 = 0")
+    text = lambda n: F.concat(F.lit("size "), n.cast("string"))
+    told = found.select("key", "x", "y", text(F.when(F.col("x") % 4 == 3, 7).otherwise(F.col("size"))).alias("description"))
+    out = G.evaluate(told, found.select("key", "x", "y", text(F.col("size")).alias("description")))
+    return out.select(F.col("key").cast("long"), "success", "least", "mean", "most")
 
 
 def grid_prompts(spark, sf):
@@ -89,12 +115,13 @@ QUERIES = {
     "grid_crop": lambda s, d: grids(s, d).select("key", G.compact_text(G.crop(F.col("grid"))).alias("t")),
     "grid_subgrid": lambda s, d: grids(s, d).select("key", G.compact_text(G.subgrid(F.col("grid"), F.lit(1), F.lit(2), F.lit(3), F.lit(4))).alias("t")),
     "grid_format": lambda s, d: grids(s, d).select("key", G.ascii_text(F.col("grid")).alias("t"), G.compact_text(G.parse_text(G.compact_text(F.col("grid")))).alias("again")),
-    "grid_shapes": grid_shapes, "grid_evaluate": grid_evaluate, "grid_prompts": grid_prompts, "grid_responses": grid_responses,
+    "grid_shapes": grid_shapes, "grid_evaluate": grid_evaluate, "grid_similarity": grid_similarity, "grid_prompts": grid_prompts, "grid_responses": grid_responses,
     "module_mapping": lambda s, d: D.module_mapping(files(s, d)), "import_extraction": lambda s, d: D.imports(code(s, d), {"os"}),
     "import_resolution": lambda s, d: D.resolve(some_imports(s, d), files(s, d)).select("path", "module", "target"),
     "dependency_edges": lambda s, d: D.edges(D.resolve(some_imports(s, d), files(s, d))),
     "dependency_report": lambda s, d: N.degrees(files(s, d).withColumnRenamed("path", "uid"), D.edges(D.resolve(some_imports(s, d), files(s, d)))),
-    "similarity_pairs": lambda s, d: D.similar_pairs(files(s, d)), "directory_clusters": lambda s, d: D.directory_clusters(files(s, d), 5),
+    "similarity_pairs": lambda s, d: D.similar_pairs(files(s, d)), "blended_clusters": lambda s, d: D.blended_clusters(files(s, d), D.edges(D.resolve(some_imports(s, d), files(s, d))), 0.4),
+    "task_evaluate": task_evaluate, "task_summary": task_summary, "directory_clusters": lambda s, d: D.directory_clusters(files(s, d), 5),
     "node_sizes": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(D.node_size(F.col("n_nationkey")), 9).alias("size"), D.label_size(F.col("n_nationkey")).cast("long").alias("font")),
     "dsl_tokens": lambda s, d: L.tokens_of(programs(s, d)).select("program_id", "seq", "type", "value"),
     "dsl_commands": lambda s, d: L.syntax_trees(programs(s, d)).where("kind <> 'error'").select("program_id", "node_id", "parent_id", "branch", "seq", "kind", "uid", "instruction"),
@@ -121,6 +148,16 @@ bp AS (SELECT ca.path, arg_min(candidate, rank) AS by_path FROM ca JOIN f ON f.p
 al AS (SELECT im.path, min(o.path) AS alike FROM im JOIN nm o ON o.path <> im.path AND (o.name = 'none.py' OR lower(string_split(o.dir, '/')[-1]) = 'none' OR (replace(o.name, '.py', '') <> '' AND ends_with(lower(module), replace(o.name, '.py', '')))) GROUP BY im.path),
 rs AS (SELECT im.path, module, coalesce(mapped, by_path, alike) AS target FROM im LEFT JOIN mp USING (module) LEFT JOIN bp ON bp.path = im.path LEFT JOIN al ON al.path = im.path),
 de AS (SELECT DISTINCT path AS source, target FROM rs WHERE target <> path)"""
+#: All pairs of files and their path similarity.
+SIMILAR = """s AS (SELECT path, string_split(path, '/') AS ps, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM f),
+q AS (SELECT a.path AS a, b.path AS b, a.dir AS da, b.dir AS db, regexp_replace(a.ps[-1], '(.)\\.[^.]*$', '\\1') AS x, regexp_replace(b.ps[-1], '(.)\\.[^.]*$', '\\1') AS y, least(len(a.ps), len(b.ps)) AS k,
+      len(list_filter(range(1, least(len(a.ps), len(b.ps)) + 1), lambda i: a.ps[1:i] = b.ps[1:i])) AS m FROM s a JOIN s b ON a.path < b.path),
+sm AS (SELECT a, b, least(1.0, CAST(m AS DOUBLE) / k + CASE WHEN da = db THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x) THEN 0.2::DOUBLE ELSE 0 END) AS sim FROM q)"""
+#: Parts four to a task; the predictions of grid_evaluate.
+TASKS = """pr AS (SELECT key, x, CASE WHEN color = 2 AND size = 1 AND key % 2 = 0 THEN y + 1 ELSE y END AS y FROM sh WHERE key % 7 <> 0),
+a AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {'x': x, 'y': y})) AS ps FROM sh GROUP BY key), b AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {'x': x, 'y': y})) AS ps FROM pr GROUP BY key),
+te AS (SELECT 't' || key // 4 AS task_id, CAST(key % 4 AS INTEGER) AS pair, coalesce(b.n, 0) AS n_predicted, a.n AS n_actual, coalesce(a.n = b.n AND a.ps = b.ps AND len(a.ps) = a.n, false) AS success,
+  CASE WHEN a.n <> coalesce(b.n, 0) THEN 'count' WHEN a.ps <> b.ps THEN 'position' WHEN len(a.ps) <> a.n THEN 'duplicate' ELSE '' END AS reason FROM a LEFT JOIN b USING (key))"""
 PROGRAMS = """p AS (SELECT c_custkey AS program_id, 'n' || c_custkey % 50 AS uid, c_name, c_custkey % 3 <> 0 AS ok FROM customer)"""
 TEXT = """'C► NODE ' || uid || ' "make ' || c_name || '" ◄' || chr(10) || 'IF► E► LINK l1 "ok?" ◄ N► 5 "go" ◄ ELSE► D► NODE zz "no" ◄ ◄ U► NODE ' || uid || ' "set" ' || CASE WHEN ok THEN '◄' ELSE '' END"""
 
@@ -135,6 +172,9 @@ ORACLES = {
         a AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {{'x': x, 'y': y}})) AS ps FROM sh GROUP BY key), b AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {{'x': x, 'y': y}})) AS ps FROM pr GROUP BY key),
         e AS (SELECT key, coalesce(b.n, 0) AS n_predicted, coalesce(a.n, 0) AS n_actual, CASE WHEN coalesce(a.n, 0) <> coalesce(b.n, 0) THEN 'count' WHEN a.ps <> b.ps THEN 'position' WHEN len(a.ps) <> a.n THEN 'duplicate' ELSE '' END AS reason FROM a FULL JOIN b USING (key))
         SELECT key, n_predicted, n_actual, reason = '' AS success, reason FROM e""",
+    "grid_similarity": f"""WITH RECURSIVE {SHAPE}, a AS (SELECT key, x, y, count(*) AS n, max('size ' || size) AS d, max('size ' || CASE WHEN x % 4 = 3 THEN 7 ELSE size END) AS t FROM sh WHERE key % 5 = 0 GROUP BY key, x, y),
+        b AS (SELECT key, n, CASE WHEN d = t THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (5 + CASE WHEN contains(substr(d, 6), '7') THEN 1 ELSE 0 END) / (length(d) + length(t)) END AS s FROM a)
+        SELECT key, max(n) = 1 AS success, round(min(s), 9) AS least, round(avg(s), 9) AS mean, round(max(s), 9) AS most FROM b GROUP BY key""",
     "grid_prompts": f"""WITH RECURSIVE {NUMBERED}, ro AS (SELECT sn.key, k, cell.r, string_agg(lpad(CAST(cell.v AS VARCHAR), 2, ' '), ' ' ORDER BY cell.c) AS padded, string_agg(cell.v, '' ORDER BY cell.c) AS plain FROM sn JOIN cell ON cell.key = sn.key AND cell.r BETWEEN t AND b AND cell.c BETWEEN a AND z GROUP BY sn.key, k, cell.r),
         gr AS (SELECT key, k, string_agg(padded, chr(10) ORDER BY r) AS grid, string_agg(plain, chr(10) ORDER BY r) AS asked FROM ro GROUP BY key, k)
         SELECT CAST(key AS VARCHAR) AS key, 'INPUT SHAPES:' || chr(10) || string_agg('SHAPE ' || k || chr(10) || 'POS: ' || a || ',' || (7 - t) || chr(10) || grid || chr(10) || 'DESCRIPTION: ' || CASE asked WHEN '1' THEN 'one cell' WHEN '2' THEN 'one cell of two' ELSE 'Shape description unavailable' END, chr(10) || chr(10) ORDER BY k) AS prompt
@@ -145,10 +185,18 @@ ORACLES = {
     "module_mapping": f"WITH {FILES}, s AS (SELECT path, string_split(replace(regexp_replace(path, '([^/])\\.[^./]*$', '\\1'), '/', '.'), '.') AS ps FROM f), m AS (SELECT path, array_to_string(ps[1:i], '.') AS module FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM s)) SELECT module, min(path) AS path FROM m WHERE module <> '' GROUP BY module",
     "import_extraction": """WITH n AS (SELECT regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') AS n FROM nation WHERE n_nationkey % 5 <> 4)
         SELECT 'pkg/sub/' || n || '.py' AS path, 'a' AS base, 'import' AS kind, 'a.' || n AS module FROM n UNION ALL SELECT 'pkg/sub/' || n || '.py', 'b', 'from_absolute', 'b.' || n FROM n UNION ALL SELECT 'pkg/sub/' || n || '.py', 'c', 'from_relative', 'pkg.c' FROM n""",
-    "similarity_pairs": f"""WITH {FILES}, s AS (SELECT path, string_split(path, '/') AS ps, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM f),
-        q AS (SELECT a.path AS a, b.path AS b, a.dir AS da, b.dir AS db, regexp_replace(a.ps[-1], '(.)\\.[^.]*$', '\\1') AS x, regexp_replace(b.ps[-1], '(.)\\.[^.]*$', '\\1') AS y, least(len(a.ps), len(b.ps)) AS k,
-              len(list_filter(range(1, least(len(a.ps), len(b.ps)) + 1), lambda i: a.ps[1:i] = b.ps[1:i])) AS m FROM s a JOIN s b ON a.ps[1] = b.ps[1] AND a.path < b.path)
-        SELECT a, b, round(least(1.0, CAST(m AS DOUBLE) / k + CASE WHEN da = db THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN starts_with(x, y) OR starts_with(y, x) OR ends_with(x, y) OR ends_with(y, x) THEN 0.2::DOUBLE ELSE 0 END), 9) AS similarity FROM q""",
+    "similarity_pairs": f"WITH {FILES}, {SIMILAR} SELECT a, b, round(sim, 9) AS similarity FROM sm WHERE round(sim, 9) >= 0.7",
+    "blended_clusters": f"""WITH RECURSIVE {RESOLVED}, {SIMILAR}, tt AS (SELECT count(*) AS total FROM de), ad AS (SELECT least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM de GROUP BY ALL),
+        lk AS (SELECT a, b FROM sm LEFT JOIN ad USING (a, b), tt WHERE (round(sim, 9) >= 0.7 OR n IS NOT NULL) AND round(1 - (0.7::DOUBLE * sim + 0.3::DOUBLE * coalesce(n / total, 0)), 9) <= 0.4),
+        bo AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), rc(path, seen) AS (SELECT path, path FROM f UNION SELECT rc.path, bo.b FROM rc JOIN bo ON bo.a = rc.seen)
+        SELECT path, min(seen) AS cluster FROM rc GROUP BY path""",
+    "directory_clusters": f"""WITH RECURSIVE {FILES}, dr AS (SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM f),
+        h(l) AS (SELECT list_sort(list({{'n': n, 'd': dir, 'm': [dir]}})) FROM (SELECT dir, count(*) AS n FROM dr GROUP BY dir)
+            UNION ALL SELECT list_sort(list_append(l[3:], {{'n': l[1].n + l[2].n, 'd': least(l[1].d, l[2].d), 'm': list_concat(l[1].m, l[2].m)}})) FROM h WHERE len(l) > 5),
+        c AS (SELECT x.m AS m, CAST(row_number() OVER (ORDER BY x.d) - 1 AS INTEGER) AS cluster FROM (SELECT unnest(l) AS x FROM h WHERE len(l) <= 5)),
+        cd AS (SELECT unnest(m) AS dir, cluster FROM c) SELECT path, cluster FROM dr JOIN cd USING (dir)""",
+    "task_evaluate": f"""WITH RECURSIVE {SHAPE}, {TASKS} SELECT task_id, pair, n_predicted, n_actual, success, reason FROM te""",
+    "task_summary": f"""WITH RECURSIVE {SHAPE}, {TASKS} SELECT count(*) AS total, count(*) FILTER (success) AS succeeded, round(count(*) FILTER (success) / count(*), 9) AS rate FROM te""",
     "node_sizes": "SELECT n_nationkey, round(4 + 8 * sqrt(n_nationkey + 1), 9) AS size, CASE WHEN n_nationkey > 10 THEN least(24, 12 + (n_nationkey - 10) // 2) ELSE 0 END AS font FROM nation",
     "dsl_tokens": f"""WITH {PROGRAMS}, t AS (SELECT program_id, regexp_extract_all({TEXT}, '(?:C►|U►|D►|E►|N►|IF►|ELSE►|◄|"(?:[^"\\\\]|\\\\.)*"|[0-9]+|[A-Za-z_][A-Za-z0-9_]*)') AS vs FROM p),
         u AS (SELECT program_id, unnest(vs) AS value, generate_subscripts(vs, 1) - 1 AS seq FROM t)
