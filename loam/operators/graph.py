@@ -47,6 +47,16 @@ def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataF
     return upsert(edges, ok, ["source", "target"]), dangling(nodes, new)
 
 
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those of `gone` (source, target)."""
+    return edges.join(gone.select("source", "target"), ["source", "target"], "left_anti").select(*edges.columns)
+
+
+def valid_relation(relation: Column) -> Column:
+    """Whether a typed link has one of the known relations."""
+    return F.coalesce(relation.isin(*RELATIONS), F.lit(False))
+
+
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that does not exist."""
     known = nodes.select("uid").distinct()
@@ -106,10 +116,16 @@ def latest(changes: DataFrame, key: str, ts: str, tie: str, *data: str) -> DataF
 
 
 def at_index(versions: DataFrame, key: str, idx: int) -> DataFrame:
-    """Rollback of every key to a version of its history; keys without it are left out."""
+    """Rollback of every key (a node's, or an edge's) to a version of its history; keys without it are left out (see out_of_range)."""
     return versions.where(F.col("idx") == idx)
 
 
+def out_of_range(versions: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the asked rollbacks (keys, idx), those whose key has no history or no such version: the caller's error rows."""
+    known = versions.groupBy(*keys).agg(F.count("*").alias("versions"))
+    return asked.join(known, keys, "left").where(F.col("versions").isNull() | (F.col("idx") < 0) | (F.col("idx") >= F.col("versions"))).select(*keys, "idx")
+
+
 def snapshot(rows: DataFrame, version: int, message: str, clock: Column | None = None) -> DataFrame:
     """Rows to append to the snapshot table."""
     return rows.select(F.lit(version).cast("long").alias("version"), F.lit(message).alias("message"), (clock if clock is not None else F.current_timestamp()).alias("taken_at"), *rows.columns)
@@ -131,6 +147,17 @@ def prompt_line(uid: Column, props: Column) -> Column:
     return F.concat(F.lit("KGNODE► "), uid, F.lit(" : "), F.array_join(pairs, ", "))
 
 
+def prompt_text(nodes: DataFrame) -> DataFrame:
+    """One text of a selection of nodes that a prompt holds: a `KG►` header, then a line a node by uid. A prompt is small; select before."""
+    lines = nodes.agg(F.array_sort(F.collect_list(F.struct("uid", prompt_line(F.col("uid"), F.col("props")).alias("line")))).alias("all"))
+    return lines.select(F.concat_ws("\n", F.lit("KG►"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("prompt"))
+
+
+def valid_weight(weight: Column) -> Column:
+    """Whether an initial weight is from -1 to 1."""
+    return F.coalesce(weight.between(-1.0, 1.0), F.lit(False))
+
+
 def outcome_weight(result: Column, target: Column) -> Column:
     """1 where the result is the target state (null equals null), else -1."""
     return F.when(result.eqNullSafe(target), 1.0).otherwise(-1.0)

@@ -6,14 +6,17 @@ free memory, so item numbers and scores do not depend on the machine.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.operators import score
+from loam.operators.clusters import top_results, word_clusters
 from loam.operators.match import match, term_counts
-from loam.operators.terms import Term
+from loam.operators.results import scan
+from loam.operators.terms import Term, prepare
 
 BREAK = "\r\n"
 
@@ -35,15 +38,29 @@ def index(items: DataFrame, brk: str = BREAK) -> DataFrame:
     return items.select("file_id", "block_id", F.row_number().over(order).cast("long").alias("item"), (end - size).alias("start"), end.alias("end"), "content")
 
 
+def start_patterns(begin: str | None, brk: str = BREAK) -> tuple[str, str]:
+    """(pattern of a valid item start at the head of a text, pattern of a break that a valid start or the end follows).
+
+    begin: pattern of an item's start; None: every break ends an item. A pattern that does not compile is an error here, not in a task.
+    """
+    if begin is None:
+        return "^", "\\Q" + brk + "\\E"
+    re.compile(begin)
+    return f"^(?:{begin})", "\\Q" + brk + f"\\E(?=(?:{begin})|\\z)"
+
+
 def split_block(block: DataFrame, brk: str = BREAK, begin: str | None = None) -> DataFrame:
     """The same for blocks held as whole texts (file_id, block_id, text).
 
     begin: pattern of an item's start, for items whose text holds raw breaks. An item then ends only at a break that
-    a valid start or the block's end follows; a block begins with an item whatever its text.
+    a valid start or the block's end follows; a block begins with an item whatever its text. Empty items have no
+    number, and their breaks count in the places of what follows.
     """
-    valid = "" if begin is None else f"(?={begin}|\\z)"
-    parts = block.select("file_id", "block_id", F.posexplode(F.split("text", "\\Q" + brk + "\\E" + valid, -1)).alias("seq", "content"))
-    return index(parts.where("content <> ''"), brk)
+    parts = block.select("file_id", "block_id", F.posexplode(F.split("text", start_patterns(begin, brk)[1], -1)).alias("seq", "content"))
+    order = Window.partitionBy("file_id", "block_id").orderBy("seq")
+    end = F.sum((F.length("content") + len(brk)).cast("long")).over(order)
+    placed = parts.withColumn("end", end).where("content <> ''")
+    return placed.select("file_id", "block_id", F.row_number().over(order).cast("long").alias("item"), (F.col("end") - F.length("content") - len(brk)).alias("start"), "end", "content")
 
 
 def offsets(indexed: DataFrame) -> DataFrame:
@@ -81,15 +98,39 @@ def search_items(indexed: DataFrame, terms: Iterable[Term], min_score: float = 0
     Scores take the item's own positions and length. With `whole_block` they take all positions and the length of
     the block, as block searches do, and a block below `min_score` gives nothing.
     """
-    found = match(indexed.select("file_id", "block_id", "item", "start", "content"), terms, "content").where(F.size("matches") > 0)
-    own = found.withColumn("score", score.advanced(F.col("matches"), F.length("content")))
-    if whole_block:
-        absolute = F.transform("matches", lambda m: F.struct((m["pos"] + F.col("start")).alias("pos"), m["term"].alias("term"), m["order"].alias("order")))
-        size = indexed.groupBy("file_id", "block_id").agg(F.max("end").alias("size"))
-        all_ = found.select("file_id", "block_id", absolute.alias("m")).groupBy("file_id", "block_id").agg(F.flatten(F.collect_list("m")).alias("all")).join(size, ["file_id", "block_id"])
-        all_ = all_.where(score.advanced(F.col("all"), F.col("size")) >= min_score)
-        own = found.join(all_, ["file_id", "block_id"]).withColumn("score", block_score(F.col("matches"), F.col("all"), F.col("size")))
-    return own.where(F.col("score") >= min_score).select("file_id", "block_id", "item", "content", F.size("matches").cast("long").alias("n"), term_counts(F.col("matches")).alias("counts"), "score")
+    keys = ("file_id", "block_id", "item")
+    if not whole_block:
+        found = scan(indexed.select(*keys, "content"), terms, ("text", "n", "search_term_match_counts", "score"), "content", min_score)
+        return found.select(*keys, F.col("text").alias("content"), "n", F.col("search_term_match_counts").alias("counts"), "score")
+    found = match(indexed.select(*keys, "start", "content"), terms, "content").where(F.size("matches") > 0)
+    absolute = F.transform("matches", lambda m: F.struct((m["pos"] + F.col("start")).alias("pos"), m["term"].alias("term"), m["order"].alias("order")))
+    size = indexed.groupBy("file_id", "block_id").agg(F.max("end").alias("size"))
+    all_ = found.select("file_id", "block_id", absolute.alias("m")).groupBy("file_id", "block_id").agg(F.flatten(F.collect_list("m")).alias("all")).join(size, ["file_id", "block_id"])
+    all_ = all_.where(score.advanced(F.col("all"), F.col("size")) >= min_score)
+    own = found.join(all_, ["file_id", "block_id"]).withColumn("score", block_score(F.col("matches"), F.col("all"), F.col("size")))
+    return own.where(F.col("score") >= min_score).select(*keys, "content", F.size("matches").cast("long").alias("n"), term_counts(F.col("matches")).alias("counts"), "score")
+
+
+def search_file(indexed: DataFrame, strings: Iterable[str], exact: bool = False, case_sensitive: bool = False, correct: Callable[[str], str | None] | None = None, min_score: float = 1.0, derivative: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(results, results of the derivative search or None) of a delimited file: every option is honoured.
+
+    The derivative search takes the words of the best word cluster of the first results.
+    """
+    found = search_items(indexed, prepare(strings, exact, case_sensitive, correct), min_score)
+    if not derivative:
+        return found, None
+    best = word_clusters(top_results(found.withColumn("uri", F.concat_ws(":", "file_id", "block_id", "item"))), ("content",)).first()
+    return found, search_items(indexed, [Term(w) for w in best["cluster"].split()] if best else [], min_score)
+
+
+def fields(found: DataFrame, headers: Iterable[str] = (), text_col: str = "content") -> DataFrame:
+    """found with `fields`, (name, value) of the columns of its delimited content; columns without a header are `Column i`."""
+    headers = list(headers)
+    raw = F.regexp_extract_all(F.concat(F.col(text_col), F.lit(",")), F.lit('("(?:[^"]|"")*"|[^,]*),'), 1)
+    value = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    named = F.array(*map(F.lit, headers)) if headers else F.array().cast("array<string>")
+    name = lambda i: F.coalesce(F.try_element_at(named, i + 1), F.concat(F.lit("Column "), (i + 1).cast("string")))
+    return found.withColumn("fields", F.transform(raw, lambda x, i: F.struct(name(i).alias("name"), value(x).alias("value"))))
 
 
 def block_score(matches: Column, everything: Column, size: Column) -> Column:

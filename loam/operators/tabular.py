@@ -8,9 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Suffixes of files read as text, names without a suffix among them.
-TEXT_SUFFIXES = (".txt", ".md", ".csv", ".tsv", ".json", ".xml", ".html", ".css", ".js", ".py", ".java", ".c", ".cpp", ".h", ".rs", ".go", ".sql", ".yaml", ".yml", ".toml", ".ini", ".log", ".sh", "Makefile", "Dockerfile")
+TEXT_SUFFIXES = (
+    ".txt", ".text", ".log", ".md", ".markdown",
+    ".json", ".xml", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".csv", ".tsv", ".psv",
+    ".py", ".pyx", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".html", ".htm", ".css", ".scss", ".sass", ".less",
+    ".c", ".cpp", ".cxx", ".h", ".hpp", ".java", ".kt", ".ktm", ".kts", ".cs", ".fs", ".vb", ".go", ".rs", ".rb", ".erb",
+    ".php", ".swift", ".scala", ".groovy", ".pl", ".pm", ".sh", ".bash", ".zsh", ".lua", ".r", ".R", ".m", ".sql",
+    ".rst", ".tex", ".latex", ".adoc", ".asciidoc",
+    ".properties", ".third_party", ".gitignore", ".dockerignore", ".gradle", ".cmake", "CMakeLists.txt", "Makefile", ".mk", "Dockerfile", ".htaccess",
+    ".svg", ".graphql", ".gql", ".proto", ".plist", ".wsdl", ".xsd",
+    "package.json", "Gemfile", "requirements.txt", "Cargo.toml", "pom.xml",
+    "Jenkinsfile", "Vagrantfile", ".babelrc", ".eslintrc",
+)
 # Quantisation names that a result row may have.
-QUANT_TYPES = ("F16", "Q8_0", "Q6_K", "Q5_K_M", "Q5_K_S", "Q4_K_M", "Q4_K_S", "Q3_K_M", "Q2_K")
+QUANT_TYPES = ("F16", "Q8_0", "Q4_0", "IQ4_XS", "Q4_K_M", "Q4_K_S", "Q6_K", "Q5_K_M", "Q5_K_S", "IQ4_NL", "Q3_K_L", "Q3_K_M", "Q3_K_S", "Q2_K")
+# Patterns of the source files that are analysed, and of those that are not: tests and compiled files, then what isn't project code.
+SOURCE_INCLUDES = (r"\.py$",)
+SOURCE_EXCLUDES = (r"test_", r"_test", r"\.pyc$", r"__pycache__", r"/\.", r"__init__\.py$")
+OTHER_EXCLUDES = (
+    r"site-packages", r"env/", r"venv/", r"\.venv/", r"conda", r"anaconda", r"miniconda", r"\.eggs",
+    r"build/", r"dist/", r"\.egg-info",
+    r"python\d+\.\d+", r"lib/python\d+\.\d+", r"Lib/site-packages", r"lib64/python\d+\.\d+",
+    r"/usr/lib", r"/usr/local/lib", r"/opt/", r"\.tox/", r"\.mypy_cache", r"\.pytest_cache",
+)
+# The measures of a benchmark row.
+MEASURES = ("ttq", "size", "percent", "runs", "load", "encode", "prompt", "response", "quality")
 
 
 def success_rate(rows: DataFrame, ok: Column) -> DataFrame:
@@ -32,8 +54,10 @@ def keep_last(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def benchmark_rows(rows: DataFrame) -> DataFrame:
-    """Result rows as text; what was not measured is N/A."""
-    return rows.select("path", "type", F.col("size").cast("string").alias("size"), *(F.lit("N/A").alias(c) for c in ("ttq", "percent", "quality")))
+    """Result rows (path, type, MEASURES as text) of rows (path, type, failed and measures, where there are any): what was not measured is N/A, and all of a failed row is ERROR."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) if c in rows.columns else F.lit("N/A")
+    failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in rows.columns else F.lit(False)
+    return rows.select("path", "type", *(F.when(failed, "ERROR").otherwise(told(c)).alias(c) for c in MEASURES))
 
 
 def valid_quant(kind: Column) -> Column:
@@ -47,6 +71,13 @@ def chat_links(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", msg.alias("msg_id"), F.lag(msg).over(order).alias("parent_id"), F.lead(msg).over(order).alias("child_id"), "role")
 
 
+def chat_filled(turns: DataFrame) -> DataFrame:
+    """Messages of (conv_id, turn, role, text): each with its parent, its child as a list, and its content; an answer that is missing is an empty one."""
+    links = chat_links(turns.select("conv_id", "turn", "role"))
+    said = links.join(turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("content")), ["conv_id", "turn"])
+    return said.select("conv_id", "msg_id", "parent_id", F.filter(F.array("child_id"), lambda c: c.isNotNull()).alias("children"), "role", "content")
+
+
 def chat_current(turns: DataFrame) -> DataFrame:
     """The message a conversation stands at, and its number of messages."""
     msg = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -57,7 +88,7 @@ def category(size: Column, threshold: int = 512 << 20) -> Column:
     return F.when(size > threshold, "large").otherwise("small")
 
 
-def valid_file(path: Column, include: Iterable[str], exclude: Iterable[str]) -> Column:
+def valid_file(path: Column, include: Iterable[str] = SOURCE_INCLUDES, exclude: Iterable[str] = SOURCE_EXCLUDES + OTHER_EXCLUDES) -> Column:
     """Whether a path matches none of the excluded patterns and, if there are any, one of the included."""
     ok = F.lit(True)
     for p in exclude:

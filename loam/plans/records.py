@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -9,8 +12,11 @@ from loam.operators import graph as G
 from loam.operators import items as I
 from loam.operators import results as R
 from loam.operators import tabular as U
+from loam.operators import terms as Q
 from loam.operators.terms import Term
 from loam.plans.search import ADVANCED, SCORE_CTE, table, text_cte
+from loam.session import shared_dir
+from loam.sources import files, tables
 
 #: Keys of a block of delimited customers.
 PER_BLOCK = 500
@@ -53,6 +59,60 @@ def item_search_block(spark, sf):
     return found.select("block_id", "item", "n", F.round("score", 6).alias("score"))
 
 
+#: An item begins with digits and the name of a customer.
+BEGIN = r"\d+,Customer"
+
+
+def broken(c=F.col):
+    """Every third item holds raw breaks and text that looks like a row."""
+    return F.concat_ws(",", c("c_custkey").cast("string"), c("c_name"), F.when(c("c_custkey") % 3 == 0, F.lit("a\r\n\r\n12,b")).otherwise(F.lit("a")), c("c_mktsegment"))
+
+
+def item_index_validated(spark, sf):
+    """Blocks as whole texts, cut at breaks that a valid start follows; each block ends in an empty item."""
+    c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / PER_BLOCK).cast("long").alias("block_id"), F.struct("c_custkey", broken().alias("item")).alias("x"))
+    blocks = c.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), I.BREAK).alias("text"))
+    return I.split_block(blocks.select(F.lit("customer").alias("file_id"), "block_id", F.concat("text", F.lit(I.BREAK)).alias("text")), begin=BEGIN).select("block_id", "item", "start", F.col("end").alias("stop"), F.length("content").alias("size"))
+
+
+def item_index_file(spark, sf):
+    """A delimited file of customers with a header and raw breaks, written, read in parallel and cut at valid starts."""
+    at = f"{shared_dir(spark).rstrip('/')}/delimited-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "customer").select("c_custkey", broken().alias("value")).unionByName(spark.createDataFrame([(-1, "key,name,told,segment")], "c_custkey long, value string"))
+    rows.coalesce(1).sortWithinPartitions("c_custkey").select("value").write.option("lineSep", I.BREAK).text(at)
+    found = files.item_index(spark, at, BEGIN, header=True)
+    return found.select("item", "start", F.col("end").alias("stop"), F.regexp_extract("content", r"^(\d+),", 1).cast("long").alias("c_custkey"), F.length("content").alias("size"))
+
+
+def item_index_stored(spark, sf):
+    """Customers indexed once into tables; the search reads the stored index."""
+    at = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    tables.store_index(customers(spark, sf), at)
+    stored, _ = tables.load_index(spark, at)
+    found = I.search_items(customers(spark, sf), ITEM_TERMS, 0.0).select("file_id", "block_id", "item", "n", F.round("score", 6).alias("score"))
+    return found.join(stored, ["file_id", "block_id", "item"]).select("global_item", "start", F.col("end").alias("stop"), "n", "score")
+
+
+def item_offsets_stored(spark, sf):
+    at = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    tables.store_index(customers(spark, sf), at)
+    return tables.load_index(spark, at)[1].select("block_id", "item_offset")
+
+
+FACADE = ("Buildinh", "customer")
+
+
+def search_facade(spark, sf):
+    found, _ = I.search_file(customers(spark, sf), FACADE, correct={"Buildinh": "Building"}.get, min_score=2.0)
+    return found.select("block_id", "item", "n", F.round("score", 6).alias("score"))
+
+
+def item_fields(spark, sf):
+    found = I.search_items(customers(spark, sf), ITEM_TERMS, 0.0).select("block_id", "item", "content")
+    rows = I.fields(found, ["key", "name"]).select("block_id", "item", F.posexplode("fields").alias("place", "f"))
+    return rows.select("block_id", "item", F.col("place").cast("long"), "f.name", "f.value")
+
+
 def merge_results(spark, sf):
     l = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("uri"), F.col("l_partkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_returnflag").alias("term"), F.lit(1).cast("long").alias("n"), F.col("l_quantity").alias("score"), F.col("l_linestatus").alias("content"))
     return R.merge(l).select("uri", "item", "n", "score", "content", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
@@ -120,12 +180,54 @@ def more_edges(spark, sf):
     return o.select(F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("C:"), F.col("l_orderkey").cast("string")).alias("target"), F.lit("ships_to").alias("type"), F.create_map().cast("map<string,string>").alias("props"))
 
 
+def edge_changes(spark, sf):
+    """Every second customer's edge gets a note; one edge that isn't there."""
+    c = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("N:"), F.col("c_nationkey").cast("string")).alias("target"), F.create_map(F.lit("note"), F.col("c_mktsegment")).alias("props"))
+    return c.unionByName(spark.createDataFrame([("C:0", "N:0", {"note": "none"})], "source string, target string, props map<string,string>"))
+
+
+def edge_versions(spark, sf):
+    """Versions of supplier-part edges: their line items in order."""
+    l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), "l_quantity")
+    return l.withColumn("idx", F.row_number().over(Window.partitionBy("source", "target").orderBy("at")).cast("long") - 1)
+
+
+def out_of_range(spark, sf):
+    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") * 2).alias("target"), F.pmod("s_suppkey", F.lit(4)).cast("long").alias("idx"))
+    return G.out_of_range(edge_versions(spark, sf), asked, ["source", "target"])
+
+
+def graph_saved(spark, sf):
+    """Nodes and a snapshot, saved and loaded."""
+    at = f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    n = nodes(spark, sf)
+    tables.save_graph(n, edges(spark, sf), G.snapshot(n.where("type = 'nation'").select("uid", "type"), 3, "nations", F.lit("2024-01-01T00:00:00")), at)
+    _, e, snaps = tables.load_graph(spark, at)
+    return e.where("type = 'in_region'").select("source", "target").unionByName(G.rollback(snaps, 3).select(F.col("uid").alias("source"), F.col("type").alias("target")))
+
+
+def page_files(spark, sf):
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    return table(spark, sf, "pages").select(F.concat_ws("/", path, F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("path"), F.octet_length("html").cast("long").alias("length"))
+
+
+def source_files(spark, sf):
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.pmod("p_partkey", F.lit(len(FOLDERS))) + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod("p_size", F.lit(len(NAMES))) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.concat(folder, F.col("p_partkey").cast("string"), name).alias("path"))
+
+
+FOLDERS = ("src/m", "build/m", "lib/python3.9/m", "pkg/.hidden/m", "my_venv/m", "tests/test_", "opt/m", "x/opt/m")
+NAMES = (".py", ".pyc", "_test.py", ".toml", "/Makefile", "/__init__.py", ".R", ".exe")
+
+
 def events(spark, sf):
     return table(spark, sf, "events").withColumn("data", F.to_json(F.struct("event_type", F.round("value", 4).alias("value"))))
 
 
 def state_as_of(spark, sf):
-    e = table(spark, sf, "events").where("ts < timestamp_ntz'2024-01-15 00:00:00' OR event_id % 2 = 0")
+    """The last event of each user before a point in time."""
+    e = table(spark, sf, "events").where("ts < timestamp_ntz'2024-01-15 00:00:00'")
     return G.latest(e, "user_id", "ts", "event_id", "event_type", "value").select("user_id", "event_type", "value")
 
 
@@ -171,6 +273,19 @@ def property_filter(spark, sf):
 
 
 QUERIES = {
+    "item_index_validated": item_index_validated, "item_index_file": item_index_file, "item_index_stored": item_index_stored, "item_offsets_stored": item_offsets_stored,
+    "search_facade": search_facade, "item_fields": item_fields,
+    "graph_update_edge": lambda s, d: told(G.update(edges(s, d), edge_changes(s, d), ["source", "target"])),
+    "graph_remove_edge": lambda s, d: G.remove_edges(edges(s, d), edge_changes(s, d)).select("source", "target", "type"),
+    "graph_missing_edge": lambda s, d: G.missing(edges(s, d), edge_changes(s, d), ["source", "target"]).select("source", "target"),
+    "rollback_edge": lambda s, d: G.at_index(edge_versions(s, d), "source", 1).select("source", "target", "at", "l_quantity"), "rollback_out_of_range": out_of_range,
+    "graph_saved": graph_saved, "graph_prompt_text": lambda s, d: G.prompt_text(nodes(s, d).where("type IN ('region', 'nation')")),
+    "relation_check": lambda s, d: table(s, d, "events").select("event_id", G.valid_relation(F.when(F.col("event_id") % 3 == 0, F.lit("hierarchy")).when(F.col("event_id") % 3 == 1, F.col("event_type"))).alias("ok")),
+    "weight_check": lambda s, d: table(s, d, "customer").select("c_custkey", G.valid_weight(F.col("c_acctbal") / 5000).alias("ok")),
+    "file_tree": lambda s, d: files.tree(page_files(s, d)), "file_tree_reload": lambda s, d: files.from_tree_json(files.tree_json(files.tree(page_files(s, d)))),
+    "file_filter_default": lambda s, d: source_files(s, d).where(U.valid_file(F.col("path"))).select("p_partkey"), "suffix_default": lambda s, d: source_files(s, d).select("p_partkey", U.supported(F.col("path")).alias("ok")),
+    "quant_types": lambda s, d: table(s, d, "part").select("p_partkey", U.valid_quant(F.concat(F.lit("Q"), F.pmod("p_partkey", F.lit(9)).cast("string"), F.when(F.col("p_size") % 3 == 0, "_0").when(F.col("p_size") % 3 == 1, "_K").otherwise("_K_M"))).alias("ok")),
+    "chat_filled": lambda s, d: U.chat_filled(table(s, d, "conversations")).withColumn("children", F.array_join("children", ",")),
     "item_index": item_index, "item_offsets": item_offsets, "position_to_item_inclusive": position_to_item(True), "position_to_item_halfopen": position_to_item(False),
     "item_search": item_search, "item_search_block": item_search_block, "merge_results": merge_results, "block_count": block_count, "header_valid": header_valid,
     "graph_nodes": lambda s, d: told(nodes(s, d)), "graph_edges": lambda s, d: told(edges(s, d)), "graph_upsert_node": graph_upsert, "graph_update_node": graph_update,
@@ -191,7 +306,7 @@ QUERIES = {
     "duration_text": lambda s, d: table(s, d, "orders").select("o_orderkey", T.duration_text(F.col("o_orderkey") * 37).alias("took")),
     "size_percent": lambda s, d: U.size_percent(table(s, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") * 1000000).alias("size"), F.when(F.col("p_size") % 5 == 0, 0).otherwise(F.col("p_size").cast("long") * 100000000).alias("base"))),
     "keep_last_dedup": lambda s, d: U.keep_last(table(s, d, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_id"),
-    "benchmark_rows": lambda s, d: U.benchmark_rows(table(s, d, "part").select(F.col("p_name").alias("path"), F.element_at(F.split("p_type", " "), 1).alias("type"), F.col("p_size").alias("size"))),
+    "benchmark_rows": lambda s, d: U.benchmark_rows(table(s, d, "part").select(F.col("p_name").alias("path"), F.element_at(F.split("p_type", " "), 1).alias("type"), F.col("p_size").alias("size"), F.concat(F.col("p_partkey").cast("string"), F.lit("%")).alias("percent"), (F.col("p_size") % 10 == 0).alias("failed"))),
     "chat_links": lambda s, d: U.chat_links(table(s, d, "conversations")), "chat_current": lambda s, d: U.chat_current(table(s, d, "conversations")),
     "file_categories": lambda s, d: table(s, d, "documents").select("doc_id", U.category(F.octet_length(F.coalesce("text", F.lit(""))), 4096).alias("category")),
     "file_filter": lambda s, d: table(s, d, "pages").where(U.valid_file(F.col("url"), [r"/en/", r"page="], [r"^http:"])).select("page_id"),
@@ -216,7 +331,41 @@ ITEM_SOURCE = "SELECT {'b': block_id, 'i': item} AS doc_id, content AS text FROM
 HISTORY = "WITH h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)"
 SIZE = lambda x: f"CASE WHEN {x} < 1024 THEN {x} || ' B' WHEN {x} < 1048576 THEN printf('%.2f KB', {x} / 1024.0::DOUBLE) WHEN {x} < 1073741824 THEN printf('%.2f MB', {x} / 1048576.0::DOUBLE) ELSE printf('%.2f GB', {x} / 1073741824.0::DOUBLE) END"
 
+TOLD = """concat_ws(',', c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'a' || chr(13) || chr(10) || chr(13) || chr(10) || '12,b' ELSE 'a' END, c_mktsegment)"""
+#: Ancestors of each page's file, its own directory with its size.
+TREE = """fi AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || '/' || page_id || '.html' AS path, CAST(strlen(html) AS BIGINT) AS size FROM pages),
+an AS (SELECT path, size, string_split(path, '/') AS ps, unnest(range(0, len(string_split(path, '/')))) AS k FROM fi),
+nd AS (SELECT array_to_string(ps[1:k], '/') AS path, k, CAST(sum(CASE WHEN k = len(ps) - 1 THEN size ELSE 0 END) AS BIGINT) AS size FROM an GROUP BY ALL),
+tr AS (SELECT path, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent, size, true AS directory FROM nd UNION ALL SELECT path, regexp_replace(path, '/[^/]*$', ''), size, false FROM fi)"""
+SOURCES = f"sf AS (SELECT p_partkey, list_extract({list(FOLDERS)}, p_partkey % {len(FOLDERS)} + 1) || p_partkey || list_extract({list(NAMES)}, p_size % {len(NAMES)} + 1) AS path FROM part)"
+EXCLUDED, INCLUDED = "|".join(U.SOURCE_EXCLUDES + U.OTHER_EXCLUDES), "|".join(U.SOURCE_INCLUDES)
+EDGE_VERSIONS = """ev AS (SELECT l_suppkey AS source, l_partkey AS target, l_orderkey * 10 + l_linenumber AS "at", l_quantity, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 10 + l_linenumber) - 1 AS idx FROM lineitem)"""
+EVEN = "ch AS (SELECT 'C:' || c_custkey AS source, 'N:' || c_nationkey AS target, c_mktsegment AS note FROM customer WHERE c_custkey % 2 = 0)"
+FACADE_TERMS = Q.last_wins(Q.prepare(FACADE, False, correct={"Buildinh": "Building"}.get))
+
 ORACLES = {
+    "item_index_validated": f"""WITH x AS (SELECT c_custkey // {PER_BLOCK} AS block_id, c_custkey, {TOLD} AS t FROM customer)
+        SELECT block_id, row_number() OVER w AS item, CAST(sum(length(t) + 2) OVER w AS BIGINT) - length(t) - 2 AS start, CAST(sum(length(t) + 2) OVER w AS BIGINT) AS stop, length(t) AS size FROM x WINDOW w AS (PARTITION BY block_id ORDER BY c_custkey)""",
+    "item_index_file": f"""WITH x AS (SELECT c_custkey, {TOLD} AS t FROM customer)
+        SELECT row_number() OVER w AS item, 23 + CAST(sum(length(t) + 2) OVER w AS BIGINT) - length(t) - 2 AS start, 23 + CAST(sum(length(t) + 2) OVER w AS BIGINT) AS stop, c_custkey, length(t) AS size FROM x WINDOW w AS (ORDER BY c_custkey)""",
+    "item_index_stored": f"WITH {BLOCKS}, {text_cte(ITEM_TERMS, ITEM_SOURCE)}, {SCORE_CTE} SELECT item_offset + ix.item AS global_item, ix.start, ix.stop, s.n, round({ADVANCED.replace('n AS', 's.n AS')}, 6) AS score FROM s JOIN ix ON ix.block_id = doc_id.b AND ix.item = doc_id.i JOIN off ON off.block_id = ix.block_id",
+    "item_offsets_stored": f"WITH {BLOCKS} SELECT block_id, item_offset FROM off",
+    "search_facade": f"WITH {BLOCKS}, {text_cte(FACADE_TERMS, ITEM_SOURCE)}, {SCORE_CTE} SELECT doc_id.b AS block_id, doc_id.i AS item, n, round({ADVANCED}, 6) AS score FROM s WHERE {ADVANCED} >= 2",
+    "item_fields": f"""WITH {BLOCKS}, {text_cte(ITEM_TERMS, ITEM_SOURCE)}, f AS (SELECT doc_id.b AS block_id, doc_id.i AS item, string_split(text, ',') AS vs FROM d WHERE doc_id IN (SELECT doc_id FROM m))
+        SELECT block_id, item, i - 1 AS place, CASE i WHEN 1 THEN 'key' WHEN 2 THEN 'name' ELSE 'Column ' || i END AS name, vs[i] AS value FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM f)""",
+    "graph_update_edge": f"WITH {EDGES}, {EVEN} SELECT source, target, type, CASE WHEN note IS NULL THEN props ELSE 'note=' || note || ';' || props END AS props FROM ed LEFT JOIN ch USING (source, target)",
+    "graph_remove_edge": f"WITH {EDGES}, {EVEN} SELECT source, target, type FROM ed WHERE (source, target) NOT IN (SELECT source, target FROM ch)",
+    "graph_missing_edge": "SELECT 'C:0' AS source, 'N:0' AS target",
+    "rollback_edge": f'WITH {EDGE_VERSIONS} SELECT source, target, "at", l_quantity FROM ev WHERE idx = 1',
+    "rollback_out_of_range": f"WITH {EDGE_VERSIONS}, a AS (SELECT s_suppkey AS source, s_suppkey * 2 AS target, s_suppkey % 4 AS idx FROM supplier) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.source = a.source AND ev.target = a.target AND ev.idx = a.idx)",
+    "graph_saved": "SELECT 'N:' || n_nationkey AS source, 'R:' || n_regionkey AS target FROM nation UNION ALL SELECT 'N:' || n_nationkey, 'nation' FROM nation",
+    "graph_prompt_text": f"""WITH {NODES} SELECT 'KG►' || chr(10) || string_agg('KGNODE► ' || uid || ' : name="' || substr(props, 6) || '"', chr(10) ORDER BY uid) AS prompt FROM nd WHERE type IN ('region', 'nation')""",
+    "relation_check": "SELECT event_id, event_id % 3 = 0 AS ok FROM events", "weight_check": "SELECT c_custkey, coalesce(c_acctbal / 5000 BETWEEN -1 AND 1, false) AS ok FROM customer",
+    "file_tree": f"WITH {TREE} SELECT * FROM tr", "file_tree_reload": f"WITH {TREE} SELECT * FROM tr",
+    "file_filter_default": f"WITH {SOURCES} SELECT p_partkey FROM sf WHERE NOT regexp_matches(path, '{EXCLUDED}') AND regexp_matches(path, '{INCLUDED}')",
+    "suffix_default": f"WITH {SOURCES} SELECT p_partkey, len(list_filter({list(U.TEXT_SUFFIXES)}, lambda x: ends_with(path, x))) > 0 AS ok FROM sf",
+    "quant_types": f"SELECT p_partkey, 'Q' || p_partkey % 9 || CASE p_size % 3 WHEN 0 THEN '_0' WHEN 1 THEN '_K' ELSE '_K_M' END IN {U.QUANT_TYPES} AS ok FROM part",
+    "chat_filled": "SELECT conv_id, conv_id || ':' || turn AS msg_id, lag(conv_id || ':' || turn) OVER w AS parent_id, coalesce(lead(conv_id || ':' || turn) OVER w, '') AS children, role, coalesce(text, '') AS content FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "item_index": f"WITH {BLOCKS} SELECT block_id, item, start, stop, item_offset + item AS global_item, content FROM ix JOIN off USING (block_id)",
     "item_offsets": f"WITH {BLOCKS} SELECT block_id, n, item_offset FROM off",
     "position_to_item_inclusive": f"WITH {BLOCKS}, {POSITIONS} SELECT o_orderkey, block_id, pos, item FROM po JOIN ix USING (block_id) WHERE pos BETWEEN start AND stop",
@@ -251,7 +400,7 @@ ORACLES = {
     "graph_reload": f"WITH {NODES} SELECT * FROM nd",
     "graph_prompt": f"""WITH {NODES} SELECT uid, 'KGNODE► ' || uid || ' : ' || array_to_string(list_transform(string_split(props, ';'), lambda p: string_split(p, '=')[1] || '="' || string_split(p, '=')[2] || '"'), ', ') AS line FROM nd""",
     "version_history": f"{HISTORY} SELECT user_id, idx, event_id FROM h", "rollback_node": f"{HISTORY} SELECT user_id, event_id, event_type FROM h WHERE idx = 2",
-    "state_as_of": "SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' OR event_id % 2 = 0 GROUP BY user_id",
+    "state_as_of": "SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id",
     "snapshots": f"WITH {NODES} SELECT uid, type FROM nd WHERE type <> 'customer'",
     "snapshot_list": f"WITH {NODES} SELECT CAST(1 AS BIGINT) AS version, 'first' AS message, count(*) AS n FROM nd UNION ALL SELECT 2, 'no customers', count(*) FROM nd WHERE type <> 'customer'",
     "audit_log": "SELECT 'update_node' AS event, CAST(user_id AS VARCHAR) AS key, event_type AS kind, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL",
@@ -263,7 +412,7 @@ ORACLES = {
     "duration_text": """SELECT o_orderkey, CASE WHEN t // 86400 = 0 THEN '' WHEN t // 86400 = 1 THEN '1 day, ' ELSE t // 86400 || ' days, ' END || printf('%d:%02d:%02d', t % 86400 // 3600, t % 3600 // 60, t % 60) AS took FROM (SELECT o_orderkey, o_orderkey * 37 AS t FROM orders)""",
     "size_percent": """SELECT p_partkey AS key, printf('%.2f GB', p_partkey * 1000000 / 1073741824.0::DOUBLE) AS size_text, CASE WHEN p_size % 5 = 0 THEN NULL ELSE printf('%.2f%%', round(100.0::DOUBLE * (p_partkey * 1000000) / (p_size * 100000000::BIGINT), 2)) END AS percent FROM part""",
     "keep_last_dedup": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id",
-    "benchmark_rows": "SELECT p_name AS path, string_split(p_type, ' ')[1] AS type, CAST(p_size AS VARCHAR) AS size, 'N/A' AS ttq, 'N/A' AS percent, 'N/A' AS quality FROM part",
+    "benchmark_rows": "SELECT p_name AS path, string_split(p_type, ' ')[1] AS type, CASE WHEN p_size % 10 = 0 THEN 'ERROR' ELSE CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_size % 10 = 0 THEN 'ERROR' ELSE p_partkey || '%' END AS percent, " + ", ".join(f"CASE WHEN p_size % 10 = 0 THEN 'ERROR' ELSE 'N/A' END AS {c}" for c in U.MEASURES if c not in ("size", "percent")) + " FROM part",
     "chat_links": """SELECT conv_id, turn, conv_id || ':' || turn AS msg_id, lag(conv_id || ':' || turn) OVER w AS parent_id, lead(conv_id || ':' || turn) OVER w AS child_id, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "chat_current": "SELECT conv_id, arg_max(conv_id || ':' || turn, turn) AS current_id, count(*) AS messages FROM conversations GROUP BY conv_id",
     "file_categories": "SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) > 4096 THEN 'large' ELSE 'small' END AS category FROM documents",

@@ -8,11 +8,15 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loam.functions.arrow import flat
 from loam.functions.text import size_text
+from loam.operators.items import start_patterns
 from loam.operators.tabular import TEXT_SUFFIXES, category, supported
 
 
@@ -82,10 +86,28 @@ def documents(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES) -> DataFra
     return read.unionByName(other).unionByName(rest)
 
 
-def line_starts(text: Column) -> Column:
-    """Code points at which lines begin, in one pass over the lines."""
-    sizes = F.transform(F.split(text, "\n", -1), lambda x: F.length(x))
-    return F.slice(F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n + 1)), 1, F.size(sizes))
+def line_starts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with `line_starts`, the code points at which lines begin: one pass over the bytes of a batch; null for a null text."""
+    at = docs.columns.index(text_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "line_starts array<int>"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(pc.fill_null(batch.column(at), ""))
+            breaks = np.flatnonzero(data == 10)
+            points = np.concatenate((np.zeros(1, np.int64), np.cumsum(data.view(np.int8) >= -64)))
+            bounds = np.searchsorted(breaks, offsets)
+            counts = np.diff(bounds) + 1
+            first = np.cumsum(counts) - counts
+            starts = np.zeros(int(counts.sum()), np.int64)
+            inner = np.ones(len(starts), bool)
+            inner[first] = False
+            doc = np.repeat(np.arange(len(counts)), counts)
+            starts[inner] = points[breaks + 1] - points[offsets[:-1]][doc[inner]]
+            made = pa.ListArray.from_arrays(pa.array(np.r_[first, len(starts)], pa.int32()), pa.array(starts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(batch.column(at).is_valid(), made, pa.scalar(None, made.type))], names=[*batch.schema.names, "line_starts"])
+
+    return docs.mapInArrow(task, schema)
 
 
 def byte_range(content: Column, start: int, end: int) -> Column:
@@ -105,20 +127,78 @@ def has_header(sample: str) -> bool | None:
         return None
 
 
-def rows(spark: SparkSession, path: str, brk: str = "\r\n", header: bool = False) -> DataFrame:
-    """Raw items (content) of a delimited file, split by the engine at its breaks, so that a file of any size is read in parallel."""
-    read = spark.read.option("lineSep", brk).text(path).select(F.col("value").alias("content"))
-    if header:
-        first = read.first()
-        read = read.where(F.col("content") != (first["content"] if first else ""))
-    return read
+def pieces_between(spark: SparkSession, path: str, brk: str = "\r\n") -> DataFrame:
+    """(file_id, split, seq, content): what lies between the breaks of delimited files, read in parallel; split is the byte at which a task's share of a file begins, seq ascends within it."""
+    read = spark.read.option("lineSep", brk).text(path)
+    file, split = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return read.select(F.sha2(file.cast("binary"), 256).alias("file_id"), split.alias("split"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("content"))
+
+
+def item_index(spark: SparkSession, path: str, begin: str | None = None, brk: str = "\r\n", header: bool = False) -> DataFrame:
+    """(file_id, block_id, item, start, end, content) of delimited files whose items may hold raw breaks.
+
+    An item begins where the pattern `begin` holds, and at the first piece of a file (of its second, after a header).
+    Pieces are read in parallel; running sums of valid starts and of lengths within each share, and the sums of the
+    shares before it, give every piece its item and place, so no file passes through one task. block_id is the share
+    in which an item begins; start and end are code points of the file, its header's included. Empty items have no
+    number.
+    """
+    read = pieces_between(spark, path, brk)
+    order = Window.partitionBy("file_id", "split").orderBy("seq")
+    first = (F.col("split") == 0) & F.lag("seq").over(order).isNull()
+    size = (F.length("content") + len(brk)).cast("long")
+    ranked = read.select("*", first.alias("first"), size.alias("size"))
+    valid = F.lit(True) if begin is None else F.col("content").rlike(start_patterns(begin)[0]) | F.col("first")
+    opens = ((valid & (F.col("content") != "") if begin is None else valid) & (~F.col("first") if header else F.lit(True))).cast("long")
+    if header and begin is not None:  # the piece after the header opens an item whatever its text
+        opens = F.when((F.col("split") == 0) & F.coalesce(F.lag("first").over(order), F.lit(False)), F.lit(1).cast("long")).otherwise(opens)
+    marked = ranked.withColumn("opens", opens)
+    sums = marked.groupBy("file_id", "split").agg(F.sum("opens").alias("opened"), F.sum("size").alias("length"))
+    before = Window.partitionBy("file_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a share
+    base = sums.select("file_id", "split", F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("items_before"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("length_before"))
+    placed = marked.select("*", F.sum("opens").over(order).alias("here"), F.sum("size").over(order).alias("to")).join(base, ["file_id", "split"])
+    placed = placed.select("file_id", "split", "content", (F.col("items_before") + F.col("here")).alias("item"), (F.col("length_before") + F.col("to")).alias("end"), "size").where("item > 0")
+    if begin is None:
+        placed = placed.where("content <> ''")
+    parts = placed.groupBy("file_id", "item").agg(F.min("split").alias("block_id"), F.min(F.col("end") - F.col("size")).alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("end", "content"))).alias("parts"))
+    return parts.select("file_id", "block_id", "item", "start", "end", F.array_join(F.transform("parts", lambda x: x["content"]), brk).alias("content"))
+
+
+def rows(spark: SparkSession, path: str, brk: str = "\r\n", header: bool = False, begin: str | None = None) -> DataFrame:
+    """Raw items (content) of delimited files, in parallel. A header is the first piece of each file, not a text; with `begin`, items may hold raw breaks (see item_index)."""
+    if header or begin is not None:
+        return item_index(spark, path, begin, brk, header).select("content")
+    return spark.read.option("lineSep", brk).text(path).select(F.col("value").alias("content"))
 
 
 def concatenated(sources: DataFrame) -> DataFrame:
-    """One text of all sources (path, text) in order of path, each under a header between rules."""
+    """(path, text) of sources (path, text) in order of path, each text under a header between rules; write.text puts them one after the other."""
     rule = "#" * 79
-    one = F.concat(F.lit(rule + "\n# "), F.col("path"), F.lit("\n" + rule + "\n\n"), F.col("text"), F.lit("\n\n"))
-    return sources.select("path", one.alias("t")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "t"))), lambda x: x["t"]), "").alias("text"))
+    one = F.concat(F.lit(rule + "\n# "), F.col("path"), F.lit("\n" + rule + "\n\n"), F.col("text"), F.lit("\n"))
+    return sources.select("path", one.alias("text")).orderBy("path")
+
+
+def tree(files: DataFrame) -> DataFrame:
+    """(path, parent, size, directory) of files (path, length) and of every directory above them.
+
+    A directory's size is that of the files in it, not of those below its subdirectories. The root is '' with a null parent.
+    """
+    up = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "/[^/]*$", "")).when(c != "", F.lit(""))
+    path = F.col("path")
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    held = F.when(F.col("directory") == up(path), F.col("length")).otherwise(0)
+    directories = files.select("path", "length", F.explode(above).alias("directory")).groupBy("directory").agg(F.sum(held).cast("long").alias("size"))
+    return directories.select(F.col("directory").alias("path"), up(F.col("directory")).alias("parent"), "size", F.lit(True).alias("directory")).unionByName(files.select("path", up(path).alias("parent"), F.col("length").cast("long").alias("size"), F.lit(False).alias("directory")))
+
+
+def tree_json(nodes: DataFrame) -> DataFrame:
+    """(path, json): a node a row, with its parent, from which the tree is put together; no tree is one value."""
+    return nodes.select("path", F.to_json(F.struct("path", "parent", "size", "directory")).alias("json"))
+
+
+def from_tree_json(rows_: DataFrame) -> DataFrame:
+    return rows_.select(F.from_json("json", "path string, parent string, size long, directory boolean").alias("x")).select("x.*")
 
 
 TASK = "train array<struct<input:array<array<int>>,output:array<array<int>>>>, test array<struct<input:array<array<int>>,output:array<array<int>>>>"

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.operators.items import offsets
 
 
 def _paths(spark: SparkSession, root: str):
@@ -20,9 +23,19 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(make(p, "_SUCCESS")))
 
 
+def claim(spark: SparkSession, root: str) -> int:
+    """The next version of a table, for this writer alone: a marker file is made, which the file system does for one of several writers."""
+    fs, path, make = _paths(spark, root)
+    fs.mkdirs(make(path, "_claims"))
+    version = max(versions(spark, root), default=0) + 1
+    while not fs.createNewFile(make(path, f"_claims/{version}")):
+        version += 1
+    return version
+
+
 def commit(df: DataFrame, root: str) -> int:
-    """Writes df as the next version: readers see all of it or, until it is complete, the one before."""
-    version = max(versions(df.sparkSession, root), default=0) + 1
+    """Writes df as the next version: readers see all of it or, until it is complete, the one before. Writers that start together get a version each."""
+    version = claim(df.sparkSession, root)
     df.write.mode("errorifexists").parquet(f"{root}/v={version}")
     return version
 
@@ -32,3 +45,25 @@ def load(spark: SparkSession, root: str, version: int | None = None) -> DataFram
     if not known or version is not None and version not in known:
         raise ValueError(f"no version {version if version is not None else ''} in {root}")
     return spark.read.parquet(f"{root}/v={version if version is not None else known[-1]}")
+
+
+def store_index(indexed: DataFrame, root: str) -> None:
+    """Item metadata (file_id, block_id, item, start, end) and block offsets of an index, so that a file is indexed once and searched often."""
+    commit(indexed.select("file_id", "block_id", "item", "start", "end"), f"{root}/items")
+    commit(offsets(indexed), f"{root}/offsets")
+
+
+def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(item metadata with global_item, block offsets) of a stored index."""
+    items, at = load(spark, f"{root}/items"), load(spark, f"{root}/offsets").select("file_id", "block_id", F.col("n").cast("long"), F.col("item_offset").cast("long"))
+    return items.join(at.drop("n"), ["file_id", "block_id"]).withColumn("global_item", F.col("item_offset") + F.col("item")).drop("item_offset"), at
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, root: str) -> None:
+    """A graph with its snapshots as versions of three tables."""
+    for name, df in (("nodes", nodes), ("edges", edges), ("snapshots", snapshots)):
+        commit(df, f"{root}/{name}")
+
+
+def load_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(load(spark, f"{root}/{name}") for name in ("nodes", "edges", "snapshots"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,3 +25,17 @@ def append(rows: DataFrame, event: str, key: str, ts: str, to: str, checkpoint:
 def activity(rows: DataFrame, ts: str, kind: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Changes by kind and window; windows close once the watermark has passed them."""
     return rows.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def hooked(log: DataFrame, hooks: dict[str, Callable[[DataFrame], None]], checkpoint: str) -> tuple[StreamingQuery, list[str]]:
+    """Calls the hook of each event with the new audit rows of that event, batch by batch; (query, errors): a hook that fails is noted and stops nothing."""
+    errors: list[str] = []
+
+    def each(rows: DataFrame, batch: int) -> None:
+        for event, hook in hooks.items():
+            try:
+                hook(rows.where(F.col("event") == event))
+            except Exception as e:
+                errors.append(f"{event}, batch {batch}: {e}")
+
+    return log.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), errors

@@ -4,6 +4,7 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,12 +19,20 @@ def places(text, term):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("abA é", max_size=40), st.lists(st.text("abA é", max_size=3), max_size=5))
-def test_automaton(text, words):
-    find = match.automaton([terms.Term(w, k) for k, w in enumerate(words)])
-    expected = sorted((p, w) for w in {*words} - {""} for p in places(text, w))
-    assert sorted((p, t.text) for p, t in find(text)) == expected
-    assert all(t.order == len(words) - 1 - words[::-1].index(t.text) for _, t in find(text))  # the last of equal terms
+@given(st.lists(st.text("abA é\n", max_size=40), max_size=4), st.lists(st.text("abA é", max_size=3), max_size=5), st.integers(0, 2))
+def test_finder(texts, words, few):
+    find = match.Finder([terms.Term(w, k) for k, w in enumerate(words)])
+    data = "".join(texts).encode()
+    whole, match.FEW_HEADS = match.FEW_HEADS, (64, 0, 0)[few]
+    try:
+        found = find(np.frombuffer(data, np.uint8), np.r_[0, np.cumsum([len(t.encode()) for t in texts], dtype=np.int64)].astype(np.int64))
+    finally:
+        match.FEW_HEADS = whole
+    got = [(d, p, find.terms[t].text, n) for d, t, p, n in zip(found.doc, found.term, found.pos, found.line)]
+    expected = [(d, p, w, text[:p].count("\n") + 1) for d, text in enumerate(texts) for w in {*words} - {""} for p in places(text, w)]
+    assert got == sorted(expected, key=lambda x: (x[0], x[1] + len(x[2]), -len(x[2]))) or sorted(got) == sorted(expected) and [g[0] for g in got] == sorted(g[0] for g in got)
+    assert found.length.tolist() == [len(t) for t in texts]
+    assert all(find.terms[t].order == len(words) - 1 - words[::-1].index(find.terms[t].text) for t in found.term)  # the last of equal terms
 
 
 def test_terms():
