@@ -1,16 +1,16 @@
-"""What the operators share: table access, the shared folder, and byte views of Arrow text columns."""
+"""What the operators share: table access, byte views of Arrow text columns, hashes and words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions.arrow import flat, pieces
+from loam.session import discard, written
+
+__all__ = ["discard", "flat", "pieces", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,69 +21,10 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one, and any other is refused."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: state between stages needs a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="loam-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def _files(spark: SparkSession, at: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: the files survive lost executors and cut the lineage.
-
-    The files go when the driver ends, or with discard() where nothing reads them any more.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    fs, path = _files(spark, at)
-    fs.deleteOnExit(path)
-    out = spark.read.schema(df.schema).parquet(at)
-    out.written_at = at
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that no later action reads."""
-    for t in tables:
-        fs, path = _files(t.sparkSession, t.written_at)
-        fs.delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a text column without nulls, and the n + 1 offsets of its values; no copy."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, at, data = column.buffers()
-    n = len(column)
-    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def pieces(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `most` bytes each, one row at least: they bound the memory of vector work, not the rows."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
-
-
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices starts[k], starts[k] + 1, ... lens[k] of them for each k, one after the other."""
     total = int(lens.sum())

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loam.llm import components, exact_dedup, jaccard, substring_dedup, suffix_dedup
+from loam.llm import exact_dedup, jaccard, substring_dedup, suffix_dedup
+
+from loam.operators import components
 
 from .conftest import brute_words
 
