@@ -3,39 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import flat, pieces, table, texts
 
-#: Tokens are bytes, so both models share a closed vocabulary and trigrams have a proven bound of 2 ** 24.
-VOCABULARY = 256
+#: Tokens are bytes, so both models share a closed vocabulary; beside them there is the start of a text, and trigrams have a proven bound of 257 ** 3.
+VOCABULARY, START = 256, 256
+SYMBOLS = VOCABULARY + 1
 #: Weight of the shorter context in each estimate.
 PRIOR = 8.0
-#: Seed of the background's draw.
+#: Seed of the background's draw, and of the folds.
 SEED = 17
 
-COUNTS = "model int, code int, n long"
+COUNTS = "model int, fold int, code int, n long"
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Trigram code of every byte: the two bytes before it in its text (0 where there is none), then itself."""
-    padded = np.concatenate((np.zeros(2, np.uint32), data.astype(np.uint32)))
+    """Trigram code of every byte: the two symbols before it in its text (START where there is none), then itself."""
+    padded = np.concatenate((np.full(2, START, np.int32), data.astype(np.int32)))
     one, two = padded[1:-1].copy(), padded[:-2].copy()
     starts = offsets[:-1][np.diff(offsets) > 0]
-    one[starts] = 0
-    two[starts] = 0
+    one[starts] = START
+    two[starts] = START
     second = starts + 1
-    two[second[second < len(data)]] = 0
-    return two << 16 | one << 8 | padded[2:]
+    two[second[second < len(data)]] = START
+    return (two * SYMBOLS + one) * SYMBOLS + padded[2:]
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (target boolean, background boolean, text) -> trigram counts of the task for models 0 and 1."""
-    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    """Batches of (model, fold, text) -> trigram counts of the task by model and fold."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def merged(parts):
         code = np.concatenate([c for c, _ in parts])
@@ -43,90 +45,115 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return values, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
     for batch in batches:
-        member = [np.asarray(batch.column(k).cast(pa.uint8())).astype(bool) for k in (0, 1)]
+        group = np.asarray(batch.column(0)) * 2 + np.asarray(batch.column(1))
         data, offsets = flat(batch.column(2))
         for i, j in pieces(offsets, 2 << 20):
             code = contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            for model in (0, 1):
-                own = np.repeat(member[model][i:j], np.diff(offsets[i : j + 1]))
-                if own.any():
-                    held[model].append(np.unique(code[own], return_counts=True))
-                    if len(held[model]) > 16:
-                        held[model] = [merged(held[model])]
-    for model in (0, 1):
-        if held[model]:
-            code, n = merged(held[model])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), model, np.int32)), pa.array(code.astype(np.int32)), pa.array(n)], names=["model", "code", "n"])
-
-
-def losses(code: np.ndarray, n: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """-log2 p(c | a b) for all a, b, c of `letters` (the bytes that occur, with 0), as a cube.
+            of = np.repeat(group[i:j], np.diff(offsets[i : j + 1]))
+            for g in np.unique(of).tolist():
+                parts = held.setdefault(g, [])
+                parts.append(np.unique(code[of == g], return_counts=True))
+                if len(parts) > 16:
+                    held[g] = [merged(parts)]
+    for g, parts in held.items():
+        code, n = merged(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), g // 2, np.int32)), pa.array(np.full(len(code), g % 2, np.int32)), pa.array(code.astype(np.int32)), pa.array(n)], names=["model", "fold", "code", "n"])
+
+
+@dataclass
+class Models:
+    #: Place of each symbol in the cubes; the last place is that of the symbols that no model saw.
+    place: np.ndarray
+    size: int
+    #: -log2 p(c | a b) by fold, a, b, c, as one row: of a fold's documents, learnt from the other fold.
+    target: np.ndarray
+    background: np.ndarray
+
+
+def losses(code: np.ndarray, n: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """-log2 p(c | a b) for all places a, b, c, as a cube.
 
     Each estimate leans on that of the shorter context with weight PRIOR; the shortest is add-one over VOCABULARY.
     """
-    place = np.full(256, 0)
-    place[letters] = np.arange(len(letters))
-    size = len(letters)
-    three = np.zeros((size, size, size))
-    np.add.at(three, (place[code >> 16], place[code >> 8 & 255], place[code & 255]), n)
-    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+    cube = np.zeros((size, size, size), np.float32)
+    np.add.at(cube, (place[code // SYMBOLS**2], place[code // SYMBOLS % SYMBOLS], place[code % SYMBOLS]), n)
+    two = cube.sum(axis=0, dtype=np.float64)
+    one = two.sum(axis=0)
     p = (one + 1) / (one.sum() + VOCABULARY)
     p = (two + PRIOR * p) / (two.sum(axis=1, keepdims=True) + PRIOR)
-    p = (three + PRIOR * p) / (three.sum(axis=2, keepdims=True) + PRIOR)
-    return -np.log2(p).astype(np.float32)
+    total = cube.sum(axis=2, keepdims=True, dtype=np.float64).astype(np.float32)
+    cube += (PRIOR * p).astype(np.float32)  # in place: a cube is the largest thing that the driver holds
+    cube /= total + np.float32(PRIOR)
+    np.log2(cube, out=cube)
+    np.negative(cube, out=cube)
+    return cube
+
+
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double, favoured double"
+
 
+def fold() -> Column:
+    """0 or 1 by a hash of the id."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2)).cast("int")
 
-SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
+def members(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(model, fold, text): every document that the target names as model 0, and as model 1 the background, drawn from all documents by a hash of the id at the rate at which its expected bytes match the target's."""
+    named = target.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size"))
+    whole, own = (x.agg(F.sum("size")).first()[0] or 0 for x in (sizes, sizes.join(named, "doc_id", "left_semi")))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(own / max(whole, 1) * (1 << 30))
+    chosen = docs.join(named, "doc_id", "left_semi").select(F.lit(0).alias("model"), fold().alias("fold"), "text")
+    return chosen.unionByName(docs.where(F.coalesce(F.col("doc_id").isNotNull() & drawn, F.lit(False))).select(F.lit(1).alias("model"), fold().alias("fold"), "text"))
 
-def train(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, loss cube of the target, loss cube of the background) from (doc_id, text) and the target's doc_id.
 
-    The target is every document named; the background is drawn from all documents by a hash of the id, at the
-    rate at which its expected bytes match the target's. Counts are summed over whole texts, in each task, then
-    by trigram; at most 2 * 2 ** 24 sums, in practice those of the bytes in use, come to the driver.
+def train(docs: DataFrame, target: DataFrame) -> Models:
+    """Models from (doc_id, text) and the target's doc_id; each fold's are learnt from the other fold's documents, so none is scored by what it taught.
+
+    Counts cover the whole texts of all members, are summed in each task, then by trigram; at most 4 * 257 ** 3
+    sums, in practice those of the bytes in use, come to the driver.
     """
-    named = target.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
-    size = F.octet_length("text")
-    marked = docs.join(named.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
-    sums = docs.select("doc_id", size.alias("size")).join(named.hint("merge"), "doc_id", "left").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("target"), F.col("size"))).alias("target")).first()
-    rate = (sums["target"] or 0) / (sums["all"] or 1)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(rate * (1 << 30))
-    used = marked.select("target", F.coalesce(drawn, F.lit(False)).alias("background"), "text").where("target or background")
-    rows = used.mapInArrow(count, COUNTS).groupBy("model", "code").agg(F.sum("n").alias("n")).toArrow()
-    model, code, n = (np.asarray(rows.column(k)) for k in ("model", "code", "n"))
-    letters = np.unique(np.concatenate((np.zeros(1, np.int32), code >> 16, code >> 8 & 255, code & 255)))
-    return letters, losses(code[model == 0], n[model == 0], letters), losses(code[model == 1], n[model == 1], letters)
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """Mean losses per byte and their difference; below 0: closer to the target. A byte that neither model saw counts as byte 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two cubes of at most 2 ** 24 floats
+    rows = members(docs, target).mapInArrow(count, COUNTS).groupBy("model", "fold", "code").agg(F.sum("n").alias("n")).toArrow()
+    model, of, code, n = (np.asarray(rows.column(k)) for k in ("model", "fold", "code", "n"))
+    letters = np.unique(np.concatenate((np.full(1, START), code // SYMBOLS**2, code // SYMBOLS % SYMBOLS, code % SYMBOLS)))
+    size = len(letters) + 1
+    place = np.full(SYMBOLS, size - 1)
+    place[letters] = np.arange(len(letters))
+    cubes = []
+    for m in (0, 1):
+        cubes.append(np.concatenate([losses(code[own], n[own], place, size).ravel() for own in ((model == m) & (of == 1 - k) for k in (0, 1))]))
+    return Models(place, size, *cubes)
+
+
+def score(docs: DataFrame, models: Models) -> DataFrame:
+    """Mean losses per byte, the mean of their differences (below 0: closer to the target), and the share of bytes that the target's model gives less loss."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # four cubes of at most 258 ** 3 floats
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, target, background = shared.value
-        place = np.zeros(256, np.int64)
-        place[letters] = np.arange(len(letters))
-        size = len(letters)
-        flat_target, flat_background = target.ravel(), background.ravel()
+        m = shared.value
+        place, size = m.place, m.size
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            of = np.asarray(batch.column(1)).astype(np.int64)
+            data, offsets = flat(batch.column(2))
             for i, j in pieces(offsets, 1 << 20):
                 own = offsets[i : j + 1] - offsets[i]
-                code = contexts(data[offsets[i] : offsets[j]], own)
-                at = (place[code >> 16] * size + place[code >> 8 & 255]) * size + place[code & 255]
                 n = np.diff(own)
-                means = [np.diff(np.r_[0.0, np.cumsum(cube[at], dtype=np.float64)][own]) / np.maximum(n, 1) for cube in (flat_target, flat_background)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(m) for m in means), pa.array(means[0] - means[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                code = contexts(data[offsets[i] : offsets[j]], own)
+                at = ((np.repeat(of[i:j], n) * size + place[code // SYMBOLS**2]) * size + place[code // SYMBOLS % SYMBOLS]) * size + place[code % SYMBOLS]
+                target, background = m.target[at], m.background[at]
+                means = [np.diff(np.r_[0.0, np.cumsum(x, dtype=np.float64)][own]) / np.maximum(n, 1) for x in (target, background, target - background, target < background)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(x) for x in means)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score", "favoured"])
 
-    return docs.mapInArrow(task, SCORED)
+    return docs.select("doc_id", fold().alias("fold"), "text").mapInArrow(task, SCORED)
 
 
 def lm_score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of every whole text; target: a table with doc_id.
+    """doc_id, n_tokens, target_loss, background_loss, score, favoured of every whole text; target: a table with doc_id.
 
-    A null or empty text has no tokens and losses of 0. Rows that repeat are counted and scored each. Without a
-    target, or without documents, models are even over the vocabulary. Other columns are ignored.
+    The score is the mean of the per-token loss differences. A null or empty text has no tokens and 0 in all columns.
+    Rows that repeat are counted and scored each; a row without an id is scored and teaches nothing. A byte that no
+    model saw is a symbol of its own, not the start of a text. Without a target, or without documents, models are even
+    over the vocabulary. Other columns are ignored.
     """
     rows = texts(docs, id_col, text_col)
     return score(rows, train(rows, target))
