@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -145,6 +146,21 @@ def test_secrets_beside_separators(spark):
     assert all(e <= f for x in got.values() for (_, e), (f, _) in zip(x, x[1:]))
 
 
+def test_chat_roles(spark, tmp_path):
+    """Roles of conversations stay as they are; nulls, repeated turns, an empty table and extra columns."""
+    rows = [(1, 0, "human", "q"), (1, 1, "gpt", "a"), (1, 2, "assistant", None), (2, None, None, "x"), (2, 0, "user", "</s>"), (None, 5, "model", "m"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same")]
+    spark.createDataFrame([(*r, "z", "z") for r in rows], "conv_id long, turn long, role string, text string, part string, segment string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat.op6_chat(spark, str(tmp_path)).collect()}
+    probe = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+    want = {1: [("human", "q"), ("gpt", "a"), ("assistant", "")], 2: [("", "x"), ("user", "</s>")], None: [("model", "m")], 3: [("assistant", "same")] * 2, -1: probe}
+    assert got.keys() == want.keys()
+    for c, turns in want.items():
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        learnt = "".join(t for r, t in turns if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learnt), sha(learnt)), c
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, record string")).count() == 0
+
+
 def test_chat_layouts(spark):
     records = [
         (1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"[INST] <s> \\\\ x"}]}'), (2, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'),
@@ -172,33 +188,44 @@ def test_chat_round_trip():
         assert [chat.unescape(s[a:b]) for s, a, b in made] == [t if r == "assistant" else "" for r, t in turns]
 
 
-def test_lm_score(spark, frame, awkward, nothing):
-    target = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
-    rows = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    letters, cube, _ = lm_score.train(rows, target)
-    counts = np.zeros((256, 256, 256))
-    for d, t in awkward:
-        if d < 40 and d % 2 == 0:
-            b = b"\0\0" + t.encode()
-            for k in range(2, len(b)):
-                counts[b[k - 2], b[k - 1], b[k]] += 1
-    one, two = counts.sum(axis=(0, 1)), counts.sum(axis=0)
-    got = {r["doc_id"]: r for r in lm_score.lm_score(frame, target).collect()}
-    assert len(got) == len(awkward)
-    for d, t in awkward:
-        if d in (1, 3, 207):
-            b, loss = b"\0\0" + t.encode(), 0.0
-            for k in range(2, len(b)):
-                x, y, z = b[k - 2], b[k - 1], b[k]
-                p = (one[z] + 1) / (one.sum() + 256)
-                p = (two[y, z] + 8 * p) / (two[y].sum() + 8)
-                p = (counts[x, y, z] + 8 * p) / (counts[x, y].sum() + 8)
-                loss -= np.log2(p)
-            assert got[d]["target_loss"] == pytest.approx(loss / (len(b) - 2), rel=1e-5)
-        assert got[d]["score"] == pytest.approx(got[d]["target_loss"] - got[d]["background_loss"])
-    assert (got[200]["n_tokens"], got[200]["score"]) == (0, 0.0)
-    assert got[206]["score"] > got[2]["score"]  # emoji are further from the target than its own prose
-    assert lm_score.lm_score(nothing, target).count() == 0 and lm_score.lm_score(frame, target.where("false")).count() == len(awkward)
+def plain_loss(counts, text):
+    """Mean -log2 p per byte from trigram counts; symbol 256 is the start of a text."""
+    three, two, one = counts
+    total, loss, b = sum(one.values()), 0.0, [256, 256, *text.encode()]
+    for x, y, z in zip(b, b[1:], b[2:]):
+        p = (one[z] + 1) / (total + 256)
+        p = (two[y, z] + 8 * p) / (sum(n for (q, _), n in two.items() if q == y) + 8)
+        p = (three[x, y, z] + 8 * p) / (sum(n for (q, r, _), n in three.items() if (q, r) == (x, y)) + 8)
+        loss -= np.log2(p)
+    return loss / max(len(b) - 2, 1)
+
+
+def test_lm_score(spark, awkward, nothing):
+    """Both models and the score against a plain version: folds, the drawn background, unseen bytes, text starts."""
+    rows = [(d, t) for d, t in awkward if d not in (207,)] + [(None, "no id here"), (3, awkward[3][1]), (300, "\x00\x00 and zero bytes"), (301, "ünsëën ☃")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    target = spark.createDataFrame([(i,) for i in [*range(0, 40, 2), 300, None]], "doc_id long")
+    counts = {(m, f): (Counter(), Counter(), Counter()) for m in (0, 1) for f in (0, 1)}
+    used = lm_score.members(docs, target).collect()
+    assert sum(r["model"] == 0 for r in used) == 21 and 5 < sum(r["model"] == 1 for r in used) < 60
+    for r in used:
+        b = [256, 256, *r["text"].encode()]
+        for x, y, z in zip(b, b[1:], b[2:]):
+            for c, k in zip(counts[r["model"], r["fold"]], ((x, y, z), (y, z), z)):
+                c[k] += 1
+    folds = {(r["doc_id"], r["text"]): r["f"] for r in docs.select("doc_id", "text", lm_score.fold().alias("f")).collect()}
+    got = lm_score.lm_score(docs.withColumn("model", F.lit(1)), target).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    for d, t in rows:
+        if d in (1, 3, 8, 200, 206, 300, 301, None):
+            f = folds[d, t or ""]
+            a, b = (plain_loss(counts[m, 1 - f], t or "") for m in (0, 1))
+            r = by_id[d]
+            assert (r["n_tokens"], r["target_loss"], r["background_loss"]) == (len((t or "").encode()), pytest.approx(a, rel=1e-4), pytest.approx(b, rel=1e-4)), d
+            assert r["score"] == pytest.approx(a - b, abs=1e-3) and 0 <= r["favoured"] <= 1
+    assert by_id[206]["score"] > by_id[2]["score"]  # emoji are further from the target than its own prose
+    assert lm_score.lm_score(nothing, target).count() == 0 and lm_score.lm_score(docs, target.where("false")).count() == len(rows)
 
 
 def test_language_id(spark, frame, awkward, nothing):
