@@ -87,10 +87,12 @@ def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, ancho
                 own = np.flatnonzero(of[runs.doc] == s)
                 # keys come back without their uppermost bits; what that lets through falls to the suffix sort
                 own = own[np.fromiter(map(seen.__contains__, short(runs.key[own], buckets, NAME_BYTES).tolist()), bool, len(own))]
+                if not len(own):
+                    continue
                 start, size, doc = runs.start[own], runs.count[own] + width - 1, ids[i:j][runs.doc[own]]
                 name = names(part, start, size)
                 order = np.lexsort((doc, name))
-                first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]]) if len(order) else order
+                first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
                 last = np.append(first[1:], len(order)) - 1
                 many = doc[order[first]] != doc[order[last]]
                 at = order[first]
