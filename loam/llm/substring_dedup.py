@@ -21,7 +21,7 @@ WINDOW = 8
 NO_ID = -(1 << 63)
 
 STOP = np.zeros(256, bool)
-STOP[[*b".!?,;:"]] = True
+STOP[[*b".!?"]] = True
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -38,7 +38,7 @@ def kinds() -> np.ndarray:
         out = np.zeros(0x110000, np.uint8)
         everything = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
         unspaced = "[" + "".join(rf"\p{{Script={x}}}" for x in UNSPACED) + "\u30fc\uff70]"
-        for kind, pattern in ((ALONE, unspaced), (SPACE, r"\s"), (END, "[\\p{Terminal_Punctuation}\u2026\u0085\u2028\u2029]")):
+        for kind, pattern in ((ALONE, unspaced), (SPACE, r"\s"), (END, "[\\p{Sentence_Terminal}\u2026\u0085\u2028\u2029]")):
             out[[ord(c) for c in regex.findall(pattern, everything)]] = kind
         _kinds.append(out)
     return _kinds[0]
@@ -78,9 +78,9 @@ def cut_long(words: Words, new: np.ndarray) -> np.ndarray:
 class Spans:
     """Sentences of several texts and the spans that begin at each.
 
-    A sentence ends at a line end or at a mark that white space follows; commas, colons and semicolons count, so a
-    long sentence is several. With `every`, marks and blanks of other scripts count, and a sentence of WORDS words or
-    more is cut (see parted and cut_long): a text of WORDS words or more always has a span.
+    A sentence ends at a line end or at a full stop, question or exclamation mark that white space follows. With
+    `every`, sentence marks and blanks of other scripts count, and a sentence of WORDS words or more is cut (see
+    parted and cut_long): a text of WORDS words or more always has a span.
 
     The span of a sentence is the shortest run of sentences from it on that has SENTENCES sentences and WORDS words;
     near a text's end there is none. With `every`, the shortest such run up to the end of each sentence is a span
