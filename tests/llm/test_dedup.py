@@ -66,7 +66,7 @@ def plain_sentences(text):
     units = []
     for k, m in enumerate(words):
         gap = b[words[k - 1].end() : m.start()] if k else b""
-        if not k or b"\n" in gap or re.search(rb"[.!?,;:][\t\n\x0b\x0c\r ]", gap):
+        if not k or b"\n" in gap or re.search(rb"[.!?][\t\n\x0b\x0c\r ]", gap):
             units.append([])
         units[-1].append(m)
     return b, units

@@ -3,6 +3,7 @@
 import corpus_pipeline as P
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loam.llm import catalog
 
@@ -48,6 +49,25 @@ def test_stages_on_awkward_rows(spark, awkward):
     assert brute_words("Aé-1") == ["aé", "1"]
 
 
+def test_stages_know_rows_by_id_and_text(spark):
+    """Null ids and repeated ids: each row is judged by its own text."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], schema)
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    rows = [(None, f"before {bench} after"), (2, word(2)), (2, f"{bench} and more"), (None, word(3)), (4, None)]
+    assert told(P.clean(spark, frame(rows), SF)) == sorted([(2, word(2)), (None, word(3)), (4, None)], key=repr)
+    rows = [(3, word(3)), (None, word(3)), (None, word(4)), (None, f"{word(4)} more"), (5, word(5)), (6, f"{word(5)} more"), (5, word(6)), (7, word(7)), (7, word(7)), (None, word(8))]
+    got = told(P.near(spark, frame(rows), SF))
+    assert [x for x in got if x[1] not in (word(4), f"{word(4)} more")] == sorted([(3, word(3)), (5, word(5)), (5, word(6)), (7, word(7)), (None, word(8))], key=repr)
+    assert sum(x[1] in (word(4), f"{word(4)} more") for x in got) == 1
+    rows = [(4, word(4)), (None, word(4)), (5, word(4)), (None, word(5)), (None, word(5)), (6, None), (7, ""), (8, word(6)), (8, word(6)), (8, word(7))]
+    assert [(d, t or "") for d, t in told(P.exact(spark, frame(rows), SF))] == sorted([(5, word(4)), (None, word(5)), (7, ""), (8, word(6)), (8, word(7))], key=repr)
+    both = frame(rows).withColumn("dropped_id", F.lit(1)).withColumn("dropped_key", F.lit("x"))
+    assert P.exact(spark, both, SF).columns == both.columns and P.near(spark, both, SF).columns == both.columns
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql(spark, name):
     db = duckdb.connect()
