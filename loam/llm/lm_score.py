@@ -98,12 +98,15 @@ def fold() -> Column:
 
 
 def members(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(model, fold, text): every document that the target names as model 0, and as model 1 the background, drawn from all documents by a hash of the id at the rate at which its expected bytes match the target's."""
+    """(model, fold, text): every document that the target names as model 0, and as model 1 the background, drawn from all documents by a hash of the id at the rate at which its expected bytes match the target's.
+
+    The target's ids grow with the documents, so that join is by merge at every size; the background takes none.
+    """
     named = target.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     sizes = docs.select("doc_id", F.octet_length("text").alias("size"))
-    whole, own = (x.agg(F.sum("size")).first()[0] or 0 for x in (sizes, sizes.join(named, "doc_id", "left_semi")))
+    whole, own = (x.agg(F.sum("size")).first()[0] or 0 for x in (sizes, sizes.join(named.hint("merge"), "doc_id", "left_semi")))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(own / max(whole, 1) * (1 << 30))
-    chosen = docs.join(named, "doc_id", "left_semi").select(F.lit(0).alias("model"), fold().alias("fold"), "text")
+    chosen = docs.join(named.hint("merge"), "doc_id", "left_semi").select(F.lit(0).alias("model"), fold().alias("fold"), "text")
     return chosen.unionByName(docs.where(F.coalesce(F.col("doc_id").isNotNull() & drawn, F.lit(False))).select(F.lit(1).alias("model"), fold().alias("fold"), "text"))
 
 
