@@ -1,180 +1,124 @@
-"""The graph language: tokens, syntax tree as rows, validation, and changes to graph tables.
+"""The graph language: tokens, statements as rows of a tree, validation, and changes to graph tables.
 
     C► NODE|LINK uid "text" ◄     create; U► update, D► delete, E► evaluate alike
     N► [timeout] "text" ◄         navigate
     IF► command block {ELIF► command block} [ELSE► block] ◄
     LOOP► "condition" ◄ block ◄
+
+Texts are cut by one pattern, tokens or parts of statements; blocks are depths, which windows over the rows of a program
+count. programs are (program_id, text), program_id their key; a null text is an empty program.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from typing import NamedTuple
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STRING = r'"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"'
 # The token classes of the language, in the order in which they are tried.
 TOKENS = (
-    ("KEYWORD", r"C►|U►|D►|E►|N►|IF►|ELIF►|ELSE►|LOOP►|END►"), ("CLOSE", r"◄"), ("NUMBER", r"\d+(?:\.\d+)?"), ("STRING", r'"(?:[^"\\]|\\.)*"'),
+    ("KEYWORD", r"C►|U►|D►|E►|N►|IF►|ELIF►|ELSE►|LOOP►|END►"), ("CLOSE", r"◄"), ("NUMBER", r"\d+(?:\.\d+)?"), ("STRING", STRING),
     ("IDENT", r"[A-Za-z_][A-Za-z0-9_]*"), ("OP", r"==|!=|<=|>=|[+\-*/<>]"), ("SYMBOL", r"[{}(),:;]"), ("WS", r"\s+"),
 )
-PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in TOKENS))
 COMMANDS = {"C►": "create", "U►": "update", "D►": "delete", "E►": "evaluate", "N►": "navigate"}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\", "'": "'"}
 
-
-class Token(NamedTuple):
-    type: str
-    value: str
-    pos: int
-
-
-class Row(NamedTuple):
-    """A statement: parent (-1 at the top), branch of the parent (if, elif0, else, loop ...), place, and what it says."""
-
-    node: int
-    parent: int
-    branch: str
-    seq: int
-    kind: str
-    entity: str | None
-    uid: str | None
-    instruction: str | None
-    timeout: str | None
+TOKEN = "(?U)" + "|".join(p for _, p in TOKENS) + "|(?s:.)"
+COMMAND = rf"([CUDE]►)\s*+(NODE|LINK)\s++([A-Za-z_][A-Za-z0-9_]*+)\s*+{STRING}\s*+◄"
+NAVIGATE = rf"N►\s*+(\d++(?:\.\d++)?+)?+\s*+{STRING}\s*+◄"
+#: Commands and heads of loops as wholes, the marks of blocks, blanks, and what fits nowhere.
+PART = rf"(?U){COMMAND}|{NAVIGATE}|LOOP►\s*+{STRING}\s*+◄|ELIF►|ELSE►|IF►|◄|\s++|[^CUDENIL◄\s]++|(?s:.)"
+#: An innermost block of letters (see letter), which counts as one statement b.
+BLOCK = "(?:ic[cb]*+(?:ec[cb]*+)*+(?:l[cb]*+)?+|o[cb]*+)x"
 
 
-def tokenize(text: str) -> list[Token]:
-    out, at = [], 0
-    while at < len(text):
-        m = PATTERN.match(text, at)
-        if m is None:
-            raise SyntaxError(f"unexpected character {text[at]!r} at {at}")
-        if m.lastgroup != "WS":
-            out.append(Token(m.lastgroup, m[0], at))
-        at = m.end()
-    return [*out, Token("EOF", "", at)]
-
-
-def unquote(s: str) -> str:
-    """Text of a string token; escapes are decoded, other characters stay."""
-    return re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[0]), s[1:-1], flags=re.S)
-
-
-def parse(text: str) -> list[Row]:
-    """Statements of a program, parents first; SyntaxError says where it is wrong."""
-    tokens, rows, at = tokenize(text), [], 0
-
-    def take(kind: str, *values: str) -> str:
-        nonlocal at
-        t = tokens[at]
-        if t.type != kind or values and t.value not in values:
-            raise SyntaxError(f"expected {' or '.join(values) or kind}, got {t.value or t.type} at {t.pos}")
-        at += 1
-        return t.value
-
-    def add(parent, branch, seq, kind, entity=None, uid=None, instruction=None, timeout=None) -> int:
-        rows.append(Row(len(rows), parent, branch, seq, kind, entity, uid, instruction, timeout))
-        return len(rows) - 1
-
-    def command(parent: int, branch: str, seq: int) -> None:
-        word = take("KEYWORD", *COMMANDS)
-        if word == "N►":
-            timeout = take("NUMBER") if tokens[at].type == "NUMBER" else None
-            said = [None, None, unquote(take("STRING")), timeout]
-        else:
-            said = [take("IDENT", "NODE", "LINK"), take("IDENT"), unquote(take("STRING")), None]
-        take("CLOSE")
-        add(parent, branch, seq, COMMANDS[word], *said)
-
-    def block(parent: int, branch: str) -> None:
-        seq = 0
-        while tokens[at].type not in ("CLOSE", "EOF") and tokens[at].value not in ("ELIF►", "ELSE►"):
-            statement(parent, branch, seq)
-            seq += 1
-
-    def statement(parent: int, branch: str, seq: int) -> None:
-        word = tokens[at].value if tokens[at].type == "KEYWORD" else None
-        if word == "IF►":
-            take("KEYWORD", "IF►")
-            node = add(parent, branch, seq, "if")
-            command(node, "if_condition", 0)
-            block(node, "if")
-            n = 0
-            while tokens[at].value == "ELIF►":
-                take("KEYWORD", "ELIF►")
-                command(node, f"elif{n}_condition", 0)
-                block(node, f"elif{n}")
-                n += 1
-            if tokens[at].value == "ELSE►":
-                take("KEYWORD", "ELSE►")
-                block(node, "else")
-            take("CLOSE")
-        elif word == "LOOP►":
-            take("KEYWORD", "LOOP►")
-            node = add(parent, branch, seq, "loop", instruction=unquote(take("STRING")))
-            take("CLOSE")
-            block(node, "loop")
-            take("CLOSE")
-        else:
-            command(parent, branch, seq)
-
-    seq = 0
-    while tokens[at].type != "EOF":
-        statement(-1, "top", seq)
-        seq += 1
-    return rows
-
-
-def valid(text: str | None) -> bool:
-    try:
-        parse(text or "")
-        return True
-    except SyntaxError:
-        return False
-
-
-def over(programs: DataFrame, schema: str, make) -> DataFrame:
-    """Rows (program_id, *make(text)) of programs (program_id, text)."""
-    fields = programs.sparkSession.createDataFrame([], schema).schema.fields
-    kinds = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in fields]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, *r) for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in make(t or "")]
-            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.name for f in fields])
-
-    return programs.select(F.col("program_id").cast("long").alias("program_id"), "text").mapInArrow(task, schema)
-
-
-def _tokens(text: str):
-    try:
-        return [(i, t.type, t.value, t.pos) for i, t in enumerate(tokenize(text)) if t.type != "EOF"]
-    except SyntaxError as e:
-        return [(0, "ERROR", str(e), -1)]
-
-
-def _tree(text: str):
-    try:
-        return [(*r, None) for r in parse(text)]
-    except SyntaxError as e:
-        return [(0, -1, "top", 0, "error", None, None, None, None, str(e))]
+def pieces(pattern: str) -> Column:
+    return F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
 
 
 def tokens_of(programs: DataFrame) -> DataFrame:
-    return over(programs, "program_id bigint, seq int, type string, value string, pos int", _tokens)
+    """(program_id, seq, type, value, pos) of tokens but blanks; a program with an unknown character is one row of type `ERROR` that tells the first."""
+    value = F.col("value")
+    rows = programs.select(F.col("program_id").cast("long").alias("program_id"), F.posexplode(pieces(TOKEN)).alias("place", "value"))
+    rows = rows.withColumn("type", F.coalesce(*(F.when(value.rlike(rf"(?U)\A(?:{p})\z"), F.lit(k)) for k, p in TOKENS), F.lit("ERROR")))
+    program = Window.partitionBy("program_id")
+    w = program.orderBy("place")
+    rows = rows.select("*", (F.sum(F.length(value)).over(w) - F.length(value)).alias("at"), (F.sum((F.col("type") != "WS").cast("int")).over(w) - 1).alias("nth"))
+    rows = rows.select("*", F.min(F.when(F.col("type") == "ERROR", F.col("at"))).over(program).alias("wrong")).where("type <> 'WS' AND (wrong IS NULL OR at = wrong)")
+    fine = F.col("wrong").isNull()
+    told = F.concat(F.lit("unexpected character '"), value, F.lit("' at "), F.col("at").cast("string"))
+    return rows.select(
+        "program_id", F.when(fine, F.col("nth")).otherwise(0).cast("int").alias("seq"), "type", F.when(fine, value).otherwise(told).alias("value"), F.when(fine, F.col("at")).otherwise(-1).cast("int").alias("pos")
+    )
+
+
+def letter(part: Column) -> Column:
+    """c command, i IF, e ELIF, l ELSE, o LOOP with its condition, x close, w blanks, ? what fits nowhere."""
+    marks = {"IF►": "i", "ELIF►": "e", "ELSE►": "l", "◄": "x"}
+    whole = F.coalesce(*(F.when(part == k, F.lit(v)) for k, v in marks.items()))
+    return F.coalesce(whole, F.when(part.startswith("LOOP►"), F.lit("o")), F.when(part.endswith("◄"), F.lit("c")), F.when(part.rlike(r"(?U)\A\s"), F.lit("w")), F.lit("?"))
+
+
+def shaped(programs: DataFrame) -> DataFrame:
+    """(program_id, parts, kinds, valid): a program is valid if nothing is left but statements once blocks are folded from the inside out, a depth at a time."""
+    read = programs.select(F.col("program_id").cast("long").alias("program_id"), pieces(PART).alias("parts"))
+    read = read.select("*", F.transform("parts", letter).alias("kinds"))
+
+    def deeper(s: Column, k: Column) -> Column:
+        now = s["now"] + F.when(k.isin("i", "o"), 1).when(k == "x", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    depth = F.aggregate("kinds", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper)["most"]
+    left = F.aggregate(F.sequence(F.lit(0), depth), F.replace(F.array_join("kinds", ""), F.lit("w"), F.lit("")), lambda s, _: F.regexp_replace(s, BLOCK, "b"))
+    return read.select("*", left.rlike(r"\A[cb]*\z").alias("valid"))
+
+
+def unquote(s: Column) -> Column:
+    """Text of a string token; escapes are decoded, other characters stay."""
+    runs = F.regexp_extract_all(F.substring(s, F.lit(2), F.length(s) - 2), F.lit(r"\\(?s:.)|[^\\]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.coalesce(*(F.when(r == F.lit("\\" + k), F.lit(v)) for k, v in ESCAPES.items()), r)), "")
 
 
 def syntax_trees(programs: DataFrame) -> DataFrame:
-    """A row a statement; a program that does not parse is one row of kind `error`."""
-    return over(programs, "program_id bigint, node_id int, parent_id int, branch string, seq int, kind string, entity string, uid string, instruction string, timeout string, error string", _tree)
+    """A row a statement: its parent (-1 at the top), the parent's branch (if, elif0, else, loop, with _condition for the command that decides), its place there, what it says. A program that is not valid is one row of kind `error`."""
+    # A valid program's parts, or one that says what is wrong.
+    lost = F.instr(F.array_join("kinds", ""), "?")
+    where = F.length(F.array_join(F.slice("parts", F.lit(1), F.greatest(lost - 1, F.lit(0))), ""))
+    wrong = F.when(lost > 0, F.concat(F.lit("unexpected text at "), where.cast("string"))).otherwise(F.lit("blocks do not fit together"))
+    said = F.filter(F.arrays_zip("kinds", "parts"), lambda p: p["kinds"] != "w")
+    one = F.array(F.struct(F.lit("?").alias("kinds"), wrong.alias("parts")))
+    rows = shaped(programs).select("program_id", F.posexplode(F.when(F.col("valid"), said).otherwise(one)).alias("place", "p")).select("program_id", "place", F.col("p.kinds").alias("k"), F.col("p.parts").alias("part"))
+
+    k, opens = F.col("k"), F.col("k").isin("i", "o")
+    w = Window.partitionBy("program_id").orderBy("place")
+    step = F.when(opens, 1).when(k == "x", -1).otherwise(0)
+    rows = rows.select(
+        "*", (F.sum(step).over(w) - F.when(opens, 1).otherwise(0)).alias("level"), (F.sum(k.isin("c", "i", "o", "?").cast("int")).over(w) - 1).alias("node"),
+        F.coalesce(F.lag(k).over(w).isin("i", "e"), F.lit(False)).alias("decides"),
+    ).where("k <> 'x'")
+    # The head of a block stands at its own level as a statement, and one deeper as the start of what follows.
+    rows = rows.select("*", F.explode(F.when(opens, F.array("level", F.col("level") + 1)).otherwise(F.array("level"))).alias("at"))
+    head = F.col("at") > F.col("level")
+    v = Window.partitionBy("program_id", "at").orderBy("place")
+    rows = rows.select("*", head.alias("head"), F.last(F.when(head, F.col("node")), True).over(v).alias("parent"), F.last(F.when(head, k), True).over(v).alias("inside"))
+    u = Window.partitionBy("program_id", "at", "parent").orderBy("place")
+    elifs, other = F.sum((k == "e").cast("int")).over(u), F.max(k == "l").over(u)
+    branch = F.when(F.col("parent").isNull(), "top").when(F.col("inside") == "o", "loop").when(other, "else").when(elifs > 0, F.concat(F.lit("elif"), (elifs - 1).cast("string"))).otherwise("if")
+    rows = rows.select("*", F.concat(branch, F.when(F.col("decides"), "_condition").otherwise("")).alias("branch")).where(~F.col("head") & k.isin("c", "i", "o", "?"))
+
+    part = F.col("part")
+    word = F.coalesce(*(F.when(part.startswith(c), F.lit(n)) for c, n in COMMANDS.items()))
+    group = lambda pattern, n: F.when(k == "c", F.nullif(F.regexp_extract(part, "(?U)" + pattern, n), F.lit("")))
+    return rows.select(
+        "program_id", F.col("node").cast("int").alias("node_id"), F.coalesce("parent", F.lit(-1)).cast("int").alias("parent_id"), "branch",
+        (F.row_number().over(Window.partitionBy("program_id", "parent", "branch").orderBy("place")) - 1).alias("seq"),
+        F.when(k == "c", word).when(k == "i", "if").when(k == "o", "loop").otherwise("error").alias("kind"), group(COMMAND, 2).alias("entity"), group(COMMAND, 3).alias("uid"),
+        F.when(k.isin("c", "o"), unquote(F.regexp_extract(part, STRING, 0))).alias("instruction"), group(NAVIGATE, 1).alias("timeout"), F.when(k == "?", part).alias("error"),
+    )
 
 
 def validity(programs: DataFrame) -> DataFrame:
-    return over(programs, "program_id bigint, valid boolean", lambda t: [(valid(t),)])
+    return shaped(programs).select("program_id", "valid")
 
 
 def statistics(programs: DataFrame) -> DataFrame:

@@ -90,11 +90,25 @@ def some_imports(spark, sf):
     return f.select("path", F.lit("none").alias("base"), F.lit("import").alias("kind"), F.concat(module, F.when(F.length("path") % 2 == 0, F.lit("")).otherwise(F.lit("q"))).alias("module"))
 
 
+#: Programs by number: an end that is missing, plain blocks, blocks within blocks, a wrong entity with every other token, an unknown character, ELSE in a loop.
+PROGRAM_TEXTS = (
+    'C► NODE {uid} "make {name}" ◄\nIF► E► LINK l1 "ok?" ◄ N► 5 "go" ◄ ELSE► D► NODE zz "no" ◄ ◄ U► NODE {uid} "set"',
+    'C► NODE {uid} "make {name}" ◄\nIF► E► LINK l1 "ok?" ◄ N► 5 "go" ◄ ELSE► D► NODE zz "no" ◄ ◄ U► NODE {uid} "set" ◄',
+    'U► NODE {uid} "say \\"{name}\\"" ◄ LOOP► "until done" ◄ IF► E► NODE {uid} "ready" ◄ C► NODE in_{uid} "in" ◄ ELIF► N► 2.5 "look" ◄ N► "on" ◄ U► LINK l2 "far" ◄ '
+    'ELIF► E► LINK l3 "else" ◄ LOOP► "in" ◄ ◄ ELSE► ◄ N► "after\\\\n" ◄ ◄ D► NODE other_{uid} "gone" ◄',
+    'C► THING {uid} "x" ◄ {uid} >= 3.5 + (2, x); {y: "z"} END►',
+    'U► NODE {uid} "{name}" ◄ D► NODE {uid} § "x" ◄',
+    'LOOP► "a" ◄ ELSE► N► "b" ◄ ◄',
+    'D► NODE {uid} "" ◄ U► NODE {uid} "lost" ◄',
+)
+
+
 def programs(spark, sf):
-    c = table(spark, sf, "customer")
+    """A program for each customer, by its number."""
     uid = F.concat(F.lit("n"), F.pmod("c_custkey", F.lit(50)).cast("string"))
-    text = F.concat(F.lit("C► NODE "), uid, F.lit(' "make '), "c_name", F.lit('" ◄\nIF► E► LINK l1 "ok?" ◄ N► 5 "go" ◄ ELSE► D► NODE zz "no" ◄ ◄ U► NODE '), uid, F.lit(' "set" '), F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.lit("◄")))
-    return c.select(F.col("c_custkey").alias("program_id"), text.alias("text"))
+    text = F.element_at(F.array(*(F.lit(t) for t in PROGRAM_TEXTS)), (F.col("c_custkey") % len(PROGRAM_TEXTS) + 1).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{uid}"), uid), F.lit("{name}"), F.col("c_name"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("program_id"), text.alias("text"))
 
 
 def prompt_check(spark, sf):
@@ -158,8 +172,29 @@ TASKS = """pr AS (SELECT key, x, CASE WHEN color = 2 AND size = 1 AND key % 2 =
 a AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {'x': x, 'y': y})) AS ps FROM sh GROUP BY key), b AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {'x': x, 'y': y})) AS ps FROM pr GROUP BY key),
 te AS (SELECT 't' || key // 4 AS task_id, CAST(key % 4 AS INTEGER) AS pair, coalesce(b.n, 0) AS n_predicted, a.n AS n_actual, coalesce(a.n = b.n AND a.ps = b.ps AND len(a.ps) = a.n, false) AS success,
   CASE WHEN a.n <> coalesce(b.n, 0) THEN 'count' WHEN a.ps <> b.ps THEN 'position' WHEN len(a.ps) <> a.n THEN 'duplicate' ELSE '' END AS reason FROM a LEFT JOIN b USING (key))"""
-PROGRAMS = """p AS (SELECT c_custkey AS program_id, 'n' || c_custkey % 50 AS uid, c_name, c_custkey % 3 <> 0 AS ok FROM customer)"""
-TEXT = """'C► NODE ' || uid || ' "make ' || c_name || '" ◄' || chr(10) || 'IF► E► LINK l1 "ok?" ◄ N► 5 "go" ◄ ELSE► D► NODE zz "no" ◄ ◄ U► NODE ' || uid || ' "set" ' || CASE WHEN ok THEN '◄' ELSE '' END"""
+PROGRAMS = f"""p AS (SELECT c_custkey AS program_id, replace(replace(([{', '.join("'" + t + "'" for t in PROGRAM_TEXTS)}])[c_custkey % {len(PROGRAM_TEXTS)} + 1], '{{uid}}', 'n' || c_custkey % 50), '{{name}}', c_name) AS text FROM customer)"""
+QUOTED = r'"(?:[^"\\]|\\.)*"'
+PARTS = rf"[CUDE]►\s*(?:NODE|LINK)\s+[A-Za-z_][A-Za-z0-9_]*\s*{QUOTED}\s*◄|N►\s*(?:[0-9]+(?:\.[0-9]+)?)?\s*{QUOTED}\s*◄|LOOP►\s*{QUOTED}\s*◄|ELIF►|ELSE►|IF►|◄|\s+|(?s:.)"
+#: Parts of the texts as letters, and whether blocks reduce to statements.
+CHECKED = rf"""{PROGRAMS}, pa AS (SELECT program_id, list_filter(regexp_extract_all(text, '{PARTS}'), lambda t: NOT regexp_full_match(t, '\s+')) AS ps FROM p),
+le AS (SELECT program_id, ps, list_transform(ps, lambda t: CASE t WHEN 'IF►' THEN 'i' WHEN 'ELIF►' THEN 'e' WHEN 'ELSE►' THEN 'l' WHEN '◄' THEN 'x' ELSE CASE WHEN starts_with(t, 'LOOP►') THEN 'o' WHEN ends_with(t, '◄') THEN 'c' ELSE '?' END END) AS ks FROM pa),
+rd(program_id, s) AS (SELECT program_id, array_to_string(ks, '') FROM le UNION ALL SELECT program_id, regexp_replace(s, '(ic[cb]*(ec[cb]*)*(l[cb]*)?|o[cb]*)x', 'b', 'g') FROM rd WHERE regexp_matches(s, '(ic[cb]*(ec[cb]*)*(l[cb]*)?|o[cb]*)x')),
+va AS (SELECT program_id, bool_or(regexp_full_match(s, '[cb]*')) AS valid FROM rd GROUP BY program_id)"""
+#: The statements of valid programs, read part by part with a stack of open blocks.
+STATEMENTS = rf"""{CHECKED}, st(program_id, i, n, k, part, ps, ks, stack, parent_id, branch, seq) AS (
+  SELECT program_id, 0, 0, '', '', ps, ks, [{{'id': -1, 'b': 'top', 's': 0, 'c': false, 'e': 0}}], -1, '', 0 FROM le JOIN va USING (program_id) WHERE valid
+  UNION ALL
+  SELECT program_id, i + 1, n + CASE WHEN ks[i + 1] IN ('c', 'i', 'o') THEN 1 ELSE 0 END, ks[i + 1], ps[i + 1], ps, ks,
+    CASE ks[i + 1] WHEN 'x' THEN stack[:-2]
+      WHEN 'e' THEN list_append(stack[:-2], {{'id': stack[-1].id, 'b': 'elif' || stack[-1].e, 's': 0, 'c': true, 'e': stack[-1].e + 1}})
+      WHEN 'l' THEN list_append(stack[:-2], {{'id': stack[-1].id, 'b': 'else', 's': 0, 'c': false, 'e': stack[-1].e}})
+      ELSE list_concat(list_append(stack[:-2], {{'id': stack[-1].id, 'b': stack[-1].b, 's': stack[-1].s + CASE WHEN stack[-1].c THEN 0 ELSE 1 END, 'c': false, 'e': stack[-1].e}}),
+        CASE ks[i + 1] WHEN 'i' THEN [{{'id': n, 'b': 'if', 's': 0, 'c': true, 'e': 0}}] WHEN 'o' THEN [{{'id': n, 'b': 'loop', 's': 0, 'c': false, 'e': 0}}] ELSE [] END) END,
+    stack[-1].id, stack[-1].b || CASE WHEN stack[-1].c THEN '_condition' ELSE '' END, CASE WHEN stack[-1].c THEN 0 ELSE stack[-1].s END
+  FROM st WHERE i < len(ks)),
+cm AS (SELECT program_id, n - 1 AS node_id, parent_id, branch, seq, CASE k WHEN 'i' THEN 'if' WHEN 'o' THEN 'loop' ELSE CASE part[1] WHEN 'C' THEN 'create' WHEN 'U' THEN 'update' WHEN 'D' THEN 'delete' WHEN 'E' THEN 'evaluate' ELSE 'navigate' END END AS kind,
+  nullif(regexp_extract(part, '^[CUDE]►\s*(NODE|LINK)', 1), '') AS entity, nullif(regexp_extract(part, '^[CUDE]►\s*\w+\s+(\w+)', 1), '') AS uid,
+  CASE WHEN k <> 'i' THEN replace(replace(replace(replace(regexp_extract(part, '(?s)"(.*)"', 1), '\\', chr(1)), '\"', '"'), '\n', chr(10)), chr(1), '\') END AS instruction FROM st WHERE k IN ('c', 'i', 'o'))"""
 
 ORACLES = {
     "grid_dimensions": "SELECT p_partkey AS key, 8 AS height, 8 AS width FROM part",
@@ -198,12 +233,20 @@ ORACLES = {
     "task_evaluate": f"""WITH RECURSIVE {SHAPE}, {TASKS} SELECT task_id, pair, n_predicted, n_actual, success, reason FROM te""",
     "task_summary": f"""WITH RECURSIVE {SHAPE}, {TASKS} SELECT count(*) AS total, count(*) FILTER (success) AS succeeded, round(count(*) FILTER (success) / count(*), 9) AS rate FROM te""",
     "node_sizes": "SELECT n_nationkey, round(4 + 8 * sqrt(n_nationkey + 1), 9) AS size, CASE WHEN n_nationkey > 10 THEN least(24, 12 + (n_nationkey - 10) // 2) ELSE 0 END AS font FROM nation",
-    "dsl_tokens": f"""WITH {PROGRAMS}, t AS (SELECT program_id, regexp_extract_all({TEXT}, '(?:C►|U►|D►|E►|N►|IF►|ELSE►|◄|"(?:[^"\\\\]|\\\\.)*"|[0-9]+|[A-Za-z_][A-Za-z0-9_]*)') AS vs FROM p),
-        u AS (SELECT program_id, unnest(vs) AS value, generate_subscripts(vs, 1) - 1 AS seq FROM t)
-        SELECT program_id, seq, value, CASE WHEN value = '◄' THEN 'CLOSE' WHEN ends_with(value, '►') THEN 'KEYWORD' WHEN starts_with(value, '"') THEN 'STRING' WHEN regexp_full_match(value, '[0-9]+') THEN 'NUMBER' ELSE 'IDENT' END AS type FROM u""",
-    "dsl_commands": f"""WITH {PROGRAMS} SELECT program_id, x.* FROM p, (VALUES (0, -1, 'top', 0, 'create'), (1, -1, 'top', 1, 'if'), (2, 1, 'if_condition', 0, 'evaluate'), (3, 1, 'if', 0, 'navigate'), (4, 1, 'else', 0, 'delete'), (5, -1, 'top', 2, 'update')) x(node_id, parent_id, branch, seq, kind) WHERE ok""".replace("x.*", """x.*, CASE kind WHEN 'evaluate' THEN 'l1' WHEN 'delete' THEN 'zz' WHEN 'create' THEN uid WHEN 'update' THEN uid END AS uid, CASE kind WHEN 'create' THEN 'make ' || c_name WHEN 'evaluate' THEN 'ok?' WHEN 'navigate' THEN 'go' WHEN 'delete' THEN 'no' WHEN 'update' THEN 'set' END AS instruction"""),
-    "dsl_valid": f"WITH {PROGRAMS} SELECT program_id, ok AS valid FROM p",
-    "dsl_statistics": f"WITH {PROGRAMS} SELECT count(*) AS total, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid FROM p",
+    "dsl_tokens": rf"""WITH {PROGRAMS}, t AS (SELECT program_id, regexp_extract_all(text, '(?:C►|U►|D►|E►|N►|IF►|ELIF►|ELSE►|LOOP►|END►|◄|[0-9]+(?:\.[0-9]+)?|{QUOTED}|[A-Za-z_][A-Za-z0-9_]*|==|!=|<=|>=|[+*/<>-]|[{{}}(),:;]|\s+|(?s:.))') AS vs FROM p),
+        u AS (SELECT program_id, unnest(vs) AS value, generate_subscripts(vs, 1) AS i, vs FROM t),
+        k AS (SELECT *, CASE WHEN value = '◄' THEN 'CLOSE' WHEN ends_with(value, '►') AND length(value) > 1 THEN 'KEYWORD' WHEN starts_with(value, '"') AND length(value) > 1 THEN 'STRING' WHEN regexp_full_match(value, '[0-9.]*[0-9]') THEN 'NUMBER'
+            WHEN regexp_full_match(value, '[A-Za-z_][A-Za-z0-9_]*') THEN 'IDENT' WHEN regexp_full_match(value, '[=!<>+*/-]+') THEN 'OP' WHEN regexp_full_match(value, '[{{}}(),:;]') THEN 'SYMBOL' WHEN regexp_full_match(value, '\s+') THEN 'WS' ELSE 'ERROR' END AS type FROM u),
+        e AS (SELECT program_id, min(i) AS wrong FROM k WHERE type = 'ERROR' GROUP BY program_id)
+        SELECT program_id, CASE WHEN wrong IS NULL THEN row_number() OVER (PARTITION BY program_id ORDER BY i) - 1 ELSE 0 END AS seq, type,
+            CASE WHEN wrong IS NULL THEN value ELSE 'unexpected character ' || chr(39) || value || chr(39) || ' at ' || length(array_to_string(vs[:i - 1], '')) END AS value
+        FROM k LEFT JOIN e USING (program_id) WHERE type <> 'WS' AND (wrong IS NULL OR i = wrong)""",
+    "dsl_commands": f"WITH RECURSIVE {STATEMENTS} SELECT program_id, node_id, parent_id, branch, seq, kind, uid, instruction FROM cm",
+    "dsl_valid": f"WITH RECURSIVE {CHECKED} SELECT program_id, valid FROM va",
+    "dsl_statistics": f"WITH RECURSIVE {CHECKED} SELECT count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid FROM va",
+    "dsl_apply": f"""WITH RECURSIVE {STATEMENTS}, b AS (SELECT 'n' || n_nationkey AS uid, n_name FROM nation),
+        t AS (SELECT uid, list(CASE kind WHEN 'create' THEN '+' WHEN 'delete' THEN '-' ELSE '~' END || instruction ORDER BY program_id, node_id) AS steps FROM cm WHERE parent_id = -1 AND entity = 'NODE' AND kind IN ('create', 'update', 'delete') GROUP BY uid),
+        z AS (SELECT uid, n_name, list_reduce(list_concat([CASE WHEN n_name IS NULL THEN '-' ELSE '.' END], coalesce(steps, [])), lambda x, y: CASE WHEN y[1] <> '~' THEN y WHEN x[1] = '-' THEN x ELSE x[1] || y[2:] END) AS s FROM b FULL JOIN t USING (uid))
+        SELECT uid, CASE WHEN s[1] = '+' THEN 'node' ELSE 'nation' END AS type, CASE WHEN s[1] = '+' THEN 'instruction=' || s[2:] WHEN s = '.' THEN 'name=' || n_name ELSE 'instruction=' || s[2:] || ';name=' || n_name END AS props FROM z WHERE s[1] <> '-'""",
     "prompt_check": "SELECT n_nationkey, n_nationkey % 3 = 0 AS ok FROM nation",
-    "dsl_apply": f"""WITH {PROGRAMS}, u AS (SELECT DISTINCT uid FROM p WHERE ok) SELECT uid, 'node' AS type, 'instruction=set' AS props FROM u UNION ALL SELECT 'n' || n_nationkey, 'nation', 'name=' || n_name FROM nation WHERE 'n' || n_nationkey NOT IN (SELECT uid FROM u)""",
 }

@@ -124,15 +124,20 @@ def test_graph(spark):
 
 def test_language(spark):
     good = 'C► NODE a "x" ◄ IF► E► LINK l "q" ◄ D► NODE b "y" ◄ ELIF► N► 3.5 "z" ◄ ELSE► U► NODE a "w" ◄ ◄ LOOP► "again" ◄ C► NODE c "é\\n" ◄ ◄'
-    rows = dsl.parse(good)
-    assert [r.kind for r in rows] == ["create", "if", "evaluate", "delete", "navigate", "update", "loop", "create"]
-    assert rows[4].timeout == "3.5" and rows[4].branch == "elif0_condition" and rows[7].instruction == "é\n" and rows[7].parent == 6
-    for bad in ('C► NODE a "x"', "END►", 'C► THING a "x" ◄', "§", 'IF► E► LINK l "q" ◄', '◄'):
-        assert not dsl.valid(bad)
-    assert dsl.valid("") and dsl.valid(None)
-    programs = spark.createDataFrame([(1, good), (2, "END►"), (3, None)], "program_id long, text string")
-    trees = dsl.syntax_trees(programs).collect()
-    assert sum(r["kind"] == "error" for r in trees) == 1
+    bad = ('C► NODE a "x"', "END►", 'C► THING a "x" ◄', "§", 'IF► E► LINK l "q" ◄', "◄", 'LOOP► "a" ◄ ELSE► N► "b" ◄ ◄', 'IF► N► "a" ◄ ELSE► ELSE► ◄', 'IF► LOOP► "a" ◄ ◄ ◄', 'ELIF► N► "b" ◄')
+    said = [(1, good), (2, None), (3, ""), (4, " \n"), *enumerate(bad, 10)]
+    programs = spark.createDataFrame(said, "program_id long, text string")
+    trees = dsl.syntax_trees(programs).orderBy("program_id", "node_id").collect()
+    rows = [r for r in trees if r["program_id"] == 1]
+    assert [r["kind"] for r in rows] == ["create", "if", "evaluate", "delete", "navigate", "update", "loop", "create"]
+    assert rows[4]["timeout"] == "3.5" and rows[4]["branch"] == "elif0_condition" and rows[7]["instruction"] == "é\n" and rows[7]["parent_id"] == 6
+    assert sorted(r["program_id"] for r in trees if r["kind"] == "error") == [n for n, _ in said if n >= 10] and not any(r["program_id"] in (2, 3, 4) for r in trees)
+    assert {r["program_id"]: r["valid"] for r in dsl.validity(programs).collect()} == {n: n < 10 for n, _ in said}
+    tokens = dsl.tokens_of(spark.createDataFrame([(1, 'N► 5 "é" x'), (2, "a é"), (3, None)], "program_id long, text string")).orderBy("program_id", "seq").collect()
+    assert [(r["type"], r["value"], r["pos"]) for r in tokens] == [("KEYWORD", "N►", 0), ("NUMBER", "5", 3), ("STRING", '"é"', 5), ("IDENT", "x", 9), ("ERROR", "unexpected character 'é' at 2", -1)]
+    deep, long = "".join(f'LOOP► "{n}" ◄ ' for n in range(60)) + "◄" * 60, 'C► NODE a "' + "x\\n" * 20000 + '" ◄ '
+    large = dsl.syntax_trees(spark.createDataFrame([(1, deep), (2, long * 5)], "program_id long, text string")).collect()
+    assert sorted((r["program_id"], r["parent_id"]) for r in large) == [(1, n) for n in range(-1, 59)] + [(2, -1)] * 5
     base = spark.createDataFrame([("a", "old", {"k": "v"}), ("k", "old", {})], graph.NODES)
     steps = spark.createDataFrame([(1, 'D► NODE a "" ◄ U► NODE a "lost" ◄ C► NODE n "1" ◄ U► NODE n "2" ◄ U► NODE k "3" ◄')], "program_id long, text string")
     got = {r["uid"]: (r["type"], r["props"]) for r in dsl.apply_commands(base, dsl.syntax_trees(steps)).collect()}
