@@ -10,19 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import flat, hashes, mix, partitions, pieces, powers, prefix_hash, ragged, table, texts
-from loam.llm.shares import ASKED, answer, ascending, ask, restored, short
+from loam.llm.common import flat, hashes, mix, pieces, powers, prefix_hash, ragged, table, texts
+from loam.llm.shares import ASKED, SHARE_BYTES, answer, ascending, ask, restored, share_count, short
 
 #: Bytes of a repeated string, and of the anchor whose least hash names a window of that many bytes.
 WIDTH, ANCHOR = 50, 24
 #: Windows of one fragment, at most: a longer stretch with one anchor (a run of one character) is cut.
 MOST_WINDOWS = 64
-#: Bytes of text whose suffixes are sorted at once; all fragments of one anchor are always sorted together.
+#: Bytes of text whose suffixes are sorted at once; all fragments of one key are always sorted together.
 SORT_BYTES = 3 << 20
+#: Fragments of one anchor in the whole corpus, at most: those of an anchor that has more are cut into single windows, dealt by all their bytes.
+MOST_FRAGMENTS = 1 << 16
 #: Bytes of a name that are asked for, beside the bucket, which holds the rest of its division.
 NAME_BYTES = 5
 
 
+NONE = np.zeros(0, np.uint64)
+
+
 class Runs:
     """Runs of neighbouring windows of one text that share an anchor: first window (byte place), windows, key, text number."""
 
@@ -58,16 +63,36 @@ def names(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return hashes(data, start, size)
 
 
-FRAGMENTS = "bucket int, number long, keys binary, docs binary, counts binary, many binary, sizes binary, bytes binary"
+def dealt(data: np.ndarray, runs: Runs, own: np.ndarray, hot: np.ndarray, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments of the given runs: start, windows, text number, key.
+
+    A run is a fragment. Where its anchor is one of the `hot` ones (as answers name them), each of its windows is,
+    and the key is a hash of the window: equal windows still have equal keys, and no key has other windows.
+    """
+    start, count, doc, key = runs.start[own], runs.count[own], runs.doc[own], runs.key[own]
+    if not len(hot):
+        return start, count, doc, key
+    cut = np.isin(short(key, buckets, NAME_BYTES), hot)
+    window = ragged(start[cut], count[cut])
+    one = np.ones(len(window), np.int64)
+    return (
+        np.r_[start[~cut], window], np.r_[count[~cut], one], np.r_[doc[~cut], np.repeat(doc[cut], count[cut])],
+        np.r_[key[~cut], hashes(data, window, one * width, seed=1)],
+    )
+
+
+FRAGMENTS = "bucket int, number long, keys binary, docs binary, counts binary, many binary, sizes binary, bytes binary, hot binary"
 
 
 def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """Distinct fragments of each share whose key several rows have, with their least document and whether they have several.
 
-    They leave in packed blocks, one for each share and bucket of keys. Rows of a share arrive in the order of
-    doc_id, and the first brings all answers to what the share asked.
+    They leave in packed blocks, one for each share and bucket of keys, and the hot anchors of a share in one more,
+    which returns to it. Rows of a share arrive in the order of doc_id, and the first brings all answers to what the
+    share asked.
     """
     known: dict[int, set[int]] = {}
+    hot: dict[int, np.ndarray] = {}
     held: dict[int, dict[int, list]] = {}
     lowest: dict[int, int] = {}
     for batch in batches:
@@ -82,27 +107,33 @@ def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, ancho
                 seen, mine = known.setdefault(s, set()), held.setdefault(s, {})
                 lowest.setdefault(s, int(ids[i:j][of == s].min()))
                 for r in np.flatnonzero(of == s).tolist():
-                    for blob in told[i + r].as_py() or ():
-                        seen.update(np.frombuffer(blob, np.uint64).tolist())
+                    for x in told[i + r].as_py() or ():
+                        seen.update(np.frombuffer(x["keys"], np.uint64).tolist())
+                        hot[s] = np.r_[hot.get(s, NONE), np.frombuffer(x["hot"], np.uint64)]
                 own = np.flatnonzero(of[runs.doc] == s)
                 # keys come back without their uppermost bits; what that lets through falls to the suffix sort
                 own = own[np.fromiter(map(seen.__contains__, short(runs.key[own], buckets, NAME_BYTES).tolist()), bool, len(own))]
                 if not len(own):
                     continue
-                start, size, doc = runs.start[own], runs.count[own] + width - 1, ids[i:j][runs.doc[own]]
+                start, count, text, key = dealt(part, runs, own, hot.get(s, NONE), buckets, width)
+                size, doc = count + width - 1, ids[i:j][text]
                 name = names(part, start, size)
                 order = np.lexsort((doc, name))
                 first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
                 last = np.append(first[1:], len(order)) - 1
                 many = doc[order[first]] != doc[order[last]]
                 at = order[first]
-                for n, d, m, a, z, k in zip(name[at].tolist(), doc[at].tolist(), many.tolist(), start[at].tolist(), size[at].tolist(), runs.key[own][at].tolist()):
+                for n, d, m, a, z, k in zip(name[at].tolist(), doc[at].tolist(), many.tolist(), start[at].tolist(), size[at].tolist(), key[at].tolist()):
                     have = mine.get(n)
                     if have is None:
                         mine[n] = [k, d, m, part[a : a + z].tobytes()]
                     else:
                         have[1], have[2] = min(have[1], d), have[2] or m or have[1] != d
     known.clear()
+    for s, own in hot.items():
+        if len(own):
+            values = (lowest[s] % buckets, lowest[s], *[b""] * 6, own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int32(), pa.int64(), *[pa.binary()] * 7))], names=[x.split()[0] for x in FRAGMENTS.split(", ")])
     for s, mine in held.items():
         found = list(mine.values())
         mine.clear()
@@ -119,7 +150,7 @@ def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, ancho
             new = np.flatnonzero(np.r_[True, doc[at][1:] != doc[at][:-1]])
             values = (
                 b, lowest[s], (key[at] // np.uint64(buckets)).astype(np.uint32).tobytes(), ascending(doc[at][new]), zlib.compress(np.diff(np.append(new, len(at))).astype(np.int32).tobytes(), 1),
-                np.packbits(many[at]).tobytes(), zlib.compress(np.array([len(x) for x in own], np.uint16).tobytes(), 1), zlib.compress(b"".join(own), 1),
+                np.packbits(many[at]).tobytes(), zlib.compress(np.array([len(x) for x in own], np.uint16).tobytes(), 1), zlib.compress(b"".join(own), 1), b"",
             )
             yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int32()), pa.array([values[1]], pa.int64()), *(pa.array([x], pa.binary()) for x in values[2:])], names=[x.split()[0] for x in FRAGMENTS.split(", ")])
 
@@ -239,14 +270,17 @@ def least_documents(key: np.ndarray, ids: np.ndarray, many: np.ndarray, asker: n
         own = fragment[a:b]
         count = np.diff(cut)[own]
         blob = parts[ragged(cut[own], count)]
-        yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 1], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (name[asking[a:b]], count.astype(np.int32), blob))], names=["number", "names", "counts", "parts"])
+        yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 1], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (name[asking[a:b]], count.astype(np.int32), blob)), pa.array([b""], pa.binary())], names=["number", "names", "counts", "parts", "hot"])
 
 
 def sort_fragments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Unpacks the blocks of a task's buckets and sorts them some MB at a time, never between two fragments of one key."""
     parts = []
     for batch in batches:
-        for bucket, number, keys, docs, counts, many, sizes, packed in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, number, keys, docs, counts, many, sizes, packed, hot in zip(*(c.to_pylist() for c in batch.columns)):
+            if hot:
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (b"", b"", b"", hot))], names=["number", "names", "counts", "parts", "hot"])
+                continue
             key = np.frombuffer(keys, np.uint32).astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
             doc = np.repeat(restored(docs), np.frombuffer(zlib.decompress(counts), np.int32))
             parts.append((key, doc, np.unpackbits(np.frombuffer(many, np.uint8))[: len(key)].astype(bool), np.full(len(key), number, np.int64), np.frombuffer(zlib.decompress(sizes), np.uint16).astype(np.int64), np.frombuffer(zlib.decompress(packed), np.uint8)))
@@ -271,9 +305,10 @@ KEPT = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept
 _span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def cut_out(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """Texts less the windows of their fragments that a lesser document has; answers arrive as in fragments()."""
     known: dict[int, dict[int, bytes]] = {}
+    hot: dict[int, np.ndarray] = {}
     for batch in batches:
         ids, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         data, offsets = flat(batch.column(2))
@@ -281,7 +316,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
         for i, j in pieces(offsets, 2 << 20):
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             runs = Runs(part, own, width, anchor)
-            name, of = names(part, runs.start, runs.count + width - 1), share[i:j]
+            of = share[i:j]
             marks = np.zeros(len(part) + 1, np.int64)
             for s in np.unique(of).tolist():
                 answers = known.setdefault(s, {})
@@ -289,15 +324,16 @@ def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
                     for x in told[i + r].as_py() or ():
                         ends = (np.cumsum(np.frombuffer(x["counts"], np.int32), dtype=np.int64) * PART.itemsize).tolist()
                         answers.update(zip(np.frombuffer(x["names"], np.int64).tolist(), (x["parts"][a:b] for a, b in zip([0, *ends], ends))))
-                mine = np.flatnonzero(of[runs.doc] == s)
-                found = list(map(answers.get, name[mine].view(np.int64).tolist()))
+                        hot[s] = np.r_[hot.get(s, NONE), np.frombuffer(x["hot"], np.uint64)]
+                start, count, text, _ = dealt(part, runs, np.flatnonzero(of[runs.doc] == s), hot.get(s, NONE), buckets, width)
+                found = list(map(answers.get, names(part, start, count + width - 1).view(np.int64).tolist()))
                 blobs = [x or b"" for x in found]
                 parts = np.frombuffer(b"".join(blobs), PART)
-                run = mine[np.repeat(np.arange(len(mine)), [len(x) // PART.itemsize for x in blobs])] if len(mine) else mine
-                lesser = parts["doc"] < ids[i:j][runs.doc[run]]
-                run, parts = run[lesser], parts[lesser]
-                np.add.at(marks, runs.start[run] + parts["first"], 1)
-                np.add.at(marks, runs.start[run] + parts["last"] + width, -1)
+                of_part = np.repeat(np.arange(len(start)), np.array([len(x) // PART.itemsize for x in blobs], np.int64))
+                lesser = parts["doc"] < ids[i:j][text[of_part]]
+                of_part, parts = of_part[lesser], parts[lesser]
+                np.add.at(marks, start[of_part] + parts["first"], 1)
+                np.add.at(marks, start[of_part] + parts["last"] + width, -1)
             gone = np.cumsum(marks[:-1]) > 0
             edge = np.zeros(len(part) + 1, bool)
             edge[own] = True
@@ -315,12 +351,14 @@ def cut_out(batches: Iterator[pa.RecordBatch], width: int, anchor: int) -> Itera
 NO_ID = -(1 << 63)
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_FRAGMENTS, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """What stays of each text once bytes covered by a `width`-byte string of a lesser document are removed.
 
     1. Each window of `width` bytes is named by the least hash of the anchors in it, so equal windows have equal
        names; neighbouring windows of one name are a run. Shares of the documents ask, once a name, whether rows
        elsewhere have it too (names travel as packed blocks; a name in a third of all rows is asked once a share).
+       Of an anchor with more than `most` runs in all, in however many surroundings, each window becomes a fragment
+       of its own, named by all its bytes, so that no name gathers more than `most` different strings.
     2. The bytes of runs with shared names, distinct within a task, are dealt by name. There their suffixes are
        sorted in two stages, and adjacent common prefixes of `width` give the least document of every window.
     3. Every share gets the answers to its own fragments, and cuts windows that a lesser document has out of its
@@ -331,8 +369,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
     documents. Null text is empty; a null id is less than any other; rows of one id never cover one another;
     repeated rows give a row each; an empty table gives no rows; other columns of docs are ignored.
     """
-    n = partitions(docs.sparkSession)
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    n = share_count(rows, share_bytes)
     rows = rows.repartition(n, "doc_id")
     share = F.pmod(F.hash("doc_id"), F.lit(n)).alias("share")
 
@@ -340,14 +378,16 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
         runs = Runs(data, offsets, width, anchor)
         return runs.key, runs.doc
 
-    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, NAME_BYTES), ASKED)
-    told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, NAME_BYTES), "number long, keys binary")
-    told = told.groupBy(F.col("number").alias("doc_id")).agg(F.collect_list("keys").alias("told"))
-    known = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told")
-    parts = known.mapInArrow(lambda b: fragments(b, n, width, anchor), FRAGMENTS)
-    answers = parts.repartition(n, "bucket").mapInArrow(lambda b: sort_fragments(b, width), "number long, names binary, counts binary, parts binary")
-    told = answers.groupBy(F.col("number").alias("doc_id")).agg(F.collect_list(F.struct("names", "counts", "parts")).alias("told"))
-    whole = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told").mapInArrow(lambda b: cut_out(b, width, anchor), KEPT)
+    def returned(answers: DataFrame, *columns: str) -> DataFrame:
+        """Each share's answers at its first row."""
+        told = answers.withColumnRenamed("number", "doc_id").repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("told"))
+        return rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told")
+
+    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, NAME_BYTES, counted=True), ASKED)
+    told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, NAME_BYTES, most=most), "number long, keys binary, hot binary")
+    parts = returned(told, "keys", "hot").mapInArrow(lambda b: fragments(b, n, width, anchor), FRAGMENTS)
+    answers = parts.repartition(n, "bucket").mapInArrow(lambda b: sort_fragments(b, width), "number long, names binary, counts binary, parts binary, hot binary")
+    whole = returned(answers, "names", "counts", "parts", "hot").mapInArrow(lambda b: cut_out(b, n, width, anchor), KEPT)
     return whole.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

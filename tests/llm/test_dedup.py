@@ -39,6 +39,47 @@ def test_suffix_dedup(frame, awkward, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 40])
+def test_suffix_dedup_hot_anchors(frame, awkward, most):
+    """Anchors with more than `most` runs are cut into windows, over more shares than the session has partitions."""
+    expected = plain_suffix(awkward)
+    for r in suffix_dedup.suffix_dedup(frame, most=most, share_bytes=20_000).collect():
+        assert (r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) == expected[r["doc_id"]], r["doc_id"]
+
+
+def test_suffix_dedup_one_anchor_in_all_rows(spark):
+    """A string of 40 bytes in every row, in different surroundings, some of which repeat."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    middle = some(40)
+    sides = [(some(30), some(30)) for _ in range(40)]
+    rows = [(k, some(20) + a + middle + b + some(20)) for k, (a, b) in enumerate(sides)] + [(100 + k, sides[k][0] + middle + sides[-k][1]) for k in range(20)]
+    expected = plain_suffix(rows)
+    assert any(v[1] for v in expected.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (5, suffix_dedup.MOST_FRAGMENTS):
+        got = {r["doc_id"]: (r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(df, most=most).collect()}
+        assert got == expected
+
+
+def test_hot_runs_are_dealt_by_window():
+    """Runs of one anchor in different surroundings have one key; once it is hot, only equal windows do."""
+    rng = np.random.default_rng(1)
+    middle = rng.integers(97, 123, 40).astype(np.uint8)
+    texts = [np.r_[rng.integers(97, 123, 30), middle, rng.integers(97, 123, 30)].astype(np.uint8) for _ in range(50)]
+    data, offsets = np.concatenate(texts), np.arange(51) * 100
+    runs = suffix_dedup.Runs(data, offsets, 50, 24)
+    keys, times = np.unique(runs.key, return_counts=True)
+    assert times.max() >= 50
+    hot = suffix_dedup.short(keys[times > 5], 7, suffix_dedup.NAME_BYTES)
+    start, count, _, key = suffix_dedup.dealt(data, runs, np.arange(len(runs.key)), hot, 7, 50)
+    assert count.sum() == runs.count.sum() and sorted(suffix_dedup.ragged(start, count)) == sorted(suffix_dedup.ragged(runs.start, runs.count))
+    windows = {}
+    for s, n, k in zip(start.tolist(), count.tolist(), key.tolist()):
+        windows.setdefault(k, set()).update(data[x : x + 50].tobytes() for x in range(s, s + n))
+    assert max(map(len, windows.values())) < 5 * 27
+
+
 def test_suffix_dedup_ties(spark):
     text = "".join(random.Random(3).choice("abc ") for _ in range(90))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
