@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import code_points
-from loam.llm.common import ODD, Words, flat, mix, partitions, pieces, ragged, table, texts
-from loam.llm.shares import ASKED, answer, ask
+from loam.llm.common import ODD, Words, flat, mix, pieces, ragged, table, texts
+from loam.llm.shares import ASKED, SHARE_BYTES, answer, ask, share_count
 
 #: A span has at least so many sentences and words.
 SENTENCES, WORDS = 2, 16
@@ -183,7 +183,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(spans.first), pa.int64()), runs, kept], names=["doc_id", "n_sentences", "removed", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """Texts less every sentence that a non-first repeated span covers (see Spans, for `every` too).
 
     Every span of the corpus is hashed and looked up over all shares (see shares): a span is non-first if a
@@ -193,12 +193,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text is empty; a null id is less than any other; rows of one id never cover one another, and give a row each;
     an empty table gives no rows; other columns of docs are ignored. Texts of fewer than WORDS words stay whole.
     """
-    n = partitions(docs.sparkSession)
-    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").repartition(n, "doc_id")
+    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    n = share_count(rows, share_bytes)
+    rows = rows.repartition(n, "doc_id")
     share = F.pmod(F.hash("doc_id"), F.lit(n)).alias("share")
     asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, partial(keys_of, every=every), least=True), ASKED)
     told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, least=True), "number long, keys binary, least binary")
-    told = told.groupBy(F.col("number").alias("doc_id")).agg(F.collect_list(F.struct("keys", "least")).alias("told"))
+    told = told.withColumnRenamed("number", "doc_id").repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("keys", "least")).alias("told"))
     whole = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told").mapInArrow(partial(cut_out, every=every), KEPT)
     return whole.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
