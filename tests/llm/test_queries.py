@@ -125,5 +125,5 @@ def test_repeated_and_null_ids(spark, rows, tmp_path):
     spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(None, "x"), (1, None), (1, rows[3][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, query in queries().items():
-        if name not in ("pipeline", "op6_chat"):
+        if name not in ("pipeline", "op6_chat", "op12_collocations"):  # these have no row a document
             assert query(spark, str(tmp_path)).count() == 26, name
