@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import duckdb
 import numpy as np
@@ -12,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import LOWER, ODD, flat, hashes, mix, partitions, pieces, ragged, table, written
+from loam.llm.common import LOWER, ODD, discard, flat, hashes, mix, partitions, pieces, ragged, table, written
 
 #: Words of the longest phrase, least occurrences, per cent of a phrase's occurrences that a longer one takes over, phrases of each language.
 LONGEST, LEAST, COVERED, MOST = 4, 30, 80, 2000
-#: Bytes of text whose n-grams one bucket counts; duckdb spills what is above its memory to the task's own scratch folder.
+#: Bytes of text whose phrases one bucket counts; duckdb spills what is above its memory to the task's own scratch folder.
 BUCKET_BYTES, BUCKET_MEMORY = 2 << 30, "512MB"
+#: Bytes of text of one share of the pieces, of pieces whose phrases are combined at a time, and of strings that a task holds before it sends them.
+SHARE_BYTES, PIECES_BYTES, TASK_BYTES = 64 << 20, 8 << 20, 128 << 20
 #: Salts of the first round of ranking: a language has MOST rows of each in the second.
 SALTS = 64
 
@@ -59,10 +62,72 @@ def strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[ragged(start, size)])))
 
 
-def distinct_pieces(docs: DataFrame) -> DataFrame:
-    """(lang, piece, times): each task combines the equal pieces of a batch, then they meet by a shuffle."""
+PACKED = "bucket int, lang string, share int, words long, packed binary"
+FIELDS = pa.schema([("text", pa.large_string()), ("n", pa.int64())])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Packer:
+    """Strings with their counts, by hash bucket and language: a row of PACKED holds those of a task, as compressed Arrow."""
+
+    def __init__(self, buckets: int, share: int = 0):
+        self.buckets, self.share, self.size = buckets, share, 0
+        self.held: dict[tuple[int, str], list[pa.RecordBatch]] = {}
+        self.words: dict[str, int] = {}
+
+    def add(self, key: np.ndarray, owner: np.ndarray, names: list[str], text: pa.Array, n: np.ndarray) -> None:
+        """key: hashes of the strings and languages; owner: the number of each one's language."""
+        both = ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64) * len(names) + owner
+        order = np.argsort(both, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+        made = pa.record_batch([text.take(pa.array(order)), pa.array(n[order])], schema=FIELDS)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            which = int(both[order[a]])
+            self.held.setdefault((which // len(names), names[which % len(names)]), []).append(made.slice(a, b - a))
+        self.size += made.nbytes
+
+    def count(self, names: list[str], words: np.ndarray) -> None:
+        for name, n in zip(names, words.tolist()):
+            self.words[name] = self.words.get(name, 0) + n
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for (bucket, lang), parts in self.held.items():
+            yield packed_row(bucket, lang, self.share, self.words.pop(lang, 0), pack(parts))
+        self.held.clear()
+        self.size = 0
+
+
+def pack(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, FIELDS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(pa.Table.from_batches(parts).combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, counts) of packed strings."""
+    read = pa.ipc.open_stream(packed).read_all()
+    return *flat(read.column("text")), np.asarray(read.column("n").combine_chunks())
+
+
+def packed_row(bucket: int, lang: str, share: int, words: int, packed: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([lang], pa.string()), pa.array([share], pa.int32()), pa.array([words], pa.int64()), pa.array([packed], pa.binary())], names=["bucket", "lang", "share", "words", "packed"])
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
+def distinct_pieces(rows: DataFrame, shares: int) -> DataFrame:
+    """PACKED, where bucket is a share: the distinct pieces of (lang, text), each in one share, and how often they occur.
+
+    Each task combines the equal pieces of a batch, so a piece that a third of all rows hold sends a string a batch;
+    the tasks of the shares combine these.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(shares)
         for batch in batches:
             whole, every = flat(batch.column(1))
             for i, j in pieces(every, 4 << 20):
@@ -70,128 +135,192 @@ def distinct_pieces(docs: DataFrame) -> DataFrame:
                 number = np.asarray(lang.indices)
                 out, at, doc, _ = cut_pieces(whole[every[i] : every[j]], every[i : j + 1] - every[i])
                 size = np.diff(at) - 1
-                seed = mix((number[doc] + 1).astype(np.uint64) * np.uint64(ODD))
-                order, head = equal_runs(hashes(out, at[:-1], size) ^ seed, hashes(out, at[:-1], size, 1) ^ seed)
+                named, named_at = flat(lang.dictionary)
+                seed = hashes(named, named_at[:-1], np.diff(named_at))[number[doc]]
+                key = [mix(hashes(out, at[:-1], size, k) ^ seed) for k in (0, 1)]
+                order, head = equal_runs(*key)
                 one = order[head]
-                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(number[doc[one]])), strings(out, at[one], size[one]).cast(pa.string()), pa.array(np.diff(np.r_[head, len(order)]))], names=["lang", "piece", "times"])
-
-    return docs.mapInArrow(task, "lang string, piece string, times long").groupBy("lang", "piece").agg(F.sum("times").alias("times"))
-
-
-def grams_of(data: np.ndarray, at: np.ndarray, times: np.ndarray, lang: np.ndarray, seed: np.ndarray, longest: int) -> tuple[np.ndarray, ...]:
-    """(first hash, start, size, language, n) of the distinct phrases of pieces, in order of the hash; and the words by language. seed: a hash of each language's name, the same in all tasks."""
-    blank = np.flatnonzero(data == 32)
-    begin = np.r_[0, blank[:-1] + 1] if len(blank) else blank
-    piece = np.searchsorted(at, begin, side="right") - 1
-    last = np.searchsorted(begin, at[1:]) - 1  # the last word of each piece
-    word = [hashes(data, begin, blank - begin, s) for s in (0, 1)]
-    keys, starts, sizes, owners = ([], []), [], [], []
-    run = [mix(x ^ seed[lang[piece]]) for x in word]
-    place = np.arange(len(begin))
-    for k in range(longest):
+                packer.add(key[0][one], number[doc[one]], lang.dictionary.to_pylist(), strings(out, at[one], size[one]), np.diff(np.r_[head, len(order)]))
+                if packer.size > TASK_BYTES:
+                    yield from packer.rows()
+        yield from packer.rows()
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (share, lang), group in groupby(each_row(batches), lambda r: r[:2]):
+            data, sizes, times = zip(*((d, np.diff(o), n) for d, o, n in (unpack(r[4]) for r in group)))
+            data, size, times = np.concatenate(data), np.concatenate(sizes), np.concatenate(times)
+            start = np.cumsum(size) - size
+            order, head = equal_runs(*(hashes(data, start, size, k) for k in (0, 1)))
+            one = order[head]
+            n = np.add.reduceat(times[order], head) if len(head) else times
+            for i, j in pieces(np.r_[0, np.cumsum(size[one])], PIECES_BYTES):
+                part = one[i:j]
+                yield packed_row(share, lang, share, 0, pack([pa.record_batch([strings(data, start[part], size[part]), pa.array(n[i:j])], schema=FIELDS)]))
+
+    return dealt(rows.mapInArrow(cut, PACKED), shares).mapInArrow(combine, PACKED)
+
+
+def dealt(packed: DataFrame, buckets: int, *then: str) -> DataFrame:
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang", *then)
+
+
+class Phrases:
+    """Words and phrases of pieces of one language, each piece followed by a blank."""
+
+    def __init__(self, texts: np.ndarray, offsets: np.ndarray, lang: str):
+        n = np.diff(offsets)
+        self.at = np.r_[0, np.cumsum(n + 1)]
+        self.data = np.full(int(self.at[-1]), 32, np.uint8)
+        self.data[ragged(self.at[:-1], n)] = texts
+        self.blank = np.flatnonzero(self.data == 32)
+        self.begin = np.r_[0, self.blank[:-1] + 1] if len(self.blank) else self.blank
+        self.piece = np.searchsorted(self.at, self.begin, side="right") - 1
+        self.last = np.searchsorted(self.begin, self.at[1:]) - 1
+        name = np.frombuffer(lang.encode(), np.uint8)
+        seed = hashes(name, np.zeros(1, np.int64), np.array([len(name)]))
+        self.word = [hashes(self.data, self.begin, self.blank - self.begin, s) for s in (0, 1)]
+        self.run = [mix(x ^ seed) for x in self.word]
+
+    def keys(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(first words, two hashes) of all phrases of k + 1 words; to be asked for in the order of k."""
+        place = np.arange(len(self.begin)) if k == 0 else self.place
         if k:
-            ok = place + k <= last[piece[place]]
+            ok = place + k <= self.last[self.piece[place]]
             place = place[ok]
-            run = [mix(r[ok] * np.uint64(ODD) + w[place + k]) for r, w in zip(run, word)]
-        for into, r in zip(keys, run):
-            into.append(r)
-        starts.append(begin[place])
-        sizes.append(blank[place + k] - begin[place])
-        owners.append(piece[place])
-    a, b, start, size, owner = (np.concatenate(x) for x in (*keys, starts, sizes, owners))
-    order, head = equal_runs(a, b)
-    one = order[head]
-    n = np.add.reduceat(times[owner[order]], head) if len(head) else np.zeros(0, np.int64)
-    words = np.bincount(lang[piece], weights=times[piece]).astype(np.int64) if len(piece) else np.zeros(0, np.int64)
-    return a[one], start[one], size[one], lang[owner[one]], n, words
+            self.run = [mix(r[ok] * np.uint64(ODD) + w[place + k]) for r, w in zip(self.run, self.word)]
+        self.place = place
+        return place, self.run
 
+    def keep(self, kept: np.ndarray) -> None:
+        """Only these phrases are lengthened."""
+        self.place, self.run = self.place[kept], [r[kept] for r in self.run]
 
-PACKED = "bucket int, lang string, words long, grams binary"
+    def strings(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        return strings(self.data, self.begin[first], self.blank[last] - self.begin[first])
 
 
-def packed_grams(distinct: DataFrame, buckets: int, longest: int) -> DataFrame:
-    """PACKED: the phrases of each task's pieces with their sums, by hash bucket and language, packed as Arrow; words counts all of them."""
+def add_phrases(to: Packer, phrases: Phrases, found: list[tuple[int, np.ndarray, list[np.ndarray]]], times: np.ndarray, lang: str) -> None:
+    """The distinct ones of found (words less one, first words, hashes), with their sums."""
+    first, last = np.concatenate([p for _, p, _ in found]), np.concatenate([p + k for k, p, _ in found])
+    a, b = (np.concatenate([r[i] for _, _, r in found]) for i in (0, 1))
+    order, head = equal_runs(a, b)
+    one = order[head]
+    n = np.add.reduceat(times[phrases.piece[first[order]]], head) if len(head) else np.zeros(0, np.int64)
+    to.add(a[one], np.zeros(len(one), np.int64), [lang], phrases.strings(first[one], last[one]), n)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], list] = {}
-        words: dict[str, int] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (bucket, lang), parts in held.items():
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
-                    for p in parts:
-                        to.write_batch(p)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([lang]), pa.array([words.pop(lang, 0)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "lang", "words", "grams"])
-            held.clear()
 
-        for batch in batches:
-            whole, every = flat(batch.column(1))
-            for i, j in pieces(every, 4 << 20):
-                part = batch.slice(i, j - i)
-                lang = part.column(0).dictionary_encode()
-                n = np.diff(every[i : j + 1])
-                data = np.full(int((n + 1).sum()), 32, np.uint8)
-                at = np.r_[0, np.cumsum(n + 1)]
-                data[ragged(at[:-1], n)] = whole[every[i] : every[j]]
-                named, named_at = flat(lang.dictionary)
-                key, start, length, owner, count, total = grams_of(data, at, np.asarray(part.column(2)), np.asarray(lang.indices), hashes(named, named_at[:-1], np.diff(named_at)), longest)
-                names = lang.dictionary.to_pylist()
-                for k, x in enumerate(total.tolist()):
-                    words[names[k]] = words.get(names[k], 0) + x
-                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascends with the key
-                both = bucket * len(names) + owner
-                order = np.argsort(both, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-                made = pa.record_batch([strings(data, start[order], length[order]), pa.array(count[order])], names=["gram", "n"])
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    which = int(both[order[a]])
-                    held.setdefault((which // len(names), names[which % len(names)]), []).append(made.slice(a, b - a))
-                size += made.nbytes
-                if size > 96 << 20:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+def short_phrases(distinct: DataFrame, buckets: int) -> DataFrame:
+    """PACKED: words and pairs of words of each share's pieces with their sums; words counts all words."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share, group in groupby(each_row(batches), lambda r: r[0]):
+            packer = Packer(buckets, share)
+            for _, lang, _, _, packed in group:
+                data, offsets, times = unpack(packed)
+                phrases = Phrases(data, offsets, lang)
+                found = [(k, *phrases.keys(k)) for k in (0, 1)]
+                add_phrases(packer, phrases, found, times, lang)
+                packer.count([lang], times[phrases.piece].sum(keepdims=True))
+                if packer.size > TASK_BYTES:
+                    yield from packer.rows()
+            yield from packer.rows()
 
     return distinct.mapInArrow(task, PACKED)
 
 
-def counted(packed: DataFrame, buckets: int, least: int) -> DataFrame:
-    """(lang, gram, f): phrases of `least` occurrences, and for each bucket and language its share of all words under a null gram.
+def long_phrases(asked: DataFrame, buckets: int, shares: int, longest: int) -> DataFrame:
+    """PACKED: phrases of 3 to `longest` words of each share's pieces, of which all pairs of neighbours are frequent.
 
-    A task streams the packed phrases of one bucket and language into duckdb, which groups them out-of-core.
+    asked holds each share's pieces and, with negative words, the packed hashes of its frequent pairs, which come
+    first. A chance clash of hashes adds a phrase whose count decides as any other's.
     """
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, str], int, bytes]]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                bucket, lang, words, grams = (c[i].as_py() for c in batch.columns)
-                yield (bucket, lang), words, grams
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
+        for (_, lang), group in groupby(each_row(batches), lambda r: r[:2]):
+            told, frequent = [], None
+            for _, _, _, words, packed in group:
+                if words < 0:
+                    told.append(np.frombuffer(packed, np.uint64))
+                    continue
+                if frequent is None:
+                    frequent = np.sort(np.concatenate(told)) if told else np.zeros(0, np.uint64)
+                data, offsets, times = unpack(packed)
+                phrases = Phrases(data, offsets, lang)
+                phrases.keys(0)
+                place, run = phrases.keys(1)
+                at = np.searchsorted(frequent, run[0])
+                good = frequent[np.minimum(at, len(frequent) - 1)] == run[0] if len(frequent) else np.zeros(len(place), bool)
+                pair = np.zeros(len(phrases.begin) + 1, bool)
+                pair[place[good]] = True
+                phrases.keep(good)
+                found = []
+                for k in range(2, longest):
+                    place, run = phrases.keys(k)
+                    phrases.keep(pair[place + k - 1])
+                    found.append((k, phrases.place, phrases.run))
+                add_phrases(packer, phrases, found, times, lang)
+                if packer.size > TASK_BYTES:
+                    yield from packer.rows()
+        yield from packer.rows()
+
+    return dealt(asked, shares, "words").mapInArrow(task, PACKED)
+
+
+def pair_hashes(texts: pa.Array, lang: str) -> np.ndarray:
+    """The hashes of pairs of words that Phrases gives them."""
+    phrases = Phrases(*flat(texts), lang)
+    phrases.keys(0)
+    return phrases.keys(1)[1][0]
+
+
+def counted(packed: DataFrame, buckets: int, least: int, answers: bool) -> DataFrame:
+    """PACKED phrases -> rows of PACKED, each task streaming one bucket and language into duckdb, which counts out-of-core.
+
+    Rows of share -1 hold the phrases of `least` occurrences and, in words, the words of the language that its tasks
+    told. With answers, each share that has them is told the hashes of the frequent pairs of words (words is -1).
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = groups(batches)
-        row = next(rows, None)
-        schema = pa.schema([("gram", pa.large_string()), ("n", pa.int64())])
-        while row is not None:
-            key, words = row[0], 0
+        for (bucket, lang), group in groupby(each_row(batches), lambda r: r[:2]):
+            words = 0
 
             def stream() -> Iterator[pa.RecordBatch]:
-                nonlocal row, words
-                while row is not None and row[0] == key:
-                    words += row[1]
-                    yield from pa.ipc.open_stream(row[2])
-                    row = next(rows, None)
+                nonlocal words
+                for _, _, share, n, grams in group:
+                    words += n
+                    for part in pa.ipc.open_stream(grams):
+                        yield part.append_column("share", pa.array(np.full(part.num_rows, share, np.int32)))
 
             with tempfile.TemporaryDirectory(dir=".") as scratch, duckdb.connect(config={"threads": 1, "memory_limit": BUCKET_MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as db:
-                source = pa.RecordBatchReader.from_batches(schema, stream())  # noqa: F841  (duckdb reads it by name)
-                found = db.sql(f"SELECT gram, CAST(sum(n) AS BIGINT) AS f FROM source GROUP BY gram HAVING sum(n) >= {int(least)}").to_arrow_reader(100_000)
-                for out in found:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[1]] * out.num_rows, pa.string()), out.column(0).cast(pa.string()), out.column(1)], names=["lang", "gram", "f"])
-                if words:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[1]]), pa.array([None], pa.string()), pa.array([words], pa.int64())], names=["lang", "gram", "f"])
+                source = pa.RecordBatchReader.from_batches(FIELDS.append(pa.field("share", pa.int32())), stream())  # noqa: F841  (duckdb reads it by name)
+                if answers:
+                    db.sql("CREATE TEMP TABLE told AS SELECT * FROM source")
+                db.sql(f"CREATE TEMP TABLE often AS SELECT text, CAST(sum(n) AS BIGINT) AS n FROM {'told' if answers else 'source'} GROUP BY text HAVING sum(n) >= {int(least)}")
+                for part in db.sql("SELECT text, n FROM often").to_arrow_reader(200_000):
+                    yield packed_row(bucket, lang, -1, 0, pack([part.cast(FIELDS)]))
+                yield packed_row(bucket, lang, -1, words, b"")
+                if answers:
+                    pairs = db.sql("SELECT DISTINCT share, text FROM told JOIN often USING (text) WHERE contains(text, ' ') ORDER BY share").to_arrow_reader(200_000)
+                    for part in pairs:
+                        share, key = np.asarray(part.column("share")), pair_hashes(part.column("text"), lang)
+                        cut = np.flatnonzero(np.r_[True, share[1:] != share[:-1], True]) if len(share) else np.zeros(1, np.int64)
+                        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                            yield packed_row(int(share[a]), lang, int(share[a]), -1, key[a:b].tobytes())
+
+    return dealt(packed, buckets, "share").mapInArrow(task, PACKED)
+
+
+def phrase_counts(counts: DataFrame) -> DataFrame:
+    """(lang, gram, f) of packed counts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lang, _, _, packed in each_row(batches):
+            read = pa.ipc.open_stream(packed).read_all().combine_chunks()
+            for part in read.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * part.num_rows, pa.string()), part.column("text").cast(pa.string()), part.column("n")], names=["lang", "gram", "f"])
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(task, "lang string, gram string, f long")
+    return counts.where("share = -1 AND octet_length(packed) > 0").mapInArrow(task, "lang string, gram string, f long")
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, most: int = MOST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -203,17 +332,25 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     Ties: the first cut; the rank goes by score, a, then phrase. Null texts are empty, a null language is `und`, and
     repeated rows count each; an empty table gives no rows.
 
-    Only phrases of `least` occurrences are kept, and their parts occur at least as often; so each phrase sends a
-    lookup request for every part, and requests meet the counts by a shuffle.
+    Words and pairs are counted first. A phrase of `least` occurrences has parts that occur as often, so longer ones
+    are counted only where all pairs in them are frequent, which each share of the pieces is told. Then each phrase
+    sends a lookup request for every part, and requests meet the counts by a shuffle.
     """
     if longest < 2 or least < 1:
         raise ValueError("phrases have two words or more and occur")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), math.ceil(total / BUCKET_BYTES))
-    counts = written(counted(packed_grams(distinct_pieces(rows), buckets, longest), buckets, least), "gram_counts")
-    all_words = counts.where("gram IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
-    grams = counts.where("gram IS NOT NULL").select("lang", "gram", "f")
+    shares = max(partitions(docs.sparkSession), math.ceil(total / SHARE_BYTES))
+    distinct = written(distinct_pieces(rows, shares), "pieces")
+    counts = written(counted(short_phrases(distinct, buckets), buckets, least, longest > 2), "phrases")
+    all_words = written(counts.where("share = -1").groupBy("lang").agg(F.sum("words").alias("n")), "words")
+    grams = phrase_counts(counts)
+    if longest > 2:
+        more = written(counted(long_phrases(distinct.unionByName(counts.where("share >= 0")), buckets, shares, longest), buckets, least, False), "long_phrases")
+        grams = grams.unionByName(phrase_counts(more))
+    grams = written(grams, "phrase_counts")
+    discard(distinct, counts, *([more] if longest > 2 else []))
     phrases = grams.where(F.contains("gram", F.lit(" "))).select("lang", F.col("gram").alias("phrase"), F.col("f").alias("a"), F.split("gram", " ").alias("words"))
     part = lambda i, n: F.array_join(F.slice("words", i, n), " ")
     cut = F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")
