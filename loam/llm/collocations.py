@@ -18,9 +18,9 @@ from loam.llm.common import LOWER, ODD, discard, flat, hashes, mix, partitions,
 #: Words of the longest phrase, least occurrences, per cent of a phrase's occurrences that a longer one takes over, phrases of each language.
 LONGEST, LEAST, COVERED, MOST = 4, 30, 80, 2000
 #: Bytes of text whose phrases one bucket counts; duckdb spills what is above its memory to the task's own scratch folder.
-BUCKET_BYTES, BUCKET_MEMORY = 2 << 30, "512MB"
+BUCKET_BYTES, BUCKET_MEMORY = 2 << 30, "256MB"
 #: Bytes of text of one share of the pieces, of pieces whose phrases are combined at a time, and of strings that a task holds before it sends them.
-SHARE_BYTES, PIECES_BYTES, TASK_BYTES = 64 << 20, 8 << 20, 128 << 20
+SHARE_BYTES, PIECES_BYTES, TASK_BYTES = 64 << 20, 4 << 20, 48 << 20
 #: Salts of the first round of ranking: a language has MOST rows of each in the second.
 SALTS = 64
 
@@ -130,7 +130,7 @@ def distinct_pieces(rows: DataFrame, shares: int) -> DataFrame:
         packer = Packer(shares)
         for batch in batches:
             whole, every = flat(batch.column(1))
-            for i, j in pieces(every, 4 << 20):
+            for i, j in pieces(every, 2 << 20):
                 lang = batch.column(0).slice(i, j - i).dictionary_encode()
                 number = np.asarray(lang.indices)
                 out, at, doc, _ = cut_pieces(whole[every[i] : every[j]], every[i : j + 1] - every[i])
