@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,36 +64,32 @@ def strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[ragged(start, size)])))
 
 
-PACKED = "bucket int, lang string, share int, words long, packed binary"
+#: packed: strings of a bucket with their counts, as compressed Arrow; or, where answers is true, 64-bit hashes.
+PACKED = "bucket int, share int, answers boolean, packed binary"
 FIELDS = pa.schema([("text", pa.large_string()), ("n", pa.int64())])
+#: Strings are a language, a tab, and a piece or phrase, which has no tab; an empty phrase counts all words.
+TAB = 9
 
 
 class Packer:
-    """Strings with their counts, by hash bucket and language: a row of PACKED holds those of a task, as compressed Arrow."""
+    """Strings with their counts, by hash bucket: a row of PACKED holds those of a task."""
 
-    def __init__(self, buckets: int, share: int = 0):
+    def __init__(self, buckets: int, share: int = -1):
         self.buckets, self.share, self.size = buckets, share, 0
-        self.held: dict[tuple[int, str], list[pa.RecordBatch]] = {}
-        self.words: dict[str, int] = {}
-
-    def add(self, key: np.ndarray, owner: np.ndarray, names: list[str], text: pa.Array, n: np.ndarray) -> None:
-        """key: hashes of the strings and languages; owner: the number of each one's language."""
-        both = ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64) * len(names) + owner
-        order = np.argsort(both, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-        made = pa.record_batch([text.take(pa.array(order)), pa.array(n[order])], schema=FIELDS)
+        self.held: dict[int, list[pa.RecordBatch]] = {}
+
+    def add(self, key: np.ndarray, text: pa.Array, n: np.ndarray) -> None:
+        """key: hashes of the strings, ascending."""
+        bucket = (key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
+        cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(key) else np.zeros(1, np.int64)
+        made = pa.record_batch([text, pa.array(n)], schema=FIELDS)
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            which = int(both[order[a]])
-            self.held.setdefault((which // len(names), names[which % len(names)]), []).append(made.slice(a, b - a))
+            self.held.setdefault(int(bucket[a]), []).append(made.slice(a, b - a))
         self.size += made.nbytes
 
-    def count(self, names: list[str], words: np.ndarray) -> None:
-        for name, n in zip(names, words.tolist()):
-            self.words[name] = self.words.get(name, 0) + n
-
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for (bucket, lang), parts in self.held.items():
-            yield packed_row(bucket, lang, self.share, self.words.pop(lang, 0), pack(parts))
+        for bucket, parts in self.held.items():
+            yield packed_row(bucket, self.share, False, pack(parts))
         self.held.clear()
         self.size = 0
 
@@ -109,8 +107,8 @@ def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *flat(read.column("text")), np.asarray(read.column("n").combine_chunks())
 
 
-def packed_row(bucket: int, lang: str, share: int, words: int, packed: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([lang], pa.string()), pa.array([share], pa.int32()), pa.array([words], pa.int64()), pa.array([packed], pa.binary())], names=["bucket", "lang", "share", "words", "packed"])
+def packed_row(bucket: int, share: int, answers: bool, packed: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([share], pa.int32()), pa.array([answers]), pa.array([packed], pa.binary())], names=["bucket", "share", "answers", "packed"])
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -119,6 +117,10 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in batch.columns)
 
 
+def dealt(packed: DataFrame, buckets: int, *then) -> DataFrame:
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", *then)
+
+
 def distinct_pieces(rows: DataFrame, shares: int) -> DataFrame:
     """PACKED, where bucket is a share: the distinct pieces of (lang, text), each in one share, and how often they occur.
 
@@ -140,14 +142,15 @@ def distinct_pieces(rows: DataFrame, shares: int) -> DataFrame:
                 key = [mix(hashes(out, at[:-1], size, k) ^ seed) for k in (0, 1)]
                 order, head = equal_runs(*key)
                 one = order[head]
-                packer.add(key[0][one], number[doc[one]], lang.dictionary.to_pylist(), strings(out, at[one], size[one]), np.diff(np.r_[head, len(order)]))
+                names = lang.dictionary.take(pa.array(number[doc[one]])).cast(pa.large_string())
+                packer.add(key[0][one], pc.binary_join_element_wise(names, strings(out, at[one], size[one]), pa.scalar("\t", pa.large_string())), np.diff(np.r_[head, len(order)]))
                 if packer.size > TASK_BYTES:
                     yield from packer.rows()
         yield from packer.rows()
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (share, lang), group in groupby(each_row(batches), lambda r: r[:2]):
-            data, sizes, times = zip(*((d, np.diff(o), n) for d, o, n in (unpack(r[4]) for r in group)))
+        for share, group in groupby(each_row(batches), lambda r: r[0]):
+            data, sizes, times = zip(*((d, np.diff(o), n) for d, o, n in (unpack(r[3]) for r in group)))
             data, size, times = np.concatenate(data), np.concatenate(sizes), np.concatenate(times)
             start = np.cumsum(size) - size
             order, head = equal_runs(*(hashes(data, start, size, k) for k in (0, 1)))
@@ -155,72 +158,84 @@ def distinct_pieces(rows: DataFrame, shares: int) -> DataFrame:
             n = np.add.reduceat(times[order], head) if len(head) else times
             for i, j in pieces(np.r_[0, np.cumsum(size[one])], PIECES_BYTES):
                 part = one[i:j]
-                yield packed_row(share, lang, share, 0, pack([pa.record_batch([strings(data, start[part], size[part]), pa.array(n[i:j])], schema=FIELDS)]))
+                yield packed_row(share, share, False, pack([pa.record_batch([strings(data, start[part], size[part]), pa.array(n[i:j])], schema=FIELDS)]))
 
     return dealt(rows.mapInArrow(cut, PACKED), shares).mapInArrow(combine, PACKED)
 
 
-def dealt(packed: DataFrame, buckets: int, *then: str) -> DataFrame:
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang", *then)
-
-
 class Phrases:
-    """Words and phrases of pieces of one language, each piece followed by a blank."""
+    """Words and phrases of pieces (or phrases), strings of FIELDS."""
 
-    def __init__(self, texts: np.ndarray, offsets: np.ndarray, lang: str):
+    def __init__(self, texts: np.ndarray, offsets: np.ndarray):
         n = np.diff(offsets)
         self.at = np.r_[0, np.cumsum(n + 1)]
         self.data = np.full(int(self.at[-1]), 32, np.uint8)
         self.data[ragged(self.at[:-1], n)] = texts
-        self.blank = np.flatnonzero(self.data == 32)
-        self.begin = np.r_[0, self.blank[:-1] + 1] if len(self.blank) else self.blank
-        self.piece = np.searchsorted(self.at, self.begin, side="right") - 1
-        self.last = np.searchsorted(self.begin, self.at[1:]) - 1
-        name = np.frombuffer(lang.encode(), np.uint8)
-        seed = hashes(name, np.zeros(1, np.int64), np.array([len(name)]))
+        tabs = np.flatnonzero(self.data == TAB)
+        self.tab = tabs[np.searchsorted(tabs, self.at[1:]) - 1] if len(n) else tabs  # the last one ends the language
+        blank = np.flatnonzero(self.data == 32)
+        piece = np.searchsorted(self.at, blank, side="right") - 1
+        inner = blank > self.tab[piece]
+        self.blank, self.piece = blank[inner], piece[inner]
+        new = np.r_[True, self.piece[1:] != self.piece[:-1]] if len(self.piece) else np.zeros(0, bool)
+        self.begin = np.where(new, self.tab[self.piece] + 1, np.r_[0, self.blank[:-1] + 1] if len(self.blank) else self.blank)
+        self.last = np.searchsorted(self.blank, self.at[1:]) - 1
+        seed = hashes(self.data, self.at[:-1], self.tab - self.at[:-1])[self.piece]
         self.word = [hashes(self.data, self.begin, self.blank - self.begin, s) for s in (0, 1)]
         self.run = [mix(x ^ seed) for x in self.word]
+        self.place = np.arange(len(self.begin))
 
-    def keys(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(first words, two hashes) of all phrases of k + 1 words; to be asked for in the order of k."""
-        place = np.arange(len(self.begin)) if k == 0 else self.place
-        if k:
-            ok = place + k <= self.last[self.piece[place]]
-            place = place[ok]
-            self.run = [mix(r[ok] * np.uint64(ODD) + w[place + k]) for r, w in zip(self.run, self.word)]
-        self.place = place
-        return place, self.run
+    def longer(self, k: int) -> None:
+        """run and place (hashes and first words of phrases of k words) go on to k + 1 words."""
+        ok = self.place + k <= self.last[self.piece[self.place]]
+        self.place = self.place[ok]
+        self.run = [mix(r[ok] * np.uint64(ODD) + w[self.place + k]) for r, w in zip(self.run, self.word)]
 
     def keep(self, kept: np.ndarray) -> None:
-        """Only these phrases are lengthened."""
         self.place, self.run = self.place[kept], [r[kept] for r in self.run]
 
     def strings(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
-        return strings(self.data, self.begin[first], self.blank[last] - self.begin[first])
+        """Languages, tabs and phrases."""
+        piece = self.piece[first]
+        named = strings(self.data, self.at[piece], self.tab[piece] + 1 - self.at[piece])
+        return pc.binary_join_element_wise(named, strings(self.data, self.begin[first], self.blank[last] - self.begin[first]), pa.scalar("", pa.large_string()))
 
+    def total(self, times: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Languages and tabs (empty phrases), and how many words they have."""
+        names = strings(self.data, self.at[:-1], self.tab + 1 - self.at[:-1]).dictionary_encode()
+        words = np.bincount(self.piece, minlength=len(times)) * times
+        n = np.zeros(len(names.dictionary), np.int64)
+        np.add.at(n, np.asarray(names.indices), words)
+        return names.dictionary, n
 
-def add_phrases(to: Packer, phrases: Phrases, found: list[tuple[int, np.ndarray, list[np.ndarray]]], times: np.ndarray, lang: str) -> None:
+
+def add_phrases(to: Packer, phrases: Phrases, found: list[tuple[int, np.ndarray, list[np.ndarray]]], times: np.ndarray) -> None:
     """The distinct ones of found (words less one, first words, hashes), with their sums."""
     first, last = np.concatenate([p for _, p, _ in found]), np.concatenate([p + k for k, p, _ in found])
     a, b = (np.concatenate([r[i] for _, _, r in found]) for i in (0, 1))
     order, head = equal_runs(a, b)
     one = order[head]
     n = np.add.reduceat(times[phrases.piece[first[order]]], head) if len(head) else np.zeros(0, np.int64)
-    to.add(a[one], np.zeros(len(one), np.int64), [lang], phrases.strings(first[one], last[one]), n)
+    to.add(a[one], phrases.strings(first[one], last[one]), n)
 
 
 def short_phrases(distinct: DataFrame, buckets: int) -> DataFrame:
-    """PACKED: words and pairs of words of each share's pieces with their sums; words counts all words."""
+    """PACKED: words and pairs of words of each share's pieces with their sums, and empty phrases that count all words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for share, group in groupby(each_row(batches), lambda r: r[0]):
+        for share, group in groupby(each_row(batches), lambda r: r[1]):
             packer = Packer(buckets, share)
-            for _, lang, _, _, packed in group:
+            for _, _, _, packed in group:
                 data, offsets, times = unpack(packed)
-                phrases = Phrases(data, offsets, lang)
-                found = [(k, *phrases.keys(k)) for k in (0, 1)]
-                add_phrases(packer, phrases, found, times, lang)
-                packer.count([lang], times[phrases.piece].sum(keepdims=True))
+                phrases = Phrases(data, offsets)
+                found = [(0, phrases.place, phrases.run)]
+                phrases.longer(1)
+                add_phrases(packer, phrases, [*found, (1, phrases.place, phrases.run)], times)
+                names, n = phrases.total(times)
+                named, named_at = flat(names)
+                key = hashes(named, named_at[:-1], np.diff(named_at))
+                order = np.argsort(key)
+                packer.add(key[order], names.take(pa.array(order)), n[order])
                 if packer.size > TASK_BYTES:
                     yield from packer.rows()
             yield from packer.rows()
@@ -228,99 +243,95 @@ def short_phrases(distinct: DataFrame, buckets: int) -> DataFrame:
     return distinct.mapInArrow(task, PACKED)
 
 
-def long_phrases(asked: DataFrame, buckets: int, shares: int, longest: int) -> DataFrame:
+def long_phrases(distinct: DataFrame, answers: DataFrame, buckets: int, shares: int, longest: int) -> DataFrame:
     """PACKED: phrases of 3 to `longest` words of each share's pieces, of which all pairs of neighbours are frequent.
 
-    asked holds each share's pieces and, with negative words, the packed hashes of its frequent pairs, which come
-    first. A chance clash of hashes adds a phrase whose count decides as any other's.
+    answers tell each share the hashes of its frequent pairs; they come before its pieces. A chance clash of hashes
+    adds a phrase whose count decides as any other's.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
-        for (_, lang), group in groupby(each_row(batches), lambda r: r[:2]):
-            told, frequent = [], None
-            for _, _, _, words, packed in group:
-                if words < 0:
+        for _, group in groupby(each_row(batches), lambda r: r[0]):
+            told, frequent = [np.zeros(0, np.uint64)], None
+            for _, _, is_answer, packed in group:
+                if is_answer:
                     told.append(np.frombuffer(packed, np.uint64))
                     continue
                 if frequent is None:
-                    frequent = np.sort(np.concatenate(told)) if told else np.zeros(0, np.uint64)
+                    frequent = np.sort(np.concatenate(told))
                 data, offsets, times = unpack(packed)
-                phrases = Phrases(data, offsets, lang)
-                phrases.keys(0)
-                place, run = phrases.keys(1)
-                at = np.searchsorted(frequent, run[0])
-                good = frequent[np.minimum(at, len(frequent) - 1)] == run[0] if len(frequent) else np.zeros(len(place), bool)
+                phrases = Phrases(data, offsets)
+                phrases.longer(1)
+                at = np.minimum(np.searchsorted(frequent, phrases.run[0]), max(len(frequent) - 1, 0))
+                good = frequent[at] == phrases.run[0] if len(frequent) else np.zeros(len(at), bool)
                 pair = np.zeros(len(phrases.begin) + 1, bool)
-                pair[place[good]] = True
+                pair[phrases.place[good]] = True
                 phrases.keep(good)
                 found = []
                 for k in range(2, longest):
-                    place, run = phrases.keys(k)
-                    phrases.keep(pair[place + k - 1])
+                    phrases.longer(k)
+                    phrases.keep(pair[phrases.place + k - 1])
                     found.append((k, phrases.place, phrases.run))
-                add_phrases(packer, phrases, found, times, lang)
+                add_phrases(packer, phrases, found, times)
                 if packer.size > TASK_BYTES:
                     yield from packer.rows()
         yield from packer.rows()
 
-    return dealt(asked, shares, "words").mapInArrow(task, PACKED)
+    return dealt(distinct.unionByName(answers), shares, F.desc("answers")).mapInArrow(task, PACKED)
 
 
-def pair_hashes(texts: pa.Array, lang: str) -> np.ndarray:
+def pair_hashes(texts: pa.Array) -> np.ndarray:
     """The hashes of pairs of words that Phrases gives them."""
-    phrases = Phrases(*flat(texts), lang)
-    phrases.keys(0)
-    return phrases.keys(1)[1][0]
+    phrases = Phrases(*flat(texts))
+    phrases.longer(1)
+    return phrases.run[0]
 
 
-def counted(packed: DataFrame, buckets: int, least: int, answers: bool) -> DataFrame:
-    """PACKED phrases -> rows of PACKED, each task streaming one bucket and language into duckdb, which counts out-of-core.
+def counted(packed: DataFrame, buckets: int, least: int, tell: bool) -> DataFrame:
+    """PACKED phrases -> PACKED, each task streaming a bucket into duckdb, which counts out-of-core.
 
-    Rows of share -1 hold the phrases of `least` occurrences and, in words, the words of the language that its tasks
-    told. With answers, each share that has them is told the hashes of the frequent pairs of words (words is -1).
+    Rows without answers hold the phrases of `least` occurrences, and the empty ones. If it is to tell, each share
+    gets the hashes of the frequent pairs of words that it has (bucket is then the share).
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket, lang), group in groupby(each_row(batches), lambda r: r[:2]):
-            words = 0
+        for bucket, group in groupby(each_row(batches), lambda r: r[0]):
 
             def stream() -> Iterator[pa.RecordBatch]:
-                nonlocal words
-                for _, _, share, n, grams in group:
-                    words += n
+                for _, share, _, grams in group:
                     for part in pa.ipc.open_stream(grams):
                         yield part.append_column("share", pa.array(np.full(part.num_rows, share, np.int32)))
 
             with tempfile.TemporaryDirectory(dir=".") as scratch, duckdb.connect(config={"threads": 1, "memory_limit": BUCKET_MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as db:
                 source = pa.RecordBatchReader.from_batches(FIELDS.append(pa.field("share", pa.int32())), stream())  # noqa: F841  (duckdb reads it by name)
-                if answers:
+                if tell:
                     db.sql("CREATE TEMP TABLE told AS SELECT * FROM source")
-                db.sql(f"CREATE TEMP TABLE often AS SELECT text, CAST(sum(n) AS BIGINT) AS n FROM {'told' if answers else 'source'} GROUP BY text HAVING sum(n) >= {int(least)}")
+                db.sql(f"CREATE TEMP TABLE often AS SELECT text, CAST(sum(n) AS BIGINT) AS n FROM {'told' if tell else 'source'} GROUP BY text HAVING sum(n) >= {int(least)} OR ends_with(text, chr({TAB}))")
                 for part in db.sql("SELECT text, n FROM often").to_arrow_reader(200_000):
-                    yield packed_row(bucket, lang, -1, 0, pack([part.cast(FIELDS)]))
-                yield packed_row(bucket, lang, -1, words, b"")
-                if answers:
-                    pairs = db.sql("SELECT DISTINCT share, text FROM told JOIN often USING (text) WHERE contains(text, ' ') ORDER BY share").to_arrow_reader(200_000)
+                    yield packed_row(bucket, -1, False, pack([part.cast(FIELDS)]))
+                if tell:
+                    pairs = db.sql(f"SELECT DISTINCT share, text FROM told JOIN (SELECT text FROM often WHERE contains(regexp_extract(text, '[^' || chr({TAB}) || ']*$'), ' ')) USING (text) ORDER BY share").to_arrow_reader(200_000)
                     for part in pairs:
-                        share, key = np.asarray(part.column("share")), pair_hashes(part.column("text"), lang)
+                        share, key = np.asarray(part.column("share")), pair_hashes(part.column("text"))
                         cut = np.flatnonzero(np.r_[True, share[1:] != share[:-1], True]) if len(share) else np.zeros(1, np.int64)
                         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                            yield packed_row(int(share[a]), lang, int(share[a]), -1, key[a:b].tobytes())
+                            yield packed_row(int(share[a]), int(share[a]), True, key[a:b].tobytes())
 
     return dealt(packed, buckets, "share").mapInArrow(task, PACKED)
 
 
 def phrase_counts(counts: DataFrame) -> DataFrame:
-    """(lang, gram, f) of packed counts."""
+    """(lang, gram, f) of packed counts; the words of a language have an empty gram."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lang, _, _, packed in each_row(batches):
-            read = pa.ipc.open_stream(packed).read_all().combine_chunks()
-            for part in read.to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * part.num_rows, pa.string()), part.column("text").cast(pa.string()), part.column("n")], names=["lang", "gram", "f"])
+        for _, _, _, packed in each_row(batches):
+            for part in pa.ipc.open_stream(packed):
+                yield pa.RecordBatch.from_arrays([part.column("text").cast(pa.string()), part.column("n")], names=["text", "f"])
 
-    return counts.where("share = -1 AND octet_length(packed) > 0").mapInArrow(task, "lang string, gram string, f long")
+    read = counts.where("NOT answers").mapInArrow(task, "text string, f long")
+    half = lambda k: F.regexp_extract("text", r"(?s)^(.*)\t([^\t]*)$", k)
+    return read.select(half(1).alias("lang"), half(2).alias("gram"), "f")
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, most: int = MOST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -340,17 +351,17 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
         raise ValueError("phrases have two words or more and occur")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(docs.sparkSession), math.ceil(total / BUCKET_BYTES))
-    shares = max(partitions(docs.sparkSession), math.ceil(total / SHARE_BYTES))
+    spark = docs.sparkSession
+    shares = max(partitions(spark), math.ceil(total / SHARE_BYTES))
+    buckets = min(shares, max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / BUCKET_BYTES)))
     distinct = written(distinct_pieces(rows, shares), "pieces")
-    counts = written(counted(short_phrases(distinct, buckets), buckets, least, longest > 2), "phrases")
-    all_words = written(counts.where("share = -1").groupBy("lang").agg(F.sum("words").alias("n")), "words")
-    grams = phrase_counts(counts)
+    tables = [distinct, written(counted(short_phrases(distinct, buckets), buckets, least, longest > 2), "short_phrases")]
     if longest > 2:
-        more = written(counted(long_phrases(distinct.unionByName(counts.where("share >= 0")), buckets, shares, longest), buckets, least, False), "long_phrases")
-        grams = grams.unionByName(phrase_counts(more))
-    grams = written(grams, "phrase_counts")
-    discard(distinct, counts, *([more] if longest > 2 else []))
+        tables.append(written(counted(long_phrases(distinct, tables[1].where("answers"), buckets, shares, longest), buckets, least, False), "long_phrases"))
+    counts = written(reduce(DataFrame.unionByName, map(phrase_counts, tables[1:])), "phrase_counts")
+    discard(*tables)
+    all_words = counts.where("gram = ''").select("lang", F.col("f").alias("n"))
+    grams = counts.where("gram <> ''")
     phrases = grams.where(F.contains("gram", F.lit(" "))).select("lang", F.col("gram").alias("phrase"), F.col("f").alias("a"), F.split("gram", " ").alias("words"))
     part = lambda i, n: F.array_join(F.slice("words", i, n), " ")
     cut = F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")
