@@ -353,7 +353,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
     shares = max(partitions(spark), math.ceil(total / SHARE_BYTES))
-    buckets = min(shares, max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / BUCKET_BYTES)))
+    buckets = max(partitions(spark), math.ceil(total / BUCKET_BYTES))
     distinct = written(distinct_pieces(rows, shares), "pieces")
     tables = [distinct, written(counted(short_phrases(distinct, buckets), buckets, least, longest > 2), "short_phrases")]
     if longest > 2:
