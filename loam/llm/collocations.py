@@ -22,7 +22,7 @@ LONGEST, LEAST, COVERED, MOST = 4, 30, 80, 2000
 #: Bytes of text whose phrases one bucket counts; duckdb spills what is above its memory to the task's own scratch folder.
 BUCKET_BYTES, BUCKET_MEMORY = 2 << 30, "256MB"
 #: Bytes of text of one share of the pieces, of pieces whose phrases are combined at a time, and of strings that a task holds before it sends them.
-SHARE_BYTES, PIECES_BYTES, TASK_BYTES = 64 << 20, 4 << 20, 48 << 20
+SHARE_BYTES, PIECES_BYTES, TASK_BYTES = 64 << 20, 2 << 20, 32 << 20
 #: Salts of the first round of ranking: a language has MOST rows of each in the second.
 SALTS = 64
 
@@ -60,8 +60,12 @@ def equal_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings data[start : start + size], copied in blocks that bound the memory of their places."""
     bounds = np.r_[0, np.cumsum(size)]
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[ragged(start, size)])))
+    out = np.empty(int(bounds[-1]), np.uint8)
+    for i, j in pieces(bounds, 1 << 20):
+        out[bounds[i] : bounds[j]] = data[ragged(start[i:j], size[i:j])]
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(out))
 
 
 #: packed: strings of a bucket with their counts, as compressed Arrow; or, where answers is true, 64-bit hashes.
