@@ -126,7 +126,7 @@ def search_file(indexed: DataFrame, strings: Iterable[str], exact: bool = False,
 def fields(found: DataFrame, headers: Iterable[str] = (), text_col: str = "content") -> DataFrame:
     """found with `fields`, (name, value) of the columns of its delimited content; columns without a header are `Column i`."""
     headers = list(headers)
-    raw = F.regexp_extract_all(F.concat(F.col(text_col), F.lit(",")), F.lit('("(?:[^"]|"")*"|[^,]*),'), 1)
+    raw = F.regexp_extract_all(F.concat(F.col(text_col), F.lit(",")), F.lit('("(?:[^"]++|"")*+"|[^,]*+),'), 1)
     value = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
     named = F.array(*map(F.lit, headers)) if headers else F.array().cast("array<string>")
     name = lambda i: F.coalesce(F.try_element_at(named, i + 1), F.concat(F.lit("Column "), (i + 1).cast("string")))

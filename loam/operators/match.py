@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.arrow import flat, pieces
+from loam.operators.automaton import TABLE_BYTES, Automaton, grouped
 from loam.operators.terms import Term, last_wins
 
 MATCHES = "array<struct<pos:int,term:string,order:int,line:int>>"
@@ -42,15 +43,16 @@ def where(mask: np.ndarray) -> np.ndarray:
     return (words[found >> 3] << 3) + (found & 7)
 
 
-#: Distinct beginnings (two bytes) that are looked for one by one; more are marked in one table.
-FEW_HEADS = 64
+#: Distinct beginnings (two bytes) that are looked for one by one; more terms are found by an automaton.
+FEW_HEADS = 4
 
 
 class Finder:
     """Finds terms in the bytes of many texts at once.
 
-    Whole batches are compared with the two bytes at which terms begin; the terms' other bytes are compared at those
-    places alone.
+    An automaton steps over whole batches, so a byte costs the same whatever the number of terms (of TABLE_BYTES of
+    transitions; terms of more take a pass each). For a few terms it is cheaper still to compare whole batches with
+    the two bytes at which they begin, and their other bytes at those places alone.
     """
 
     def __init__(self, terms: Iterable[Term]):
@@ -63,62 +65,54 @@ class Finder:
         self.heads: dict[tuple[int, ...], list[int]] = {}
         for k, w in enumerate(self.words):
             self.heads.setdefault(tuple(w[:2].tolist()), []).append(k)
+        self.automata: list[tuple[np.ndarray, Automaton]] | None = None
 
-    def places(self, data: np.ndarray, then: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
-        """(terms, places) at which their first two bytes stand; then: the bytes that follow those of data."""
-        pairs = [h for h in self.heads if len(h) == 2]
-        for h in self.heads.keys() - pairs:
-            yield self.heads[h], where(data == h[0])
-        if len(pairs) <= FEW_HEADS:
-            first = {b: data == b for b in {h[0] for h in pairs}}
-            second = {b: then == b for b in {h[1] for h in pairs}}
-            any_ = np.zeros(len(data), bool)
-            for a, b in pairs:
-                any_ |= first[a] & second[b]
-            place = where(any_)
-        else:
-            marked = np.zeros(1 << 16, bool)
-            marked[[a << 8 | b for a, b in pairs]] = True
-            place = where(marked[data.astype(np.uint16) << np.uint16(8) | then])
-        own = data[place].astype(np.uint16) << np.uint16(8) | then[place]
-        if len(pairs) <= 8:
-            for h in pairs:
-                yield self.heads[h], place[own == (h[0] << 8 | h[1])]
-            return
-        order = np.argsort(own, kind="stable")
-        own, place = own[order], place[order]
-        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            yield self.heads[int(own[a]) >> 8, int(own[a]) & 255], place[a:b]
+    def by_heads(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms, places at which they begin)."""
+        most, n = int(self.size.max()), -(-len(data) // 8) * 8
+        padded = np.concatenate((data, np.zeros(n - len(data) + most + 1, np.uint8)))
+        first, then = padded[:n], padded[1 : n + 1]
+        for head, terms in self.heads.items():
+            place = where(first == head[0]) if len(head) == 1 else where((first == head[0]) & (then == head[1]))
+            for k in terms:
+                at = place
+                for i in range(2, len(self.words[k])):
+                    at = at[padded[at + i] == self.words[k][i]]
+                yield np.full(len(at), k, np.int32), at
+
+    def by_automata(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.automata is None:
+            self.automata = [(np.array(own, np.int32), Automaton([self.words[k] for k in own])) for own in grouped(self.words, TABLE_BYTES // 4)]
+        for own, automaton in self.automata:
+            word, end = automaton.ends(data)
+            term = own[word]
+            yield term, end - self.size[term]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray, lines: bool = True) -> Found:
         """Matches in the texts data[offsets[i] : offsets[i + 1]]; their lines are left at 0 where none are asked."""
         starts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        most, n = int(self.size.max(initial=1)), -(-len(data) // 8) * 8
-        padded = np.concatenate((data, np.zeros(n - len(data) + most + 1, np.uint8)))
-        if self.terms and n:
-            for terms, place in self.places(padded[:n], padded[1 : n + 1]):
-                for k in terms:
-                    at = place
-                    for i in range(2, len(self.words[k])):
-                        at = at[padded[at + i] == self.words[k][i]]
-                    starts.append(at)
-                    numbers.append(np.full(len(at), k, np.int32))
+        if self.terms and len(data):
+            for term, at in (self.by_heads if len(self.heads) <= FEW_HEADS else self.by_automata)(data):
+                starts.append(at)
+                numbers.append(term)
         start, term = np.concatenate(starts), np.concatenate(numbers)
         end = start + self.size[term] if len(term) else start
-        order = np.argsort(end * (most + 1) + most - (end - start), kind="stable")  # ends ascend with the texts
-        start, end, term = start[order], end[order], term[order]
+        most = int(self.size.max(initial=1))
+        if len(starts) != 2 or len(self.heads) <= FEW_HEADS:
+            order = np.argsort(end * (most + 1) + most - (end - start), kind="stable")  # ends ascend with the texts
+            start, end, term = start[order], end[order], term[order]
         doc = np.searchsorted(offsets, start, side="right") - 1
         inside = end <= offsets[doc + 1] if len(start) else np.zeros(0, bool)
         start, term, doc = start[inside], term[inside], doc[inside]
         pos, length = start - offsets[doc], np.diff(offsets)
+        padded = np.concatenate((data, np.zeros(-len(data) % 8, np.uint8))) if len(data) % 8 else data
         if len(data) and data.max() >= 128:  # bytes that continue a character are no code points
-            more = where(padded[:n].view(np.int8) < -64)
+            more = where(padded.view(np.int8) < -64)
             before = np.searchsorted(more, offsets)
             pos, length = pos - np.searchsorted(more, start) + before[doc], length - np.diff(before)
         line = np.zeros(len(start), np.int64)
         if lines:
-            breaks = where(padded[:n] == 10)
+            breaks = where(padded == 10)
             line = np.searchsorted(breaks, start) - np.searchsorted(breaks, offsets)[doc] + 1
         return Found(doc, term, pos, line, length)
 
@@ -130,7 +124,7 @@ class Finder:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """rows over all cores where a scan has fewer files than cores and little to read (a file of one row group is one task); else as they are, unmoved."""
+    """rows over all cores where a scan has fewer files than cores and little to read (a file of one row group is one task); else as they are, unmoved. The order of rows is not kept."""
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
     small = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * SPREAD_BYTES
@@ -140,8 +134,8 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 def match(docs: DataFrame, terms: Iterable[Term], text_col: str = "text") -> DataFrame:
     """docs with a column `matches` (pos, term, order, 1-based line), in the order of the matches' ends.
 
-    One pass over each text whatever the number of terms; nothing is shuffled. The other columns ride along in
-    Arrow batches, so select what is needed first. A null text has no matches.
+    One pass over each text whatever the number of terms (see Finder); nothing is shuffled. The other columns ride along
+    in Arrow batches, so select what is needed first. A null text has no matches.
     """
     terms = last_wins(terms)
     at = docs.columns.index(text_col)

@@ -89,7 +89,7 @@ def of_texts(find: Finder, found: Found, noise: Iterable[str] = (), penalty: flo
     doc, term, pos = found.doc[keep], found.term[keep], found.pos[keep]
 
     def distinct(doc: np.ndarray, term: np.ndarray) -> np.ndarray:
-        if n * len(find.terms) <= 1 << 24:
+        if n * len(find.terms) <= 8 * len(doc) + (1 << 16):
             return np.count_nonzero(np.bincount(doc * len(find.terms) + term, minlength=n * len(find.terms)).reshape(n, -1), axis=1)
         return np.bincount(np.unique(doc * np.int64(len(find.terms)) + term) // len(find.terms), minlength=n)
 
@@ -100,6 +100,9 @@ def of_texts(find: Finder, found: Found, noise: Iterable[str] = (), penalty: flo
         weights += penalty / (o + 1.0) * np.bincount(doc[orders == o], minlength=n)
     share = np.divide(count, found.length, out=np.zeros(n), where=found.length > 0)
     some = count > 0
+    unique = distinct(doc, term) if find.terms else np.zeros(n, np.int64)
     close = 1 + 1 / np.maximum(cluster_counts(doc, pos, n, window), 1)
-    score = np.where(some, weights * np.sqrt(distinct(doc, term) if find.terms else 0) * (1 + share) * close * (1 + np.minimum(1.0, share)), 0.0)
-    return (distinct(found.doc, found.term) if find.terms else np.zeros(n, np.int64)), score
+    score = np.where(some, weights * np.sqrt(unique) * (1 + share) * close * (1 + np.minimum(1.0, share)), 0.0)
+    if noise and find.terms:
+        unique = distinct(found.doc, found.term)
+    return unique, score

@@ -1,6 +1,6 @@
 """Search terms: the `text::order` notation, variants, n-grams, correction, and last-wins de-duplication.
 
-A query has a few terms, so they are expanded on the driver and travel with the tasks; nothing here grows with data.
+Terms of a query are expanded on the driver and travel with the tasks; those of a table are bounded by their size.
 """
 
 from __future__ import annotations
@@ -67,6 +67,20 @@ def prepare(strings: Iterable[str], exact: bool = True, case_sensitive: bool = F
     return [t for s in strings for t in expand(s, case_sensitive, correct, ref_ids)]
 
 
+#: Bytes of the texts of a table's terms: they travel with the tasks, so a table of more is refused.
+MOST_TERM_BYTES = 64 << 20
+
+
+def from_table(rows: DataFrame, text_col: str = "text", order_col: str | None = None) -> list[Term]:
+    """The distinct terms of a table (of equal texts, the least order); null and empty texts are none. Their size is checked before they come to the driver."""
+    order = F.min(F.col(order_col).cast("int")) if order_col else F.lit(0)
+    found = rows.select(F.col(text_col).cast("string").alias("text"), *([order_col] if order_col else [])).where("text <> ''").groupBy("text").agg(order.alias("order"))
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_TERM_BYTES:
+        raise ValueError(f"terms of {size} bytes; a search takes {MOST_TERM_BYTES}")
+    return [Term(r["text"], r["order"]) for r in found.orderBy("text").collect()]
+
+
 def last_wins(terms: Iterable[Term]) -> list[Term]:
     """One term a text, the last of equal ones; empty texts go."""
     return list({t.text: t for t in terms if t.text}.values())

@@ -113,6 +113,13 @@ def item_fields(spark, sf):
     return rows.select("block_id", "item", F.col("place").cast("long"), "f.name", "f.value")
 
 
+def item_fields_quoted(spark, sf):
+    """Items that hold whole texts as quoted fields, with line ends, quotes and commas inside."""
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat_ws(",", F.col("doc_id").cast("string"), quoted, F.coalesce("lang", F.lit(""))).alias("content"))
+    return I.fields(rows, ["key", "text"]).select("doc_id", F.posexplode("fields").alias("place", "f")).select("doc_id", F.col("place").cast("long"), "f.name", "f.value")
+
+
 def merge_results(spark, sf):
     l = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("uri"), F.col("l_partkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_returnflag").alias("term"), F.lit(1).cast("long").alias("n"), F.col("l_quantity").alias("score"), F.col("l_linestatus").alias("content"))
     return R.merge(l).select("uri", "item", "n", "score", "content", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
@@ -274,7 +281,7 @@ def property_filter(spark, sf):
 
 QUERIES = {
     "item_index_validated": item_index_validated, "item_index_file": item_index_file, "item_index_stored": item_index_stored, "item_offsets_stored": item_offsets_stored,
-    "search_facade": search_facade, "item_fields": item_fields,
+    "search_facade": search_facade, "item_fields": item_fields, "item_fields_quoted": item_fields_quoted,
     "graph_update_edge": lambda s, d: told(G.update(edges(s, d), edge_changes(s, d), ["source", "target"])),
     "graph_remove_edge": lambda s, d: G.remove_edges(edges(s, d), edge_changes(s, d)).select("source", "target", "type"),
     "graph_missing_edge": lambda s, d: G.missing(edges(s, d), edge_changes(s, d), ["source", "target"]).select("source", "target"),
@@ -353,6 +360,8 @@ ORACLES = {
     "search_facade": f"WITH {BLOCKS}, {text_cte(FACADE_TERMS, ITEM_SOURCE)}, {SCORE_CTE} SELECT doc_id.b AS block_id, doc_id.i AS item, n, round({ADVANCED}, 6) AS score FROM s WHERE {ADVANCED} >= 2",
     "item_fields": f"""WITH {BLOCKS}, {text_cte(ITEM_TERMS, ITEM_SOURCE)}, f AS (SELECT doc_id.b AS block_id, doc_id.i AS item, string_split(text, ',') AS vs FROM d WHERE doc_id IN (SELECT doc_id FROM m))
         SELECT block_id, item, i - 1 AS place, CASE i WHEN 1 THEN 'key' WHEN 2 THEN 'name' ELSE 'Column ' || i END AS name, vs[i] AS value FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM f)""",
+    "item_fields_quoted": """SELECT doc_id, i - 1 AS place, ['key', 'text', 'Column 3'][i] AS name, [CAST(doc_id AS VARCHAR), coalesce(text, ''), coalesce(lang, '')][i] AS value
+        FROM (SELECT *, unnest([1, 2, 3]) AS i FROM documents)""",
     "graph_update_edge": f"WITH {EDGES}, {EVEN} SELECT source, target, type, CASE WHEN note IS NULL THEN props ELSE 'note=' || note || ';' || props END AS props FROM ed LEFT JOIN ch USING (source, target)",
     "graph_remove_edge": f"WITH {EDGES}, {EVEN} SELECT source, target, type FROM ed WHERE (source, target) NOT IN (SELECT source, target FROM ch)",
     "graph_missing_edge": "SELECT 'C:0' AS source, 'N:0' AS target",

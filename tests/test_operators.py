@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loam.operators import deps, dsl, graph, grids, items, match, results, score, tabular, terms
+from loam.operators import automaton, deps, dsl, graph, grids, items, match, results, score, tabular, terms
 from loam.sources import files, tables
 
 
@@ -35,6 +36,48 @@ def test_finder(texts, words, few):
     assert all(find.terms[t].order == len(words) - 1 - words[::-1].index(find.terms[t].text) for t in found.term)  # the last of equal terms
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab é", min_size=1, max_size=6), min_size=1, max_size=12, unique=True), st.text("abc é\n", max_size=1500), st.integers(1, 60))
+def test_automaton(words, text, most):
+    """Against a plain search; tables of few entries deal the words to several automata, of which each has one word at least."""
+    raw, found, seen = text.encode(), [], []
+    encoded = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    for own in automaton.grouped(encoded, most):
+        word, end = automaton.Automaton([encoded[k] for k in own]).ends(np.frombuffer(raw, np.uint8))
+        got = [(e, -encoded[own[w]].size, words[own[w]]) for w, e in zip(word.tolist(), end.tolist())]
+        assert got == sorted(got)  # by end, the longest first
+        found += got
+        seen += own
+    assert sorted(seen) == list(range(len(words)))
+    assert sorted(found) == sorted((i + len(w.encode()), -len(w.encode()), w) for w in words for i in range(len(raw)) if raw.startswith(w.encode(), i))
+
+
+def test_many_terms(spark):
+    """10,000 terms of a table: every occurrence, and a time that does not follow their number."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9))) for _ in range(10_000)})
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(60)]
+    table = spark.createDataFrame([(w, i % 3) for i, w in enumerate(words)] + [("", 1), (None, 1), (words[0], 9)], "text string, level int")
+    asked = terms.from_table(table, order_col="level")
+    assert {t.text: t.order for t in asked} == {w: i % 3 for i, w in enumerate(words)}
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    took = {}
+    for n in (40, len(asked)):
+        find = match.Finder(asked[:n])
+        find(data, offsets)
+        began = time.perf_counter()
+        found = find(data, offsets)
+        took[n] = (time.perf_counter() - began) / max(1, len(found.doc) // 100_000)
+    known = set(words)
+    sizes = sorted({len(w) for w in words})
+    want = {(d, p, t[p : p + n]) for d, t in enumerate(texts) for p in range(len(t)) for n in sizes if t[p : p + n] in known}
+    assert {(d, p, find.terms[k].text) for d, p, k in zip(found.doc.tolist(), found.pos.tolist(), found.term.tolist())} == want
+    assert took[len(asked)] < 8 * took[40]  # 250 times the terms
+    with pytest.raises(ValueError):
+        terms.from_table(spark.range(2).select(F.repeat(F.concat(F.lit("x"), F.col("id").cast("string")), 20 << 20).alias("text")))
+
+
 def test_terms():
     assert terms.parse(["a::2", "b", "c::1::3"]) == [terms.Term("a", 2), terms.Term("b"), terms.Term("c")]
     assert terms.grams("abc") == ["abc"] and terms.grams("abcde") == ["abc", "bcd", "cde"] and terms.grams("abcdefgh")[0] == "abcd" and terms.grams("abcdefghi")[0] == "abcde"
@@ -216,3 +259,14 @@ def test_stream(spark, tmp_path):
 def test_tabular(spark):
     empty = spark.createDataFrame([], "x int")
     assert tabular.success_rate(empty, F.col("x") == 1).first()["rate"] == 0.0
+
+
+def test_fields(spark):
+    """Quoted fields of any length, with doubled quotes, commas and line ends, as the standard reader of delimited text has them."""
+    import csv
+
+    rows = ["a,b,c", "", ",", '"x"', '"","",', 'k,"' + 'long, "" text\r\n' * 8000 + '",z', '"' + '""' * 30_000 + '",é', "x" * 120_000 + ",y", ",".join(["1"] * 3000)]
+    got = items.fields(spark.createDataFrame(list(enumerate(rows)), "i int, content string"), ["one"]).orderBy("i").collect()
+    for r, text in zip(got, rows):
+        want = next(csv.reader(io.StringIO(text, newline="")), [""])
+        assert [f["value"] for f in r["fields"]] == want and [f["name"] for f in r["fields"]] == ["one", *(f"Column {k}" for k in range(2, len(want) + 1))]
