@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from loam.operators import tabular as U
 from loam.operators import terms as Q
 from loam.operators.terms import Term
 from loam.plans.search import ADVANCED, SCORE_CTE, table, text_cte
-from loam.session import shared_dir
+from loam.session import folder
 from loam.sources import files, tables
 
 #: Keys of a block of delimited customers.
@@ -77,16 +75,16 @@ def item_index_validated(spark, sf):
 
 def item_index_file(spark, sf):
     """A delimited file of customers with a header and raw breaks, written, read in parallel and cut at valid starts."""
-    at = f"{shared_dir(spark).rstrip('/')}/delimited-{uuid.uuid4().hex}"
+    at = folder(spark, "delimited")
     rows = table(spark, sf, "customer").select("c_custkey", broken().alias("value")).unionByName(spark.createDataFrame([(-1, "key,name,told,segment")], "c_custkey long, value string"))
-    rows.coalesce(1).sortWithinPartitions("c_custkey").select("value").write.option("lineSep", I.BREAK).text(at)
+    rows.coalesce(1).sortWithinPartitions("c_custkey").select("value").write.mode("append").option("lineSep", I.BREAK).text(at)
     found = files.item_index(spark, at, BEGIN, header=True)
     return found.select("item", "start", F.col("end").alias("stop"), F.regexp_extract("content", r"^(\d+),", 1).cast("long").alias("c_custkey"), F.length("content").alias("size"))
 
 
 def item_index_stored(spark, sf):
     """Customers indexed once into tables; the search reads the stored index."""
-    at = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    at = folder(spark, "index")
     tables.store_index(customers(spark, sf), at)
     stored, _ = tables.load_index(spark, at)
     found = I.search_items(customers(spark, sf), ITEM_TERMS, 0.0).select("file_id", "block_id", "item", "n", F.round("score", 6).alias("score"))
@@ -94,7 +92,7 @@ def item_index_stored(spark, sf):
 
 
 def item_offsets_stored(spark, sf):
-    at = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    at = folder(spark, "index")
     tables.store_index(customers(spark, sf), at)
     return tables.load_index(spark, at)[1].select("block_id", "item_offset")
 
@@ -206,7 +204,7 @@ def out_of_range(spark, sf):
 
 def graph_saved(spark, sf):
     """Nodes and a snapshot, saved and loaded."""
-    at = f"{shared_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    at = folder(spark, "graph")
     n = nodes(spark, sf)
     tables.save_graph(n, edges(spark, sf), G.snapshot(n.where("type = 'nation'").select("uid", "type"), 3, "nations", F.lit("2024-01-01T00:00:00")), at)
     _, e, snaps = tables.load_graph(spark, at)

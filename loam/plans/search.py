@@ -11,6 +11,8 @@ from loam.operators import match as M
 from loam.operators import results as R
 from loam.operators import score as S
 from loam.operators import terms as Q
+from loam.operators import trigrams as X
+from loam.session import folder
 
 #: No proper prefix of these terms is a suffix, so SQL finds their places by splitting.
 TERMS = (Q.Term("the", 0), Q.Term("ion", 1), Q.Term("and", 0), Q.Term("sch", 2))
@@ -99,6 +101,18 @@ def search_table_terms(spark, sf):
     return rows.select("doc_id", F.size(found).cast("long").alias("n_terms"), F.array_min(found).alias("first_term"), F.array_max(found).alias("last_term"))
 
 
+#: Terms that most blocks of the corpus don't hold.
+RARE = (Q.Term("AKIA", 0), Q.Term("token = ", 1), Q.Term("@mail7", 0), Q.Term("password", 2))
+
+
+def search_indexed(spark, sf):
+    """The corpus is indexed once; the search reads the blocks that the index leaves."""
+    at = folder(spark, "trigrams")
+    X.store(table(spark, sf, "documents"), at, block_bytes=1 << 16)
+    rows = X.indexed_search(spark, at, RARE, min_score=0.0, columns=("n", "score"))
+    return rows.select(F.col("uri").cast("long").alias("doc_id"), "n", F.round("score", 6).alias("score"))
+
+
 def on_corpus(name, key, text, extra=None):
     def query(spark, sf):
         rows = matched(spark, sf, TERMS, name, key, text)
@@ -179,7 +193,7 @@ QUERIES = {
     "score_basic": lambda s, d: scored(s, d, S.basic), "score_improved": lambda s, d: scored(s, d, S.improved),
     "score_advanced": lambda s, d: scored(s, d, S.advanced), "score_noise_filtered": lambda s, d: scored(s, d, S.advanced, noise=["io", "sc"]),
     "proximity_clusters": proximity_clusters, "line_numbers": line_numbers, "line_clusters": line_clusters, "context_snippets": context_snippets,
-    "doc_title": doc_title, "bulk_search": bulk_search, "fuzzy_search": fuzzy_search, "search_table_terms": search_table_terms, "html_as_code_search": on_corpus("pages", "page_id", "html"),
+    "doc_title": doc_title, "bulk_search": bulk_search, "fuzzy_search": fuzzy_search, "search_table_terms": search_table_terms, "search_indexed": search_indexed, "html_as_code_search": on_corpus("pages", "page_id", "html"),
     "benchmark_search": on_corpus("benchmark", "item_id", "text"), "conversation_search": conversation_search,
     "term_variants": term_variants, "term_order_parse": term_order_parse, "term_ngrams": term_ngrams, "term_dedup_last_wins": term_dedup,
     "frequency_dict": frequency_dict, "spell_correct": spell_correct, "word_frequency": word_frequency, "word_clusters_topk": word_clusters_topk,
@@ -264,6 +278,7 @@ ORACLES = {
         rc AS (SELECT doc_id, count(*) FILTER (before IS NULL OR line - before > 4) AS n_contexts FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM li) GROUP BY doc_id)
         SELECT * FROM (""", 1),
     "fuzzy_search": search_sql(f"WHERE {ADVANCED} >= 2", Q.last_wins(Q.prepare(FUZZY, exact=False))),
+    "search_indexed": search_sql("", RARE),
     "search_table_terms": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS term FROM benchmark)
         SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM documents, t WHERE contains(text, term) GROUP BY doc_id""",
     "derivative_search": f"""WITH {text_cte(listed=f"SELECT word, 0, word FROM (SELECT unnest(string_split(cluster, ' ')) AS word FROM (SELECT cluster FROM ({CLUSTERS}) ORDER BY score DESC, cluster DESC LIMIT 1))")}, {SCORE_CTE}

@@ -42,6 +42,20 @@ def _files(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends, or with removed()."""
+    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path = _files(spark, at)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    fs, path = _files(spark, at)
+    fs.delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: the files survive lost executors and cut the lineage.
 
