@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.operators.components import components
+from loam.operators.linkage import cut, merges
+from loam.session import discard, written
 
 # Built-in modules, whose imports are no dependencies.
 BUILTIN_MODULES = (
@@ -140,43 +143,66 @@ def blended(similarity: Column, adjacent: Column, total: Column, weight: float =
     return 1 - ((1 - weight) * similarity + weight * F.coalesce(F.try_divide(adjacent, total), F.lit(0.0)))
 
 
-def blended_clusters(files: DataFrame, edges_: DataFrame, most: float = 0.4, weight: float = 0.3, least: float = 0.7) -> DataFrame:
-    """(path, cluster): files connected by blended distances of at most `most`; a cluster is named by its first path.
-
-    The graph is sparse: pairs at path similarity `least` or more, and adjacent ones. So clusters are those of single
-    linkage cut at `most`; no matrix of all pairs is made.
-    """
+def blended_pairs(files: DataFrame, edges_: DataFrame, weight: float = 0.3, least: float = 0.7) -> DataFrame:
+    """(a, b, distance) of the sparse graph of files: pairs at path similarity `least` or more, and adjacent ones; no matrix of all pairs is made."""
     total = edges_.agg(F.count("*").alias("total"))  # one row
     adjacent = edges_.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("adjacent"))
     pairs = similar_pairs(files, least).select("a", "b").unionByName(adjacent.select("a", "b")).distinct().join(adjacent, ["a", "b"], "left").crossJoin(F.broadcast(total))
-    distance = blended(path_similarity(F.col("a"), F.col("b")), F.coalesce("adjacent", F.lit(0)), F.col("total"), weight)
-    linked = components(pairs.where(F.round(distance, 9) <= most).select("a", "b")).select(F.col("node").alias("path"), "root")
+    return pairs.select("a", "b", F.round(blended(path_similarity(F.col("a"), F.col("b")), F.coalesce("adjacent", F.lit(0)), F.col("total"), weight), 9).alias("distance"))
+
+
+def blended_clusters(files: DataFrame, edges_: DataFrame, most: float = 0.4, weight: float = 0.3, least: float = 0.7) -> DataFrame:
+    """(path, cluster): files connected by blended distances of at most `most`; a cluster is named by its first path: single linkage cut at `most`."""
+    linked = components(blended_pairs(files, edges_, weight, least).where(F.col("distance") <= most).select("a", "b")).select(F.col("node").alias("path"), "root")
     return files.select("path").join(linked, "path", "left").select("path", F.coalesce("root", "path").alias("cluster"))
 
 
-#: Directories that come to the driver to be merged, at most (about 100 bytes each); a tree with more is an error, not a guess.
-MOST_DIRECTORIES = 1_000_000
+def average_linkage(files: DataFrame, edges_: DataFrame, weight: float = 0.3, least: float = 0.7) -> DataFrame:
+    """(a, b, similarity): the merges of average linkage over the blended similarities of blended_pairs, absent pairs at 0."""
+    return merges(blended_pairs(files, edges_, weight, least).select("a", "b", (1 - F.col("distance")).alias("similarity")))
+
+
+def average_clusters(files: DataFrame, edges_: DataFrame, k: int = 8, weight: float = 0.3, least: float = 0.7) -> DataFrame:
+    """(path, cluster): the k clusters of average linkage; a cluster is named by its first path."""
+    return cut(files.select("path"), average_linkage(files, edges_, weight, least), k)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `number`, their place from 0 in the order of distinct `order`; sorted by ranges, so no task holds all of them."""
+    split = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "sorted")
+    sizes = split.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    out = written(split.join(F.broadcast(before), "part").select(*rows.columns, (F.col("place") - F.col("first") + F.col("before")).alias("number")), "numbered")
+    discard(split)
+    return out
 
 
 def directory_clusters(files: DataFrame, most: int) -> DataFrame:
     """(path, cluster): directories, the two smallest merged until there are `most`; equal sizes by first directory.
 
-    Directories, not files, come to the driver, MOST_DIRECTORIES at most: each merge depends on all before it, and
-    the loop takes a heap's step for each.
+    A merged directory has at least the size of the two smallest. So all that are smaller than that merge among
+    themselves, two by two in their order, in one round; sizes at least double from round to round. Rounds are tables
+    in the shared folder.
     """
-    import heapq
-
-    sizes = files.groupBy(directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n")).limit(MOST_DIRECTORIES + 1).collect()
-    if len(sizes) > MOST_DIRECTORIES:
-        raise ValueError(f"more than {MOST_DIRECTORIES} directories")
-    heap = [(r["n"], r["dir"], [r["dir"]]) for r in sizes]
-    heapq.heapify(heap)
-    while len(heap) > max(most, 1):
-        (n, a, x), (m, b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        heapq.heappush(heap, (n + m, min(a, b), x + y))
-    rows = [(d, k) for k, (_, _, dirs) in enumerate(sorted(heap, key=lambda h: h[1])) for d in dirs]
-    table = files.sparkSession.createDataFrame(rows, "dir string, cluster int")
-    return files.withColumn("dir", directory(F.col("path"))).join(table, "dir").select("path", "cluster")
+    sized = files.groupBy(directory(F.col("path")).alias("dir")).agg(F.count("*").alias("n"))
+    now, joined = written(sized, "directories"), []
+    left = now.count()
+    while left > max(most, 1):
+        ranked = numbered(now, "n", "dir")
+        two = ranked.where("number < 2").agg(F.sum("n")).first()[0]
+        below = ranked.where(F.col("n") < two).count()
+        pairs = min(max(below // 2, 1), left - max(most, 1))
+        pair = F.when(F.col("number") < 2 * pairs, F.floor(F.col("number") / 2)).otherwise(F.col("number"))
+        named = ranked.withColumn("pair", pair)
+        group = named.groupBy("pair", F.col("number") < 2 * pairs).agg(F.min("dir").alias("dir"), F.max("dir").alias("other"), F.sum("n").alias("n"))
+        merged = written(group, "directories")
+        joined.append(merged.where("dir <> other").select(F.col("dir").alias("a"), F.col("other").alias("b")))
+        now, left = merged.select("dir", "n"), left - pairs
+    dirs = files.select("path", directory(F.col("path")).alias("dir"))
+    roots = components(reduce(DataFrame.unionByName, joined)).select(F.col("node").alias("dir"), "root") if joined else sized.select("dir", F.col("dir").alias("root"))
+    found = dirs.join(roots, "dir", "left").select("path", F.coalesce("root", "dir").alias("root"))
+    order = found.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("cluster"))  # `most` rows
+    return found.join(F.broadcast(order), "root").select("path", "cluster")
 
 
 def node_size(degree: Column) -> Column:

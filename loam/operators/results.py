@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loam.functions.arrow import flat, pieces
 from loam.operators import score
 from loam.operators.match import MATCHES, Finder, Found, spread
-from loam.operators.terms import Term, last_wins
+from loam.operators.terms import Term, corrector, last_wins, prepare
 from loam.session import written
 
 
@@ -126,6 +126,12 @@ def with_contexts(docs: DataFrame, terms: Iterable[Term], context: int = 16, **h
     return search(docs, terms, columns=("score", "search_term_match_counts", "line_numbers", "title", "matches_with_context"), context=context, **how)
 
 
+def corrected_search(docs: DataFrame, strings: Iterable[str], frequencies: DataFrame, case_sensitive: bool = False, index: DataFrame | None = None, **how) -> DataFrame:
+    """search() for strings as they are typed: the words of each are corrected by the known ones (word, n), then the strings are expanded."""
+    strings = list(strings)
+    return search(docs, prepare(strings, exact=False, case_sensitive=case_sensitive, correct=corrector(docs.sparkSession, strings, frequencies, index=index)), **how)
+
+
 def bulk_search(docs: DataFrame, terms: Iterable[Term], context: int = 16, **how) -> DataFrame:
     """All document results, best first; equal scores by uri.
 

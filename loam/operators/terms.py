@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "::"
@@ -96,13 +96,43 @@ def last_wins_frame(terms: DataFrame) -> DataFrame:
     return terms.where("text <> ''").withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")
 
 
-def corrections(words: DataFrame, frequencies: DataFrame, most: int = 2) -> DataFrame:
+#: Letters of a word whose deletions are indexed: two words within d edits have a common rest of these letters less at most d, however long they are.
+INDEXED_LETTERS = 10
+
+
+def deletions(word: Column, most: int) -> Column:
+    """The first INDEXED_LETTERS of a word, and what is left of them without one letter, two, up to `most`."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    level = F.array(F.substring(word, F.lit(1), F.lit(INDEXED_LETTERS)))
+    found = [level]
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda w: F.length(w) > 0), less)))
+        found.append(level)
+    return F.array_distinct(F.concat(*found))
+
+
+def correction_index(frequencies: DataFrame, most: int = 2) -> DataFrame:
+    """(key, known, n): the deletions of every known word; made once and kept as a table, it corrects many queries."""
+    return frequencies.where("word <> ''").select(F.explode(deletions(F.col("word"), most)).alias("key"), F.col("word").alias("known"), "n")
+
+
+def corrections(words: DataFrame, frequencies: DataFrame, most: int = 2, index: DataFrame | None = None) -> DataFrame:
     """(word, correction): the known word within `most` edits, nearest first, then most frequent, then first by name.
 
-    words (a query's words) are few and sent to the tasks; frequencies (word, n) is scanned once, and each task
-    keeps one candidate a word before anything is dealt. A word without a candidate stays as it is.
+    words (a query's, or a whole table's) and known words meet on equal deletions, so no word is compared with the
+    whole dictionary; each candidate's edits are counted. A word without a candidate stays as it is. index: a kept
+    correction_index of the same frequencies and `most`.
     """
+    asked = words.select("word").where("word IS NOT NULL").distinct()
+    keyed = asked.select("word", F.explode(deletions(F.col("word"), most)).alias("key"))
+    near = keyed.join(correction_index(frequencies, most) if index is None else index, "key").where(F.abs(F.length("known") - F.length("word")) <= most).select("word", "known", "n").distinct()
     apart = F.levenshtein(F.col("word"), F.col("known"), most)
-    near = frequencies.select(F.col("word").alias("known"), "n").join(F.broadcast(words.select("word").distinct()), (F.abs(F.length("known") - F.length("word")) <= most) & (apart >= 0))
-    best = near.groupBy("word").agg(F.min(F.struct(apart.alias("d"), (-F.col("n")).alias("m"), F.col("known").alias("known"))).alias("best"))
-    return words.select("word").distinct().join(best, "word", "left").select("word", F.coalesce("best.known", "word").alias("correction"))
+    best = near.where(apart >= 0).groupBy("word").agg(F.min(F.struct(apart.alias("d"), (-F.col("n")).alias("m"), F.col("known").alias("known"))).alias("best"))
+    return asked.join(best, "word", "left").select("word", F.coalesce("best.known", "word").alias("correction"))
+
+
+def corrector(spark: SparkSession, strings: Iterable[str], frequencies: DataFrame, most: int = 2, index: DataFrame | None = None) -> Callable[[str], str | None]:
+    """What expand takes as `correct`: the corrections of the words of a query's strings."""
+    asked = sorted({w for s in strings for w in re.findall(r"\w+", s)})
+    found = corrections(spark.createDataFrame([(w,) for w in asked], "word string"), frequencies, most, index).collect()  # a row a word of the query
+    return {r["word"]: r["correction"] for r in found}.get

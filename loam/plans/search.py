@@ -158,6 +158,21 @@ def spell_correct(spark, sf):
     return Q.corrections(words, frequency_dict(spark, sf))
 
 
+def spell_correct_table(spark, sf):
+    """The words of the benchmark, each without its second letter, corrected by those of the corpus."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{4,})"), 1)).alias("w")).select(F.concat(F.substring("w", 1, 1), F.expr("substring(w, 3)")).alias("word"))
+    return Q.corrections(words, frequency_dict(spark, sf))
+
+
+#: What a user types, with a slip in each word.
+TYPED = ("ontoin theat", "wass")
+
+
+def corrected_search(spark, sf):
+    rows = R.corrected_search(corpus(spark, sf), TYPED, frequency_dict(spark, sf), min_score=2.0, columns=("n", "score"))
+    return rows.select(F.col("uri").cast("long").alias("doc_id"), "n", F.round("score", 6).alias("score"))
+
+
 def best_results(spark, sf):
     return C.top_results(R.with_contexts(corpus(spark, sf), TERMS, min_score=1.0))
 
@@ -196,7 +211,7 @@ QUERIES = {
     "doc_title": doc_title, "bulk_search": bulk_search, "fuzzy_search": fuzzy_search, "search_table_terms": search_table_terms, "search_indexed": search_indexed, "html_as_code_search": on_corpus("pages", "page_id", "html"),
     "benchmark_search": on_corpus("benchmark", "item_id", "text"), "conversation_search": conversation_search,
     "term_variants": term_variants, "term_order_parse": term_order_parse, "term_ngrams": term_ngrams, "term_dedup_last_wins": term_dedup,
-    "frequency_dict": frequency_dict, "spell_correct": spell_correct, "word_frequency": word_frequency, "word_clusters_topk": word_clusters_topk,
+    "frequency_dict": frequency_dict, "spell_correct": spell_correct, "spell_correct_table": spell_correct_table, "corrected_search": corrected_search, "word_frequency": word_frequency, "word_clusters_topk": word_clusters_topk,
     "derivative_search": derivative_search, "set_union": set_queries("union"), "set_intersect": set_queries("intersect"), "set_except": set_queries("except"),
 }
 
@@ -234,6 +249,15 @@ def search_sql(where: str = "", terms=TERMS) -> str:
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)
 FREQUENCY = r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS word FROM documents) GROUP BY word"
+#: tt(t, o, stem): the typed strings, their corrections and cases, and the n-grams of these; of equal texts the last, which has the highest order here; stem as in stem().
+TYPED_TERMS = f"""fq AS ({FREQUENCY}), ty(q, s) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(TYPED))}),
+tw AS (SELECT q, unnest(string_split(s, ' ')) AS word, generate_subscripts(string_split(s, ' '), 1) AS i FROM ty),
+tk AS (SELECT tw.q, tw.i, tw.word, fq.word AS known FROM tw JOIN fq ON levenshtein(tw.word, fq.word) <= 2 QUALIFY row_number() OVER (PARTITION BY tw.q, tw.i ORDER BY levenshtein(tw.word, fq.word), n DESC, fq.word) = 1),
+tv AS (SELECT q, s, list_filter([c, CASE WHEN lower(s) <> s THEN lower(s) END, CASE WHEN upper(s) <> s THEN upper(s) END, CASE WHEN title <> s THEN title END], lambda x: x IS NOT NULL) AS vs FROM (
+  SELECT ty.q, ty.s, (SELECT string_agg(known, ' ' ORDER BY i) FROM tk WHERE tk.q = ty.q AND known <> word) AS c, array_to_string(list_transform(string_split(s, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title FROM ty)),
+te AS (SELECT q, unnest([{{'o': 0, 't': s}}] || flatten(list_transform(vs, lambda x: [{{'o': 1, 't': x}}] || CASE WHEN length(x) < 5 THEN [{{'o': 2, 't': x}}]
+  ELSE list_transform(range(1, length(x) + 2 - CASE WHEN length(x) >= 9 THEN 5 WHEN length(x) >= 7 THEN 4 ELSE 3 END), lambda i: {{'o': 2, 't': x[i : i - 1 + CASE WHEN length(x) >= 9 THEN 5 WHEN length(x) >= 7 THEN 4 ELSE 3 END]}}) END))) AS e FROM tv),
+tt AS (SELECT t, o, t[1:list_filter(range(length(t), 0, -1), lambda m: len(list_filter(range(1, m), lambda k: t[1:k] = t[m - k + 1:m])) = 0)[1]] AS stem FROM (SELECT e.t AS t, max(e.o) AS o FROM te GROUP BY e.t))"""
 #: Words of the title and the contexts (16 lines about each match) of the four best results.
 TOP_CTE = f"""top AS (SELECT doc_id, {ADVANCED} AS sc FROM s WHERE {ADVANCED} >= 1 ORDER BY round({ADVANCED}, 9) DESC, CAST(doc_id AS VARCHAR) LIMIT 4),
 tl AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT d.doc_id, string_split(d.text, chr(10)) AS ls FROM top JOIN d USING (doc_id))),
@@ -302,6 +326,10 @@ ORACLES = {
     "spell_correct": f"""WITH f AS ({FREQUENCY}), q(word) AS (VALUES ('thw'), ('adn'), ('ontoin'), ('schhn'), ('qqqqqqqq'), ('thing')),
         c AS (SELECT q.word, f.word AS known, row_number() OVER (PARTITION BY q.word ORDER BY levenshtein(q.word, f.word), n DESC, f.word) AS rn FROM q JOIN f ON abs(length(f.word) - length(q.word)) <= 2 AND levenshtein(q.word, f.word) <= 2)
         SELECT q.word, coalesce(known, q.word) AS correction FROM q LEFT JOIN (SELECT * FROM c WHERE rn = 1) c USING (word)""",
+    "spell_correct_table": f"""WITH f AS ({FREQUENCY}), q AS (SELECT DISTINCT w[1] || w[3:] AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark)),
+        c AS (SELECT q.word, f.word AS known, levenshtein(q.word, f.word) AS d, n FROM q JOIN f ON length(f.word) BETWEEN length(q.word) - 2 AND length(q.word) + 2)
+        SELECT q.word, coalesce(known, q.word) AS correction FROM q LEFT JOIN (SELECT * FROM c WHERE d <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, n DESC, known) = 1) USING (word)""",
+    "corrected_search": f"WITH {TYPED_TERMS}, {text_cte(listed='SELECT t, o, stem FROM tt')}, {SCORE_CTE} SELECT doc_id, n, round({ADVANCED}, 6) AS score FROM s WHERE {ADVANCED} >= 2",
     "word_frequency": scored_sql("SELECT word, n FROM tf").replace(" SELECT word, n FROM tf", f", {TOP_CTE} SELECT word, n FROM tf"),
     "word_clusters_topk": CLUSTERS,
     "set_union": "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels", "set_intersect": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",

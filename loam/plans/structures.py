@@ -90,6 +90,10 @@ def some_imports(spark, sf):
     return f.select("path", F.lit("none").alias("base"), F.lit("import").alias("kind"), F.concat(module, F.when(F.length("path") % 2 == 0, F.lit("")).otherwise(F.lit("q"))).alias("module"))
 
 
+def linked(spark, sf):
+    return D.edges(D.resolve(some_imports(spark, sf), files(spark, sf)))
+
+
 #: Programs by number: an end that is missing, plain blocks, blocks within blocks, a wrong entity with every other token, an unknown character, ELSE in a loop.
 PROGRAM_TEXTS = (
     'C► NODE {uid} "make {name}" ◄\nIF► E► LINK l1 "ok?" ◄ N► 5 "go" ◄ ELSE► D► NODE zz "no" ◄ ◄ U► NODE {uid} "set"',
@@ -135,6 +139,7 @@ QUERIES = {
     "dependency_edges": lambda s, d: D.edges(D.resolve(some_imports(s, d), files(s, d))),
     "dependency_report": lambda s, d: N.degrees(files(s, d).withColumnRenamed("path", "uid"), D.edges(D.resolve(some_imports(s, d), files(s, d)))),
     "similarity_pairs": lambda s, d: D.similar_pairs(files(s, d)), "blended_clusters": lambda s, d: D.blended_clusters(files(s, d), D.edges(D.resolve(some_imports(s, d), files(s, d))), 0.4),
+    "average_linkage": lambda s, d: D.average_linkage(files(s, d), linked(s, d)).select("a", "b", F.round("similarity", 6).alias("similarity")), "average_clusters": lambda s, d: D.average_clusters(files(s, d), linked(s, d), 8),
     "task_evaluate": task_evaluate, "task_summary": task_summary, "directory_clusters": lambda s, d: D.directory_clusters(files(s, d), 5),
     "node_sizes": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(D.node_size(F.col("n_nationkey")), 9).alias("size"), D.label_size(F.col("n_nationkey")).cast("long").alias("font")),
     "dsl_tokens": lambda s, d: L.tokens_of(programs(s, d)).select("program_id", "seq", "type", "value"),
@@ -172,6 +177,14 @@ TASKS = """pr AS (SELECT key, x, CASE WHEN color = 2 AND size = 1 AND key % 2 =
 a AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {'x': x, 'y': y})) AS ps FROM sh GROUP BY key), b AS (SELECT key, count(*) AS n, list_sort(list(DISTINCT {'x': x, 'y': y})) AS ps FROM pr GROUP BY key),
 te AS (SELECT 't' || key // 4 AS task_id, CAST(key % 4 AS INTEGER) AS pair, coalesce(b.n, 0) AS n_predicted, a.n AS n_actual, coalesce(a.n = b.n AND a.ps = b.ps AND len(a.ps) = a.n, false) AS success,
   CASE WHEN a.n <> coalesce(b.n, 0) THEN 'count' WHEN a.ps <> b.ps THEN 'position' WHEN len(a.ps) <> a.n THEN 'duplicate' ELSE '' END AS reason FROM a LEFT JOIN b USING (key))"""
+#: Links of clusters at each step, of which the best merges: the similarity is s / (na * nb), names are least members.
+LINKAGE = f"""{RESOLVED}, {SIMILAR}, tt AS (SELECT count(*) AS total FROM de), ad AS (SELECT least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM de GROUP BY ALL),
+lk AS (SELECT a, b, CAST(round((1 - round(1 - (0.7::DOUBLE * sim + 0.3::DOUBLE * coalesce(n / total, 0)), 9)) * 1000000000) AS BIGINT) AS s FROM sm LEFT JOIN ad USING (a, b), tt WHERE round(sim, 9) >= 0.7 OR n IS NOT NULL),
+li(step, a, b, s, na, nb) AS (SELECT 0, a, b, s, 1, 1 FROM lk WHERE s > 0 UNION ALL
+  SELECT step + 1, least(x, y), greatest(x, y), CAST(sum(s) AS BIGINT), max(CASE WHEN x < y THEN nx ELSE ny END), max(CASE WHEN x < y THEN ny ELSE nx END) FROM (
+    SELECT li.step, li.s, CASE WHEN li.a = m.b THEN m.a ELSE li.a END AS x, CASE WHEN li.b = m.b THEN m.a ELSE li.b END AS y, CASE WHEN li.a IN (m.a, m.b) THEN m.na + m.nb ELSE li.na END AS nx, CASE WHEN li.b IN (m.a, m.b) THEN m.na + m.nb ELSE li.nb END AS ny
+    FROM li, (SELECT a, b, na, nb FROM li ORDER BY s / (na * nb) DESC, a, b LIMIT 1) m WHERE NOT (li.a = m.a AND li.b = m.b)) GROUP BY step, least(x, y), greatest(x, y)),
+dg AS (SELECT step, a, b, s / (na * nb) / 1000000000 AS similarity FROM li QUALIFY row_number() OVER (PARTITION BY step ORDER BY s / (na * nb) DESC, a, b) = 1)"""
 PROGRAMS = f"""p AS (SELECT c_custkey AS program_id, replace(replace(([{', '.join("'" + t + "'" for t in PROGRAM_TEXTS)}])[c_custkey % {len(PROGRAM_TEXTS)} + 1], '{{uid}}', 'n' || c_custkey % 50), '{{name}}', c_name) AS text FROM customer)"""
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 PARTS = rf"[CUDE]►\s*(?:NODE|LINK)\s+[A-Za-z_][A-Za-z0-9_]*\s*{QUOTED}\s*◄|N►\s*(?:[0-9]+(?:\.[0-9]+)?)?\s*{QUOTED}\s*◄|LOOP►\s*{QUOTED}\s*◄|ELIF►|ELSE►|IF►|◄|\s+|(?s:.)"
@@ -230,6 +243,11 @@ ORACLES = {
             UNION ALL SELECT list_sort(list_append(l[3:], {{'n': l[1].n + l[2].n, 'd': least(l[1].d, l[2].d), 'm': list_concat(l[1].m, l[2].m)}})) FROM h WHERE len(l) > 5),
         c AS (SELECT x.m AS m, CAST(row_number() OVER (ORDER BY x.d) - 1 AS INTEGER) AS cluster FROM (SELECT unnest(l) AS x FROM h WHERE len(l) <= 5)),
         cd AS (SELECT unnest(m) AS dir, cluster FROM c) SELECT path, cluster FROM dr JOIN cd USING (dir)""",
+    "average_linkage": f"WITH RECURSIVE {LINKAGE} SELECT a, b, round(similarity, 6) AS similarity FROM dg",
+    "average_clusters": f"""WITH RECURSIVE {LINKAGE}, nt AS (SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM dg) AS done),
+        kp AS (SELECT a, b FROM dg, nt WHERE step < files - 8), up(path, root) AS (SELECT path, path FROM f UNION SELECT up.path, kp.a FROM up JOIN kp ON kp.b = up.root), rt AS (SELECT path, min(root) AS root FROM up GROUP BY path),
+        rn AS (SELECT root, row_number() OVER (ORDER BY root DESC) AS i, min(root) OVER () AS least FROM (SELECT DISTINCT root FROM rt))
+        SELECT path, CASE WHEN i < 8 THEN root ELSE least END AS cluster FROM rt JOIN rn USING (root)""",
     "task_evaluate": f"""WITH RECURSIVE {SHAPE}, {TASKS} SELECT task_id, pair, n_predicted, n_actual, success, reason FROM te""",
     "task_summary": f"""WITH RECURSIVE {SHAPE}, {TASKS} SELECT count(*) AS total, count(*) FILTER (success) AS succeeded, round(count(*) FILTER (success) / count(*), 9) AS rate FROM te""",
     "node_sizes": "SELECT n_nationkey, round(4 + 8 * sqrt(n_nationkey + 1), 9) AS size, CASE WHEN n_nationkey > 10 THEN least(24, 12 + (n_nationkey - 10) // 2) ELSE 0 END AS font FROM nation",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loam.operators import results, trigrams
+from loam.operators import results, terms, trigrams
 from loam.operators.terms import Term
 
 TERMS = ([Term("needle")], [Term("needle"), Term("ünder", 1)], [Term("absent")], [Term("ab")], [Term("needle"), Term("ab")], [Term("xyz"), Term("needle")], [])
@@ -48,3 +48,49 @@ def test_index_of_nothing(spark, corpus, tmp_path):
     trigrams.store(corpus.where("false"), str(tmp_path), uri_col="uri")
     assert trigrams.indexed_search(spark, str(tmp_path), [Term("needle")], min_score=0.0).count() == 0
     assert trigrams.indexed_search(spark, str(tmp_path), [Term("a")], min_score=0.0).count() == 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_corrections(spark, most):
+    """The deletion index finds what a comparison with every known word finds, in long words too."""
+    rng = random.Random(most)
+    word = lambda n: "".join(rng.choice("abcé日") for _ in range(n))
+    known = sorted({word(rng.choice((1, 2, 3, 4, 5, 9, 14, 25))) for _ in range(150)})
+    mutated = []
+    for _ in range(120):
+        w = list(rng.choice(known))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(w))
+            w[i : i + rng.randint(0, 1)] = [rng.choice("abcé日x")] * rng.randint(0, 1)
+        mutated.append("".join(w))
+    asked = [*mutated, "", "a", "zzzzzz", "x" * 300, None, mutated[0]]
+    counts = {k: rng.randint(1, 3) for k in known}
+    words, frequencies = spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame([*counts.items()], "word string, n long")
+    want = {}
+    for w in {w for w in asked if w is not None}:
+        near = min(((edits(w, k), -n, k.encode()) for k, n in counts.items() if edits(w, k) <= most), default=None)
+        want[w] = near[2].decode() if near else w
+    got = terms.corrections(words, frequencies, most)
+    assert {r["word"]: r["correction"] for r in got.collect()} == want and got.count() == len(want)
+    kept = terms.correction_index(frequencies, most)
+    assert {r["word"]: r["correction"] for r in terms.corrections(words, frequencies, most, kept).collect()} == want
+    assert terms.corrections(words.where("false"), frequencies, most).count() == 0 and terms.corrections(words, frequencies.where("false"), most).where("word <> correction").count() == 0
+
+
+def test_corrected_search(spark):
+    docs = spark.createDataFrame([(1, "a bulgaria energy plan"), (2, "nothing here"), (3, "gari")], "doc_id int, text string")
+    known = spark.createDataFrame([("bulgaria", 5), ("energy", 3), ("plan", 1)], "word string, n long")
+    correct = terms.corrector(spark, ["bulgraia energy", "plan!"], known)
+    assert correct("bulgraia") == "bulgaria" and correct("energy") == "energy" and correct("absent") is None
+    found = {r["uri"]: r["n"] for r in results.corrected_search(docs, ["bulgraia"], known, min_score=0.0).collect()}
+    assert found.keys() == {"1", "3"}
+    assert results.corrected_search(docs, [], known, min_score=0.0).count() == 0
