@@ -14,7 +14,7 @@ from loam.operators import terms as Q
 from loam.operators.terms import Term
 from loam.plans.search import ADVANCED, SCORE_CTE, table, text_cte
 from loam.session import folder
-from loam.sources import files, tables
+from loam.sources import files, ranges, tables
 
 #: Keys of a block of delimited customers.
 PER_BLOCK = 500
@@ -73,15 +73,28 @@ def item_index_validated(spark, sf):
     return I.split_block(blocks.select(F.lit("customer").alias("file_id"), "block_id", F.concat("text", F.lit(I.BREAK)).alias("text")), begin=BEGIN).select("block_id", "item", "start", F.col("end").alias("stop"), F.length("content").alias("size"))
 
 
-def item_index_file(spark, sf):
-    """A delimited file of customers with a header and raw breaks, written, read in parallel and cut at valid starts."""
+def delimited_file(spark, sf):
+    """A delimited file of customers with a header and raw breaks."""
     at = folder(spark, "delimited")
     rows = table(spark, sf, "customer").select("c_custkey", broken().alias("value")).unionByName(spark.createDataFrame([(-1, "key,name,told,segment")], "c_custkey long, value string"))
     rows.coalesce(1).sortWithinPartitions("c_custkey").select("value").write.mode("append").option("lineSep", I.BREAK).text(at)
+    return at
+
+
+def item_index_file(spark, sf):
+    """The file, read in parallel and cut at valid starts."""
+    at = delimited_file(spark, sf)
     found = files.item_index(spark, at, BEGIN, header=True)
     return found.select("item", "start", F.col("end").alias("stop"), F.regexp_extract("content", r"^(\d+),", 1).cast("long").alias("c_custkey"), F.length("content").alias("size"))
 
 
+def item_range_read(spark, sf):
+    """The items of the second quarter of the file, of which alone the bytes are read, by stored offsets."""
+    n, at = table(spark, sf, "customer").count(), folder(spark, "offsets")
+    ranges.store_offsets(spark, delimited_file(spark, sf), at, BEGIN, header=True)
+    return ranges.items_between(spark, at, n // 4 + 1, n // 2).select("item", F.length("content").alias("size"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
 def item_index_stored(spark, sf):
     """Customers indexed once into tables; the search reads the stored index."""
     at = folder(spark, "index")
@@ -278,7 +291,7 @@ def property_filter(spark, sf):
 
 
 QUERIES = {
-    "item_index_validated": item_index_validated, "item_index_file": item_index_file, "item_index_stored": item_index_stored, "item_offsets_stored": item_offsets_stored,
+    "item_index_validated": item_index_validated, "item_index_file": item_index_file, "item_range_read": item_range_read, "item_index_stored": item_index_stored, "item_offsets_stored": item_offsets_stored,
     "search_facade": search_facade, "item_fields": item_fields, "item_fields_quoted": item_fields_quoted,
     "graph_update_edge": lambda s, d: told(G.update(edges(s, d), edge_changes(s, d), ["source", "target"])),
     "graph_remove_edge": lambda s, d: G.remove_edges(edges(s, d), edge_changes(s, d)).select("source", "target", "type"),
@@ -353,6 +366,8 @@ ORACLES = {
         SELECT block_id, row_number() OVER w AS item, CAST(sum(length(t) + 2) OVER w AS BIGINT) - length(t) - 2 AS start, CAST(sum(length(t) + 2) OVER w AS BIGINT) AS stop, length(t) AS size FROM x WINDOW w AS (PARTITION BY block_id ORDER BY c_custkey)""",
     "item_index_file": f"""WITH x AS (SELECT c_custkey, {TOLD} AS t FROM customer)
         SELECT row_number() OVER w AS item, 23 + CAST(sum(length(t) + 2) OVER w AS BIGINT) - length(t) - 2 AS start, 23 + CAST(sum(length(t) + 2) OVER w AS BIGINT) AS stop, c_custkey, length(t) AS size FROM x WINDOW w AS (ORDER BY c_custkey)""",
+    "item_range_read": f"""WITH x AS (SELECT {TOLD} AS t, row_number() OVER (ORDER BY c_custkey) AS item, count(*) OVER () AS n FROM customer)
+        SELECT item, length(t) AS size, sha256(t) AS digest FROM x WHERE item BETWEEN n // 4 + 1 AND n // 2""",
     "item_index_stored": f"WITH {BLOCKS}, {text_cte(ITEM_TERMS, ITEM_SOURCE)}, {SCORE_CTE} SELECT item_offset + ix.item AS global_item, ix.start, ix.stop, s.n, round({ADVANCED.replace('n AS', 's.n AS')}, 6) AS score FROM s JOIN ix ON ix.block_id = doc_id.b AND ix.item = doc_id.i JOIN off ON off.block_id = ix.block_id",
     "item_offsets_stored": f"WITH {BLOCKS} SELECT block_id, item_offset FROM off",
     "search_facade": f"WITH {BLOCKS}, {text_cte(FACADE_TERMS, ITEM_SOURCE)}, {SCORE_CTE} SELECT doc_id.b AS block_id, doc_id.i AS item, n, round({ADVANCED}, 6) AS score FROM s WHERE {ADVANCED} >= 2",

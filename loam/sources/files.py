@@ -134,19 +134,21 @@ def pieces_between(spark: SparkSession, path: str, brk: str = "\r\n") -> DataFra
     return read.select(F.sha2(file.cast("binary"), 256).alias("file_id"), split.alias("split"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("content"))
 
 
-def item_index(spark: SparkSession, path: str, begin: str | None = None, brk: str = "\r\n", header: bool = False) -> DataFrame:
+def item_index(spark: SparkSession, path: str, begin: str | None = None, brk: str = "\r\n", header: bool = False, unit: str = "characters") -> DataFrame:
     """(file_id, block_id, item, start, end, content) of delimited files whose items may hold raw breaks.
 
     An item begins where the pattern `begin` holds, and at the first piece of a file (of its second, after a header).
     Pieces are read in parallel; running sums of valid starts and of lengths within each share, and the sums of the
     shares before it, give every piece its item and place, so no file passes through one task. block_id is the share
-    in which an item begins; start and end are code points of the file, its header's included. Empty items have no
-    number.
+    in which an item begins; start and end are code points of the file, its header's included, or bytes where that is
+    the unit. Empty items have no number.
     """
+    if unit not in ("characters", "bytes"):
+        raise ValueError(f"no unit {unit}")
     read = pieces_between(spark, path, brk)
     order = Window.partitionBy("file_id", "split").orderBy("seq")
     first = (F.col("split") == 0) & F.lag("seq").over(order).isNull()
-    size = (F.length("content") + len(brk)).cast("long")
+    size = (F.length("content") + len(brk) if unit == "characters" else F.octet_length("content") + len(brk.encode())).cast("long")
     ranked = read.select("*", first.alias("first"), size.alias("size"))
     valid = F.lit(True) if begin is None else F.col("content").rlike(start_patterns(begin)[0]) | F.col("first")
     opens = ((valid & (F.col("content") != "") if begin is None else valid) & (~F.col("first") if header else F.lit(True))).cast("long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.operators import results, terms, trigrams
 from loam.operators.terms import Term
+from loam.sources import ranges
 
 TERMS = ([Term("needle")], [Term("needle"), Term("ünder", 1)], [Term("absent")], [Term("ab")], [Term("needle"), Term("ab")], [Term("xyz"), Term("needle")], [])
 
@@ -94,3 +95,57 @@ def test_corrected_search(spark):
     found = {r["uri"]: r["n"] for r in results.corrected_search(docs, ["bulgraia"], known, min_score=0.0).collect()}
     assert found.keys() == {"1", "3"}
     assert results.corrected_search(docs, [], known, min_score=0.0).count() == 0
+
+
+class Counting:
+    """A file that tells how many bytes are read."""
+
+    def __init__(self, data):
+        self.data, self.at, self.read_bytes = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.data[self.at : self.at + n]
+        self.read_bytes += len(out)
+        return out
+
+
+def test_only_asked_bytes_are_read():
+    file = Counting(bytes(range(256)) * 1000)
+    asked = [(10, 20), (20, 25), (40, 41), (200_000, 200_010), (255_990, 256_100)]
+    got = list(ranges.read_ranges(file, asked, gap=30))
+    assert got == [file.data[a:b] for a, b in asked] and file.read_bytes == 31 + 10 + 10
+    assert [len(g) for g in ranges.runs(asked, gap=30, most=12)] == [1, 1, 1, 1, 1] and list(ranges.runs([])) == []
+
+
+def test_item_ranges(spark, tmp_path):
+    """Items by number from several files, with raw breaks, characters of several bytes and no break at the end; only their bytes are opened."""
+    files_, want = tmp_path / "in", {}
+    files_.mkdir()
+    for name, n in (("a", 300), ("b", 120)):
+        rows = [f"{i},é日{'x' * (i % 40)}" + ("\r\nmore, é" if i % 3 == 0 else "") for i in range(n)]
+        (files_ / name).write_bytes(("key,header\r\n" + "\r\n".join(rows)).encode())
+        want[name] = rows
+    at = str(tmp_path / "offsets")
+    ranges.store_offsets(spark, str(files_), at, r"\d+,", header=True)
+    told = lambda df: sorted((r["file"][-1], r["item"], r["content"]) for r in df.collect())
+    every = sorted((name, i + 1, t) for name, rows in want.items() for i, t in enumerate(rows))
+    assert told(ranges.items_between(spark, at)) == every
+    assert told(ranges.items_between(spark, at, 100, 130)) == [x for x in every if 100 <= x[1] <= 130]
+    for r in ranges.items_between(spark, at, 299).collect():
+        raw = (files_ / r["file"][-1]).read_bytes()
+        assert raw[r["start"] : r["end"]].decode().removesuffix("\r\n") == r["content"]
+    some = ranges.items_between(spark, at, 5).where("item IN (3, 7, 110, 250) AND content LIKE '%x%'")
+    assert told(some) == [x for x in every if x[1] in (7, 110, 250)]
+    assert told(ranges.items_between(spark, at).where("item > 118 AND item <= 121")) == [x for x in every if 118 < x[1] <= 121]
+    # parts of a file that hold no asked item are not read: they may as well be destroyed
+    raw = (files_ / "b").read_bytes()
+    kept = raw.index(b"\r\n50,"), raw.index(b"\r\n60,") + 2
+    (files_ / "b").write_bytes(b"#" * kept[0] + raw[kept[0] : kept[1]] + b"#" * (len(raw) - kept[1]))
+    assert told(ranges.items_between(spark, at, 51, 60).where("file LIKE '%b'")) == [x for x in every if x[0] == "b" and 51 <= x[1] <= 60]
+    reader = ranges.ItemReader({"offsets": f"{at}/v=1", "first": "100000"})
+    assert reader.partitions() == []  # the footers tell that no file has such items
+    with pytest.raises(ValueError):
+        ranges.items_between(spark, str(tmp_path / "none"))
