@@ -21,7 +21,9 @@ TOKENS = (
     ("IDENT", r"[A-Za-z_][A-Za-z0-9_]*"), ("OP", r"==|!=|<=|>=|[+\-*/<>]"), ("SYMBOL", r"[{}(),:;]"), ("WS", r"\s+"),
 )
 COMMANDS = {"C►": "create", "U►": "update", "D►": "delete", "E►": "evaluate", "N►": "navigate"}
-ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\", "'": "'"}
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", '"': '"', "\\": "\\", "'": "'", "\n": ""}
+#: Escapes of characters by number: two, four or eight hex digits, or up to three octal ones.
+NUMBERED = r"\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}|\\[0-7]{1,3}"
 
 TOKEN = "(?U)" + "|".join(p for _, p in TOKENS) + "|(?s:.)"
 COMMAND = rf"([CUDE]►)\s*+(NODE|LINK)\s++([A-Za-z_][A-Za-z0-9_]*+)\s*+{STRING}\s*+◄"
@@ -74,9 +76,17 @@ def shaped(programs: DataFrame) -> DataFrame:
 
 
 def unquote(s: Column) -> Column:
-    """Text of a string token; escapes are decoded, other characters stay."""
-    runs = F.regexp_extract_all(F.substring(s, F.lit(2), F.length(s) - 2), F.lit(r"\\(?s:.)|[^\\]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.coalesce(*(F.when(r == F.lit("\\" + k), F.lit(v)) for k, v in ESCAPES.items()), r)), "")
+    """Text of a string token; escapes are decoded (half a surrogate pair gives the replacement character), an unknown one and other characters stay."""
+    runs = F.regexp_extract_all(F.substring(s, F.lit(2), F.length(s) - 2), F.lit(rf"{NUMBERED}|\\(?s:.)|[^\\]+"), F.lit(0))
+
+    def decoded(run: Column) -> Column:
+        coded = run.rlike(rf"^(?:{NUMBERED})$")
+        digits = F.when(run.rlike(r"^\\[xuU]"), F.substring(run, F.lit(3), F.length(run))).otherwise(F.conv(F.substring(run, F.lit(2), F.length(run)), 8, 16))
+        digits = F.when(coded & ~digits.rlike(r"^(?:0000)?[dD][89A-Fa-f]..$"), digits).otherwise(F.lit("FFFD"))
+        number = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        return F.when(coded, number).otherwise(F.coalesce(*(F.when(run == F.lit("\\" + k), F.lit(v)) for k, v in ESCAPES.items()), run))
+
+    return F.array_join(F.transform(runs, decoded), "")
 
 
 def syntax_trees(programs: DataFrame) -> DataFrame:

@@ -88,6 +88,18 @@ def item_index_file(spark, sf):
     return found.select("item", "start", F.col("end").alias("stop"), F.regexp_extract("content", r"^(\d+),", 1).cast("long").alias("c_custkey"), F.length("content").alias("size"))
 
 
+def line_starts(spark, sf):
+    """How many lines the documents have, where the last begins, and the sum of all starts."""
+    found = files.line_starts(table(spark, sf, "documents").select("doc_id", "text"))
+    total = F.aggregate("line_starts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.where("text IS NOT NULL").select("doc_id", F.size("line_starts").cast("long").alias("n"), F.element_at("line_starts", -1).cast("long").alias("last"), total.alias("total"))
+
+
+def entries_first(spark, sf):
+    """The first 256 pages by path, as a listing shows them."""
+    return files.entries(page_files(spark, sf))
+
+
 def item_range_read(spark, sf):
     """The items of the second quarter of the file, of which alone the bytes are read, by stored offsets."""
     n, at = table(spark, sf, "customer").count(), folder(spark, "offsets")
@@ -291,7 +303,7 @@ def property_filter(spark, sf):
 
 
 QUERIES = {
-    "item_index_validated": item_index_validated, "item_index_file": item_index_file, "item_range_read": item_range_read, "item_index_stored": item_index_stored, "item_offsets_stored": item_offsets_stored,
+    "item_index_validated": item_index_validated, "item_index_file": item_index_file, "item_range_read": item_range_read, "line_starts": line_starts, "entries_first": entries_first, "item_index_stored": item_index_stored, "item_offsets_stored": item_offsets_stored,
     "search_facade": search_facade, "item_fields": item_fields, "item_fields_quoted": item_fields_quoted,
     "graph_update_edge": lambda s, d: told(G.update(edges(s, d), edge_changes(s, d), ["source", "target"])),
     "graph_remove_edge": lambda s, d: G.remove_edges(edges(s, d), edge_changes(s, d)).select("source", "target", "type"),
@@ -366,6 +378,11 @@ ORACLES = {
         SELECT block_id, row_number() OVER w AS item, CAST(sum(length(t) + 2) OVER w AS BIGINT) - length(t) - 2 AS start, CAST(sum(length(t) + 2) OVER w AS BIGINT) AS stop, length(t) AS size FROM x WINDOW w AS (PARTITION BY block_id ORDER BY c_custkey)""",
     "item_index_file": f"""WITH x AS (SELECT c_custkey, {TOLD} AS t FROM customer)
         SELECT row_number() OVER w AS item, 23 + CAST(sum(length(t) + 2) OVER w AS BIGINT) - length(t) - 2 AS start, 23 + CAST(sum(length(t) + 2) OVER w AS BIGINT) AS stop, c_custkey, length(t) AS size FROM x WINDOW w AS (ORDER BY c_custkey)""",
+    "line_starts": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT doc_id, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start FROM l)
+        SELECT doc_id, count(*) AS n, CAST(max(start) AS BIGINT) AS last, CAST(sum(start) AS BIGINT) AS total FROM s GROUP BY doc_id""",
+    "entries_first": """WITH f AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || '/' || page_id || '.html' AS path, page_id || '.html' AS name, octet_length(encode(html)) AS n FROM pages ORDER BY path LIMIT 256)
+        SELECT name, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', round(n / 1024.0::DOUBLE, 2)) ELSE printf('%.2f MB', round(n / 1048576.0::DOUBLE, 2)) END AS size FROM f""",
     "item_range_read": f"""WITH x AS (SELECT {TOLD} AS t, row_number() OVER (ORDER BY c_custkey) AS item, count(*) OVER () AS n FROM customer)
         SELECT item, length(t) AS size, sha256(t) AS digest FROM x WHERE item BETWEEN n // 4 + 1 AND n // 2""",
     "item_index_stored": f"WITH {BLOCKS}, {text_cte(ITEM_TERMS, ITEM_SOURCE)}, {SCORE_CTE} SELECT item_offset + ix.item AS global_item, ix.start, ix.stop, s.n, round({ADVANCED.replace('n AS', 's.n AS')}, 6) AS score FROM s JOIN ix ON ix.block_id = doc_id.b AND ix.item = doc_id.i JOIN off ON off.block_id = ix.block_id",

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from loam.operators import deps as D
 from loam.operators import dsl as L
+from loam.operators import evaluation as E
 from loam.operators import graph as N
 from loam.operators import grids as G
 from loam.operators import tabular as U
 from loam.plans.search import table
+from loam.sources.files import concatenated as all_sources
+from loam.sources.files import task_of_result
 
 
 def grids(spark, sf):
@@ -115,6 +118,45 @@ def programs(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("program_id"), text.alias("text"))
 
 
+def dsl_unquoted(spark, sf):
+    """Names of parts as string tokens, each character by a number, between escapes of other kinds."""
+    p = table(spark, sf, "part")
+    coded = F.regexp_replace(F.hex(F.col("p_name").cast("binary")), "(..)", r"\\x$1")
+    return p.select("p_partkey", L.unquote(F.concat(F.lit('"\\u00e9\\t'), coded, F.lit('\\101\\U0001F600 \\q\\""'))).alias("value"))
+
+
+def result_names(spark, sf):
+    """Tasks and test numbers of the names that results are saved under."""
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("t_"), F.col("p_partkey").cast("string"), F.lit("_test"), (F.col("p_size") % 3).cast("string"), F.lit("_result.json")).alias("name"))
+    task, number = task_of_result(F.col("name"))
+    return p.select("p_partkey", task.alias("task_id"), number.cast("long").alias("test"))
+
+
+def concatenated(spark, sf):
+    """Sources of the code under their headers."""
+    return all_sources(code(spark, sf).select("path", "text"))
+
+
+def evaluation_graph(spark, sf):
+    """Parts as nodes that are evaluated after those of half and a third of their number; some links lead back."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), "p_size")
+    kind = F.element_at(F.array(F.lit("sum"), F.lit("least"), F.lit("greatest")), (F.col("p_size") % 3 + 1).cast("int"))
+    n = p.select("uid", kind.alias("op"), F.col("p_size").cast("double").alias("value"), (F.col("p_size") % 7).cast("double").alias("target"))
+    by = lambda k: p.where(F.col("uid") >= k).select(F.floor(F.col("uid") / k).alias("source"), F.col("uid").alias("target"))
+    back = p.where("uid % 97 = 0").select(F.col("uid").alias("source"), F.floor(F.col("uid") / 2).alias("target"))
+    return n, by(2).unionByName(by(3)).unionByName(back).withColumn("relation", F.lit("parameter"))
+
+
+def evaluation_order(spark, sf):
+    n, links = evaluation_graph(spark, sf)
+    return E.levels(n, links)
+
+
+def evaluation_results(spark, sf):
+    n, links = evaluation_graph(spark, sf)
+    return E.evaluate(n, links).select("uid", "result", "weight")
+
+
 def prompt_check(spark, sf):
     n = table(spark, sf, "nation")
     lead = F.element_at(F.array(F.lit("KG► graph\n"), F.lit('  {"KG►": 1} '), F.lit("no graph ")), (F.col("n_nationkey") % 3 + 1).cast("int"))
@@ -144,7 +186,8 @@ QUERIES = {
     "node_sizes": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(D.node_size(F.col("n_nationkey")), 9).alias("size"), D.label_size(F.col("n_nationkey")).cast("long").alias("font")),
     "dsl_tokens": lambda s, d: L.tokens_of(programs(s, d)).select("program_id", "seq", "type", "value"),
     "dsl_commands": lambda s, d: L.syntax_trees(programs(s, d)).where("kind <> 'error'").select("program_id", "node_id", "parent_id", "branch", "seq", "kind", "uid", "instruction"),
-    "dsl_valid": lambda s, d: L.validity(programs(s, d)), "dsl_apply": dsl_apply, "dsl_statistics": lambda s, d: L.statistics(programs(s, d)), "prompt_check": prompt_check,
+    "dsl_valid": lambda s, d: L.validity(programs(s, d)), "dsl_apply": dsl_apply, "dsl_statistics": lambda s, d: L.statistics(programs(s, d)), "prompt_check": prompt_check, "dsl_unquoted": dsl_unquoted, "result_names": result_names, "concatenated": concatenated,
+    "evaluation_order": evaluation_order, "evaluation_results": evaluation_results,
 }
 
 GRID = """g AS (SELECT p_partkey AS key, sha256(p_name || ':' || p_partkey) AS h FROM part),
@@ -185,6 +228,13 @@ li(step, a, b, s, na, nb) AS (SELECT 0, a, b, s, 1, 1 FROM lk WHERE s > 0 UNION
     SELECT li.step, li.s, CASE WHEN li.a = m.b THEN m.a ELSE li.a END AS x, CASE WHEN li.b = m.b THEN m.a ELSE li.b END AS y, CASE WHEN li.a IN (m.a, m.b) THEN m.na + m.nb ELSE li.na END AS nx, CASE WHEN li.b IN (m.a, m.b) THEN m.na + m.nb ELSE li.nb END AS ny
     FROM li, (SELECT a, b, na, nb FROM li ORDER BY s / (na * nb) DESC, a, b LIMIT 1) m WHERE NOT (li.a = m.a AND li.b = m.b)) GROUP BY step, least(x, y), greatest(x, y)),
 dg AS (SELECT step, a, b, s / (na * nb) / 1000000000 AS similarity FROM li QUALIFY row_number() OVER (PARTITION BY step ORDER BY s / (na * nb) DESC, a, b) = 1)"""
+#: Nodes nd and links ln of evaluation_graph; lv: levels of the nodes that no cycle leads to.
+CHAINED = """nd AS (SELECT p_partkey AS uid, CASE p_size % 3 WHEN 0 THEN 'sum' WHEN 1 THEN 'least' ELSE 'greatest' END AS op, CAST(p_size AS DOUBLE) AS value, CAST(p_size % 7 AS DOUBLE) AS target FROM part),
+ln AS (SELECT uid // 2 AS source, uid AS target FROM nd WHERE uid >= 2 AND uid // 2 IN (SELECT uid FROM nd) UNION SELECT uid // 3, uid FROM nd WHERE uid >= 3 AND uid // 3 IN (SELECT uid FROM nd) UNION SELECT uid, uid // 2 FROM nd WHERE uid % 97 = 0),
+rc(a, b) AS (SELECT source, target FROM ln UNION SELECT rc.a, ln.target FROM rc JOIN ln ON ln.source = rc.b),
+cy AS (SELECT a AS uid FROM rc WHERE a = b UNION SELECT b FROM rc WHERE a IN (SELECT a FROM rc WHERE a = b)),
+wl(uid, level) AS (SELECT uid, 0 FROM nd WHERE uid NOT IN (SELECT target FROM ln) UNION SELECT ln.target, level + 1 FROM wl JOIN ln ON ln.source = wl.uid WHERE ln.target NOT IN (SELECT uid FROM cy)),
+lv AS (SELECT uid, max(level) AS level FROM wl GROUP BY uid)"""
 PROGRAMS = f"""p AS (SELECT c_custkey AS program_id, replace(replace(([{', '.join("'" + t + "'" for t in PROGRAM_TEXTS)}])[c_custkey % {len(PROGRAM_TEXTS)} + 1], '{{uid}}', 'n' || c_custkey % 50), '{{name}}', c_name) AS text FROM customer)"""
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 PARTS = rf"[CUDE]►\s*(?:NODE|LINK)\s+[A-Za-z_][A-Za-z0-9_]*\s*{QUOTED}\s*◄|N►\s*(?:[0-9]+(?:\.[0-9]+)?)?\s*{QUOTED}\s*◄|LOOP►\s*{QUOTED}\s*◄|ELIF►|ELSE►|IF►|◄|\s+|(?s:.)"
@@ -266,5 +316,17 @@ ORACLES = {
         t AS (SELECT uid, list(CASE kind WHEN 'create' THEN '+' WHEN 'delete' THEN '-' ELSE '~' END || instruction ORDER BY program_id, node_id) AS steps FROM cm WHERE parent_id = -1 AND entity = 'NODE' AND kind IN ('create', 'update', 'delete') GROUP BY uid),
         z AS (SELECT uid, n_name, list_reduce(list_concat([CASE WHEN n_name IS NULL THEN '-' ELSE '.' END], coalesce(steps, [])), lambda x, y: CASE WHEN y[1] <> '~' THEN y WHEN x[1] = '-' THEN x ELSE x[1] || y[2:] END) AS s FROM b FULL JOIN t USING (uid))
         SELECT uid, CASE WHEN s[1] = '+' THEN 'node' ELSE 'nation' END AS type, CASE WHEN s[1] = '+' THEN 'instruction=' || s[2:] WHEN s = '.' THEN 'name=' || n_name ELSE 'instruction=' || s[2:] || ';name=' || n_name END AS props FROM z WHERE s[1] <> '-'""",
+    "dsl_unquoted": r"""SELECT p_partkey, chr(233) || chr(9) || p_name || 'A' || chr(128512) || ' \q"' AS value FROM part""",
+    "result_names": "SELECT p_partkey, 't_' || p_partkey AS task_id, p_size % 3 AS test FROM part",
+    "concatenated": r"""WITH n AS (SELECT regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') AS n, n_nationkey FROM nation)
+        SELECT 'pkg/sub/' || n || '.py' AS path, repeat('#', 79) || chr(10) || '# pkg/sub/' || n || '.py' || chr(10) || repeat('#', 79) || chr(10) || chr(10)
+            || 'import os' || chr(10) || 'import a.' || n || chr(10) || 'from b.' || n || ' import x' || chr(10) || 'def f():' || chr(10) || '    from .c import y' || chr(10) || CASE WHEN n_nationkey % 5 = 4 THEN chr(10) || 'import (' ELSE '' END || chr(10) AS text FROM n""",
+    "evaluation_order": f"WITH RECURSIVE {CHAINED} SELECT n.uid, level, level IS NULL AS cyclic FROM nd n LEFT JOIN lv USING (uid)",
+    "evaluation_results": f"""WITH RECURSIVE {CHAINED}, re(step, uid, result) AS (SELECT 0, uid, value FROM nd JOIN lv USING (uid) WHERE level = 0
+            UNION ALL SELECT step + 1, uid, result FROM (SELECT step, uid, result FROM re WHERE step < (SELECT max(level) FROM lv)
+                UNION ALL SELECT re.step, n.uid, CASE n.op WHEN 'sum' THEN n.value + sum(re.result) WHEN 'least' THEN least(n.value, min(re.result)) ELSE greatest(n.value, max(re.result)) END
+                FROM re JOIN ln ON ln.source = re.uid JOIN nd n ON n.uid = ln.target JOIN lv ON lv.uid = n.uid AND lv.level = re.step + 1 GROUP BY re.step, n.uid, n.op, n.value))
+        SELECT n.uid, r.result, CASE WHEN r.uid IS NULL THEN NULL WHEN r.result IS NOT DISTINCT FROM n.target THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS weight
+        FROM nd n LEFT JOIN (SELECT DISTINCT uid, result FROM re WHERE step = (SELECT max(level) FROM lv)) r USING (uid)""",
     "prompt_check": "SELECT n_nationkey, n_nationkey % 3 = 0 AS ok FROM nation",
 }

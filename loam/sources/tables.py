@@ -1,7 +1,12 @@
-"""Versioned Parquet tables: a commit writes a new version beside the old ones, a reader takes the newest complete one."""
+"""Versioned Parquet tables: a commit writes a new version beside the old ones, a reader takes the newest complete one; several tables in one commit by a manifest."""
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +64,79 @@ def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return items.join(at.drop("n"), ["file_id", "block_id"]).withColumn("global_item", F.col("item_offset") + F.col("item")).drop("item_offset"), at
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, root: str) -> None:
-    """A graph with its snapshots as versions of three tables."""
-    for name, df in (("nodes", nodes), ("edges", edges), ("snapshots", snapshots)):
-        commit(df, f"{root}/{name}")
+class Conflict(RuntimeError):
+    """Another writer committed since what this one is based on."""
 
 
-def load_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(load(spark, f"{root}/{name}") for name in ("nodes", "edges", "snapshots"))
+def _manifests(spark: SparkSession, root: str) -> dict[int, dict[str, str] | None]:
+    """Folders of the tables of each commit; None for one that is not complete."""
+    fs, path, make = _paths(spark, f"{root}/_commits")
+    if not fs.exists(path):
+        return {}
+    out: dict[int, dict[str, str] | None] = {}
+    for status in fs.listStatus(path):
+        at = status.getPath()
+        if re.fullmatch(r"\d+\.json", at.getName()):
+            stream = fs.open(at)
+            try:
+                text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            out[int(at.getName()[:-5])] = json.loads(text) if text.endswith("}\n") else None
+    return out
+
+
+def latest(spark: SparkSession, root: str) -> int:
+    """Number of the last complete commit; 0 if there is none."""
+    return max((n for n, tables in _manifests(spark, root).items() if tables is not None), default=0)
+
+
+def commit_all(frames: dict[str, DataFrame], root: str, based_on: int | None = None) -> int:
+    """One commit of several tables: a reader sees all of them or none.
+
+    The tables are written to folders of their own; then a manifest that names them is put, which the file system does
+    for one of several writers. based_on: the commit that the frames were made from (the last one, if not told). If
+    another came since, this one is refused, its folders are deleted and Conflict is raised: read again and repeat.
+    A manifest that a stopped writer left open blocks the next commit, whose error names it.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    based_on = latest(spark, root) if based_on is None else based_on
+    fs, path, make = _paths(spark, root)
+    folder = f"data/{uuid.uuid4().hex}"
+    for name, df in frames.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{folder}/{name}")
+    fs.mkdirs(make(path, "_commits"))
+    known = _manifests(spark, root)
+    at = make(path, f"_commits/{based_on + 1}.json")
+    try:
+        if max(known, default=0) != based_on:
+            raise Conflict(f"commit {max(known)} of {root} came after {based_on}")
+        try:
+            stream = fs.create(at, False)
+        except Py4JJavaError as e:
+            raise Conflict(f"{at} of {root} was put by another writer") from e
+    except Conflict:
+        fs.delete(make(path, folder), True)
+        raise
+    stream.write(bytearray((json.dumps({name: f"{folder}/{name}" for name in frames}) + "\n").encode()))
+    stream.close()
+    return based_on + 1
+
+
+def load_all(spark: SparkSession, root: str, number: int | None = None) -> tuple[int, dict[str, DataFrame]]:
+    """(number, tables) of the last complete commit, or of an earlier one: all of one commit, whatever is written meanwhile."""
+    known = {n: tables for n, tables in _manifests(spark, root).items() if tables is not None}
+    number = max(known, default=0) if number is None else number
+    if number not in known:
+        raise ValueError(f"no commit {number or ''} in {root}")
+    return number, {name: spark.read.parquet(f"{root}/{at}") for name, at in known[number].items()}
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, root: str, based_on: int | None = None) -> int:
+    """A graph with its snapshots in one commit (see commit_all)."""
+    return commit_all({"nodes": nodes, "edges": edges, "snapshots": snapshots}, root, based_on)
+
+
+def load_graph(spark: SparkSession, root: str, number: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _, found = load_all(spark, root, number)
+    return found["nodes"], found["edges"], found["snapshots"]

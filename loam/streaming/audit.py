@@ -27,15 +27,20 @@ def activity(rows: DataFrame, ts: str, kind: str, window: str = "1 hour", late:
     return rows.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def hooked(log: DataFrame, hooks: dict[str, Callable[[DataFrame], None]], checkpoint: str) -> tuple[StreamingQuery, list[str]]:
-    """Calls the hook of each event with the new audit rows of that event, batch by batch; (query, errors): a hook that fails is noted and stops nothing."""
-    errors: list[str] = []
+def hooked(log: DataFrame, hooks: dict[str, Callable[[DataFrame], None]], checkpoint: str, errors: str) -> StreamingQuery:
+    """Calls the hook of each event with the new audit rows of that event, batch by batch.
+
+    A hook that fails stops nothing: its error is a row (event, batch, error) of the Parquet folder `errors`, which
+    outlives a restart. A batch that is tried again writes the rows of that batch in place of the earlier ones.
+    """
 
     def each(rows: DataFrame, batch: int) -> None:
+        failed = []
         for event, hook in hooks.items():
             try:
                 hook(rows.where(F.col("event") == event))
             except Exception as e:
-                errors.append(f"{event}, batch {batch}: {e}")
+                failed.append((event, batch, str(e)))
+        rows.sparkSession.createDataFrame(failed, "event string, batch long, error string").coalesce(1).write.mode("overwrite").parquet(f"{errors}/of={batch}")
 
-    return log.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), errors
+    return log.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
