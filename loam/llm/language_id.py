@@ -15,7 +15,7 @@ from loam.llm.common import flat, mix, pieces, table
 
 #: Characters of an n-gram; a gap between letters counts as one blank, and a text begins and ends with two.
 GRAM = 4
-#: Labelled rows of each language that the filters are learnt from, at most in expectation: rows are drawn by a hash of the id.
+#: Labelled rows of each language that the filters are learnt from, at most in expectation: rows are drawn by a hash of id and text.
 SAMPLE_ROWS = 20_000
 #: Slots of the filter and probes of an n-gram: 2 ** 21 slots of 8 bytes (16 MB) for each 63 languages.
 SLOTS, PROBES = 1 << 21, 4
@@ -108,12 +108,12 @@ def sample(known: DataFrame, counts: dict[str, int], rows: int) -> DataFrame:
     languages = sorted(counts)
     number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
     below = F.array(*(F.lit(int(min(1.0, rows / counts[x]) * (1 << 30))) for x in languages))
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) < F.element_at(below, F.col("number") + 1)
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")), F.lit(1 << 30)) < F.element_at(below, F.col("number") + 1)
     return known.withColumn("number", number).where(drawn)
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Filters:
-    """Filters from a bounded sample of each language's labelled rows (text and lang not null), drawn by a hash of their ids.
+    """Filters from a bounded sample of each language's labelled rows (text and lang not null), drawn by a hash of id and text, so null or repeated ids are drawn like others.
 
     A language of at most `rows` rows is learnt whole however large the others are; `rows` for each language bound all.
     An n-gram belongs to every language that has it LEAST_COUNT times and at LEAST_SHARE of the best language's

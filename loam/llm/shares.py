@@ -1,9 +1,9 @@
 """Shares of the documents ask, once a key, whether other rows have it; the answers return to the share.
 
-Rows are dealt to shares by a hash of their row number. A share asks for each of its distinct keys once, in blocks
-packed by bucket of keys, and the answers go to its first row, hence to the same share, where they arrive (rows
-sorted by number) before its other rows. So a key that a third of all rows hold costs one question and one answer a
-share, and no table of keys goes through the driver.
+Rows are dealt to shares by a hash of their row number, which is their own whatever their id and text. A share asks
+for each of its distinct keys once, in blocks packed by bucket of keys, and the answers go to its first row, hence to
+the same share, where they arrive (rows sorted by number) before its other rows. So a key that a third of all rows
+hold costs one question and one answer a share, and no table of keys goes through the driver.
 """
 
 from __future__ import annotations
@@ -17,13 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import flat, partitions, pieces
+from loam.llm.common import flat, partitions, pieces, texts
 
 #: Bytes of text of one share: what a task holds of its keys and answers grows with them.
 SHARE_BYTES = 128 << 20
 ASKED = "bucket int, number long, keys binary, many binary, rows binary, counts binary, times binary"
 
 
+#: Stands for a null id in comparisons: such a row is the least document.
+NO_ID = -(1 << 63)
+#: Numbers that rows equal in id and text are dealt to, by their place in the input.
+COPIES = 4096
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text): row, a hash of id, text and place, tells rows apart. Where two still have one, both get the answers of their share, which costs memory alone."""
+    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    return rows.select(F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES))).alias("row"), "doc_id", "text")
+
+
 def share_count(rows: DataFrame, share_bytes: int = SHARE_BYTES) -> int:
     """Shares of (doc_id, text): as many as the session has shuffle partitions, more where a share would exceed `share_bytes` of text."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -51,19 +63,19 @@ def restored(packed: bytes) -> np.ndarray:
 
 
 def ask(batches: Iterator[pa.RecordBatch], buckets: int, keys_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], name_bytes: int = 8, least: bool = False, counted: bool = False) -> Iterator[pa.RecordBatch]:
-    """Batches of (row number, share, text) -> ASKED. keys_of(data, offsets) gives keys (uint64) and their text numbers.
+    """Batches of (row number, share, text, id) -> ASKED. keys_of(data, offsets) gives keys (uint64) and their text numbers.
 
-    number is the share's first row; rows and counts, where `least` asks for them, the first row of each key; times,
+    number is the share's first row; rows and counts, where `least` asks for them, the least id of each key; times,
     where `counted` does, how often the share has it.
     """
     held: dict[int, list[tuple[np.ndarray, ...]]] = {}
     lowest: dict[int, int] = {}
     for batch in batches:
-        number, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        number, share, ids = (np.asarray(batch.column(c)) for c in (0, 1, 3))
         data, offsets = flat(batch.column(2))
         for i, j in pieces(offsets, 2 << 20):
             keys, text = keys_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            row, of = number[i:j][text], share[i:j][text]
+            row, of = ids[i:j][text], share[i:j][text]
             for s in np.unique(share[i:j]).tolist():
                 own = of == s
                 held.setdefault(s, []).append(least_row(keys[own], row[own], np.zeros(int(own.sum()), bool), np.ones(int(own.sum()), np.int32)))

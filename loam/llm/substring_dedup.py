@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bpe import code_points
-from loam.llm.common import ODD, Words, flat, mix, pieces, ragged, table, texts
-from loam.llm.shares import ASKED, SHARE_BYTES, answer, ask, share_count
+from loam.llm.common import ODD, Words, flat, mix, pieces, ragged, table
+from loam.llm.shares import ASKED, NO_ID, SHARE_BYTES, answer, ask, numbered, share_count
 
 #: A span has at least so many sentences and words.
 SENTENCES, WORDS = 2, 16
 #: Of so many words in a row, one at least begins a piece of a long sentence.
 WINDOW = 8
-NO_ID = -(1 << 63)
 
 STOP = np.zeros(256, bool)
 STOP[[*b".!?"]] = True
@@ -139,10 +138,10 @@ _run = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
 
 def cut_out(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
-    """Texts less the sentences of their non-first spans; rows of a share arrive in the order of doc_id."""
+    """Texts less the sentences of their non-first spans; a share's answers arrive at its first row."""
     known: dict[int, dict[int, int]] = {}
     for batch in batches:
-        ids, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        share, ids = np.asarray(batch.column(1)), np.asarray(batch.column(4))
         data, offsets = flat(batch.column(2))
         told = batch.column(3)
         for i, j in pieces(offsets, 2 << 20):
@@ -180,7 +179,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[
             runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(head, spans.first), pa.int32()), pa.StructArray.from_arrays([pa.array(head - base, pa.int32()), pa.array(tail - base, pa.int32())], fields=list(_run)))
             left = (own - np.r_[0, np.cumsum(byte)][own]).astype(np.int32)
             kept = pa.StringArray.from_buffers(j - i, pa.py_buffer(left.tobytes()), pa.py_buffer(part[~byte].tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(spans.first), pa.int64()), runs, kept], names=["doc_id", "n_sentences", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(4).slice(i, j - i), pa.array(np.diff(spans.first), pa.int64()), runs, kept], names=["doc_id", "n_sentences", "removed", "kept"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False, share_bytes: int = SHARE_BYTES) -> DataFrame:
@@ -193,14 +192,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text is empty; a null id is less than any other; rows of one id never cover one another, and give a row each;
     an empty table gives no rows; other columns of docs are ignored. Texts of fewer than WORDS words stay whole.
     """
-    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = numbered(docs, id_col, text_col)
     n = share_count(rows, share_bytes)
-    rows = rows.repartition(n, "doc_id")
-    share = F.pmod(F.hash("doc_id"), F.lit(n)).alias("share")
-    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, partial(keys_of, every=every), least=True), ASKED)
+    rows = rows.repartition(n, "row")
+    share = F.pmod(F.hash("row"), F.lit(n)).alias("share")
+    asked = rows.select("row", share, "text", "doc_id").mapInArrow(lambda b: ask(b, n, partial(keys_of, every=every), least=True), ASKED)
     told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, least=True), "number long, keys binary, least binary")
-    told = told.withColumnRenamed("number", "doc_id").repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("keys", "least")).alias("told"))
-    whole = rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told").mapInArrow(partial(cut_out, every=every), KEPT)
+    told = told.withColumnRenamed("number", "row").repartition(n, "row").groupBy("row").agg(F.collect_list(F.struct("keys", "least")).alias("told"))
+    whole = rows.join(told.hint("merge"), "row", "left").select("row", share, "text", "told", "doc_id").mapInArrow(partial(cut_out, every=every), KEPT)
     return whole.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import flat, hashes, mix, pieces, powers, prefix_hash, ragged, table, texts
-from loam.llm.shares import ASKED, SHARE_BYTES, answer, ascending, ask, restored, share_count, short
+from loam.llm.common import flat, hashes, mix, pieces, powers, prefix_hash, ragged, table
+from loam.llm.shares import ASKED, NO_ID, SHARE_BYTES, answer, ascending, ask, numbered, restored, share_count, short
 
 #: Bytes of a repeated string, and of the anchor whose least hash names a window of that many bytes.
 WIDTH, ANCHOR = 50, 24
@@ -96,7 +96,7 @@ def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, ancho
     held: dict[int, dict[int, list]] = {}
     lowest: dict[int, int] = {}
     for batch in batches:
-        ids, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        numbers, share, ids = (np.asarray(batch.column(c)) for c in (0, 1, 4))
         data, offsets = flat(batch.column(2))
         told = batch.column(3)
         for i, j in pieces(offsets, 2 << 20):
@@ -105,7 +105,7 @@ def fragments(batches: Iterator[pa.RecordBatch], buckets: int, width: int, ancho
             of = share[i:j]
             for s in np.unique(of).tolist():
                 seen, mine = known.setdefault(s, set()), held.setdefault(s, {})
-                lowest.setdefault(s, int(ids[i:j][of == s].min()))
+                lowest.setdefault(s, int(numbers[i:j][of == s].min()))
                 for r in np.flatnonzero(of == s).tolist():
                     for x in told[i + r].as_py() or ():
                         seen.update(np.frombuffer(x["keys"], np.uint64).tolist())
@@ -310,7 +310,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor:
     known: dict[int, dict[int, bytes]] = {}
     hot: dict[int, np.ndarray] = {}
     for batch in batches:
-        ids, share = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        share, ids = np.asarray(batch.column(1)), np.asarray(batch.column(4))
         data, offsets = flat(batch.column(2))
         told = batch.column(3)
         for i, j in pieces(offsets, 2 << 20):
@@ -344,11 +344,7 @@ def cut_out(batches: Iterator[pa.RecordBatch], buckets: int, width: int, anchor:
             spans = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base, pa.int32()), pa.array(ends - base, pa.int32())], fields=list(_span)))
             at = (own - np.r_[0, np.cumsum(gone)][own]).astype(np.int32)
             kept = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(part[~gone].tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(own), pa.int64()), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
-
-
-#: Stands for a null id in comparisons: such a row is the least document.
-NO_ID = -(1 << 63)
+            yield pa.RecordBatch.from_arrays([batch.column(4).slice(i, j - i), pa.array(np.diff(own), pa.int64()), spans, kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_FRAGMENTS, share_bytes: int = SHARE_BYTES) -> DataFrame:
@@ -369,10 +365,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
     documents. Null text is empty; a null id is less than any other; rows of one id never cover one another;
     repeated rows give a row each; an empty table gives no rows; other columns of docs are ignored.
     """
-    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    rows = numbered(docs, id_col, text_col)
     n = share_count(rows, share_bytes)
-    rows = rows.repartition(n, "doc_id")
-    share = F.pmod(F.hash("doc_id"), F.lit(n)).alias("share")
+    rows = rows.repartition(n, "row")
+    share = F.pmod(F.hash("row"), F.lit(n)).alias("share")
 
     def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         runs = Runs(data, offsets, width, anchor)
@@ -380,10 +376,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_c
 
     def returned(answers: DataFrame, *columns: str) -> DataFrame:
         """Each share's answers at its first row."""
-        told = answers.withColumnRenamed("number", "doc_id").repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("told"))
-        return rows.join(told.hint("merge"), "doc_id", "left").select("doc_id", share, "text", "told")
+        told = answers.withColumnRenamed("number", "row").repartition(n, "row").groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("told"))
+        return rows.join(told.hint("merge"), "row", "left").select("row", share, "text", "told", "doc_id")
 
-    asked = rows.select("doc_id", share, "text").mapInArrow(lambda b: ask(b, n, keys_of, NAME_BYTES, counted=True), ASKED)
+    asked = rows.select("row", share, "text", "doc_id").mapInArrow(lambda b: ask(b, n, keys_of, NAME_BYTES, counted=True), ASKED)
     told = asked.repartition(n, "bucket").mapInArrow(lambda b: answer(b, n, NAME_BYTES, most=most), "number long, keys binary, hot binary")
     parts = returned(told, "keys", "hot").mapInArrow(lambda b: fragments(b, n, width, anchor), FRAGMENTS)
     answers = parts.repartition(n, "bucket").mapInArrow(lambda b: sort_fragments(b, width), "number long, names binary, counts binary, parts binary, hot binary")
