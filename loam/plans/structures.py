@@ -9,6 +9,7 @@ from loam.operators import dsl as L
 from loam.operators import evaluation as E
 from loam.operators import graph as N
 from loam.operators import grids as G
+from loam.operators import programs as P
 from loam.operators import tabular as U
 from loam.plans.search import table
 from loam.sources.files import concatenated as all_sources
@@ -110,10 +111,21 @@ PROGRAM_TEXTS = (
 )
 
 
-def programs(spark, sf):
+#: Programs that run: commands alone, counted loops within loops, conditions with ELIF, a loop until a node is gone, one that does not end, an unknown condition, one that is not valid.
+RUN_TEXTS = (
+    'C► NODE {uid} "{name}" ◄ U► NODE {uid} "two" ◄ U► NODE lost "x" ◄ C► LINK {uid} "l" ◄ D► NODE absent "" ◄',
+    'LOOP► "times 3" ◄ C► NODE {uid} "a" ◄ LOOP► "times 2" ◄ N► 1 "in" ◄ ◄ ◄ IF► E► NODE {uid} "is a" ◄ D► NODE {uid} "" ◄ ◄',
+    'IF► E► NODE {uid} "exists" ◄ C► NODE b "1" ◄ ELIF► E► NODE {uid} "missing" ◄ C► NODE {uid} "made" ◄ LOOP► "{uid} exists" ◄ IF► E► NODE {uid} "is made" ◄ U► NODE {uid} "again" ◄ ELSE► D► NODE {uid} "" ◄ ◄ ◄ ELSE► C► NODE no "" ◄ ◄ C► NODE last "{name}" ◄',
+    'C► NODE {uid} "x" ◄ LOOP► "other missing" ◄ U► NODE {uid} "on" ◄ ◄ C► NODE never "" ◄',
+    'IF► E► LINK {uid} "ready" ◄ C► NODE a "1" ◄ ELSE► IF► E► NODE q "true" ◄ ELSE► C► NODE a "3" ◄ ◄ C► NODE a "4" ◄ ◄ E► NODE a "exists" ◄',
+    'IF► E► NODE {uid} "exists" ◄',
+)
+
+
+def programs(spark, sf, texts=PROGRAM_TEXTS):
     """A program for each customer, by its number."""
     uid = F.concat(F.lit("n"), F.pmod("c_custkey", F.lit(50)).cast("string"))
-    text = F.element_at(F.array(*(F.lit(t) for t in PROGRAM_TEXTS)), (F.col("c_custkey") % len(PROGRAM_TEXTS) + 1).cast("int"))
+    text = F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("c_custkey") % len(texts) + 1).cast("int"))
     text = F.replace(F.replace(text, F.lit("{uid}"), uid), F.lit("{name}"), F.col("c_name"))
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("program_id"), text.alias("text"))
 
@@ -157,6 +169,12 @@ def evaluation_results(spark, sf):
     return E.evaluate(n, links).select("uid", "result", "weight")
 
 
+def dsl_execute(spark, sf):
+    out = P.execute(L.syntax_trees(programs(spark, sf, RUN_TEXTS)), 40)
+    held = F.array_join(F.transform(F.array_sort(F.map_entries("held")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return out.select("program_id", "status", "steps", "unknown", held.alias("held"))
+
+
 def prompt_check(spark, sf):
     n = table(spark, sf, "nation")
     lead = F.element_at(F.array(F.lit("KG► graph\n"), F.lit('  {"KG►": 1} '), F.lit("no graph ")), (F.col("n_nationkey") % 3 + 1).cast("int"))
@@ -186,7 +204,7 @@ QUERIES = {
     "node_sizes": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(D.node_size(F.col("n_nationkey")), 9).alias("size"), D.label_size(F.col("n_nationkey")).cast("long").alias("font")),
     "dsl_tokens": lambda s, d: L.tokens_of(programs(s, d)).select("program_id", "seq", "type", "value"),
     "dsl_commands": lambda s, d: L.syntax_trees(programs(s, d)).where("kind <> 'error'").select("program_id", "node_id", "parent_id", "branch", "seq", "kind", "uid", "instruction"),
-    "dsl_valid": lambda s, d: L.validity(programs(s, d)), "dsl_apply": dsl_apply, "dsl_statistics": lambda s, d: L.statistics(programs(s, d)), "prompt_check": prompt_check, "dsl_unquoted": dsl_unquoted, "result_names": result_names, "concatenated": concatenated,
+    "dsl_valid": lambda s, d: L.validity(programs(s, d)), "dsl_apply": dsl_apply, "dsl_statistics": lambda s, d: L.statistics(programs(s, d)), "prompt_check": prompt_check, "dsl_unquoted": dsl_unquoted, "dsl_execute": dsl_execute, "result_names": result_names, "concatenated": concatenated,
     "evaluation_order": evaluation_order, "evaluation_results": evaluation_results,
 }
 
@@ -235,7 +253,11 @@ rc(a, b) AS (SELECT source, target FROM ln UNION SELECT rc.a, ln.target FROM rc
 cy AS (SELECT a AS uid FROM rc WHERE a = b UNION SELECT b FROM rc WHERE a IN (SELECT a FROM rc WHERE a = b)),
 wl(uid, level) AS (SELECT uid, 0 FROM nd WHERE uid NOT IN (SELECT target FROM ln) UNION SELECT ln.target, level + 1 FROM wl JOIN ln ON ln.source = wl.uid WHERE ln.target NOT IN (SELECT uid FROM cy)),
 lv AS (SELECT uid, max(level) AS level FROM wl GROUP BY uid)"""
-PROGRAMS = f"""p AS (SELECT c_custkey AS program_id, replace(replace(([{', '.join("'" + t + "'" for t in PROGRAM_TEXTS)}])[c_custkey % {len(PROGRAM_TEXTS)} + 1], '{{uid}}', 'n' || c_custkey % 50), '{{name}}', c_name) AS text FROM customer)"""
+def programs_sql(texts) -> str:
+    return f"""p AS (SELECT c_custkey AS program_id, replace(replace(([{', '.join("'" + t + "'" for t in texts)}])[c_custkey % {len(texts)} + 1], '{{uid}}', 'n' || c_custkey % 50), '{{name}}', c_name) AS text FROM customer)"""
+
+
+PROGRAMS = programs_sql(PROGRAM_TEXTS)
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 PARTS = rf"[CUDE]►\s*(?:NODE|LINK)\s+[A-Za-z_][A-Za-z0-9_]*\s*{QUOTED}\s*◄|N►\s*(?:[0-9]+(?:\.[0-9]+)?)?\s*{QUOTED}\s*◄|LOOP►\s*{QUOTED}\s*◄|ELIF►|ELSE►|IF►|◄|\s+|(?s:.)"
 #: Parts of the texts as letters, and whether blocks reduce to statements.
@@ -328,5 +350,29 @@ ORACLES = {
                 FROM re JOIN ln ON ln.source = re.uid JOIN nd n ON n.uid = ln.target JOIN lv ON lv.uid = n.uid AND lv.level = re.step + 1 GROUP BY re.step, n.uid, n.op, n.value))
         SELECT n.uid, r.result, CASE WHEN r.uid IS NULL THEN NULL WHEN r.result IS NOT DISTINCT FROM n.target THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS weight
         FROM nd n LEFT JOIN (SELECT DISTINCT uid, result FROM re WHERE step = (SELECT max(level) FROM lv)) r USING (uid)""",
+    "dsl_execute": f"""WITH RECURSIVE {STATEMENTS.replace(PROGRAMS, programs_sql(RUN_TEXTS))},
+        cx AS (SELECT program_id, node_id AS n, parent_id AS p, branch AS b, regexp_replace(branch, '_condition$', '') AS bb, ends_with(branch, '_condition') AS cond, kind, lower(entity) || ':' || uid AS key, instruction,
+            lead(node_id) OVER (PARTITION BY program_id, parent_id, branch ORDER BY node_id) AS sib FROM cm),
+        up(program_id, n, pl, f) AS (SELECT program_id, n, n, CAST(NULL AS BIGINT) FROM cx UNION ALL SELECT u.program_id, u.n, c.p, CASE WHEN c.sib IS NOT NULL THEN c.sib WHEN c.p = -1 THEN -1 WHEN k.kind = 'loop' THEN c.p END
+            FROM up u JOIN cx c ON c.program_id = u.program_id AND c.n = u.pl LEFT JOIN cx k ON k.program_id = c.program_id AND k.n = c.p WHERE u.f IS NULL),
+        af AS (SELECT program_id, n, f FROM up WHERE f IS NOT NULL),
+        lt AS (SELECT c.program_id, c.n, min(d.n) AS later FROM cx c JOIN cx d ON d.program_id = c.program_id AND d.p = c.p AND d.n > c.n AND d.bb <> c.bb WHERE c.cond GROUP BY ALL),
+        ins AS (SELECT c.program_id, c.n, CASE WHEN c.cond THEN 'condition' ELSE c.kind END AS kind,
+            CASE WHEN c.kind = 'loop' THEN 'node:' || regexp_extract(c.instruction, '^(\\w+) (?:exists|missing|is )', 1) ELSE c.key END AS key,
+            CASE WHEN c.kind = 'loop' AND regexp_matches(c.instruction, '^\\w+ (exists$|missing$|is )') THEN regexp_replace(c.instruction, '^\\w+ ', '') ELSE c.instruction END AS said,
+            CASE WHEN c.cond THEN CASE WHEN f.p = c.p AND f.b = c.bb THEN c.n + 1 ELSE ap.f END WHEN c.kind = 'if' THEN c.n + 1 WHEN c.kind = 'loop' THEN CASE WHEN f.p = c.n THEN c.n + 1 ELSE c.n END ELSE af.f END AS next,
+            CASE WHEN c.cond THEN coalesce(lt.later, ap.f) WHEN c.kind = 'loop' THEN af.f ELSE -1 END AS other
+            FROM cx c LEFT JOIN cx f ON f.program_id = c.program_id AND f.n = c.n + 1 LEFT JOIN af ON af.program_id = c.program_id AND af.n = c.n LEFT JOIN af ap ON ap.program_id = c.program_id AND ap.n = c.p LEFT JOIN lt ON lt.program_id = c.program_id AND lt.n = c.n),
+        ru(program_id, pc, steps, unknown, held, turns) AS (SELECT DISTINCT program_id, CAST(0 AS BIGINT), 0, 0, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)), CAST(MAP {{}} AS MAP(BIGINT, INTEGER)) FROM cx
+            UNION ALL SELECT program_id, CASE WHEN asks AND NOT coalesce(t, false) THEN other ELSE next END, steps + 1, unknown + CASE WHEN asks AND t IS NULL THEN 1 ELSE 0 END,
+                CASE WHEN kind = 'create' OR (kind = 'update' AND has) THEN map_concat(without, MAP {{key: said}}) WHEN kind = 'delete' THEN without ELSE held END,
+                CASE WHEN kind = 'loop' AND coalesce(t, false) THEN map_concat(others, MAP {{pc: cnt + 1}}) WHEN kind = 'loop' THEN others ELSE turns END
+            FROM (SELECT *, CASE WHEN said = 'true' THEN true WHEN said = 'false' THEN false WHEN said = 'exists' THEN has WHEN said = 'missing' THEN NOT has WHEN starts_with(said, 'is ') THEN coalesce(held[key] = said[4:], false)
+                    WHEN kind = 'loop' AND regexp_matches(said, '^times [0-9]+$') THEN cnt < CAST(regexp_extract(said, '[0-9]+') AS INTEGER) END AS t
+                FROM (SELECT ru.*, i.kind, i.key, i.said, i.next, i.other, i.kind IN ('condition', 'loop') AS asks, list_contains(map_keys(held), i.key) AS has, coalesce(turns[pc], 0) AS cnt,
+                        map_from_entries(list_filter(map_entries(held), lambda e: e.key <> i.key)) AS without, map_from_entries(list_filter(map_entries(turns), lambda e: e.key <> pc)) AS others
+                    FROM ru JOIN ins i ON i.program_id = ru.program_id AND i.n = ru.pc WHERE pc <> -1 AND steps < 40)))
+        SELECT program_id, CASE WHEN pc = -1 THEN 'done' ELSE 'unending' END AS status, steps, unknown, coalesce(array_to_string(list_sort(list_transform(map_entries(held), lambda e: e.key || '=' || e.value)), ';'), '') AS held
+        FROM ru WHERE pc = -1 OR steps = 40 UNION ALL SELECT program_id, 'error', NULL, NULL, NULL FROM va WHERE NOT valid""",
     "prompt_check": "SELECT n_nationkey, n_nationkey % 3 = 0 AS ok FROM nation",
 }

@@ -2,12 +2,13 @@
 
 import codecs
 import random
+import re
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from loam.operators import dsl, evaluation
+from loam.operators import dsl, evaluation, programs
 from loam.sources import tables
 from loam.streaming import audit
 
@@ -123,3 +124,100 @@ def test_hooks(spark, tmp_path):
     assert sorted(seen) == ["a", "c", "dropped"]
     errors = spark.read.parquet(str(tmp_path / "errors")).select("event", "batch").collect()
     assert sorted(map(tuple, errors)) == [("drop", 1), ("odd", 0), ("odd", 1)]
+
+
+def run_tree(rows, most):
+    """A program's tree, walked: (status, steps, unknown, held)."""
+    held, state = {}, {"steps": 0, "unknown": 0}
+
+    class Ended(Exception):
+        pass
+
+    def tick():
+        if state["steps"] == most:
+            raise Ended
+        state["steps"] += 1
+
+    def holds(key, said, turn=None):
+        if said in ("true", "false"):
+            return said == "true"
+        if said in ("exists", "missing"):
+            return (key in held) == (said == "exists")
+        if said.startswith("is "):
+            return held.get(key) == said[3:]
+        if turn is not None and re.fullmatch(r"times \d{1,9}", said):
+            return turn < int(said[6:])
+        state["unknown"] += 1
+        return False
+
+    def block(parent, branch):
+        for r in sorted((r for r in rows if r["parent_id"] == parent and r["branch"] == branch), key=lambda r: r["seq"]):
+            key = f"{(r['entity'] or '').lower()}:{r['uid']}"
+            if r["kind"] == "if":
+                tick()
+                for b in ["if", *(f"elif{k}" for k in range(9))]:
+                    c = [x for x in rows if x["parent_id"] == r["node_id"] and x["branch"] == f"{b}_condition"]
+                    if not c:
+                        block(r["node_id"], "else")
+                        break
+                    tick()
+                    if holds(f"{c[0]['entity'].lower()}:{c[0]['uid']}", c[0]["instruction"]):
+                        block(r["node_id"], b)
+                        break
+            elif r["kind"] == "loop":
+                m, turn = re.fullmatch(r"(\w+) (exists|missing|is .*)", r["instruction"], re.S), 0
+                while True:
+                    tick()
+                    if not holds(f"node:{m[1]}" if m else "", m[2] if m else r["instruction"], turn):
+                        break
+                    turn += 1
+                    block(r["node_id"], "loop")
+            else:
+                tick()
+                if r["kind"] == "create" or r["kind"] == "update" and key in held:
+                    held[key] = r["instruction"]
+                elif r["kind"] == "delete":
+                    held.pop(key, None)
+
+    try:
+        block(-1, "top")
+        return "done", state["steps"], state["unknown"], held
+    except Ended:
+        return "unending", state["steps"], state["unknown"], held
+
+
+def test_programs(spark):
+    """Random programs against a walk of their trees; one that is not valid, an empty one, and one that does not end."""
+    rng = random.Random(12)
+    uid = lambda: rng.choice("abc")
+    condition = lambda: rng.choice(["exists", "missing", "is 1", "is 2", "true", "false", "odd"])
+
+    def text(depth):
+        out = []
+        for _ in range(rng.randint(0 if depth < 3 else 1, 3)):
+            kind = rng.choice("CUDNILL" if depth else "CUDN")
+            if kind in "CUD":
+                out.append(f'{kind}► {rng.choice(("NODE", "LINK"))} {uid()} "{rng.randint(1, 2)}" ◄')
+            elif kind == "N":
+                out.append('N► "go" ◄')
+            elif kind == "I":
+                elifs = "".join(f' ELIF► E► NODE {uid()} "{condition()}" ◄ {text(depth - 1)}' for _ in range(rng.randint(0, 2)))
+                other = f" ELSE► {text(depth - 1)}" if rng.random() < 0.5 else ""
+                out.append(f'IF► E► NODE {uid()} "{condition()}" ◄ {text(depth - 1)}{elifs}{other} ◄')
+            else:
+                said = rng.choice([f"times {rng.randint(0, 3)}", f"{uid()} missing", f"{uid()} is 2", "false", "times x"])
+                out.append(f'LOOP► "{said}" ◄ {text(depth - 1)} ◄')
+        return " ".join(out)
+
+    texts = [text(3) for _ in range(120)] + ['LOOP► "true" ◄ N► "on" ◄ ◄', 'LOOP► "true" ◄ ◄', 'IF► E► NODE a "x"', ""]
+    trees = dsl.syntax_trees(spark.createDataFrame(list(enumerate(texts)), "program_id long, text string")).cache()
+    rows = {}
+    for r in trees.collect():
+        rows.setdefault(r["program_id"], []).append(r)
+    got = {r["program_id"]: (r["status"], r["steps"], r["unknown"], r["held"]) for r in programs.execute(trees, 60).collect()}
+    trees.unpersist()
+    assert got.keys() == rows.keys() and got[122] == ("error", None, None, None) and got[120][0] == "unending"
+    for p, own in rows.items():
+        if p != 122:
+            assert got[p] == run_tree(own, 60), texts[p]
+    assert len({v[0] for v in got.values()}) == 3 and sum(v[1] or 0 for v in got.values()) > 600
