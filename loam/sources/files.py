@@ -18,6 +18,7 @@ from loam.functions.arrow import flat
 from loam.functions.text import size_text
 from loam.operators.items import start_patterns
 from loam.operators.tabular import TEXT_SUFFIXES, category, supported
+from loam.sources.pdf import page_texts
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -61,29 +62,33 @@ def docx_paragraphs(content: bytes) -> str | None:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{word}t")) for p in root.iter(f"{word}p"))
 
 
-def pdf_pages(content: bytes) -> str | None:
-    """Pages of a PDF, a line each, where a reader is installed."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return None
-    return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
+def parts_of(path: str, content: bytes) -> list[str] | None:
+    """Paragraphs of a .docx, pages of a .pdf; None for what isn't one."""
+    if path.lower().endswith(".docx"):
+        text = docx_paragraphs(content)
+        return None if text is None else text.split("\n")
+    return page_texts(content)
 
 
 def documents(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES) -> DataFrame:
-    """(uri, text, is_utf8) of the files below a path: text by suffix, .docx and .pdf by their readers; others give a null text."""
+    """(uri, text, is_utf8, starts) of the files below a path: text by suffix, .docx and .pdf by their readers; others give a null text.
+
+    starts: code points at which lines (of a .docx its paragraphs, of a .pdf its pages) begin.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [docx_paragraphs(c) if p.lower().endswith(".docx") else pdf_pages(c) for p, c in zip(*(x.to_pylist() for x in batch.columns))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), pa.array([m is not None for m in made])], names=["uri", "text", "is_utf8"])
+            made = [parts_of(p, c) for p, c in zip(*(x.to_pylist() for x in batch.columns))]
+            starts = [None if m is None else np.r_[0, np.cumsum([len(x) + 1 for x in m[:-1]], dtype=np.int64)].astype(np.int32).tolist() for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if m is None else "\n".join(m) for m in made], pa.string()), pa.array([m is not None for m in made]), pa.array(starts, pa.list_(pa.int32()))], names=["uri", "text", "is_utf8", "starts"])
 
     plain = supported(F.col("path"), suffixes)
-    read = files.where(plain).select(F.col("path").alias("uri"), decoded(F.col("content")).alias("text"), is_utf8(F.col("content")).alias("is_utf8"))
-    other = files.where(~plain & F.lower("path").rlike(r"\.(docx|pdf)$")).mapInArrow(task, "uri string, text string, is_utf8 boolean")
-    rest = files.where(~plain & ~F.lower("path").rlike(r"\.(docx|pdf)$")).select(F.col("path").alias("uri"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_utf8"))
-    return read.unionByName(other).unionByName(rest)
+    other = F.lower("path").rlike(r"\.(docx|pdf)$")
+    read = line_starts(files.where(plain).select(F.col("path").alias("uri"), decoded(F.col("content")).alias("text"), is_utf8(F.col("content")).alias("is_utf8"))).withColumnRenamed("line_starts", "starts")
+    made = files.where(~plain & other).mapInArrow(task, "uri string, text string, is_utf8 boolean, starts array<int>")
+    rest = files.where(~plain & ~other).select(F.col("path").alias("uri"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_utf8"), F.lit(None).cast("array<int>").alias("starts"))
+    return read.unionByName(made).unionByName(rest)
 
 
 def line_starts(docs: DataFrame, text_col: str = "text") -> DataFrame:
