@@ -252,7 +252,7 @@ FREQUENCY = r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(
 #: tt(t, o, stem): the typed strings, their corrections and cases, and the n-grams of these; of equal texts the last, which has the highest order here; stem as in stem().
 TYPED_TERMS = f"""fq AS ({FREQUENCY}), ty(q, s) AS (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(TYPED))}),
 tw AS (SELECT q, unnest(string_split(s, ' ')) AS word, generate_subscripts(string_split(s, ' '), 1) AS i FROM ty),
-tk AS (SELECT tw.q, tw.i, tw.word, fq.word AS known FROM tw JOIN fq ON levenshtein(tw.word, fq.word) <= 2 QUALIFY row_number() OVER (PARTITION BY tw.q, tw.i ORDER BY levenshtein(tw.word, fq.word), n DESC, fq.word) = 1),
+tk AS (SELECT tw.q, tw.i, tw.word, fq.word AS known FROM tw JOIN (SELECT *, translate(word, 'àâäáçéèêëîïíñôöóùûüúß', 'ABCDEFGHIJKLMNOPQRSTU') AS w FROM fq) fq ON levenshtein(tw.word, fq.w) <= 2 QUALIFY row_number() OVER (PARTITION BY tw.q, tw.i ORDER BY levenshtein(tw.word, fq.w), n DESC, fq.word) = 1),
 tv AS (SELECT q, s, list_filter([c, CASE WHEN lower(s) <> s THEN lower(s) END, CASE WHEN upper(s) <> s THEN upper(s) END, CASE WHEN title <> s THEN title END], lambda x: x IS NOT NULL) AS vs FROM (
   SELECT ty.q, ty.s, (SELECT string_agg(known, ' ' ORDER BY i) FROM tk WHERE tk.q = ty.q AND known <> word) AS c, array_to_string(list_transform(string_split(s, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title FROM ty)),
 te AS (SELECT q, unnest([{{'o': 0, 't': s}}] || flatten(list_transform(vs, lambda x: [{{'o': 1, 't': x}}] || CASE WHEN length(x) < 5 THEN [{{'o': 2, 't': x}}]
@@ -326,8 +326,9 @@ ORACLES = {
     "spell_correct": f"""WITH f AS ({FREQUENCY}), q(word) AS (VALUES ('thw'), ('adn'), ('ontoin'), ('schhn'), ('qqqqqqqq'), ('thing')),
         c AS (SELECT q.word, f.word AS known, row_number() OVER (PARTITION BY q.word ORDER BY levenshtein(q.word, f.word), n DESC, f.word) AS rn FROM q JOIN f ON abs(length(f.word) - length(q.word)) <= 2 AND levenshtein(q.word, f.word) <= 2)
         SELECT q.word, coalesce(known, q.word) AS correction FROM q LEFT JOIN (SELECT * FROM c WHERE rn = 1) c USING (word)""",
+    # levenshtein counts bytes here, so letters of two bytes become capitals, which no word has
     "spell_correct_table": f"""WITH f AS ({FREQUENCY}), q AS (SELECT DISTINCT w[1] || w[3:] AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM benchmark)),
-        c AS (SELECT q.word, f.word AS known, levenshtein(q.word, f.word) AS d, n FROM q JOIN f ON length(f.word) BETWEEN length(q.word) - 2 AND length(q.word) + 2)
+        c AS (SELECT q.word, f.word AS known, levenshtein(q.word, translate(f.word, 'àâäáçéèêëîïíñôöóùûüúß', 'ABCDEFGHIJKLMNOPQRSTU')) AS d, n FROM q JOIN f ON length(f.word) BETWEEN length(q.word) - 2 AND length(q.word) + 2)
         SELECT q.word, coalesce(known, q.word) AS correction FROM q LEFT JOIN (SELECT * FROM c WHERE d <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, n DESC, known) = 1) USING (word)""",
     "corrected_search": f"WITH {TYPED_TERMS}, {text_cte(listed='SELECT t, o, stem FROM tt')}, {SCORE_CTE} SELECT doc_id, n, round({ADVANCED}, 6) AS score FROM s WHERE {ADVANCED} >= 2",
     "word_frequency": scored_sql("SELECT word, n FROM tf").replace(" SELECT word, n FROM tf", f", {TOP_CTE} SELECT word, n FROM tf"),
