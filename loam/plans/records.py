@@ -15,6 +15,7 @@ from loam.operators.terms import Term
 from loam.plans.search import ADVANCED, SCORE_CTE, table, text_cte
 from loam.session import folder
 from loam.sources import files, ranges, tables
+from loam.streaming import versions as V
 
 #: Keys of a block of delimited customers.
 PER_BLOCK = 500
@@ -261,6 +262,19 @@ def state_as_of(spark, sf):
     return G.latest(e, "user_id", "ts", "event_id", "event_type", "value").select("user_id", "event_type", "value")
 
 
+def versions_streamed(spark, sf):
+    """Events of users that arrive in three parts, each kept by a run of its own; every seventh goes back to the user's first version."""
+    at = folder(spark, "versions")
+    back = F.when(F.col("event_id") % 7 == 0, F.lit(0).cast("long"))
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("tie"), back.alias("back"), F.col("event_type").alias("data"))
+    first, second = F.expr("timestamp_ntz'2024-01-10 00:00:00'"), F.expr("timestamp_ntz'2024-01-20 00:00:00'")
+    for part in (F.col("ts") < first, (F.col("ts") >= first) & (F.col("ts") < second), F.col("ts") >= second):
+        e.where(part).write.mode("append").parquet(f"{at}/in")
+        V.keep(spark.readStream.schema(e.schema).parquet(f"{at}/in"), f"{at}/kept", f"{at}/checkpoint").awaitTermination()
+    found = V.history(V.all_versions(spark, f"{at}/kept"))
+    return found.select("key", "idx", "data", "error")
+
+
 def snapshots(spark, sf):
     clock = F.lit("2024-01-01T00:00:00")
     n = nodes(spark, sf).select("uid", "type")
@@ -330,7 +344,7 @@ QUERIES = {
     "graph_reload": lambda s, d: told(G.from_node_link(G.node_link(nodes(s, d), edges(s, d)))[0]), "graph_prompt": serialized,
     "version_history": lambda s, d: G.history(events(s, d), "user_id", "ts", "event_id").select("user_id", "idx", "event_id"),
     "rollback_node": lambda s, d: G.at_index(G.history(events(s, d), "user_id", "ts", "event_id"), "user_id", 2).select("user_id", "event_id", "event_type"),
-    "state_as_of": state_as_of, "snapshots": snapshots, "snapshot_list": snapshot_list, "audit_log": audit_log, "outcome_weights": outcome_weights, "property_filter": property_filter,
+    "state_as_of": state_as_of, "versions_streamed": versions_streamed, "snapshots": snapshots, "snapshot_list": snapshot_list, "audit_log": audit_log, "outcome_weights": outcome_weights, "property_filter": property_filter,
     "success_rate": lambda s, d: U.success_rate(table(s, d, "labels"), F.col("quality") == 1), "success_rate_empty": lambda s, d: U.success_rate(table(s, d, "labels").where("false"), F.col("quality") == 1),
     "format_size": lambda s, d: table(s, d, "part").select("p_partkey", T.size_text((F.col("p_partkey") * F.col("p_partkey") * F.col("p_partkey")).cast("long")).alias("size")),
     "duration_text": lambda s, d: table(s, d, "orders").select("o_orderkey", T.duration_text(F.col("o_orderkey") * 37).alias("took")),
@@ -439,6 +453,9 @@ ORACLES = {
     "graph_reload": f"WITH {NODES} SELECT * FROM nd",
     "graph_prompt": f"""WITH {NODES} SELECT uid, 'KGNODE► ' || uid || ' : ' || array_to_string(list_transform(string_split(props, ';'), lambda p: string_split(p, '=')[1] || '="' || string_split(p, '=')[2] || '"'), ', ') AS line FROM nd""",
     "version_history": f"{HISTORY} SELECT user_id, idx, event_id FROM h", "rollback_node": f"{HISTORY} SELECT user_id, event_id, event_type FROM h WHERE idx = 2",
+    "versions_streamed": """WITH h AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events),
+        f AS (SELECT user_id, CASE WHEN event_id % 7 <> 0 THEN event_type END AS data FROM h WHERE idx = 0)
+        SELECT CAST(h.user_id AS VARCHAR) AS key, idx, CASE WHEN event_id % 7 <> 0 THEN event_type ELSE f.data END AS data, CASE WHEN event_id % 7 = 0 AND idx = 0 THEN 'no version 0' END AS error FROM h JOIN f USING (user_id)""",
     "state_as_of": "SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id",
     "snapshots": f"WITH {NODES} SELECT uid, type FROM nd WHERE type <> 'customer'",
     "snapshot_list": f"WITH {NODES} SELECT CAST(1 AS BIGINT) AS version, 'first' AS message, count(*) AS n FROM nd UNION ALL SELECT 2, 'no customers', count(*) FROM nd WHERE type <> 'customer'",
