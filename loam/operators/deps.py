@@ -138,6 +138,27 @@ def similar_pairs(files: DataFrame, least: float = 0.7) -> DataFrame:
     return near.unionByName(far).withColumn("similarity", F.round(path_similarity(F.col("a"), F.col("b")), 9)).where(F.col("similarity") >= least)
 
 
+def directory_similarity(files: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(classes, exceptions): the similar pairs of files of one directory, without a row for each.
+
+    classes (dir, files, pairs, similarity): in a directory every pair has the similarity of its depth, so a row with
+    counts stands for all of them, where that is `least` or more. exceptions (a, b, similarity): pairs whose names
+    begin or end alike, which are more similar than their class, at `least` or more. Names meet on equal prefixes and
+    suffixes, so a directory of n files that have nothing in common costs n rows, not n * n.
+    """
+    rows = files.select("path").distinct().select("path", directory(F.col("path")).alias("dir"), F.size(F.split("path", "/")).alias("depth"), F.regexp_replace(name(F.col("path")), r"(?<=.)\.[^.]*$", "").alias("stem"))
+    base = F.least(F.lit(1.0), (F.col("depth") - 1) / F.col("depth") + 0.3)
+    n = F.col("files")
+    classes = rows.groupBy("dir", "depth").agg(F.count("*").alias("files")).where((n > 1) & (F.round(base, 9) >= least))
+    classes = classes.select("dir", "files", (n * (n - 1) / 2).cast("long").alias("pairs"), F.round(base, 9).alias("similarity"))
+    lengths = F.sequence(F.lit(0), F.length("stem"))
+    affixes = F.array_distinct(F.concat(F.transform(lengths, lambda k: F.substring("stem", F.lit(1), k)), F.transform(lengths, lambda k: F.substring("stem", k + 1, F.length("stem")))))
+    asks = rows.select("dir", "depth", F.col("path").alias("x"), F.explode(affixes).alias("stem"))
+    alike = asks.join(rows.select("dir", "stem", F.col("path").alias("y")), ["dir", "stem"]).where("x <> y").select("depth", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    raised = F.round(F.least(F.lit(1.0), base + 0.2), 9)
+    return classes, alike.where((raised >= least) & (raised > F.round(base, 9))).select("a", "b", raised.alias("similarity"))
+
+
 def blended(similarity: Column, adjacent: Column, total: Column, weight: float = 0.3) -> Column:
     """Distance: 1 less the weighted mean of path similarity and adjacency over its sum."""
     return 1 - ((1 - weight) * similarity + weight * F.coalesce(F.try_divide(adjacent, total), F.lit(0.0)))

@@ -149,6 +149,12 @@ def concatenated(spark, sf):
     return all_sources(code(spark, sf).select("path", "text"))
 
 
+def similarity_classes(spark, sf):
+    """Similar files of one directory: a row a directory, and the pairs that are more alike than it tells."""
+    classes, exceptions = D.directory_similarity(files(spark, sf))
+    return classes.select(F.col("dir").alias("a"), F.lit(None).cast("string").alias("b"), "pairs", "similarity").unionByName(exceptions.withColumn("pairs", F.lit(1).cast("long")))
+
+
 def evaluation_graph(spark, sf):
     """Parts as nodes that are evaluated after those of half and a third of their number; some links lead back."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), "p_size")
@@ -198,7 +204,7 @@ QUERIES = {
     "import_resolution": lambda s, d: D.resolve(some_imports(s, d), files(s, d)).select("path", "module", "target"),
     "dependency_edges": lambda s, d: D.edges(D.resolve(some_imports(s, d), files(s, d))),
     "dependency_report": lambda s, d: N.degrees(files(s, d).withColumnRenamed("path", "uid"), D.edges(D.resolve(some_imports(s, d), files(s, d)))),
-    "similarity_pairs": lambda s, d: D.similar_pairs(files(s, d)), "blended_clusters": lambda s, d: D.blended_clusters(files(s, d), D.edges(D.resolve(some_imports(s, d), files(s, d))), 0.4),
+    "similarity_pairs": lambda s, d: D.similar_pairs(files(s, d)), "similarity_classes": similarity_classes, "blended_clusters": lambda s, d: D.blended_clusters(files(s, d), D.edges(D.resolve(some_imports(s, d), files(s, d))), 0.4),
     "average_linkage": lambda s, d: D.average_linkage(files(s, d), linked(s, d)).select("a", "b", F.round("similarity", 6).alias("similarity")), "average_clusters": lambda s, d: D.average_clusters(files(s, d), linked(s, d), 8),
     "task_evaluate": task_evaluate, "task_summary": task_summary, "directory_clusters": lambda s, d: D.directory_clusters(files(s, d), 5),
     "node_sizes": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(D.node_size(F.col("n_nationkey")), 9).alias("size"), D.label_size(F.col("n_nationkey")).cast("long").alias("font")),
@@ -306,6 +312,9 @@ ORACLES = {
     "import_extraction": """WITH n AS (SELECT regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') AS n FROM nation WHERE n_nationkey % 5 <> 4)
         SELECT 'pkg/sub/' || n || '.py' AS path, 'a' AS base, 'import' AS kind, 'a.' || n AS module FROM n UNION ALL SELECT 'pkg/sub/' || n || '.py', 'b', 'from_absolute', 'b.' || n FROM n UNION ALL SELECT 'pkg/sub/' || n || '.py', 'c', 'from_relative', 'pkg.c' FROM n""",
     "similarity_pairs": f"WITH {FILES}, {SIMILAR} SELECT a, b, round(sim, 9) AS similarity FROM sm WHERE round(sim, 9) >= 0.7",
+    "similarity_classes": f"""WITH {FILES}, {SIMILAR}, cl AS (SELECT dir, count(*) AS n, round(least(1.0, CAST(len(any_value(ps)) - 1 AS DOUBLE) / len(any_value(ps)) + 0.3::DOUBLE), 9) AS base FROM s GROUP BY dir)
+        SELECT dir AS a, NULL AS b, n * (n - 1) // 2 AS pairs, base AS similarity FROM cl WHERE n > 1 AND base >= 0.7
+        UNION ALL SELECT sm.a, sm.b, 1, round(sim, 9) FROM sm JOIN q USING (a, b) JOIN cl ON cl.dir = q.da WHERE q.da = q.db AND round(sim, 9) > base AND round(sim, 9) >= 0.7""",
     "blended_clusters": f"""WITH RECURSIVE {RESOLVED}, {SIMILAR}, tt AS (SELECT count(*) AS total FROM de), ad AS (SELECT least(source, target) AS a, greatest(source, target) AS b, count(*) AS n FROM de GROUP BY ALL),
         lk AS (SELECT a, b FROM sm LEFT JOIN ad USING (a, b), tt WHERE (round(sim, 9) >= 0.7 OR n IS NOT NULL) AND round(1 - (0.7::DOUBLE * sim + 0.3::DOUBLE * coalesce(n / total, 0)), 9) <= 0.4),
         bo AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), rc(path, seen) AS (SELECT path, path FROM f UNION SELECT rc.path, bo.b FROM rc JOIN bo ON bo.a = rc.seen)

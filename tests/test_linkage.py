@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loam.operators import linkage
 
@@ -94,3 +95,34 @@ def test_directory_clusters(spark):
         want = {d: k for k, (_, _, own) in enumerate(sorted(heap, key=lambda h: h[1])) for d in own}
         got = deps.directory_clusters(spark.createDataFrame([(p,) for p in paths], "path string"), most).collect()
         assert len(got) == len(paths) and all(r["cluster"] == want[r["path"].split("/")[0]] for r in got)
+
+
+@pytest.mark.parametrize("least", [0.7, 0.85])
+def test_directory_similarity(spark, least):
+    """Classes and exceptions give, expanded, the pairs of one directory that similar_pairs gives."""
+    from loam.operators import deps
+
+    rng = random.Random(8)
+    folder = lambda: rng.choice(["", "a/", "a/b/", "c/", "a/b/d/", "x/y/z/w/"])
+    paths = sorted({folder() + "".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) + rng.choice([".py", ".txt", "", ".a.b"]) for _ in range(120)} | {"a/.py", "c/"})
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    at = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    want = {(r["a"], r["b"]): r["similarity"] for r in deps.similar_pairs(frame, least).collect() if at(r["a"]) == at(r["b"])}
+    classes, exceptions = deps.directory_similarity(frame, least)
+    got = {}
+    for r in classes.collect():
+        own = [p for p in paths if at(p) == r["dir"]]
+        pairs = {(a, b): r["similarity"] for i, a in enumerate(own) for b in own[i + 1 :]}
+        assert (r["files"], r["pairs"]) == (len(own), len(pairs))
+        got |= pairs
+    got |= {(r["a"], r["b"]): r["similarity"] for r in exceptions.collect()}
+    assert got == want and want
+
+
+def test_hot_directory_stays_small(spark):
+    """A directory of 3,000 files has 4,498,500 pairs and one row."""
+    from loam.operators import deps
+
+    frame = spark.range(3000).select(F.concat(F.lit("hot/f"), F.col("id") + 1000, F.lit("q.py")).alias("path"))
+    classes, exceptions = deps.directory_similarity(frame)
+    assert [tuple(r) for r in classes.collect()] == [("hot", 3000, 4_498_500, 0.8)] and exceptions.count() == 0
