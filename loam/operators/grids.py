@@ -167,6 +167,19 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)])
 
 
+def evaluate_sides(rows: DataFrame, key: str = "key") -> DataFrame:
+    """(key, n_predicted, n_actual, success, reason, match_rate) of shapes (key, told, x, y) of both sides, told where they are predicted: grouped once."""
+    position, told = F.struct("x", "y"), F.col("told")
+    both = rows.groupBy(key).agg(
+        F.count_if(told).alias("n_predicted"), F.count_if(~told).alias("n_actual"),
+        F.array_sort(F.collect_set(F.when(told, position))).alias("predicted"), F.array_sort(F.collect_set(F.when(~told, position))).alias("actual"),
+    )
+    p, a = F.col("predicted"), F.col("actual")
+    reason = F.when(F.col("n_predicted") != F.col("n_actual"), "count").when(p != a, "position").when(F.size(a) != F.col("n_actual"), "duplicate").otherwise("")
+    rate = F.when(reason.isin("count", "position"), 0.0).otherwise(F.round(F.size(a) / F.col("n_actual"), 9))
+    return both.select(key, "n_predicted", "n_actual", (reason == "").alias("success"), reason.alias("reason"), rate.alias("match_rate"))
+
+
 def evaluate(predicted: DataFrame, actual: DataFrame, key: str = "key") -> DataFrame:
     """(key, n_predicted, n_actual, success, reason, match_rate[, least, mean, most]) of shapes (key, x, y[, description]).
 
@@ -174,13 +187,8 @@ def evaluate(predicted: DataFrame, actual: DataFrame, key: str = "key") -> DataF
     Where both sides have descriptions, least, mean and most are the similarities of those of one position (of several
     there, the last by its text), 0 where numbers or positions differ.
     """
-    positions = lambda df, name: df.groupBy(key).agg(F.count("*").alias(f"n_{name}"), F.array_sort(F.collect_set(F.struct("x", "y"))).alias(name))
-    both = positions(predicted, "predicted").join(positions(actual, "actual"), key, "full").fillna(0, ["n_predicted", "n_actual"])
-    none = F.array().cast("array<struct<x:int,y:int>>")
-    p, a = F.coalesce("predicted", none), F.coalesce("actual", none)
-    reason = F.when(F.col("n_predicted") != F.col("n_actual"), "count").when(p != a, "position").when(F.size(a) != F.col("n_actual"), "duplicate").otherwise("")
-    rate = F.when(reason.isin("count", "position"), 0.0).otherwise(F.round(F.size(a) / F.col("n_actual"), 9))
-    out = both.select(key, "n_predicted", "n_actual", (reason == "").alias("success"), reason.alias("reason"), rate.alias("match_rate"))
+    side = lambda df, told: df.select(key, F.lit(told).alias("told"), "x", "y")
+    out = evaluate_sides(side(predicted, True).unionByName(side(actual, False)), key)
     if "description" not in predicted.columns or "description" not in actual.columns:
         return out
     last = lambda df, name: df.groupBy(key, "x", "y").agg(F.max("description").alias(name))
