@@ -59,6 +59,12 @@ def equal_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
 
 
+def two_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each string, made in blocks that bound the memory of their chunks."""
+    blocks = list(pieces(np.r_[0, np.cumsum(size)], 1 << 20))
+    return [np.concatenate([hashes(data[start[i] : start[j - 1] + size[j - 1]], start[i:j] - start[i], size[i:j], seed) for i, j in blocks] or [np.zeros(0, np.uint64)]) for seed in (0, 1)]
+
+
 def strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """The strings data[start : start + size], copied in blocks that bound the memory of their places."""
     bounds = np.r_[0, np.cumsum(size)]
@@ -143,7 +149,7 @@ def distinct_pieces(rows: DataFrame, shares: int) -> DataFrame:
                 size = np.diff(at) - 1
                 named, named_at = flat(lang.dictionary)
                 seed = hashes(named, named_at[:-1], np.diff(named_at))[number[doc]]
-                key = [mix(hashes(out, at[:-1], size, k) ^ seed) for k in (0, 1)]
+                key = [mix(h ^ seed) for h in two_hashes(out, at[:-1], size)]
                 order, head = equal_runs(*key)
                 one = order[head]
                 names = lang.dictionary.take(pa.array(number[doc[one]])).cast(pa.large_string())
@@ -157,7 +163,7 @@ def distinct_pieces(rows: DataFrame, shares: int) -> DataFrame:
             data, sizes, times = zip(*((d, np.diff(o), n) for d, o, n in (unpack(r[3]) for r in group)))
             data, size, times = np.concatenate(data), np.concatenate(sizes), np.concatenate(times)
             start = np.cumsum(size) - size
-            order, head = equal_runs(*(hashes(data, start, size, k) for k in (0, 1)))
+            order, head = equal_runs(*two_hashes(data, start, size))
             one = order[head]
             n = np.add.reduceat(times[order], head) if len(head) else times
             for i, j in pieces(np.r_[0, np.cumsum(size[one])], PIECES_BYTES):
@@ -185,7 +191,7 @@ class Phrases:
         self.begin = np.where(new, self.tab[self.piece] + 1, np.r_[0, self.blank[:-1] + 1] if len(self.blank) else self.blank)
         self.last = np.searchsorted(self.blank, self.at[1:]) - 1
         seed = hashes(self.data, self.at[:-1], self.tab - self.at[:-1])[self.piece]
-        self.word = [hashes(self.data, self.begin, self.blank - self.begin, s) for s in (0, 1)]
+        self.word = two_hashes(self.data, self.begin, self.blank - self.begin)
         self.run = [mix(x ^ seed) for x in self.word]
         self.place = np.arange(len(self.begin))
 
