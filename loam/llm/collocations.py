@@ -20,9 +20,9 @@ from loam.llm.common import LOWER, ODD, discard, flat, hashes, mix, partitions,
 #: Words of the longest phrase, least occurrences, per cent of a phrase's occurrences that a longer one takes over, phrases of each language.
 LONGEST, LEAST, COVERED, MOST = 4, 30, 80, 2000
 #: Bytes of text whose phrases one bucket counts; duckdb spills what is above its memory to the task's own scratch folder.
-BUCKET_BYTES, BUCKET_MEMORY = 2 << 30, "256MB"
+BUCKET_BYTES, BUCKET_MEMORY = 2 << 30, "160MB"
 #: Bytes of text of one share of the pieces, of pieces whose phrases are combined at a time, and of strings that a task holds before it sends them.
-SHARE_BYTES, PIECES_BYTES, TASK_BYTES = 64 << 20, 2 << 20, 32 << 20
+SHARE_BYTES, PIECES_BYTES, TASK_BYTES = 64 << 20, 2 << 20, 20 << 20
 #: Salts of the first round of ranking: a language has MOST rows of each in the second.
 SALTS = 64
 
