@@ -57,6 +57,59 @@ def test_linkage(spark, case):
         assert dict(tuple(r) for r in linkage.cut(frame, made, k).collect()) == plain(nodes, pairs, k)[1], k
 
 
+@pytest.mark.parametrize("most", [20, 40])
+def test_linkage_of_many_links(spark, monkeypatch, most):
+    """With few links a task, clusters merge in tasks beside others that stand still, and by joins where a group has too many."""
+    pairs = [(f"n{c}{i}", f"n{c}{j}", 0.9 - c / 100) for c in range(6) for i in range(5) for j in range(i)] + [(f"n{c}0", f"n{(c + 1) % 6}1", 0.3 + c / 100) for c in range(6)]
+    monkeypatch.setattr(linkage, "TASK_LINKS", most)
+    made = linkage.merges(spark.createDataFrame(pairs, "a string, b string, similarity double"))
+    want, _ = plain(sorted({n for a, b, _ in pairs for n in (a, b)}), pairs, 1)
+    assert sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in made.collect()) == sorted((a, b, round(s, 9)) for a, b, s in want)
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_tasks_merge_what_does_not_wait(case):
+    """Tasks with a third of the clusters each, again and again, give the merges of the one-by-one order."""
+    import pyarrow as pa
+
+    for seed in range(10):
+        rng = random.Random(seed)
+        pairs = CASES[case](rng)
+        links = {}
+        for a, b, s in pairs:
+            if a != b and round(s * linkage.UNIT) > 0:
+                links[min(a, b), max(a, b)] = max(links.get((min(a, b), max(a, b)), 0), round(s * linkage.UNIT))
+        nodes = sorted({n for k in links for n in k})
+        size, got, want = dict.fromkeys(nodes, 1), [], plain(nodes, pairs, 1)[0]
+        for turn in range(200):
+            at, root, total = {n: rng.randrange(3 if turn < 50 else 1) for n in nodes}, {}, {}
+            for own in range(3):
+                rows = [(a, b, s, size[a], size[b], at[a] == own, at[b] == own) for (a, b), s in links.items() if own in (at[a], at[b])]
+                for r in linkage.merged_within(pa.Table.from_pylist([dict(zip(("a", "b", "s", "na", "nb", "own_a", "own_b"), x)) for x in rows])).to_pylist() if rows else []:
+                    if r["v"] is None:
+                        root[r["a"]], total[r["b"]] = r["b"], r["n"]
+                    else:
+                        got.append((r["a"], r["b"], round(r["v"] / linkage.UNIT, 9)))
+            moved = {}
+            for (a, b), s in links.items():
+                a, b = sorted((root.get(a, a), root.get(b, b)))
+                if a != b:
+                    moved[a, b] = moved.get((a, b), 0) + s
+            links = moved
+            size.update(total)
+        assert not links and sorted(got) == sorted((a, b, round(s, 9)) for a, b, s in want)
+
+
+def test_hub_takes_one_round(spark, monkeypatch):
+    """Leaves of a hub merge with it one by one, each at another mean, but not one a round."""
+    kept, rounds = linkage.written, []
+    monkeypatch.setattr(linkage, "written", lambda df, name: (rounds.append(name), kept(df, name))[1])
+    pairs = [("hub", f"leaf{i:03}", 0.14 + i / 1e4) for i in range(200)]
+    made = linkage.merges(spark.createDataFrame(pairs, "a string, b string, similarity double"))
+    assert sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in made.collect()) == sorted((a, b, round(s, 9)) for a, b, s in plain(["hub"] + [b for _, b, _ in pairs], pairs, 1)[0])
+    assert rounds.count("merges") == 1
+
+
 def test_linkage_of_nothing(spark):
     none = spark.createDataFrame([], "a string, b string, similarity double")
     assert linkage.merges(none).count() == 0
