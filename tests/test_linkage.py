@@ -179,3 +179,35 @@ def test_hot_directory_stays_small(spark):
     frame = spark.range(3000).select(F.concat(F.lit("hot/f"), F.col("id") + 1000, F.lit("q.py")).alias("path"))
     classes, exceptions = deps.directory_similarity(frame)
     assert [tuple(r) for r in classes.collect()] == [("hot", 3000, 4_498_500, 0.8)] and exceptions.count() == 0
+
+
+@pytest.mark.parametrize("most,weight,least", [(0.4, 0.3, 0.7), (0.55, 0.3, 0.7), (0.35, 0.1, 0.25), (0.15, 0.1, 0.3)])
+def test_blended_clusters_of_all_pairs(spark, most, weight, least):
+    """The clusters that all pairs of blended_pairs give, over nested directories, names alike, paths that end in a slash and roots."""
+    from loam.operators import deps
+
+    rng = random.Random(9)
+    part = lambda: rng.choice(["a", "b", "ab", "c1"])
+    paths = sorted({"/".join([*(part() for _ in range(rng.randint(0, 4))), rng.choice(["", "/"]) * (rng.random() < 0.2) + "".join(rng.choice("12") for _ in range(rng.randint(0, 4))) + rng.choice(["", ".x", ".y.z"])]) for _ in range(150)} | {"/1", "1", "/2.x", ""})
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    edges = spark.createDataFrame(sorted({(rng.choice(paths), rng.choice(paths)) for _ in range(12)} - {(p, p) for p in paths}), "source string, target string")
+    root = {p: p for p in paths}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in deps.blended_pairs(frame, edges, weight, least).where(F.col("distance") <= most).collect():
+        x, y = sorted((find(r["a"]), find(r["b"])))
+        root[y] = x
+    got = {r["path"]: r["cluster"] for r in deps.blended_clusters(frame, edges, most, weight, least).collect()}
+    assert got == {p: find(p) for p in paths}
+
+
+def test_hot_directory_connects_by_few(spark):
+    """A directory of 3,000 files has 4,498,500 similar pairs; a few for each file connect them."""
+    from loam.operators import deps
+
+    frame = spark.range(3000).select(F.concat(F.lit("a/hot/f"), F.col("id") + 1000, F.lit("q.py")).alias("path"))
+    assert deps.connecting_pairs(frame, lambda s: s >= 0.7).count() < 4 * 3000
