@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.text import in_units
+
 # Suffixes of files read as text, names without a suffix among them.
 TEXT_SUFFIXES = (
     ".txt", ".text", ".log", ".md", ".markdown",
@@ -44,7 +46,7 @@ def success_rate(rows: DataFrame, ok: Column) -> DataFrame:
 def size_percent(rows: DataFrame) -> DataFrame:
     """(key, size_text in GB, percent of the base size); no percent without a base."""
     percent = F.format_string("%.2f%%", F.round(F.lit(100.0) * F.col("size") / F.nullif("base", F.lit(0)), 2))
-    return rows.select("key", F.format_string("%.2f GB", F.col("size") / float(1 << 30)).alias("size_text"), F.when(F.col("base") != 0, percent).alias("percent"))
+    return rows.select("key", in_units(F.col("size"), 1 << 30, "GB").alias("size_text"), F.when(F.col("base") != 0, percent).alias("percent"))
 
 
 def keep_last(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:

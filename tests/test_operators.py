@@ -6,6 +6,7 @@ import time
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -270,3 +271,40 @@ def test_fields(spark):
     for r, text in zip(got, rows):
         want = next(csv.reader(io.StringIO(text, newline="")), [""])
         assert [f["value"] for f in r["fields"]] == want and [f["name"] for f in r["fields"]] == ["one", *(f"Column {k}" for k in range(2, len(want) + 1))]
+
+
+def test_sizes_as_c_prints_them(spark):
+    """Decimals of the exact value, halves to the even digit; sizes above 2^53 are those of their doubles."""
+    from loam.functions.text import size_text
+
+    sizes = [0, 1, 1023, 1024, 1152, 1280, 5 * 128 + 1024, 1048571, 1048575, 1048576, (1 << 20) + (1 << 17), (1 << 30) - 1, 1 << 30, 5 * (1 << 27), 9 * (1 << 27), 20000**3, 1199999**3, (1 << 62) + 3, *(n**3 for n in range(11, 4000, 7)), *(1024 + 128 * n for n in range(900))]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", size_text(F.col("n")).alias("t")).collect()
+    unit = lambda n: next((n / u, k) for u, k in ((1 << 10, "KB"), (1 << 20, "MB"), (1 << 30, "GB")) if n < u << 10 or k == "GB")
+    assert {r["n"]: r["t"] for r in rows} == {n: f"{n} B" if n < 1024 else "%.2f %s" % unit(float(n)) for n in sizes}
+
+
+def test_line_starts_of_large_batches(spark):
+    """Starts whatever the blocks that bytes are counted in, and rows that are told a few MB at a time, not a batch."""
+    import tracemalloc
+
+    from loam.functions.arrow import flat
+    from loam.sources import files
+
+    rng = random.Random(2)
+    for block in (1, 2, 3, 7, 64):
+        for _ in range(20):
+            texts = ["".join(rng.choice("aé\n𝄞\n") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 6))]
+            assert files.starts_of_lines(*flat(pa.array(texts)), block).to_pylist() == [[0, *(i + 1 for i, c in enumerate(t) if c == "\n")] for t in texts]
+    tasks = []
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    kept, type(frame).mapInArrow = type(frame).mapInArrow, lambda self, task, schema: tasks.append(task) or self
+    try:
+        files.line_starts(frame)
+    finally:
+        type(frame).mapInArrow = kept
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["line of text\n" * 20_000] * 100)], names=["doc_id", "text"])  # 26 MB
+    tracemalloc.start()
+    told = sum(len(x) for x in tasks[0](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == 100 and most < 100e6
