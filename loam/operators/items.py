@@ -102,13 +102,15 @@ def search_items(indexed: DataFrame, terms: Iterable[Term], min_score: float = 0
     if not whole_block:
         found = scan(indexed.select(*keys, "content"), terms, ("text", "n", "search_term_match_counts", "score"), "content", min_score)
         return found.select(*keys, F.col("text").alias("content"), "n", F.col("search_term_match_counts").alias("counts"), "score")
-    found = match(indexed.select(*keys, "start", "content"), terms, "content").where(F.size("matches") > 0)
+    found = match(indexed.select(*keys, "start", "end", "content"), terms, "content")
     absolute = F.transform("matches", lambda m: F.struct((m["pos"] + F.col("start")).alias("pos"), m["term"].alias("term"), m["order"].alias("order")))
-    size = indexed.groupBy("file_id", "block_id").agg(F.max("end").alias("size"))
-    all_ = found.select("file_id", "block_id", absolute.alias("m")).groupBy("file_id", "block_id").agg(F.flatten(F.collect_list("m")).alias("all")).join(size, ["file_id", "block_id"])
-    all_ = all_.where(score.advanced(F.col("all"), F.col("size")) >= min_score)
-    own = found.join(all_, ["file_id", "block_id"]).withColumn("score", block_score(F.col("matches"), F.col("all"), F.col("size")))
-    return own.where(F.col("score") >= min_score).select(*keys, "content", F.size("matches").cast("long").alias("n"), term_counts(F.col("matches")).alias("counts"), "score")
+    own = F.when(F.size("matches") > 0, F.struct("item", "content", "matches"))  # collected without nulls
+    blocks = found.groupBy("file_id", "block_id").agg(F.max("end").alias("size"), F.flatten(F.collect_list(absolute)).alias("all"), F.collect_list(own).alias("items"))
+    blocks = blocks.where(F.size("all") > 0).select("file_id", "block_id", "size", "all", "items", score.clusters(F.col("all")).alias("clusters"))
+    blocks = blocks.where(score.advanced(F.col("all"), F.col("size")) >= min_score)
+    told = blocks.select("file_id", "block_id", (F.size("all").cast("double") / F.col("size")).alias("share"), "clusters", F.explode("items").alias("x")).select("file_id", "block_id", "share", "clusters", "x.*")
+    scored = told.withColumn("score", block_score(F.col("matches"), F.col("share"), F.col("clusters")))
+    return scored.where(F.col("score") >= min_score).select(*keys, "content", F.size("matches").cast("long").alias("n"), term_counts(F.col("matches")).alias("counts"), "score")
 
 
 def search_file(indexed: DataFrame, strings: Iterable[str], exact: bool = False, case_sensitive: bool = False, correct: Callable[[str], str | None] | None = None, min_score: float = 1.0, derivative: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -133,11 +135,10 @@ def fields(found: DataFrame, headers: Iterable[str] = (), text_col: str = "conte
     return found.withColumn("fields", F.transform(raw, lambda x, i: F.struct(name(i).alias("name"), value(x).alias("value"))))
 
 
-def block_score(matches: Column, everything: Column, size: Column) -> Column:
-    """Weights and unique terms of the item; coverage, closeness and distribution of the block."""
-    share = F.size(everything).cast("double") / size
+def block_score(matches: Column, share: Column, clusters: Column) -> Column:
+    """Weights and unique terms of the item; coverage, closeness and distribution of the block, told once for all its items."""
     weights = score.by_order(matches, lambda o: F.lit(score.PENALTY) / (o.cast("double") + 1))
-    return weights * F.sqrt(score.unique_terms(matches).cast("double")) * (1 + share) * (1 + 1 / score.clusters(everything).cast("double")) * (1 + F.least(F.lit(1.0), share))
+    return weights * F.sqrt(score.unique_terms(matches).cast("double")) * (1 + share) * (1 + 1 / clusters.cast("double")) * (1 + F.least(F.lit(1.0), share))
 
 
 def total_blocks(size: Column, memory: Column, sub_blocks: Column) -> Column:

@@ -308,3 +308,25 @@ def test_line_starts_of_large_batches(spark):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert told == 100 and most < 100e6
+
+
+def test_grids_cost_a_digest_and_a_box_each(spark, tmp_path):
+    """A part's digest is taken once, not in the lambda of its cells, by all cores; a crop finds its box once, outside the lambda of its rows."""
+    from loam.plans import structures
+
+    spark.createDataFrame([(k, f"part {k}") for k in range(50)], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = structures.grids(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and not any("sha2(" in x and "lambdafunction" in x for x in plan.splitlines())
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert made.select(grids.crop(F.col("grid")).alias("t"))._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+
+
+def test_block_search_scores_a_block_once(spark):
+    """Items are matched in one pass and get their block's share and clusters, which no join computes again for each item."""
+    rows = spark.createDataFrame([("f", k // 50, k, f"item {k} word" + " term" * (k % 3)) for k in range(200)], "file_id string, block_id long, seq long, content string")
+    found = items.search_items(items.index(rows), [terms.Term("term"), terms.Term("word", 1)], 0.5, whole_block=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    got = {(r["block_id"], r["item"]): r["n"] for r in found.collect()}
+    assert got == {(k // 50, k % 50 + 1): 1 + k % 3 for k in range(200)}
