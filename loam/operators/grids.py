@@ -1,7 +1,7 @@
 """Integer grids: geometry, text forms, connected shapes, prompts, parsed responses and their evaluation."""
 
 import difflib
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,12 +38,18 @@ def bounding_boxes(cell_rows: DataFrame, keys: list[str]) -> DataFrame:
     return box.select(*keys, "top", "left", (F.col("bottom") - F.col("top") + 1).alias("height"), (F.col("right") - F.col("left") + 1).alias("width"))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value taken once a row however often, and in whatever lambdas, it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def crop(grid: Column) -> Column:
     """The grid cut to its cells that are not zero; a grid of zeros stays."""
     full_rows = F.filter(F.transform(grid, lambda r, i: F.when(F.exists(r, lambda v: v != 0), i)), lambda i: i.isNotNull())
     full_cols = F.filter(F.flatten(F.transform(grid, lambda r: F.transform(r, lambda v, j: F.when(v != 0, j)))), lambda j: j.isNotNull())
-    top, left = F.array_min(full_rows), F.array_min(full_cols)
-    return F.when(F.size(full_rows) == 0, grid).otherwise(subgrid(grid, top, left, F.array_max(full_rows) - top + 1, F.array_max(full_cols) - left + 1))
+    box = lambda full: F.struct(*(f(full[c]).alias(f"{n}_{c}") for c in ("rows", "cols") for n, f in (("least", F.array_min), ("most", F.array_max))))
+    cut = lambda b: subgrid(grid, b["least_rows"], b["least_cols"], b["most_rows"] - b["least_rows"] + 1, b["most_cols"] - b["least_cols"] + 1)
+    return once(F.struct(full_rows.alias("rows"), full_cols.alias("cols")), lambda full: F.when(F.size(full["rows"]) == 0, grid).otherwise(once(box(full), cut)))
 
 
 def ascii_text(grid: Column, padded: bool = True) -> Column:
