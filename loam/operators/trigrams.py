@@ -19,6 +19,8 @@ from loam.sources import tables
 BLOCK_BYTES = 64 << 20
 #: Trigrams of a query up to which the postings are filtered by a list, which prunes their files; more are joined.
 MOST_LISTED = 2000
+#: Trigrams of a block that wait to be told once (16 MB).
+MOST_HELD = 4 << 20
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
@@ -32,45 +34,49 @@ def of_term(text: str) -> list[int]:
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """(gram, block) of texts (block, text), once each: a task marks the trigrams of a block before anything is dealt."""
+    """(gram, block) of texts (block long, text): a task tells the trigrams of a block once; a block of several tasks has some of them more often."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        last, held, size = None, [], 0  # of the block that the last row was of; rows of one file follow each other
         for batch in batches:
-            block = batch.column(0).dictionary_encode()
+            block = np.asarray(batch.column(0))
             data, offsets = flat(batch.column(1))
-            number = np.asarray(block.indices)
-            for k, name in enumerate(block.dictionary.to_pylist()):
-                if name not in seen:
-                    yield from told(seen)  # rows of one file follow each other
-                    seen[name] = np.zeros(1 << 24, bool)
-                for i in np.flatnonzero(number == k).tolist():
-                    if offsets[i + 1] - offsets[i] > 2:
-                        seen[name][trigrams(data[offsets[i] : offsets[i + 1]])] = True
-        yield from told(seen)
-
-    def told(seen: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for name, marks in seen.items():
-            gram = np.flatnonzero(marks)
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int32()), pa.array([name] * len(gram), pa.string())], names=["gram", "block"])
-        seen.clear()
-
-    return texts.mapInArrow(task, "gram int, block string").distinct()
+            for i, name in enumerate(block.tolist()):
+                if name != last:
+                    yield from told(last, held)
+                    last, held, size = name, [], 0
+                if offsets[i + 1] - offsets[i] > 2:
+                    held.append(trigrams(data[offsets[i] : offsets[i + 1]]))
+                    size += len(held[-1])
+                    if size > MOST_HELD:
+                        held = [np.unique(np.concatenate(held))]
+                        size = 0
+        yield from told(last, held)
+
+    def told(name: int | None, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            gram = np.unique(np.concatenate(held))
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int32()), pa.array(np.full(len(gram), name, np.int64))], names=["gram", "block"])
+
+    return texts.mapInArrow(task, "gram int, block long")
 
 
 def store(docs: DataFrame, root: str, block_bytes: int = BLOCK_BYTES, uri_col: str = "doc_id", text_col: str = "text") -> int:
     """Writes texts and their index below root, as new versions; gives the number of blocks.
 
-    Texts are dealt by ranges of their uri to blocks of about `block_bytes`, one file each. Postings are sorted by
-    trigram, so a filter of them reads a few row groups. Null texts are empty; an empty table has no blocks.
+    Texts are dealt by ranges of their uri to blocks of about `block_bytes`, one file each. Postings are dealt and sorted by
+    trigram, so a filter of them reads a few row groups; a block is a hash of its file's name in them, and a table has
+    the names of each hash. Null texts are empty; an empty table has no blocks.
     """
     rows = docs.select(F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tables.commit(rows.repartitionByRange(max(1, math.ceil(total / block_bytes)), "uri"), f"{root}/texts")
     spark = docs.sparkSession
     texts = tables.load(spark, f"{root}/texts")
-    made = postings(texts.select(F.col("_metadata.file_path").alias("block"), "text"))
-    tables.commit(made.repartitionByRange("gram").sortWithinPartitions("gram", "block"), f"{root}/postings")
+    path = F.col("_metadata.file_path")
+    tables.commit(texts.select(path.alias("path")).distinct().select(F.xxhash64("path").alias("block"), "path"), f"{root}/blocks")
+    made = postings(texts.select(F.xxhash64(path).alias("block"), "text"))
+    tables.commit(made.repartition("gram").sortWithinPartitions("gram", "block"), f"{root}/postings")
     return len(texts.inputFiles())
 
 
@@ -90,9 +96,10 @@ def blocks_of(spark: SparkSession, root: str, terms: Iterable[Term], all_terms:
         known = known.where(F.col("gram").isin(listed))
     asked = spark.createDataFrame(needed, "gram int, term int")  # a query's terms
     sizes = spark.createDataFrame([(k, len(own)) for k, own in grams.items()], "term int, size int")
-    whole = known.join(F.broadcast(asked), "gram").groupBy("block", "term").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "term").where("n = size")
+    whole = known.join(F.broadcast(asked), "gram").groupBy("block", "term").agg(F.count_distinct("gram").alias("n")).join(F.broadcast(sizes), "term").where("n = size")
     found = whole.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") >= (len(grams) if all_terms else 1))
-    return sorted(r["block"] for r in found.select("block").collect())
+    names = tables.load(spark, f"{root}/blocks").join(found, "block")
+    return sorted(r["path"] for r in names.select("path").collect())
 
 
 def indexed_search(spark: SparkSession, root: str, terms: Iterable[Term], all_terms: bool = False, **how) -> DataFrame:

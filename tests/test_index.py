@@ -45,6 +45,19 @@ def test_indexed_search(spark, corpus, tmp_path_factory, asked, every):
         assert files <= hits | {r["f"] for r in all_files.where("text LIKE '%ünde%'").select("f").collect()} and (every or hits <= files)
 
 
+def test_postings_are_numbers(spark, corpus, tmp_path, monkeypatch):
+    """Postings hold numbers, not names of files, and are told once a block without a shuffle; every name is in a table."""
+    made = trigrams.postings(corpus.select(F.lit(7).cast("long").alias("block"), F.coalesce("text", F.lit("")).alias("text")))
+    assert made.dtypes == [("gram", "int"), ("block", "bigint")] and "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    at = str(tmp_path)
+    n = trigrams.store(corpus, at, block_bytes=2000, uri_col="uri")
+    names = [r["path"] for r in spark.read.parquet(f"{at}/blocks/v=1").collect()]
+    texts = spark.read.parquet(f"{at}/texts/v=1").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.collect_list("text").alias("texts"))
+    want = {(r["path"], g) for r in texts.collect() for x in r["texts"] for g in trigrams.of_term(x)}
+    got = spark.read.parquet(f"{at}/postings/v=1").join(spark.read.parquet(f"{at}/blocks/v=1"), "block")
+    assert len(names) == len(set(names)) <= n and {(r["path"], r["gram"]) for r in got.collect()} == want
+
+
 def test_index_of_nothing(spark, corpus, tmp_path):
     trigrams.store(corpus.where("false"), str(tmp_path), uri_col="uri")
     assert trigrams.indexed_search(spark, str(tmp_path), [Term("needle")], min_score=0.0).count() == 0
