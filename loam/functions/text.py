@@ -29,24 +29,24 @@ def title(text: Column, n: int = 5) -> Column:
     return F.regexp_replace(F.array_join(F.slice(lines(text), 1, n), "\n"), r"^\s+|\s+$", "")
 
 
-def in_units(n: Column, unit: int, name: str) -> Column:
-    """n in units (a power of two up to 2^30) with two decimals: of the double nearest to n, halves to the even digit, as C prints them."""
+def in_units(n: Column, unit: int, name: str, up: bool = False) -> Column:
+    """n in units (a power of two up to 2^30) with two decimals: of the double nearest to n, halves to the even digit, as C prints them, or up, as ROUND does."""
     whole = n.cast("double").cast("long")
     rest = F.pmod(whole, F.lit(unit)) * 100
     cents, left = F.floor(rest / unit), F.pmod(rest, F.lit(unit)) * 2  # rest / unit is exact: below 2^37, by a power of two
-    cents = cents + F.when((left > unit) | ((left == unit) & (cents % 2 == 1)), 1).otherwise(0)
+    cents = cents + F.when((left > unit) | ((left == unit) & (F.lit(up) | (cents % 2 == 1))), 1).otherwise(0)
     units = F.shiftright(whole, unit.bit_length() - 1) + F.floor(cents / 100)
     return F.concat(units.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(f" {name}"))
 
 
-def size_text(n: Column) -> Column:
-    """B below 1024, then KB, MB, GB with two decimals."""
+def size_text(n: Column, up: bool = False) -> Column:
+    """B below 1024, then KB, MB, GB with two decimals; up: halves are rounded up, else to the even digit."""
     kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
     return (
         F.when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < mb, in_units(n, kb, "KB"))
-        .when(n < gb, in_units(n, mb, "MB"))
-        .otherwise(in_units(n, gb, "GB"))
+        .when(n < mb, in_units(n, kb, "KB", up))
+        .when(n < gb, in_units(n, mb, "MB", up))
+        .otherwise(in_units(n, gb, "GB", up))
     )
 
 

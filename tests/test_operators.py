@@ -283,6 +283,18 @@ def test_sizes_as_c_prints_them(spark):
     assert {r["n"]: r["t"] for r in rows} == {n: f"{n} B" if n < 1024 else "%.2f %s" % unit(float(n)) for n in sizes}
 
 
+def test_entries_round_halves_up(spark):
+    """Sizes of a listing against its SQL, which rounds before it prints: 9856 bytes are 9.63 KB, not 9.62."""
+    import duckdb
+
+    from loam.sources import files
+
+    sizes = [9856, 0, 1023, 1048575, 1048576, (1 << 20) + (1 << 17), *(1024 + 128 * n for n in range(120)), *((1 << 20) + 131072 * n + 8 for n in range(60)), *((1 << 20) + 131072 * n for n in range(60))]
+    got = files.entries(spark.createDataFrame([(f"d/{i:03}", n) for i, n in enumerate(sizes)], "path string, length long")).collect()
+    sql = "SELECT CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', round(n / 1024.0::DOUBLE, 2)) ELSE printf('%.2f MB', round(n / 1048576.0::DOUBLE, 2)) END FROM (SELECT unnest(?) AS n)"
+    assert [r["size"] for r in got] == [r[0] for r in duckdb.execute(sql, [sizes]).fetchall()]
+
+
 def test_line_starts_of_large_batches(spark):
     """Starts whatever the blocks that bytes are counted in, and rows that are told a few MB at a time, not a batch."""
     import tracemalloc
