@@ -211,3 +211,27 @@ def test_hot_directory_connects_by_few(spark):
 
     frame = spark.range(3000).select(F.concat(F.lit("a/hot/f"), F.col("id") + 1000, F.lit("q.py")).alias("path"))
     assert deps.connecting_pairs(frame, lambda s: s >= 0.7).count() < 4 * 3000
+
+
+@pytest.mark.parametrize("least", [0.25, 0.45, 0.5, 0.7, 0.95, 1.0])
+def test_similar_pairs_in_blocks(spark, monkeypatch, least):
+    """Blocks of three files give all pairs of a brute-force comparison: nested directories, names alike, paths that end in a slash or are part of others, roots."""
+    from loam.operators import deps
+
+    monkeypatch.setattr(deps, "PAIR_BLOCK", 3)
+    rng = random.Random(12)
+    part = lambda: rng.choice(["a", "b", "ab"])
+    paths = sorted({"/".join([*(part() for _ in range(rng.randint(0, 4))), rng.choice(["", "1", "12", "2.x", "1.y.z", ".x"])]) for _ in range(110)} | {"/1", "1", "/2.x", "", "/", "a/1/", "a/1"})
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    every = frame.select(F.col("path").alias("a")).crossJoin(frame.select(F.col("path").alias("b"))).where("a < b").select("a", "b", F.round(deps.path_similarity(F.col("a"), F.col("b")), 9).alias("s")).where(F.col("s") >= least)
+    want = sorted(tuple(r) for r in every.collect())
+    assert sorted(tuple(r) for r in deps.similar_pairs(frame, least).collect()) == want and want
+
+
+def test_pairs_of_hot_directory_are_dealt(spark):
+    """The pairs of one directory are the work of several tasks, also where one task holds its files."""
+    from loam.operators import deps
+
+    frame = spark.range(6000, numPartitions=1).select(F.concat(F.lit("a/hot/f"), F.col("id") + 1000, F.lit("q.py")).alias("path"))
+    dealt = deps.similar_pairs(frame).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in dealt) == 6000 * 5999 // 2 and max(r["count"] for r in dealt) < 0.6 * 6000 * 5999 // 2
