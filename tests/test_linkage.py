@@ -235,3 +235,34 @@ def test_pairs_of_hot_directory_are_dealt(spark):
     frame = spark.range(6000, numPartitions=1).select(F.concat(F.lit("a/hot/f"), F.col("id") + 1000, F.lit("q.py")).alias("path"))
     dealt = deps.similar_pairs(frame).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in dealt) == 6000 * 5999 // 2 and max(r["count"] for r in dealt) < 0.6 * 6000 * 5999 // 2
+
+
+@pytest.mark.parametrize("least,weight,most", [(0.7, 0.3, 2), (0.7, 0.3, 5), (0.5, 0.1, 2), (0.3, 0.3, 4)])
+def test_average_linkage_by_types(spark, monkeypatch, least, weight, most):
+    """The merges that all pairs of blended_pairs give, over nested directories, names alike and empty, paths that are others' directories, roots, adjacent files."""
+    from loam.operators import deps
+
+    monkeypatch.setattr(deps, "PLACE_FILES", most)
+    rng = random.Random(most)
+    part = lambda: rng.choice(["a", "b", "ab", "c1"])
+    paths = sorted({"/".join([*(part() for _ in range(rng.randint(0, 3))), rng.choice(["", "1", "12", "2.x", "33", "7.y.z", ".x", "41", "5"]) + rng.choice(["", "6", "x"])]) for _ in range(120)} | {"/1", "/8", "1", "/2.x", "", "a/1/", "a/1", "a/1/2", "a/1/3", "a/1/4"})
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    edges = spark.createDataFrame(sorted({(rng.choice(paths), rng.choice(paths)) for _ in range(30)} - {(p, p) for p in paths}), "source string, target string")
+    pairs = deps.blended_pairs(frame, edges, weight, least).select("a", "b", (1 - F.col("distance")).alias("similarity")).collect()
+    want, _ = plain(paths, [tuple(r) for r in pairs], 1)
+    got = deps.average_linkage(frame, edges, weight, least).collect()
+    assert sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in got) == sorted((a, b, round(s, 9)) for a, b, s in want)
+
+
+def test_average_linkage_makes_no_row_a_pair(spark, monkeypatch):
+    """A directory of 1,500 files has 1,124,250 similar pairs; its merges take a few rows for each file."""
+    from loam.operators import deps
+
+    kept, most = linkage.written, []
+    count = lambda df, name: (lambda made: (most.append(made.count()), made)[1])(kept(df, name))
+    monkeypatch.setattr(linkage, "written", count)
+    monkeypatch.setattr(deps, "written", count)
+    frame = spark.range(1500).select(F.concat(F.lit("a/hot/f"), F.col("id") + 1000, F.lit("q.py")).alias("path"))
+    none = spark.createDataFrame([], "source string, target string")
+    got = deps.average_linkage(frame, none).orderBy("b").collect()
+    assert [r["b"] for r in got] == [f"a/hot/f{i}q.py" for i in range(1001, 2500)] and {r["a"] for r in got} == {"a/hot/f1000q.py"} and max(most) < 8 * 1500
