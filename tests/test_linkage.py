@@ -266,3 +266,13 @@ def test_average_linkage_makes_no_row_a_pair(spark, monkeypatch):
     none = spark.createDataFrame([], "source string, target string")
     got = deps.average_linkage(frame, none).orderBy("b").collect()
     assert [r["b"] for r in got] == [f"a/hot/f{i}q.py" for i in range(1001, 2500)] and {r["a"] for r in got} == {"a/hot/f1000q.py"} and max(most) < 8 * 1500
+
+
+def test_ties_wait_for_a_better_merge(spark, monkeypatch):
+    """By joins, too, clusters whose best by name is about to merge with another wait for it, as its new mean may be theirs."""
+    monkeypatch.setattr(linkage, "TASK_LINKS", 3)
+    names = [f"n{i}" for i in range(7)]
+    pairs = [(a, b, 0.95 if (a, b) == ("n0", "n6") else 0.9) for a in names for b in names if a < b] + [("n4", "w", 0.9), ("n0", "o", 0.9), ("o", "p", 0.92)]
+    made = linkage.merges(spark.createDataFrame(pairs, "a string, b string, similarity double"))
+    want, _ = plain(sorted({n for a, b, _ in pairs for n in (a, b)}), pairs, 1)
+    assert sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in made.collect()) == sorted((a, b, round(s, 9)) for a, b, s in want)
